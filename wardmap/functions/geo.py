@@ -11,7 +11,7 @@ from .values import hash_slot
 
 EARTH_RADIUS_KM = 6371.0088
 KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180.0
-JITTER_SLOTS = 1_000_000
+JITTER_SLOTS = 300_000
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

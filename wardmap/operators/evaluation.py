@@ -28,7 +28,7 @@ def citation_lists(cited: DataFrame, id_column: str = "event_id") -> DataFrame:
     lists = cited.groupBy(id_column).agg(F.array_sort(F.collect_list(entry)).alias("e"))
     ordered = F.transform("e", lambda x: x["c"])
     return lists.select(id_column, F.size("e").cast("bigint").alias("citation_count"),
-                        F.to_json(ordered).alias("citations_json"))
+                        F.to_json(ordered, {"ignoreNullFields": "false"}).alias("citations_json"))
 
 
 def trace_rows(log: DataFrame, preview: int = 500) -> DataFrame:

@@ -140,7 +140,7 @@ def facility_mentions(spark: SparkSession, folder: str) -> DataFrame:
         F.when(cust % 12 == 0, None)
         .when(priority == "1-URGENT",
               F.when(nat % 3 == 0, '["Outpatient clinic"]').otherwise('["24-hour emergency care"]'))
-        .when(priority == "2-HIGH", '["Inpatient ward"," Pharmacy "]')
+        .when(priority == "2-HIGH", '["Inpatient ward"," Pharmacy ","brand#7"]')
         .when(priority == "3-MEDIUM", '[""]')
         .when(priority == "4-NOT SPECIFIED", "[]")
         .otherwise("Outpatient only").alias("capability"),
