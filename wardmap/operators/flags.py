@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import flag_label, is_true, shown, to_int
+from ..session import stored
 from ..sources.dimensions import EQUIPMENT_RULES, TYPE_CLAIM_RULES
 from ..sources.tables import KEY
 from .merge import distinct_claims, list_columns, merge_singles, paged_lists
@@ -196,11 +197,13 @@ def breadth_outliers(f: DataFrame, z_limit: float = 1.5) -> DataFrame:
 
     The ratio is procedures over 1 + equipment + doctors; a facility is listed when its
     ratio lies more than ``z_limit`` population standard deviations above the mean. The
-    two statistics are scalar subqueries, so no window gathers the table.
+    ratios are written once; the two statistics over them are scalar subqueries, so no
+    window gathers the table.
     """
     support = F.lit(1) + F.col("num_equipment") + F.coalesce("numberDoctors", F.lit(0))
     rated = f.select(KEY, "name", "num_procedures", "num_equipment", "numberDoctors",
                      (F.col("num_procedures") / support).alias("ratio"))
+    rated = stored(rated, "breadth-ratios")
     mean = rated.agg(F.avg("ratio")).scalar()
     spread = rated.agg(F.nullif(F.stddev_pop("ratio"), F.lit(0.0))).scalar()
     return rated.withColumn("z_score", (F.col("ratio") - mean) / spread).where(F.col("z_score") > z_limit)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import json_items
 from ..functions.values import blank_to_null
+from ..session import stored
 from ..sources.tables import KEY
 from .flags import any_flag
 
@@ -27,7 +28,7 @@ def value_counts(df: DataFrame, column: str, missing: str | None = None) -> Data
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Known values with count and percentage of all known values."""
     known = df.where(F.col(column).isNotNull())
-    counts = known.groupBy(column).agg(F.count("*").alias("row_count"))
+    counts = stored(known.groupBy(column).agg(F.count("*").alias("row_count")), "value-counts")
     total = counts.agg(F.sum("row_count")).scalar()
     return counts.withColumn("percent", F.round(100.0 * F.col("row_count") / total, 6))
 

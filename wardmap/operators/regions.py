@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import blank_to_null
+from ..session import checked_broadcast, stored
 from ..sources.dimensions import CRITICAL_SPECIALTIES
 from ..sources.tables import KEY
 from .flags import any_flag
@@ -63,8 +64,9 @@ def regional_analysis(f: DataFrame) -> DataFrame:
 def weighted_regions(f: DataFrame, drop_null_region: bool = True) -> DataFrame:
     """Regional table with the weighted 0-100 score, relative to the best region.
 
-    The maxima are one scalar subquery each over the regional table; surgery and emergency
-    count as present or absent. Rounded half to even, to one decimal.
+    The regional table is written once, so that taking its maxima does not run the
+    aggregation again. Surgery and emergency count as present or absent. Rounded half to
+    even, to one decimal.
     """
     rows = f.where(blank_to_null(F.col(REGION)).isNotNull()) if drop_null_region else f
     base = rows.groupBy(REGION).agg(
@@ -76,6 +78,7 @@ def weighted_regions(f: DataFrame, drop_null_region: bool = True) -> DataFrame:
         F.count_if(F.col("facilityTypeId") == "hospital").alias("num_hospitals"),
         F.round(F.avg("num_specialties"), 6).alias("avg_specialties"),
     )
+    base = stored(base, "regional-base")
 
     def shortfall(column: str) -> Column:
         best = base.agg(F.coalesce(F.nullif(F.max(column), F.lit(0)), F.lit(1))).scalar()
@@ -134,6 +137,7 @@ def region_with_most(f: DataFrame, facility_type: str = "hospital") -> DataFrame
         f.where(F.col("facilityTypeId") == facility_type)
         .groupBy(REGION).agg(F.count("*").alias("facility_count"))
     )
+    counts = stored(counts, "region-counts")
     return counts.where(F.col("facility_count") == counts.agg(F.max("facility_count")).scalar())
 
 
@@ -162,7 +166,8 @@ def top_per_region(f: DataFrame, n: int = 30) -> DataFrame:
 
 def with_region_scores(f: DataFrame, regions: DataFrame) -> DataFrame:
     """Facilities with the score of their region; an unknown region joins its own row."""
-    scores = regions.select(F.col(REGION).alias("_region"), "desert_score", "facility_count")
+    scores = checked_broadcast(
+        regions.select(F.col(REGION).alias("_region"), "desert_score", "facility_count"), "region-scores")
     return f.join(scores, F.col(REGION).eqNullSafe(F.col("_region")), "left").drop("_region")
 
 
@@ -177,12 +182,15 @@ def problem_type(f: DataFrame) -> DataFrame:
 
     A region is short of one where its mean per facility lies below the overall mean.
     """
-    per_facility = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))) / F.count("*")
-    doctors = f.agg(per_facility("numberDoctors")).scalar()
-    tools = f.agg(per_facility("num_equipment")).scalar()
-    rated = f.groupBy(REGION).agg(
-        per_facility("numberDoctors").alias("doctors_per_facility"),
-        per_facility("num_equipment").alias("equipment_per_facility"),
+    sums = stored(f.groupBy(REGION).agg(
+        F.count("*").alias("n"), _total("numberDoctors").alias("doctors"), _total("num_equipment").alias("tools")
+    ), "regional-sums")
+    doctors = sums.agg(F.sum("doctors") / F.sum("n")).scalar()
+    tools = sums.agg(F.sum("tools") / F.sum("n")).scalar()
+    rated = sums.select(
+        REGION,
+        (F.col("doctors") / F.col("n")).alias("doctors_per_facility"),
+        (F.col("tools") / F.col("n")).alias("equipment_per_facility"),
     )
     few_doctors = F.col("doctors_per_facility") < doctors
     few_tools = F.col("equipment_per_facility") < tools
@@ -245,7 +253,7 @@ def supply_bands(f: DataFrame, claims: DataFrame, field: str = "procedure",
 
     Own thresholds: oversupply from a quarter of the facilities, scarcity up to 2 percent.
     """
-    totals = f.groupBy(REGION).agg(F.count("*").alias("region_facilities"))
+    totals = checked_broadcast(f.groupBy(REGION).agg(F.count("*").alias("region_facilities")), "region-totals")
     items = regional_claims(f, claims, field).drop("first_facility")
     share = F.col("facilities") / F.col("region_facilities")
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import tokens
 from ..functions.values import flag_label, labelled, shown, yes_no
+from ..session import checked_broadcast, stored
 from ..sources.dimensions import (
     BLOCKED_WORDS, CONTEXT_TRIGGERS, INTENT_KEYWORDS, ROUTE_LABELS, SPECIALTY_KEYWORDS,
 )
@@ -109,9 +110,11 @@ def guarded_select(spark: SparkSession, sql: str, limit: int = 50, args: dict |
 
 # ---------------------------------------------------------------- mentions in questions
 
-def word_runs(text: Column, longest: int) -> Column:
-    """Distinct runs of one to ``longest`` neighbouring words of a text."""
-    words = tokens(text)
+def word_runs(words: Column, longest: int) -> Column:
+    """Distinct runs of one to ``longest`` neighbouring words.
+
+    ``words`` should be a plain column: it is referred to once per run.
+    """
 
     def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
@@ -128,8 +131,9 @@ def mentioned_regions(log: DataFrame, regions: DataFrame, id_column: str = "even
     side is compared with all of the other.
     """
     names = regions.select(F.col(REGION).alias("region")).where(F.col("region").isNotNull()).distinct()
-    names = names.withColumn("run", F.array_join(tokens(F.col("region")), " "))
-    runs = log.select(id_column, F.explode(word_runs(F.col("question"), longest)).alias("run"))
+    names = checked_broadcast(names.withColumn("run", F.array_join(tokens(F.col("region")), " ")), "region-names")
+    words = log.select(id_column, tokens(F.col("question")).alias("words"))
+    runs = words.select(id_column, F.explode(word_runs(F.col("words"), longest)).alias("run"))
     return runs.join(names, "run").groupBy(id_column).agg(
         F.max(F.struct(F.length("region").alias("n"), "region"))["region"].alias("region")
     )
@@ -162,18 +166,22 @@ def facility_line(cut: int = 200) -> Column:
 def reasoning_contexts(f: DataFrame, n: int = 20) -> DataFrame:
     """Context text per (region or any, type or any): its ``n`` best facilities as lines.
 
-    Best means flagged first, then most sources. Every facility counts for four
-    combinations; the rank filter cuts them to ``n`` per combination in each task.
+    Best means flagged first, then most sources. Facilities are first cut to the ``n`` best
+    of their own region and type; the wider combinations only need those.
     """
+    columns = [F.desc("has_flag"), F.desc("source_count"), KEY]
+    own = Window.partitionBy("region", "type").orderBy(*columns)
+    finest = f.select(
+        KEY, any_flag().alias("has_flag"), "source_count", facility_line().alias("line"),
+        F.col(REGION).alias("region"), F.col("facilityTypeId").alias("type"),
+    ).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n).drop("rank")
     any_value = F.lit(None).cast("string")
     options = F.array_distinct(F.array(*[
         F.struct(r.alias("region"), t.alias("type"))
-        for r in (F.col(REGION), any_value) for t in (F.col("facilityTypeId"), any_value)
+        for r in (F.col("region"), any_value) for t in (F.col("type"), any_value)
     ]))
-    rows = f.select(
-        KEY, any_flag().alias("has_flag"), "source_count", facility_line().alias("line"), F.inline(options)
-    )
-    order = Window.partitionBy("region", "type").orderBy(F.desc("has_flag"), F.desc("source_count"), KEY)
+    rows = finest.select(KEY, "has_flag", "source_count", "line", F.inline(options))
+    order = Window.partitionBy("region", "type").orderBy(*columns)
     best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     lines = F.array_sort(F.collect_list(F.struct("rank", "line")))
     return best.groupBy("region", "type").agg(lines.alias("l")).select(
@@ -190,9 +198,9 @@ def question_facts(log: DataFrame, regions: DataFrame, id_column: str = "event_i
 
 def question_reasoning(log: DataFrame, f: DataFrame, regions: DataFrame, n: int = 20) -> DataFrame:
     """Reasoning context of every question; questions with the same facts share one text."""
-    contexts = reasoning_contexts(f, n).select(
+    contexts = checked_broadcast(reasoning_contexts(f, n).select(
         F.col("region").alias("_r"), F.col("type").alias("_t"), "facilities", "context"
-    )
+    ), "reasoning-contexts")
     facts = question_facts(log, regions)
     matched = facts["region"].eqNullSafe(F.col("_r")) & facts["type"].eqNullSafe(F.col("_t"))
     return facts.join(contexts, matched, "left").select(
@@ -227,19 +235,27 @@ def _joined(rows: DataFrame, order: list[Column], line: Column) -> DataFrame:
 
 
 def context_texts(f: DataFrame, regions: DataFrame, claims: DataFrame) -> DataFrame:
-    """Text of every structured context block; a block is a short aggregate of the tables."""
+    """Text of every structured context block; a block is a short aggregate of the tables.
+
+    Facilities are read twice: for the regional table and for the counts per type, both
+    written once and folded further from there.
+    """
+    regions = stored(regions, "context-regions")
+    per_type = stored(
+        f.groupBy("facilityTypeId").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in FLAGS]),
+        "context-types",
+    )
     block = lambda name, df: df.select(F.lit(name).alias("block"), "text")
-    types = f.groupBy("facilityTypeId").agg(F.count("*").alias("n"))
     total = F.concat(F.lit("Total facilities: "), F.sum("n").cast("string"), F.lit("\nBy type: "))
     by_type = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), shown(F.col("facilityTypeId")).alias("t"))))
-    totals = types.agg(F.concat(total, F.array_join(F.transform(
+    totals = per_type.agg(F.concat(total, F.array_join(F.transform(
         by_type, lambda x: F.concat(x["t"], F.lit(": "), (-x["o"]).cast("string"))), ", ")).alias("text"))
     region_text = _joined(
         regions, [-F.col("facility_count"), shown(F.col(REGION))],
         F.concat(F.lit("Region "), shown(F.col(REGION)), F.lit(": "), F.col("facility_count").cast("string"),
                  F.lit(" facilities, "), F.col("total_doctors").cast("string"), F.lit(" doctors")),
     )
-    anomalies = f.agg(*[F.count_if(c).alias(c) for c in FLAGS]).select(F.concat_ws(
+    anomalies = per_type.agg(*[F.sum(c).alias(c) for c in FLAGS]).select(F.concat_ws(
         "\n", *[F.concat(F.lit("Anomalies - "), flag_label(F.lit(c)), F.lit(": "), F.col(c).cast("string"))
                 for c in FLAGS]).alias("text"))
     worst = regions.orderBy(F.desc("desert_score"), F.asc_nulls_first(REGION)).limit(5)
@@ -271,10 +287,11 @@ def triggered_blocks(question: Column) -> Column:
 def question_structured_context(log: DataFrame, texts: DataFrame, id_column: str = "event_id") -> DataFrame:
     """Structured context of every question, blocks in fixed order.
 
-    The block texts are one row per block name, a fixed number, hence the broadcast.
+    The block texts are written once, one row per block name.
     """
+    texts = checked_broadcast(texts, "context-blocks", len(BLOCK_ORDER))
     asked = log.select(id_column, F.posexplode_outer(triggered_blocks(F.col("question"))).alias("pos", "block"))
-    found = asked.join(F.broadcast(texts), "block", "left")
+    found = asked.join(texts, "block", "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text"))))
     return found.groupBy(id_column).agg(ordered.alias("b")).select(
         id_column, F.size("b").cast("bigint").alias("blocks"),

@@ -18,24 +18,21 @@ from .merge import url_host
 def rule_specialties(text: Column, rules: list[tuple]) -> Column:
     """Sorted specialties whose rules match a text.
 
-    Rules of the highest matching level win; a rule is dropped when a specialty it is
-    blocked by also matches (the specific name beats the generic one).
+    Rules of the highest matching level win; a rule does not count when one for a
+    specialty it is blocked by matches too (the specific name beats the generic one).
     """
-    matched = lambda subset: F.array_distinct(F.filter(
-        F.array(*[F.when(text.rlike(pattern), F.lit(name)) for pattern, name, _, _ in subset]), F.isnotnull))
-    blockers = {name: blocked for _, name, _, blocked in rules if blocked}
-
-    def unblocked(names: Column) -> Column:
-        for name, blocked in blockers.items():
-            drop = F.arrays_overlap(names, F.array(*[F.lit(b) for b in blocked]))
-            names = F.when(drop, F.array_remove(names, name)).otherwise(names)
-        return names
-
     result = None
     for level in sorted({r[2] for r in rules}):
-        found = unblocked(matched([r for r in rules if r[2] == level]))
+        peers = [r for r in rules if r[2] == level]
+        names = []
+        for pattern, name, _, blocked in peers:
+            hit = text.rlike(pattern)
+            for blocker in (r[0] for r in peers if r[1] in blocked):
+                hit = hit & ~text.rlike(blocker)
+            names.append(F.when(hit, F.lit(name)))
+        found = F.array_sort(F.array_distinct(F.array_compact(F.array(*names))))
         result = found if result is None else F.when(F.size(found) > 0, found).otherwise(result)
-    return F.array_sort(result)
+    return result
 
 
 def name_specialties(f: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, evaluation, flags, geo, merge, profile, regions, routing, rules, search
-from ..session import apply_runtime_settings
+from ..session import apply_runtime_settings, new_path, stored
 from ..sources.dimensions import QUESTIONS, REGION_COORDS
 from ..sources.tables import KEY, domain_values, register_view
 from ..streaming import jobs
@@ -475,8 +475,8 @@ def hashed_text_vectors(t):
 
 @query
 def search_hits_with_facilities(t):
-    hits = search.tfidf_search(t.parts, ASKED, 5)
-    rows = search.hit_rows(hits, t.facilities)
+    hits = stored(search.tfidf_search(t.parts, ASKED, 5), "hits")
+    rows = search.hit_rows(hits, flags.enrich(search.mentions_of(t.mentions, hits)))
     return rows.select("question_id", "rank", "score", KEY, "name", REGION, "facilityTypeId", "num_specialties")
 
 
@@ -488,7 +488,7 @@ def filtered_search(t):
 
 @query
 def question_retrieval_contexts(t):
-    hits = search.tfidf_search(t.parts, ASKED, 5)
+    hits = stored(search.tfidf_search(t.parts, ASKED, 5), "hits")
     records = merge.merge_by_key(search.mentions_of(t.mentions, hits))
     return search.question_contexts(search.hit_rows(hits, records))
 
@@ -726,14 +726,14 @@ def upserted_users(t):
 @query
 def stream_keyed_users(t):
     stream = jobs.read_event_stream(t.spark, t.folder).select("user_id", "ts", "event_id", "event_type", "value")
-    table = jobs.keyed_table(stream, jobs.new_output(t.spark, "users"), "user_id", ["ts", "event_id"])
+    table = jobs.keyed_table(stream, new_path(t.spark, "users"), "user_id", ["ts", "event_id"])
     return table.select("user_id", "event_id", "event_type", "value")
 
 
 @query
 def stream_hourly_activity(t):
     stream = jobs.read_event_stream(t.spark, t.folder)
-    table = jobs.rolling_statistics(stream, jobs.new_output(t.spark, "activity"))
+    table = jobs.rolling_statistics(stream, new_path(t.spark, "activity"))
     return table.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events",
         F.round("value_sum", 4).alias("value_sum"), "value_max",

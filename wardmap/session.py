@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -51,3 +53,28 @@ def work_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="wardmap-")
     spark.sparkContext.setCheckpointDir(scratch)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """Unused folder for an intermediate table or a stream."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back.
+
+    For results that several branches of a query use. They survive lost executors, and
+    the readers get Parquet pruning and true sizes.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def checked_broadcast(df: DataFrame, name: str, max_rows: int = 10_000) -> DataFrame:
+    """The stored table, marked for broadcast only if it has at most ``max_rows`` rows.
+
+    Beyond that it stays a plain table and the join shuffles.
+    """
+    table = stored(df, name)
+    return F.broadcast(table) if table.count() <= max_rows else table

@@ -6,13 +6,10 @@ partition, so a replay after a lost executor or driver leaves the result unchang
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import work_dir
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -56,10 +53,6 @@ def run_available(stream: DataFrame, path: str, mode: str, reduce=None) -> None:
     query.awaitTermination()
 
 
-def new_output(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def hourly_activity(stream: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Events, total and largest value per time window and type, late data up to ``delay``."""
     return (
