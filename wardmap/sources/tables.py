@@ -46,7 +46,7 @@ def read_registry_csv(spark: SparkSession, path: str, schema: T.StructType = REG
     """
     options = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
     header = spark.read.options(**options).csv(path).columns
-    present = [c for c in schema.names if c in header]
+    present = [c for c in header if c in schema.names]
     as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
     return spark.read.schema(as_text).options(**options).csv(path).select(*[F.col(f"`{c}`") for c in present])
 

@@ -53,23 +53,29 @@ def run_available(stream: DataFrame, path: str, mode: str, reduce=None) -> None:
     query.awaitTermination()
 
 
-def hourly_activity(stream: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Events, total and largest value per time window and type, late data up to ``delay``."""
+def hourly_activity(stream: DataFrame, delay: str | None = None, width: str = "1 hour") -> DataFrame:
+    """Events, total and largest value per time window and type.
+
+    Without ``delay`` no row is ever too late, and the state keeps one small entry per
+    window and type. With it, rows later than that behind the newest event are dropped
+    and closed windows leave the state: for endless feeds that arrive in order.
+    """
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    if delay is not None:
+        timed = timed.withWatermark("ts", delay)
     return (
-        stream.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"), "event_type")
+        timed.groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count("*").alias("events"), F.sum("value").alias("value_sum"), F.max("value").alias("value_max"))
         .select(F.col("w.start").alias("window_start"), "event_type", "events", "value_sum", "value_max")
     )
 
 
-def rolling_statistics(stream: DataFrame, path: str) -> DataFrame:
+def rolling_statistics(stream: DataFrame, path: str, delay: str | None = None) -> DataFrame:
     """Run the windowed statistics over the available data and return the current table.
 
     Update mode emits a window whenever it changes; the newest batch of a window holds.
     """
-    run_available(hourly_activity(stream), path, "update")
+    run_available(hourly_activity(stream, delay), path, "update")
     spark = stream.sparkSession
     written = spark.read.parquet(f"{path}/data")
     newest = F.max_by(F.struct("events", "value_sum", "value_max"), "batch_id")
