@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import shown
 from ..sources.tables import KEY
-from .routing import classify_intent, expected_intent
+from .routing import expected_intent, with_intent
 
 REGION = "address_stateOrRegion"
 
@@ -61,10 +61,9 @@ def step_latency(log: DataFrame) -> DataFrame:
 
 def evaluated(log: DataFrame) -> DataFrame:
     """Routed questions with the outcome against the expected route."""
-    actual = classify_intent(F.col("question"))
-    return log.select(
-        "event_id", "question_id", "question_category", "expected_route", actual.alias("actual_intent"),
-        (actual == expected_intent(F.col("expected_route"))).alias("correct_route"),
+    return with_intent(log, name="actual_intent").select(
+        "event_id", "question_id", "question_category", "expected_route", "actual_intent",
+        (F.col("actual_intent") == expected_intent(F.col("expected_route"))).alias("correct_route"),
         F.length("answer").cast("bigint").alias("answer_length"), "total_ms",
     )
 

@@ -127,12 +127,14 @@ def service_bundles(claims: DataFrame, min_support: float, key: str = KEY) -> Da
     are at most (mean claims per facility / ``min_support``) of those.
     """
     services = claims.where(F.col("field").isin("procedure", "equipment")).select(key, "item").distinct()
+    services = stored(services, "services")
     facilities = services.agg(F.countDistinct(key)).first()[0]
     at_least = max(1, math.ceil(round(min_support * facilities, 9)))
     frequent = services.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
     baskets = (
         services.join(frequent, "item", "left_semi").groupBy(key).agg(F.collect_list("item").alias("items"))
     )
+    baskets = stored(baskets, "baskets")
     kept = max(1, baskets.count())
     # Facilities without a frequent item are gone, so the ratio is restated for those kept.
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (at_least - 0.5) / kept)).fit(baskets)

@@ -13,7 +13,7 @@ from ..functions.values import blank_to_null
 from ..session import checked_broadcast, stored
 from ..sources.dimensions import CRITICAL_SPECIALTIES
 from ..sources.tables import KEY
-from .flags import any_flag
+from .flags import FLAGS, any_flag
 
 REGION = "address_stateOrRegion"
 
@@ -40,25 +40,46 @@ def specialty_coverage(f: DataFrame) -> DataFrame:
     )
 
 
-def regional_analysis(f: DataFrame) -> DataFrame:
-    """Nine aggregates per region and the linear underservice score (unbounded below)."""
-    base = f.groupBy(REGION).agg(
-        F.count("*").alias("facility_count"),
-        _total("numberDoctors").alias("total_doctors"),
-        _total("capacity").alias("total_beds"),
-        F.count_if(F.col("facilityTypeId") == "hospital").alias("hospital_count"),
-        F.count_if("claims_surgery").alias("has_surgery"),
-        F.count_if("claims_emergency").alias("has_emergency"),
-        F.count_if("claims_obstetrics").alias("has_obstetrics"),
-        F.count_if("claims_pediatrics").alias("has_pediatrics"),
-        F.count_if("flag_sparse_record").alias("sparse_records"),
-    )
+def _measures() -> dict[str, Column]:
+    """What one facility adds to its region's totals."""
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return {
+        "facility_count": F.lit(1),
+        "total_doctors": F.coalesce("numberDoctors", F.lit(0)),
+        "total_beds": F.coalesce("capacity", F.lit(0)),
+        "hospital_count": one(F.col("facilityTypeId") == "hospital"),
+        "has_surgery": one(F.col("claims_surgery")),
+        "has_emergency": one(F.col("claims_emergency")),
+        "has_obstetrics": one(F.col("claims_obstetrics")),
+        "has_pediatrics": one(F.col("claims_pediatrics")),
+        "sparse_records": one(F.col("flag_sparse_record")),
+    }
+
+
+def _with_linear_score(totals: DataFrame) -> DataFrame:
     # Weights of the linear score.
-    score = (
+    return totals.withColumn(
+        "desert_score",
         F.lit(100) - 2 * F.col("facility_count") - F.col("total_doctors")
-        - 10 * F.col("has_surgery") - 10 * F.col("has_emergency") - 5 * F.col("has_obstetrics")
+        - 10 * F.col("has_surgery") - 10 * F.col("has_emergency") - 5 * F.col("has_obstetrics"),
     )
-    return base.withColumn("desert_score", score)
+
+
+def regional_analysis(f: DataFrame) -> DataFrame:
+    """Nine aggregates per region and the linear underservice score (unbounded below)."""
+    return _with_linear_score(f.groupBy(REGION).agg(*[F.sum(c).alias(name) for name, c in _measures().items()]))
+
+
+def region_type_counts(f: DataFrame) -> DataFrame:
+    """The regional aggregates and the flag counts per region and facility type."""
+    flags = [F.count_if(c).alias(c) for c in FLAGS]
+    return f.groupBy(REGION, "facilityTypeId").agg(
+        *[F.sum(c).alias(name) for name, c in _measures().items()], *flags)
+
+
+def regions_from_counts(counts: DataFrame) -> DataFrame:
+    """The regional analysis from counts per region and type."""
+    return _with_linear_score(counts.groupBy(REGION).agg(*[F.sum(c).alias(c) for c in _measures()]))
 
 
 def weighted_regions(f: DataFrame, drop_null_region: bool = True) -> DataFrame:

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import tokens
 from ..functions.values import flag_label, labelled, shown, yes_no
 from ..session import checked_broadcast, stored
 from ..sources.dimensions import (
@@ -16,25 +15,32 @@ from ..sources.dimensions import (
 )
 from ..sources.tables import KEY
 from .flags import FLAGS, any_flag
+from .regions import region_type_counts, regions_from_counts
 from .search import specialty_keyword_counts
 
 REGION = "address_stateOrRegion"
 
 
-def keyword_hits(text: Column, words: list[str]) -> Column:
-    """Number of the words that occur in a text."""
-    lowered = F.lower(text)
+def keyword_hits(lowered: Column, words: list[str]) -> Column:
+    """Number of the words that occur in a lower-case text."""
     return reduce(lambda a, b: a + b, [F.when(F.contains(lowered, F.lit(w)), 1).otherwise(0) for w in words])
 
 
-def classify_intent(question: Column) -> Column:
-    """Intent with most keyword hits; ties go to the list named first, no hit to SEMANTIC."""
-    scores = {label: keyword_hits(question, words) for label, words in INTENT_KEYWORDS.items()}
+def with_intent(log: DataFrame, question: str = "question", name: str = "intent") -> DataFrame:
+    """Add the intent with most keyword hits.
+
+    Ties go to the list named first, no hit at all to SEMANTIC. Text and scores are
+    columns of their own, so that each is computed once per row.
+    """
+    scored = log.withColumn("_lowered", F.lower(question)).withColumns(
+        {f"_{label}": keyword_hits(F.col("_lowered"), words) for label, words in INTENT_KEYWORDS.items()}
+    )
+    scores = {label: F.col(f"_{label}") for label in INTENT_KEYWORDS}
     best = F.greatest(*scores.values())
-    result = F.when(best == 0, "SEMANTIC")
+    intent = F.when(best == 0, "SEMANTIC")
     for label, score in scores.items():
-        result = result.when(score == best, label)
-    return result
+        intent = intent.when(score == best, label)
+    return scored.withColumn(name, intent).drop("_lowered", *[f"_{label}" for label in scores])
 
 
 def repair_label(reply: Column, labels: list[str] | None = None, default: str = "SEMANTIC") -> Column:
@@ -59,7 +65,7 @@ def expected_intent(route: Column) -> Column:
 
 
 def intent_counts(log: DataFrame) -> DataFrame:
-    return log.groupBy(classify_intent(F.col("question")).alias("intent")).agg(F.count("*").alias("questions"))
+    return with_intent(log).groupBy("intent").agg(F.count("*").alias("questions"))
 
 
 # ---------------------------------------------------------------- guarded SQL
@@ -110,31 +116,27 @@ def guarded_select(spark: SparkSession, sql: str, limit: int = 50, args: dict |
 
 # ---------------------------------------------------------------- mentions in questions
 
-def word_runs(words: Column, longest: int) -> Column:
-    """Distinct runs of one to ``longest`` neighbouring words.
-
-    ``words`` should be a plain column: it is referred to once per run.
-    """
-
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        none = F.array().cast("array<int>")
-        return F.transform(starts.otherwise(none), lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
+def _words(c: Column) -> Column:
+    """The words of a text, a blank around each."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def mentioned_regions(log: DataFrame, regions: DataFrame, id_column: str = "event_id", longest: int = 4) -> DataFrame:
+def mentioned_regions(log: DataFrame, regions: DataFrame, id_column: str = "event_id") -> DataFrame:
     """The longest region name that occurs in each question, as whole words.
 
-    The question's word runs are joined by equality with the region names, so neither
-    side is compared with all of the other.
+    Questions meet the names by equality of a word with the first word of a name; only
+    such pairs are searched for the whole name. The distinct names are written once and
+    broadcast if they are few.
     """
     names = regions.select(F.col(REGION).alias("region")).where(F.col("region").isNotNull()).distinct()
-    names = checked_broadcast(names.withColumn("run", F.array_join(tokens(F.col("region")), " ")), "region-names")
-    words = log.select(id_column, tokens(F.col("question")).alias("words"))
-    runs = words.select(id_column, F.explode(word_runs(F.col("words"), longest)).alias("run"))
-    return runs.join(names, "run").groupBy(id_column).agg(
+    names = names.withColumn("name_words", _words(F.col("region")))
+    names = checked_broadcast(
+        names.withColumn("word", F.split_part("name_words", F.lit(" "), F.lit(2))), "region-names")
+    asked = log.select(id_column, _words(F.col("question")).alias("question_words"))
+    asked = asked.select("*", F.explode(F.array_distinct(F.split("question_words", " "))).alias("word"))
+    named = asked.where(F.col("word") != "").join(names, "word").where(
+        F.contains(F.col("question_words"), F.col("name_words")))
+    return named.groupBy(id_column).agg(
         F.max(F.struct(F.length("region").alias("n"), "region"))["region"].alias("region")
     )
 
@@ -234,17 +236,15 @@ def _joined(rows: DataFrame, order: list[Column], line: Column) -> DataFrame:
     return rows.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
-def context_texts(f: DataFrame, regions: DataFrame, claims: DataFrame) -> DataFrame:
+def context_texts(f: DataFrame, claims: DataFrame) -> DataFrame:
     """Text of every structured context block; a block is a short aggregate of the tables.
 
-    Facilities are read twice: for the regional table and for the counts per type, both
-    written once and folded further from there.
+    Facilities are folded once to counts per region and type, which are written; every
+    block folds those further.
     """
-    regions = stored(regions, "context-regions")
-    per_type = stored(
-        f.groupBy("facilityTypeId").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in FLAGS]),
-        "context-types",
-    )
+    rollup = stored(region_type_counts(f), "region-types")
+    regions = regions_from_counts(rollup)
+    per_type = rollup.groupBy("facilityTypeId").agg(F.sum("facility_count").alias("n"))
     block = lambda name, df: df.select(F.lit(name).alias("block"), "text")
     total = F.concat(F.lit("Total facilities: "), F.sum("n").cast("string"), F.lit("\nBy type: "))
     by_type = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), shown(F.col("facilityTypeId")).alias("t"))))
@@ -255,7 +255,7 @@ def context_texts(f: DataFrame, regions: DataFrame, claims: DataFrame) -> DataFr
         F.concat(F.lit("Region "), shown(F.col(REGION)), F.lit(": "), F.col("facility_count").cast("string"),
                  F.lit(" facilities, "), F.col("total_doctors").cast("string"), F.lit(" doctors")),
     )
-    anomalies = per_type.agg(*[F.sum(c).alias(c) for c in FLAGS]).select(F.concat_ws(
+    anomalies = rollup.agg(*[F.sum(c).alias(c) for c in FLAGS]).select(F.concat_ws(
         "\n", *[F.concat(F.lit("Anomalies - "), flag_label(F.lit(c)), F.lit(": "), F.col(c).cast("string"))
                 for c in FLAGS]).alias("text"))
     worst = regions.orderBy(F.desc("desert_score"), F.asc_nulls_first(REGION)).limit(5)
@@ -276,9 +276,8 @@ def context_texts(f: DataFrame, regions: DataFrame, claims: DataFrame) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
-def triggered_blocks(question: Column) -> Column:
-    """Names of the context blocks a question asks for, in block order."""
-    lowered = F.lower(question)
+def triggered_blocks(lowered: Column) -> Column:
+    """Names of the context blocks a question, given in lower case, asks for, in block order."""
     words = CONTEXT_TRIGGERS | {f"specialty {w}": [w] for w in SPECIALTY_KEYWORDS}
     hit = {b: reduce(lambda x, y: x | y, [F.contains(lowered, F.lit(w)) for w in ws]) for b, ws in words.items()}
     return F.filter(F.array(*[F.when(hit[b], F.lit(b)) for b in BLOCK_ORDER]), F.isnotnull)
@@ -287,14 +286,16 @@ def triggered_blocks(question: Column) -> Column:
 def question_structured_context(log: DataFrame, texts: DataFrame, id_column: str = "event_id") -> DataFrame:
     """Structured context of every question, blocks in fixed order.
 
-    The block texts are written once, one row per block name.
+    The block texts, one row per block name, become one map value (a scalar subquery), so
+    the questions are neither joined nor shuffled.
     """
-    texts = checked_broadcast(texts, "context-blocks", len(BLOCK_ORDER))
-    asked = log.select(id_column, F.posexplode_outer(triggered_blocks(F.col("question"))).alias("pos", "block"))
-    found = asked.join(texts, "block", "left")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text"))))
-    return found.groupBy(id_column).agg(ordered.alias("b")).select(
-        id_column, F.size("b").cast("bigint").alias("blocks"),
-        F.when(F.size("b") > 0, F.array_join(F.transform("b", lambda x: x["text"]), "\n"))
+    lookup = texts.agg(F.map_from_entries(F.collect_list(F.struct("block", "text")))).scalar()
+    lowered = log.select(id_column, F.lower("question").alias("lowered"))
+    asked = lowered.select(id_column, triggered_blocks(F.col("lowered")).alias("asked")).withColumn("texts", lookup)
+    found = asked.select(id_column, F.array_compact(
+        F.transform("asked", lambda b: F.try_element_at(F.col("texts"), b))).alias("found"))
+    return found.select(
+        id_column, F.size("found").cast("bigint").alias("blocks"),
+        F.when(F.size("found") > 0, F.array_join("found", "\n"))
         .otherwise("No structured data pulled.").alias("context"),
     )

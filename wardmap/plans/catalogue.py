@@ -312,7 +312,8 @@ def top_facilities_per_region(t):
 
 @query
 def facilities_with_region_scores(t):
-    scored = regions.with_region_scores(t.facilities, t.weighted)
+    facilities = t.enriched_table
+    scored = regions.with_region_scores(facilities, regions.weighted_regions(facilities))
     return scored.select(KEY, "name", REGION, "desert_score", "facility_count")
 
 
@@ -358,7 +359,8 @@ def procedure_supply_bands(t):
 
 @query
 def ngo_gap_regions(t):
-    return regions.ngo_gaps(t.facilities, t.weighted).select(REGION, "facility_count", "desert_score")
+    facilities = t.enriched_table
+    return regions.ngo_gaps(facilities, regions.weighted_regions(facilities)).select(REGION, "facility_count", "desert_score")
 
 
 @query
@@ -403,9 +405,10 @@ def hospitals_with_cardiology(t):
 
 @query
 def action_plan_inputs(t):
-    areas = regions.critical_regions(t.weighted).select(
+    facilities = t.enriched_table
+    areas = regions.critical_regions(regions.weighted_regions(facilities)).select(
         F.lit("region").alias("kind"), F.col(REGION).alias("subject"), F.col("desert_score").alias("weight"))
-    sites = regions.prioritised(t.facilities.where(flags.any_flag()), 10).select(
+    sites = regions.prioritised(facilities.where(flags.any_flag()), 10).select(
         F.lit("facility").alias("kind"), F.col("name").alias("subject"), F.col("source_count").cast("double").alias("weight"))
     return areas.unionByName(sites)
 
@@ -597,7 +600,7 @@ def scrubbed_documents(t):
 
 @query
 def intent_keywords(t):
-    return t.log.select("event_id", "question", routing.classify_intent(F.col("question")).alias("intent"))
+    return routing.with_intent(t.log.select("event_id", "question"))
 
 
 @query
@@ -652,12 +655,12 @@ def region_lines(t):
 
 @query
 def structured_context_blocks(t):
-    return routing.context_texts(t.facilities, t.regions, t.claims_of("specialties"))
+    return routing.context_texts(t.facilities, t.claims_of("specialties"))
 
 
 @query
 def question_structured_context(t):
-    texts = routing.context_texts(t.facilities, t.regions, t.claims_of("specialties"))
+    texts = routing.context_texts(t.facilities, t.claims_of("specialties"))
     return routing.question_structured_context(t.log, texts)
 
 

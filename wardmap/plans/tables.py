@@ -7,8 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import flags, geo, merge, regions, search
+from ..session import stored
 from ..sources import mentions as derived
-from ..sources.tables import KEY, LIST_FIELDS, SINGLE_FIELDS, read_table
+from ..sources.tables import read_table
 
 SNAPSHOT_CUT = "1998-07-01"
 
@@ -38,6 +39,12 @@ class Registry:
     def facilities(self) -> DataFrame:
         return flags.enrich(self.mentions)
 
+    @cached_property
+    def enriched_table(self) -> DataFrame:
+        """Enriched facilities without their long texts, written once: for queries that
+        read them more than once."""
+        return stored(self.facilities.drop("description", "missionStatement", "mongo_DB"), "facilities")
+
     @cached_property
     def singles(self) -> DataFrame:
         return merge.merge_singles(self.mentions)
@@ -72,5 +79,3 @@ class Registry:
         fields = ["name", "facilityTypeId", "address_city", "address_stateOrRegion", "description", "email"]
         return merge.merge_singles(rows, fields=fields)
 
-
-__all__ = ["KEY", "LIST_FIELDS", "SINGLE_FIELDS", "Registry", "SNAPSHOT_CUT"]
