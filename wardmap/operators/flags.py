@@ -40,12 +40,15 @@ FLAGS = [
 ]
 
 
-def claim_signals(claims: DataFrame, key: str = KEY) -> DataFrame:
+def claim_signals(claims: DataFrame, key: str = KEY, fields: list[str] | None = None) -> DataFrame:
     """Fixed-size summary of a facility's distinct claims: item counts and yes/no signals."""
-    counts = [F.count_if(F.col("field") == field).cast("int").alias(c) for c, field in COUNT_COLUMNS.items()]
+    fields = fields or SIGNAL_FIELDS
+    counts = [
+        F.count_if(F.col("field") == field).cast("int").alias(c) for c, field in COUNT_COLUMNS.items() if field in fields
+    ]
     signals = [
         F.max((F.col("field") == field) & F.lower("item").rlike(pattern)).alias(c)
-        for c, (field, pattern) in SIGNALS.items()
+        for c, (field, pattern) in SIGNALS.items() if field in fields
     ]
     return claims.groupBy(key).agg(*counts, *signals)
 
@@ -68,19 +71,31 @@ def with_flags(facilities: DataFrame) -> DataFrame:
     return facilities.withColumns({name: is_true(rule) for name, rule in zip(FLAGS, rules)})
 
 
-def enrich(mentions: DataFrame, key: str = KEY) -> DataFrame:
-    """Merged single values with item counts, claim signals and flags.
-
-    Both sides of the join are aggregated to one row per facility, so it cannot skew, and
-    both arrive partitioned by the key.
-    """
+def typed_singles(mentions: DataFrame, key: str = KEY) -> DataFrame:
+    """Merged single values with the numeric ones as integers."""
     singles = merge_singles(mentions, key)
     numbers = [c for c in ("yearEstablished", "area", "numberDoctors", "capacity") if c in singles.columns]
-    singles = singles.withColumns({c: to_int(F.col(c)) for c in numbers})
-    signals = claim_signals(distinct_claims(mentions, SIGNAL_FIELDS, key), key)
+    return singles.withColumns({c: to_int(F.col(c)) for c in numbers})
+
+
+def with_signals(mentions: DataFrame, fields: list[str] | None = None, key: str = KEY) -> DataFrame:
+    """Merged single values with the counts and signals of the given list fields.
+
+    Lists not asked for are neither read nor parsed. Both sides of the join are aggregated
+    to one row per facility, so it cannot skew, and both arrive partitioned by the key.
+    """
+    fields = fields or SIGNAL_FIELDS
+    singles = typed_singles(mentions, key)
+    signals = claim_signals(distinct_claims(mentions, fields, key), key, fields)
     joined = singles.join(signals, key, "left")
-    known = {c: F.coalesce(c, F.lit(0)) for c in COUNT_COLUMNS} | {c: is_true(F.col(c)) for c in SIGNALS}
-    return with_flags(joined.withColumns(known))
+    known = {c: F.coalesce(c, F.lit(0)) for c in COUNT_COLUMNS if c in signals.columns}
+    known |= {c: is_true(F.col(c)) for c in SIGNALS if c in signals.columns}
+    return joined.withColumns(known)
+
+
+def enrich(mentions: DataFrame, key: str = KEY) -> DataFrame:
+    """Merged single values with item counts, claim signals and flags."""
+    return with_flags(with_signals(mentions, SIGNAL_FIELDS, key))
 
 
 def any_flag(columns: list[str] | None = None) -> Column:

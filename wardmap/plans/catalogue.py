@@ -139,12 +139,12 @@ def flagged_hospitals_in_region(t):
 
 @query
 def anomaly_unrealistic_procedures(t):
-    return flags.unrealistic_procedures(t.facilities)
+    return flags.unrealistic_procedures(t.signalled("specialties", "procedure", "equipment"))
 
 
 @query
 def anomaly_mismatched_capabilities(t):
-    rows = flags.mismatched_capabilities(t.facilities)
+    rows = flags.mismatched_capabilities(t.signalled("specialties", "equipment"))
     return flags.with_specialty_list(rows, t.mentions).withColumn("specialties", joined("specialties"))
 
 
@@ -167,17 +167,17 @@ def anomaly_too_many_specialties(t):
 
 @query
 def anomaly_correlated_features(t):
-    return flags.correlated_features(t.facilities)
+    return flags.correlated_features(t.signalled("specialties", "procedure", "equipment"))
 
 
 @query
 def anomaly_single_facility_dependency(t):
-    return flags.single_facility_dependency(t.facilities)
+    return flags.single_facility_dependency(t.signalled("specialties"))
 
 
 @query
 def anomaly_breadth_outliers(t):
-    rows = flags.breadth_outliers(t.facilities)
+    rows = flags.breadth_outliers(t.signalled("procedure", "equipment"))
     return rows.withColumns({"ratio": F.round("ratio", 6), "z_score": F.round("z_score", 6)})
 
 
@@ -205,7 +205,7 @@ def credibility(t):
 
 @query
 def type_profile(t):
-    return profile.type_profile(t.facilities)
+    return profile.type_profile(t.numbers)
 
 
 @query
@@ -230,12 +230,12 @@ def key_figures(t):
 
 @query
 def feature_correlation(t):
-    return profile.feature_correlation(t.facilities)
+    return profile.feature_correlation(t.signalled("specialties", "procedure", "equipment"))
 
 
 @query
 def contact_quality_correlation(t):
-    return profile.contact_quality(t.facilities)
+    return profile.contact_quality(t.signalled("procedure", "equipment", "capability"))
 
 
 @query
@@ -252,12 +252,12 @@ def service_bundles(t):
 
 @query
 def regional_stats(t):
-    return regions.regional_stats(t.facilities)
+    return regions.regional_stats(t.numbers)
 
 
 @query
 def specialty_coverage(t):
-    return regions.specialty_coverage(t.facilities)
+    return regions.specialty_coverage(t.signalled("specialties"))
 
 
 @query
@@ -297,7 +297,7 @@ def critical_regions(t):
 
 @query
 def region_with_most_hospitals(t):
-    return regions.region_with_most(t.facilities)
+    return regions.region_with_most(t.numbers)
 
 
 @query
@@ -307,7 +307,7 @@ def prioritised_facilities(t):
 
 @query
 def top_facilities_per_region(t):
-    return regions.top_per_region(t.facilities)
+    return regions.top_per_region(t.numbers)
 
 
 @query
@@ -319,12 +319,12 @@ def facilities_with_region_scores(t):
 
 @query
 def resource_concentration(t):
-    return regions.concentration(t.facilities)
+    return regions.concentration(t.numbers)
 
 
 @query
 def region_problem_type(t):
-    return regions.problem_type(t.facilities)
+    return regions.problem_type(t.signalled("equipment"))
 
 
 @query
@@ -388,12 +388,12 @@ def resources_per_head(t):
 
 @query
 def surgery_workforce(t):
-    return regions.workforce(t.facilities)
+    return regions.workforce(t.signalled("specialties"))
 
 
 @query
 def specialists_unclear_location(t):
-    return regions.unclear_location(t.facilities)
+    return regions.unclear_location(t.signalled("specialties"))
 
 
 @query
@@ -422,24 +422,24 @@ def region_coordinates(t):
 
 @query
 def facility_positions(t):
-    return t.located.select(KEY, "known_region", "lat", "lon")
+    return t.located().select(KEY, "known_region", "lat", "lon")
 
 
 @query
 def facilities_within_km(t):
-    surgical = t.located.where(F.col("claims_surgery")).select(KEY, "name", "lat", "lon")
+    surgical = t.located("specialties").where(F.col("claims_surgery")).select(KEY, "name", "lat", "lon")
     return geo.within_km(surgical, PLACES, 60.0).select(KEY, "place", F.round("km", 6).alias("km"))
 
 
 @query
 def hospitals_near_places(t):
-    hospitals = t.located.where((F.col("facilityTypeId") == "hospital") & F.col("claims_surgery"))
+    hospitals = t.located("specialties").where((F.col("facilityTypeId") == "hospital") & F.col("claims_surgery"))
     return geo.count_within_km(hospitals.select(KEY, "lat", "lon"), PLACES, 100.0)
 
 
 @query
 def emergency_cold_spots(t):
-    offering = t.located.where(F.col("offers_emergency")).select(KEY, "lat", "lon")
+    offering = t.located("capability").where(F.col("offers_emergency")).select(KEY, "lat", "lon")
     return geo.cold_spots(offering, PLACES, 40.0)
 
 

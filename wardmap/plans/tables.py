@@ -39,6 +39,15 @@ class Registry:
     def facilities(self) -> DataFrame:
         return flags.enrich(self.mentions)
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """Facilities with typed single values; no list is read."""
+        return flags.typed_singles(self.mentions)
+
+    def signalled(self, *fields: str) -> DataFrame:
+        """Facilities with the counts and signals of the named lists only, without flags."""
+        return flags.with_signals(self.mentions, list(fields))
+
     @cached_property
     def enriched_table(self) -> DataFrame:
         """Enriched facilities without their long texts, written once: for queries that
@@ -55,11 +64,10 @@ class Registry:
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return regions.weighted_regions(self.facilities)
+        return regions.weighted_regions(self.signalled("specialties", "procedure", "capability"))
 
-    @cached_property
-    def located(self) -> DataFrame:
-        return geo.located(self.facilities)
+    def located(self, *fields: str) -> DataFrame:
+        return geo.located(self.signalled(*fields) if fields else self.numbers)
 
     @cached_property
     def parts(self) -> DataFrame:

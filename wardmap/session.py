@@ -45,11 +45,13 @@ def work_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables and stream checkpoints.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, local runs) a scratch folder is made and registered.
+    unset, in a local run, a scratch folder is made and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     scratch = tempfile.mkdtemp(prefix="wardmap-")
     spark.sparkContext.setCheckpointDir(scratch)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
