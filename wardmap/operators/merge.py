@@ -27,13 +27,11 @@ def merge_singles(
     Null words do not count as values. Fields absent from the input are left out and
     column names lose blanks and dots. ``source_count`` counts the mentions.
     """
-    fields = [f for f in (fields or SINGLE_FIELDS) if f in mentions.columns]
-    merged = []
-    for field in fields:
-        value = blank_to_null(F.col(f"`{field}`"))
-        first = F.min(F.when(value.isNotNull(), F.struct(F.coalesce(F.col(source), F.lit("")), value.alias("v"))))
-        merged.append(first["v"].alias(safe_name(field)))
-    return mentions.groupBy(key).agg(*merged, F.count("*").alias("source_count"))
+    names = {f: safe_name(f) for f in (fields or SINGLE_FIELDS) if f in mentions.columns}
+    url = F.coalesce(F.col(source), F.lit("")).alias("_url")
+    known = mentions.select(key, url, *[blank_to_null(F.col(f"`{f}`")).alias(name) for f, name in names.items()])
+    merged = [F.min(F.when(F.col(c).isNotNull(), F.struct("_url", c)))[c].alias(c) for c in names.values()]
+    return known.groupBy(key).agg(*merged, F.count("*").alias("source_count"))
 
 
 def exploded_claims(
