@@ -6,10 +6,12 @@ from wardmap.llm.decontaminate import contamination_report
 from wardmap.llm.mixing import mixture_report
 from wardmap.llm.quality import quality_report
 from wardmap.llm.tables import table
+from wardmap.llm.warc import archive_report
 
 QUERIES = {
     "op1_decontaminate": lambda spark, d: contamination_report(
         table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_quality_rules": lambda spark, d: quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix_sources": lambda spark, d: mixture_report(table(spark, d, "documents")),
+    "op8_warc": lambda spark, d: archive_report(table(spark, d, "pages")),
 }

@@ -80,7 +80,30 @@ SELECT doc_id, size, source_size, target,
 FROM numbered
 """
 
+WARC = r"""
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages
+), digests AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, hex,
+         array_to_string(list_transform(range(0, 32), lambda i : substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((((strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 AS INTEGER) + 1, 1)) - 1) * 16
+              + (strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 AS INTEGER) + 2, 1)) - 1))
+             >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest
+  FROM payloads
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY hex ORDER BY page_id DESC NULLS LAST) AS place,
+         first_value(page_id) OVER (PARTITION BY hex ORDER BY page_id DESC NULLS LAST) AS largest
+  FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN largest END AS refers_to
+FROM ranked
+"""
+
 ORACLE = {
     "op1_decontaminate": DECONTAMINATE,
     "op7_mix_sources": MIX,
+    "op8_warc": WARC,
 }
