@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wardmap.llm.decontaminate import contamination_report
+from wardmap.llm.extraction import extracted
 from wardmap.llm.mixing import mixture_report
 from wardmap.llm.quality import quality_report
 from wardmap.llm.tables import table
@@ -13,5 +14,6 @@ QUERIES = {
         table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_quality_rules": lambda spark, d: quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix_sources": lambda spark, d: mixture_report(table(spark, d, "documents")),
+    "op10_html_text": lambda spark, d: extracted(table(spark, d, "pages")),
     "op8_warc": lambda spark, d: archive_report(table(spark, d, "pages")),
 }
