@@ -78,6 +78,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def drawn(sized: DataFrame, seed: int = SEED, **targets) -> DataFrame:
     """Add ``__source_size``, ``__target`` and ``__copies`` to rows with ``__id``, ``__source`` and ``__size``."""
+    sized = stored(sized, "sizes")
     sources = source_targets(sized, **targets)
     other = sources.withColumnRenamed("__source", "__of")
     rows = sized.join(other, sized["__source"].eqNullSafe(other["__of"])).drop("__of")
