@@ -6,10 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardmap.llm.decontaminate import without_contaminated
 from wardmap.llm.mixing import mixed
+from wardmap.llm.near_copies import without_near_copies
+from wardmap.llm.packing import packed
+from wardmap.llm.quality import good_documents
 from wardmap.llm.tables import table
 from wardmap.session import stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the rules or that the classifier rejects."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+#: Similarity of near copies in the pipeline: five words, 0.8 or more.
+NEAR = {"shingle": 5, "similarity": (80, 100)}
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return without_near_copies(docs, **NEAR)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that share a window of ten words with a benchmark item."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -20,7 +37,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs)
 
 
-STAGES = [("decontaminate", decontaminate), ("mix_sources", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, packed into rows."""
+    return packed(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("decontaminate", decontaminate),
+          ("mix_sources", mix_sources), ("pack", pack)]
+#: Trained verdicts and packing have no SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 

@@ -6,6 +6,7 @@ from wardmap.llm.decontaminate import contamination_report
 from wardmap.llm.extraction import extracted
 from wardmap.llm.mixing import mixture_report
 from wardmap.llm.near_copies import near_copy_report
+from wardmap.llm.packing import packed
 from wardmap.llm.quality import quality_report
 from wardmap.llm.tables import table
 from wardmap.llm.warc import archive_report
@@ -13,6 +14,7 @@ from wardmap.llm.warc import archive_report
 QUERIES = {
     "op1_decontaminate": lambda spark, d: contamination_report(
         table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op3_pack_tokens": lambda spark, d: packed(table(spark, d, "documents")),
     "op4_quality_rules": lambda spark, d: quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_jaccard_join": lambda spark, d: near_copy_report(table(spark, d, "documents")),
     "op7_mix_sources": lambda spark, d: mixture_report(table(spark, d, "documents")),
