@@ -8,6 +8,7 @@ from wardmap.llm.mixing import mixture_report
 from wardmap.llm.near_copies import near_copy_report
 from wardmap.llm.packing import packed
 from wardmap.llm.quality import quality_report
+from wardmap.llm.surrogates import pseudonymised
 from wardmap.llm.tables import table
 from wardmap.llm.warc import archive_report
 
@@ -16,6 +17,7 @@ QUERIES = {
         table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_pack_tokens": lambda spark, d: packed(table(spark, d, "documents")),
     "op4_quality_rules": lambda spark, d: quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_surrogates": lambda spark, d: pseudonymised(table(spark, d, "documents")),
     "op6_jaccard_join": lambda spark, d: near_copy_report(table(spark, d, "documents")),
     "op7_mix_sources": lambda spark, d: mixture_report(table(spark, d, "documents")),
     "op10_html_text": lambda spark, d: extracted(table(spark, d, "pages")),
