@@ -8,6 +8,7 @@ from wardmap.llm.mixing import mixture_report
 from wardmap.llm.near_copies import near_copy_report
 from wardmap.llm.packing import packed
 from wardmap.llm.quality import quality_report
+from wardmap.llm.quotations import conversations
 from wardmap.llm.surrogates import pseudonymised
 from wardmap.llm.tables import table
 from wardmap.llm.warc import archive_report
@@ -22,4 +23,5 @@ QUERIES = {
     "op7_mix_sources": lambda spark, d: mixture_report(table(spark, d, "documents")),
     "op10_html_text": lambda spark, d: extracted(table(spark, d, "pages")),
     "op8_warc": lambda spark, d: archive_report(table(spark, d, "pages")),
+    "op9_quotations": lambda spark, d: conversations(table(spark, d, "conversations")),
 }
