@@ -144,7 +144,9 @@ def write_archives(
                     F.lpad(F.col("row").cast("string"), 20, "0"))
     first = rows.where(F.col("bytes") >= least).groupBy("signature").agg(
         F.max_by(F.struct("page", "row"), rank).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    linked = rows.join(first.drop("copies"), "signature", "left")
+    # Written, so that Spark knows its size and need not move the payloads where few pages have copies.
+    first = stored(first.drop("copies"), "copied")
+    linked = rows.join(first, "signature", "left")
 
     def build(batches):
         for batch in batches:
