@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wardmap.llm.decontaminate import contamination_report
 from wardmap.llm.extraction import extracted
+from wardmap.llm.licences import licence_scan
 from wardmap.llm.mixing import mixture_report
 from wardmap.llm.near_copies import near_copy_report
 from wardmap.llm.packing import packed
@@ -16,6 +17,7 @@ from wardmap.llm.warc import archive_report
 QUERIES = {
     "op1_decontaminate": lambda spark, d: contamination_report(
         table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op2_licences": lambda spark, d: licence_scan(table(spark, d, "documents")),
     "op3_pack_tokens": lambda spark, d: packed(table(spark, d, "documents")),
     "op4_quality_rules": lambda spark, d: quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_surrogates": lambda spark, d: pseudonymised(table(spark, d, "documents")),
