@@ -28,7 +28,8 @@ PRIOR = 50
 OUTSIDE = 0.9
 #: Least pages that a learned share rests on.
 EVIDENCE = 5
-TAG, BOUNDARY = 0.001, 5.0
+#: What tags cost, in words.
+TAG, BOUNDARY = 0.001, 2.0
 
 # Element names of the HTML standard.
 BLOCKS = frozenset(
@@ -180,7 +181,7 @@ def pieces(page: str, weights: Weights) -> list[tuple[float, str | None, int]]:
     A word of the content scores 1. Words in elements that are not content score 0 and are left out; on pages
     that mark their content, words beside it score -1. Outside marked content, a tag that opens an element which
     is not content costs ``BOUNDARY`` words, and any other up to one, by the share of its name that holds no
-    content on labelled pages. All other tags cost next to nothing.
+    content on labelled pages. All other tags, those in elements that are left out among them, cost next to nothing.
     """
     mark = main_name(page)
     out: list[tuple[float, str | None, int]] = []
@@ -199,7 +200,7 @@ def pieces(page: str, weights: Weights) -> list[tuple[float, str | None, int]]:
         if what.name in BLOCKS:
             block += 1
         cost = TAG
-        if kind == "open" and not in_marked(what):
+        if kind == "open" and not in_marked(what) and (what.parent is None or not left_out(what.parent)):
             cost += BOUNDARY * what.share if what.share >= OUTSIDE else name_share(what.name, weights)
         out.append((-cost, None, block))
     return out
@@ -210,6 +211,15 @@ def name_share(name: str, weights: Weights) -> float:
     return outside / (inside + outside + EVIDENCE)
 
 
+def left_out(element: Element) -> bool:
+    at: Element | None = element
+    while at is not None:
+        if at.share >= OUTSIDE:
+            return True
+        at = at.parent
+    return False
+
+
 def in_marked(element: Element) -> bool:
     at = element.parent
     while at is not None:
