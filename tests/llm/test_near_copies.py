@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wardmap.llm import arrays, signature_tree
-from wardmap.llm.near_copies import near_copy_report, parts_of, size_bands, without_near_copies
+from wardmap.llm.near_copies import near_copy_report, without_near_copies
 
 
 def shingle_set(text, k):
@@ -85,23 +85,6 @@ def test_empty_table(spark):
     assert without_near_copies(docs).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100), (1, 2)]))
-def test_similar_sets_share_a_part(size, seed, similarity):
-    num, den = similarity
-    rng = random.Random(seed)
-    base = [rng.getrandbits(64) for _ in range(size)]
-    change = max(0, (den - num) * size // (den + num))
-    other = base[change:] + [rng.getrandbits(64) for _ in range(rng.randint(0, change))]
-    both = len(set(base) & set(other))
-    if not other or den * both < num * len(set(base) | set(other)) or set(base) == set(other):
-        return
-    edges = size_bands(num, den)
-    row = np.array([0] * len(base) + [1] * len(other))
-    of, part = parts_of(row, np.array(base + other, np.uint64), np.bincount(row), edges, num, den)
-    assert set(part[of == 0].tolist()) & set(part[of == 1].tolist())
-
-
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.integers(2, 200))
 def test_tree_joins_what_pairs_join(seed, n):
