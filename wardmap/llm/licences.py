@@ -78,15 +78,23 @@ OTHERS = ["Licensed under the Example Community License, version 1", "Released u
           "This work is licensed under the terms of its own license agreement",
           "Use of this text is subject to the license terms of the provider", "Distributed under a custom license",
           "The license of this file can be found in the accompanying LICENSE file"]
+#: Other text that is there whatever the corpus holds.
+PLAIN = ["The weather was fine and we went for a walk along the river", "She opened the door and looked at the garden",
+         "Prices rose by two per cent in the first quarter of the year", "This is a text about the history of the town",
+         "Der Zug kam mit Verspätung an und wir gingen zu Fuß nach Hause", "La ville se trouve au bord de la mer",
+         "El libro cuenta la historia de una familia del norte", "In no other part of the work may these words appear"]
 FRAMES = ["", "This text is ", "The file is ", "Note: ", "Dieses Werk: ", "Cette œuvre : ", "Este texto: "]
 #: Units that may be notices are not taken as examples of other text.
 DOUBTFUL = re.compile(r"(?i)licen[cs]e|copyright|copyleft|rights reserved|public domain|released under|spdx|creative")
 
 
 class Model(NamedTuple):
-    """One column of weights for notices, then one for each family; bias, slope and shift of each."""
+    """Weights of notices; those of the families (``families[i]`` for column ``columns[i]``, 0 for others); and
+    bias, slope and shift of notices and of each family."""
 
-    weights: np.ndarray
+    notice: np.ndarray
+    columns: np.ndarray
+    families: np.ndarray
     bias: np.ndarray
     slope: np.ndarray
     shift: np.ndarray
@@ -120,9 +128,9 @@ def words_of(text: str) -> list[str]:
 def examples(other: list[str]) -> tuple[list[str], list[str | None]]:
     """Notices made from the templates with their family, and other text with None."""
     rng = random.Random(SEED)
-    texts: list[str] = list(other)
-    families: list[str | None] = [None] * len(other)
-    around = [w for t in other[:200] for w in t.split()] or ["text"]
+    texts: list[str] = [*other, *PLAIN]
+    families: list[str | None] = [None] * len(texts)
+    around = [w for t in texts[-200:] for w in t.split()]
     for family, notices in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
         for notice in notices:
             words = notice.split()
@@ -143,7 +151,7 @@ def trained(other: list[str]) -> Model:
     texts, families = examples(other)
     x = sparse(texts)
     rng = np.random.default_rng(SEED)
-    held = rng.random(len(texts)) < 0.2
+    held = rng.permutation(len(texts)) % 5 == 0
     notice = np.array([f is not None for f in families])
     parts = []
     for family in [None, *TEMPLATES]:
@@ -154,10 +162,17 @@ def trained(other: list[str]) -> Model:
         z = logistic.margins(x.rows(test), weights, bias)
         slope, shift = logistic.calibrate(z, y[test].astype(np.int64), np.ones(test.sum()))
         parts.append((weights, bias, slope, shift))
-    return Model(np.stack([p[0] for p in parts], axis=1).astype(np.float32),
+    families = np.stack([p[0] for p in parts[1:]], axis=1).astype(np.float32)
+    columns = np.flatnonzero(families.any(axis=1))
+    return Model(parts[0][0].astype(np.float32), columns, families[columns],
                  *[np.array([p[i] for p in parts]) for i in (1, 2, 3)])
 
 
+def family_margins(model: Model, columns: np.ndarray) -> np.ndarray:
+    place = np.minimum(np.searchsorted(model.columns, columns), len(model.columns) - 1)
+    return model.families[place[model.columns[place] == columns]].sum(axis=0) + model.bias[1:]
+
+
 def units_of(texts: arrays.Texts, spans: arrays.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, word after the last) of the units."""
     lines = arrays.find_lines(texts)
@@ -204,7 +219,7 @@ def scan(texts: arrays.Texts, model: Model):
     row, first, last = units_of(texts, spans)
     # No unit scores more than its positive weights, words that come again included; the sums are differences of
     # running ones, and a pair is counted where it begins. What is left is scored by its distinct features.
-    gate = model.weights[:, 0]
+    gate = model.notice
     ones = np.concatenate([[0.0], np.cumsum(np.maximum(gate[one], 0), dtype=np.float64)])
     twos = np.concatenate([[0.0], np.cumsum(np.maximum(gate[two], 0), dtype=np.float64)])
     at = lambda sums, i: sums[np.minimum(i, len(sums) - 1)]
@@ -218,8 +233,7 @@ def scan(texts: arrays.Texts, model: Model):
     previous = (-1, -1, "")
     for i in np.flatnonzero(p >= LEAST_NOTICE):
         columns = np.unique(np.concatenate([one[first[i]:last[i]], two[first[i]:max(first[i], last[i] - 1)]]))
-        own = model.weights[columns, 1:].sum(axis=0) + model.bias[1:]
-        shares = logistic.probabilities(model.slope[1:] * own + model.shift[1:])
+        shares = logistic.probabilities(model.slope[1:] * family_margins(model, columns) + model.shift[1:])
         unit = texts.data[spans.starts[first[i]]:spans.ends[last[i] - 1]].tobytes().decode("utf-8", "replace")
         family = family_of(unit, shares)
         overlaps = previous[0] == row[i] and first[i] < previous[1] and family in (previous[2], UNKNOWN)
@@ -263,8 +277,8 @@ def licence_scan(
 
     ``licences`` lists the distinct families found, sorted and comma-joined, ``unknown`` among them where a
     notice is of none; ``probability`` is the highest of a notice, null without one. A null or blank text has no
-    units. Whole texts are scanned. An empty table gives an empty result; with no other text to learn from, the
-    templates alone decide. Repeated rows give repeated results. Other columns are not read.
+    units. Whole texts are scanned. An empty table gives an empty result; in a corpus without other
+    text a few plain sentences stand for it. Repeated rows give repeated results. Other columns are not read.
     """
     model = trained(other_paragraphs(docs, id_column, text_column, sample))
     sent = docs.sparkSession.sparkContext.broadcast(model)
