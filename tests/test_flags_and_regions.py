@@ -130,3 +130,24 @@ def test_browse(spark):
     ids = lambda df: sorted(r[0] for r in df.collect())
     assert ids(flags.browse_flagged(f)) == [0, 1]
     assert ids(flags.browse_flagged(f, "flag_no_doctors_listed", "S")) == [1]
+
+
+def test_bundles_of_many_shared_items_are_counted_not_mined(spark):
+    claims = spark.createDataFrame(
+        [(f"f{i}", "procedure", f"p{j:02d}", "r1" if i < 30 else None) for i in range(40) for j in range(25)],
+        "pk_unique_id string, field string, item string, region string")
+    pairs = profile.service_bundles(claims, 0.9).collect()
+    assert len(pairs) == 25 * 24 // 2 and {r["facilities"] for r in pairs} == {40}
+    by = profile.service_bundles(claims, 0.9, by="region").collect()
+    assert {(r["region"], r["facilities"]) for r in by} == {("r1", 30), (None, 10)} and len(by) == 2 * len(pairs)
+
+
+def test_rules_for_equipment_and_type_of_problem(spark):
+    claims = spark.createDataFrame(
+        [("a", "procedure", "Cataract surgery"), ("a", "equipment", "Operating theatre"), ("b", "procedure", "MRI of the head"),
+         ("b", "equipment", "mri scanner")], "pk_unique_id string, field string, item string")
+    assert [tuple(r) for r in flags.missing_equipment(claims).collect()] == [("a", "cataract surgery")]
+    f = spark.createDataFrame([("x", 1, 1.0, 10), ("y", 2, 2.0, 0), ("z", 3, 90.0, 5)],
+                              "address_stateOrRegion string, pk_unique_id int, numberDoctors double, num_equipment long")
+    got = {r["address_stateOrRegion"]: r["shortage"] for r in regions.problem_type(f).collect()}
+    assert got == {"x": "practitioners", "y": "equipment", "z": "neither"}

@@ -36,7 +36,10 @@ def test_radius_search_matches_brute_force(spark, km):
     points = [(i, rng.uniform(-58, 58), rng.uniform(-180, 180)) for i in range(400)]
     points += [(1000 + i, 5.6 + rng.uniform(-0.1, 0.1), -0.2 + rng.uniform(-0.1, 0.1)) for i in range(200)]
     points += [(2000 + i, 10.0, rng.choice([179.98, -179.98])) for i in range(5)]
-    places = [("accra", 5.6, -0.2), ("line", 10.0, 179.99), ("north", 55.0, 20.0), ("south", -57.0, -179.9)]
+    points += [(3000 + i, rng.choice([-1, 1]) * rng.uniform(58, 90), rng.uniform(-180, 180)) for i in range(300)]
+    points += [(4000 + i, 75 + rng.uniform(-1, 1), 30 + rng.uniform(-4, 4)) for i in range(100)]
+    places = [("accra", 5.6, -0.2), ("line", 10.0, 179.99), ("north", 55.0, 20.0), ("south", -57.0, -179.9),
+              ("cold", 75.0, 30.0), ("pole", 90.0, 0.0), ("near pole", -89.5, 100.0), ("high", 80.0, -179.0)]
     df = spark.createDataFrame(points, "pk_unique_id int, lat double, lon double")
     got = {(r["pk_unique_id"], r["place"]) for r in geo.within_km(df, places, km).collect()}
     expected = {(i, p) for i, lat, lon in points for p, plat, plon in places if distance(lat, lon, plat, plon) <= km}

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wardmap.operators import changes, flags, merge
+from wardmap.operators import changes, flags, merge, search
 
 SCHEMA = "pk_unique_id string, source_url string, name string, facilityTypeId string, `mongo DB` string, specialties string, procedure string"
 
@@ -78,9 +78,29 @@ def test_long_lists_come_in_pages_and_stay_whole(hot):
     assert small.where("n_pages <> 1 OR page <> 0").count() == 0
 
 
-def test_record_points_to_pages_of_long_lists(hot):
-    record = merge.merge_by_key(hot, page_size=100).where("pk_unique_id = 'hot'").first()
-    assert record["specialties"] is None and record["list_pages"] == 11 and record["source_count"] == 1000
+def test_records_hold_all_items_of_long_lists(hot):
+    records = merge.merge_by_key(hot, page_size=100).where("pk_unique_id = 'hot'").collect()
+    assert {r["list_pages"] for r in records} >= {11} and {r["source_count"] for r in records} == {1000}
+    assert sorted(r["list_page"] for r in records) == list(range(11))
+    assert sorted(i for r in records for i in r["specialties"]) == sorted([f"p{i:04d}" for i in range(0, 3000, 3)] + ["all"])
+    # Lists without an item stay empty beside a long one, and a short list stands on one page only.
+    assert sum(r["procedure"] == [] for r in records) == 10
+    assert [i for r in records for i in r["procedure"]] == ["op"]
+
+
+def test_anomaly_and_context_rows_hold_all_items_of_long_lists(spark, hot):
+    named = spark.createDataFrame([("hot", "n")], "pk_unique_id string, name string")
+    rows = flags.with_specialty_list(named, hot, page_size=100).collect()
+    assert sum(len(r["specialties"]) for r in rows) == 1001 and len(rows) == 11
+    records = merge.merge_by_key(hot, page_size=100)
+    singles = ["address_city", "address_stateOrRegion", "operatorTypeId", "numberDoctors", "capacity", "description"]
+    lists = ["equipment", "capability"]
+    records = records.withColumns({
+        **{c: F.lit(None).cast("string") for c in singles if c not in records.columns},
+        **{c: F.array().cast("array<string>") for c in lists if c not in records.columns}})
+    hits = spark.createDataFrame([("q", 1, "hot")], "question_id string, rank int, pk_unique_id string")
+    found = search.question_contexts(search.hit_rows(hits, records)).first()
+    assert found["hits"] == 1 and all(f"p{i:04d}" in found["context"] for i in range(0, 3000, 3))
 
 
 def test_source_urls_stay_whole(hot):
@@ -114,6 +134,14 @@ def test_snapshot_diff_and_upsert(spark):
     current = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, ver int, v string")
     change = spark.createDataFrame([(2, 3, "d"), (2, 2, "c"), (1, 0, "old")], "k int, ver int, v string")
     assert rows_of(changes.upsert(current, change, "k", ["ver"])) == [(1, 1, "a"), (2, 3, "d")]
-    texts = spark.createDataFrame([(2, "two"), (4, "four")], "pk_unique_id int, search_text string")
-    diff = spark.createDataFrame([(2, "update"), (9, "delete")], "pk_unique_id int, change string")
-    assert rows_of(changes.sync_index(diff, texts)) == [(2, "update", "two"), (9, "delete", None)]
+    schema = "pk_unique_id int, page long, search_text string"
+    before = spark.createDataFrame([(1, 0, "one"), (2, 0, "two"), (2, 1, "more"), (9, 0, "gone")], schema)
+    after = spark.createDataFrame([(1, 0, "one"), (2, 0, "new"), (4, 0, "four")], schema)
+    assert rows_of(changes.sync_index(before, after)) == [
+        (2, 0, "update", "new"), (2, 1, "delete", None), (4, 0, "insert", "four"), (9, 0, "delete", None)]
+
+
+def test_a_value_that_changes_columns_is_a_change(spark):
+    schema = "pk_unique_id int, a string, b string"
+    old, new = (spark.createDataFrame([(1, *v), (2, None, None)], schema) for v in ((None, "x"), ("x", None)))
+    assert rows_of(changes.snapshot_diff(old, new)) == [(1, "update")]

@@ -83,6 +83,14 @@ def test_guarded_select(spark):
     for bad in ("DROP TABLE numbers", "SELECT 1; SELECT 2", "SHOW TABLES", "SELECT 1; delete from numbers"):
         with pytest.raises(ValueError):
             routing.guarded_select(spark, bad)
+    for other in ("SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`", "SELECT * FROM elsewhere",
+                  "WITH a AS (SELECT * FROM elsewhere) SELECT * FROM a",
+                  "SELECT id FROM numbers WHERE id IN (SELECT id FROM other.table)",
+                  "SELECT n.id FROM numbers n JOIN json.`/tmp/x` j ON true", "SELECT * FROM range(5)"):
+        with pytest.raises(ValueError, match="not a registered view"):
+            routing.guarded_select(spark, other)
+    good = "WITH a AS (SELECT id FROM numbers WHERE id < 3), b AS (SELECT * FROM a) SELECT id, (SELECT max(id) FROM numbers) m FROM b"
+    assert routing.guarded_select(spark, good).count() == 3
 
 
 def test_mentioned_region_is_the_longest_whole_name(spark):
@@ -103,6 +111,21 @@ def test_question_set_and_accuracy(spark):
     assert summary["correct"] == evaluated.where("correct_route").count()
     by = {r["category"]: r["total"] for r in evaluation.evaluation_by_category(evaluated).collect()}
     assert by["ALL"] == 15 and sum(n for c, n in by.items() if c != "ALL") == 15
+    nameless = evaluated.withColumn("question_category", F.lit(None).cast("string"))
+    assert sorted(map(repr, (r["category"] for r in evaluation.evaluation_by_category(nameless).collect()))) == ["'ALL'", "None"]
+
+
+def test_traces_of_one_step_and_bounded_median(spark):
+    step = "struct<step: string, output: string, ms: long>"
+    log = spark.createDataFrame(
+        [(1, None, "q", "SQL", [("classify", "x", 5)], "a" * 600, 1234, ["1"]), (2, None, "q", "SQL", [], None, 1, [])],
+        f"event_id int, ts timestamp, question string, expected_route string, steps array<{step}>, answer string, "
+        "total_ms long, source_ids array<string>")
+    rows = {r["event_id"]: r for r in evaluation.trace_rows(log).collect()}
+    assert rows[1]["agent_used"] is None and len(rows[1]["answer_preview"]) == 500 and "timestamp" in rows[1]
+    times = spark.createDataFrame([(i, [], [("s", "o", i)]) for i in range(1, 102)],
+                                  f"event_id int, source_ids array<string>, steps array<{step}>")
+    assert evaluation.step_latency(times).first()["median_ms"] == 51
 
 
 def test_citations_compare_ids_as_text(spark):

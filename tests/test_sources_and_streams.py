@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from wardmap.session import checked_broadcast, new_path, stored, work_dir
+from wardmap.session import new_path, stored, work_dir
 from wardmap.sources import tables
 from wardmap.streaming import jobs
 
@@ -50,11 +50,6 @@ def test_work_folder_is_read_from_the_session(spark):
     assert table.count() == 5 and work_dir(spark).removeprefix("file:") in table.inputFiles()[0]
 
 
-def test_broadcast_only_below_the_limit(spark):
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().toString().lower()
-    assert hinted(checked_broadcast(spark.range(5), "t", 5)) and not hinted(checked_broadcast(spark.range(6), "t", 5))
-
-
 @pytest.fixture()
 def feed(spark, tmp_path):
     """Events in four files, so that the streams run in several batches."""

@@ -26,6 +26,8 @@ def one(spark, expression, **columns):
     ('["say \\"hi\\" ]", "b"]', ['say "hi" ]', "b"]),
     ('["a","a "]', ["a"]),
     ('[{"k": 1}]', ['{"k":1}']),
+    ('[{"k": {"m": [1, {"n": "]"}]}}, "b"]', ['{"k":{"m":[1,{"n":"]"}]}}', "b"]),
+    ('[[1, [2, {"a": "}"}]], "c"]', ['[1,[2,{"a":"}"}]]', "c"]),
     ('[\n "a" ,\n "b"\n]', ["a", "b"]),
 ])
 def test_json_items(spark, raw, expected):

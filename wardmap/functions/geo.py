@@ -29,18 +29,16 @@ def jitter(key: Column, salt: str, spread: float = 0.3) -> Column:
 
 
 class Grid:
-    """Latitude/longitude cells at least ``km`` wide, so that every point within ``km``
-    of a place lies in the place's cell or one of its eight neighbours.
+    """Latitude/longitude cells of about ``km`` at the equator, for finding all points within ``km``.
 
-    Holds up to ``max_abs_lat`` degrees of latitude, and wraps at the date line because
-    the cell width divides 360 degrees.
+    Meridians come together towards the poles, so the cells around a place reach as many columns to either
+    side as its latitude needs, all of them where a pole is within reach. Columns wrap at the date line because
+    their width divides 360 degrees.
     """
 
-    def __init__(self, km: float, max_abs_lat: float = 60.0):
+    def __init__(self, km: float):
         self.lat_step = km / KM_PER_DEGREE
-        self.max_abs_lat = max_abs_lat
-        widest = self.lat_step / math.cos(math.radians(min(max_abs_lat + self.lat_step, 89.0)))
-        self.lon_cells = max(1, math.floor(360.0 / widest))
+        self.lon_cells = max(1, math.floor(360.0 / self.lat_step))
         self.lon_step = 360.0 / self.lon_cells
 
     def row(self, lat: Column) -> Column:
@@ -50,13 +48,16 @@ class Grid:
         return F.pmod(F.floor((lon + 180.0) / self.lon_step).cast("bigint"), F.lit(self.lon_cells).cast("bigint"))
 
     def neighbours(self, lat: Column, lon: Column) -> Column:
-        """Array of the nine ``(cell_row, cell_col)`` around a point, without repeats."""
-        cells = [
-            F.struct(
-                (self.row(lat) + dr).alias("cell_row"),
-                F.pmod(self.col(lon) + dc, F.lit(self.lon_cells).cast("bigint")).alias("cell_col"),
-            )
-            for dr in (-1, 0, 1)
-            for dc in (-1, 0, 1)
-        ]
-        return F.array_distinct(F.array(*cells))
+        """Array of the ``(cell_row, cell_col)`` that can hold points within ``km`` of a point, without repeats."""
+        half = math.radians(self.lat_step)
+        widest = F.sin(F.lit(half)) / F.cos(F.radians(lat))
+        # Beyond the point where the circle touches a meridian; a trifle is added against rounding.
+        reach = F.when(F.abs(lat) + self.lat_step >= 89.999, F.lit(180.0)).otherwise(
+            F.degrees(F.asin(F.least(F.lit(1.0), widest))) + 1e-9)
+        columns = F.least(F.ceil(reach / self.lon_step).cast("bigint"), F.lit(self.lon_cells // 2 + 1).cast("bigint"))
+        wrapped = lambda c: F.pmod(self.col(lon) + c, F.lit(self.lon_cells).cast("bigint"))
+        rows = F.sequence(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint"))
+        cells = F.flatten(F.transform(rows, lambda r: F.transform(
+            F.sequence(-columns, columns),
+            lambda c: F.struct((self.row(lat) + r).alias("cell_row"), wrapped(c).alias("cell_col")))))
+        return F.array_distinct(cells)

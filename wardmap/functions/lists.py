@@ -10,8 +10,13 @@ from .values import NULL_WORDS, strip
 # JSON grammar, possessive throughout so that long texts cannot backtrack.
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 _NUMBER = r"-?[0-9]++(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+# Objects and arrays may hold each other, up to this many levels below an item.
+_DEPTH = 2
 _OBJECT = r'\{(?:[^{}"]++|' + _STRING + r")*+\}"
 _INNER = r'\[(?:[^\[\]"]++|' + _STRING + r")*+\]"
+for _ in range(_DEPTH):
+    _NESTED = r'(?:[^{}\[\]"]++|' + _STRING + "|" + _OBJECT + "|" + _INNER + ")*+"
+    _OBJECT, _INNER = r"\{" + _NESTED + r"\}", r"\[" + _NESTED + r"\]"
 _ITEM = f"(?:{_STRING}|{_NUMBER}|true|false|null|{_OBJECT}|{_INNER})"
 JSON_ARRAY = rf"^\s*+\[\s*+(?:{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+)?+\]\s*+$"
 JSON_STRING = rf"^\s*+{_STRING}\s*+$"

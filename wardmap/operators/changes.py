@@ -9,8 +9,8 @@ from ..sources.tables import KEY
 
 
 def row_hash(df: DataFrame, key: str = KEY) -> Column:
-    """Hash over all non-key columns."""
-    return F.xxhash64(*[F.col(c) for c in sorted(df.columns) if c != key])
+    """Hash over all non-key columns; which of them are NULL counts too."""
+    return F.xxhash64(*[x for c in sorted(df.columns) if c != key for x in (F.col(c).isNull(), F.col(c))])
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = KEY) -> DataFrame:
@@ -38,8 +38,16 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: list[str])
     return rows.groupBy(key).agg(newest.alias("r")).select(key, "r.*")
 
 
-def sync_index(changes: DataFrame, texts: DataFrame, key: str = KEY) -> DataFrame:
-    """What an index has to apply: new text for changed keys, a delete for the others."""
-    live = changes.where(F.col("change") != "delete").join(texts, key)
-    gone = changes.where(F.col("change") == "delete")
-    return live.unionByName(gone, allowMissingColumns=True)
+def sync_index(old: DataFrame, new: DataFrame, key: str = KEY) -> DataFrame:
+    """What an index of (key, page, search_text) has to apply: the pages that come, change or go.
+
+    The texts themselves are compared, so a page whose text is the same is not written again, and pages that
+    a shorter list no longer has are deleted.
+    """
+    before = old.select(key, "page", F.col("search_text").alias("old_text"))
+    change = (
+        F.when(F.col("old_text").isNull(), "insert").when(F.col("search_text").isNull(), "delete")
+        .when(F.col("old_text") != F.col("search_text"), "update")
+    )
+    return before.join(new, [key, "page"], "full_outer").withColumn("change", change).where(
+        F.col("change").isNotNull()).select(key, "page", "change", "search_text")

@@ -35,10 +35,11 @@ def trace_rows(log: DataFrame, preview: int = 500) -> DataFrame:
     """Rows of the trace table: one per answered question."""
     return log.select(
         F.col("event_id"), "question", F.col("expected_route").alias("category"),
-        F.col("steps")[1]["step"].alias("agent_used"),
+        F.get(F.col("steps"), F.lit(1))["step"].alias("agent_used"),
         F.length("answer").cast("bigint").alias("answer_length"),
         F.least(F.size("source_ids"), F.lit(10)).cast("bigint").alias("citation_count"),
         F.bround(F.col("total_ms") / 1000.0, 2).alias("total_time_seconds"),
+        F.col("ts").alias("timestamp"),
         F.left(F.col("answer"), F.lit(preview)).alias("answer_preview"),
         F.to_json(F.struct("question", "steps")).alias("trace_json"),
     )
@@ -47,13 +48,14 @@ def trace_rows(log: DataFrame, preview: int = 500) -> DataFrame:
 def step_latency(log: DataFrame) -> DataFrame:
     """Count, mean, median and worst time per step, and mean citations, over all traces.
 
-    Times are whole milliseconds, so the exact median keeps one counter per value.
+    The median is the lower one of the sorted times, found with a state of bounded size: exact up to
+    10,000 distinct times, and beyond within a ten-thousandth of the rank.
     """
     steps = log.select(F.size("source_ids").alias("sources"), F.inline("steps"))
     return steps.groupBy("step").agg(
         F.count("*").alias("runs"),
         F.round(F.avg("ms"), 6).alias("avg_ms"),
-        F.round(F.expr("percentile(ms, 0.5)"), 6).alias("median_ms"),
+        F.percentile_approx("ms", 0.5, 10_000).alias("median_ms"),
         F.max("ms").alias("max_ms"),
         F.round(F.avg("sources"), 6).alias("avg_sources"),
     )
@@ -79,12 +81,16 @@ def evaluation_summary(rows: DataFrame) -> DataFrame:
 
 
 def evaluation_by_category(rows: DataFrame) -> DataFrame:
-    """Outcome per question category with a total row (category ``ALL``)."""
+    """Outcome per question category with a total row (category ``ALL``); questions without one keep NULL."""
     return rows.rollup("question_category").agg(
         F.count("*").alias("total"),
         F.count_if("correct_route").alias("correct"),
         F.round(F.avg("total_ms") / 1000.0, 6).alias("avg_seconds"),
-    ).select(F.coalesce("question_category", F.lit("ALL")).alias("category"), "total", "correct", "avg_seconds")
+        F.grouping("question_category").alias("is_total"),
+    ).select(
+        F.when(F.col("is_total") == 1, "ALL").otherwise(F.col("question_category")).alias("category"),
+        "total", "correct", "avg_seconds",
+    )
 
 
 def route_confusion(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.values import flag_label, is_true, shown, to_int
 from ..session import stored
 from ..sources.dimensions import EQUIPMENT_RULES, TYPE_CLAIM_RULES
 from ..sources.tables import KEY
-from .merge import distinct_claims, list_columns, merge_singles, paged_lists
+from .merge import PAGE_SIZE, distinct_claims, list_columns, merge_singles, paged_lists
 
 SIGNAL_FIELDS = ["specialties", "procedure", "equipment", "capability"]
 COUNT_COLUMNS = {
@@ -135,10 +135,13 @@ def browse_flagged(facilities: DataFrame, flag: str | None = None, region: str |
     return chosen
 
 
-def with_specialty_list(facilities: DataFrame, mentions: DataFrame, key: str = KEY) -> DataFrame:
-    """Attach the sorted specialty list to facility rows."""
-    pages = paged_lists(distinct_claims(mentions, ["specialties"], key), key)
-    return facilities.join(list_columns(pages, ["specialties"], key), key, "left").drop("list_pages")
+def with_specialty_list(
+    facilities: DataFrame, mentions: DataFrame, key: str = KEY, page_size: int = PAGE_SIZE
+) -> DataFrame:
+    """Attach the sorted specialty list to facility rows, a row for each ``list_page`` of it."""
+    pages = paged_lists(distinct_claims(mentions, ["specialties"], key), key, page_size=page_size)
+    listed = facilities.join(list_columns(pages, ["specialties"], key), key, "left").drop("list_pages")
+    return listed.withColumn("list_page", F.coalesce("list_page", F.lit(0).cast("bigint")))
 
 
 def unrealistic_procedures(f: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def located(f: DataFrame, key: str = KEY) -> DataFrame:
 def within_km(points: DataFrame, places: list[tuple[str, float, float]], km: float, key: str = KEY) -> DataFrame:
     """Points within ``km`` of named places, with the distance.
 
-    ``places`` is a literal list; each place is spread to nine grid cells and joined by
+    ``places`` is a literal list; each place is spread to the grid cells within reach and joined by
     cell, so only points of nearby cells are measured.
     """
     grid = Grid(km)

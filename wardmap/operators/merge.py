@@ -81,30 +81,33 @@ def paged_lists(
 
 
 def list_columns(pages: DataFrame, fields: list[str], key: str = KEY) -> DataFrame:
-    """One row per key with an array column per field.
+    """One row per key and page with an array column per field, empty where the page has none of it.
 
-    A list of several pages is NULL here and ``list_pages`` exceeds 1; its values are read
-    from the pages.
+    Nearly every key has one page, ``list_page`` 0. All items are there: those of a longer list on several
+    pages, ``list_pages`` being the number of pages of the longest list on the page.
     """
-    whole = F.col("n_pages") == 1
-    return pages.groupBy(key).agg(
-        *[F.max(F.when(whole & (F.col("field") == f), F.col("items"))).alias(f) for f in fields],
+    empty = F.array().cast("array<string>")
+    return pages.groupBy(key, F.col("page").alias("list_page")).agg(
+        *[F.coalesce(F.max(F.when(F.col("field") == f, F.col("items"))), empty).alias(f) for f in fields],
         F.max("n_pages").alias("list_pages"),
     )
 
 
 def merge_by_key(mentions: DataFrame, key: str = KEY, page_size: int = PAGE_SIZE) -> DataFrame:
-    """One record per facility: merged single values and merged, sorted lists."""
+    """One record per facility: merged single values and merged, sorted lists.
+
+    A facility with a list of more than ``page_size`` items has a record for each page, with the same single
+    values. No item is left out, and no items at all are an empty list.
+    """
     fields = [f for f in LIST_FIELDS if f in mentions.columns]
     pages = paged_lists(distinct_claims(mentions, fields, key), key, page_size=page_size)
     empty = F.array().cast("array<string>")
     merged = merge_singles(mentions, key).join(list_columns(pages, fields, key), key, "left")
-    pages_known = F.coalesce(F.col("list_pages"), F.lit(1).cast("bigint"))
     return merged.select(
-        *[c for c in merged.columns if c not in (*fields, "list_pages")],
-        # No items at all is an empty list; a list kept in pages stays NULL.
-        *[F.when(pages_known == 1, F.coalesce(f, empty)).otherwise(F.col(f)).alias(f) for f in fields],
-        pages_known.alias("list_pages"),
+        *[c for c in merged.columns if c not in (*fields, "list_page", "list_pages")],
+        *[F.coalesce(f, empty).alias(f) for f in fields],
+        F.coalesce("list_page", F.lit(0).cast("bigint")).alias("list_page"),
+        F.coalesce("list_pages", F.lit(1).cast("bigint")).alias("list_pages"),
     )
 
 

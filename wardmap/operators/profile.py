@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,26 +117,23 @@ def column_profile(df: DataFrame, columns: list[str], list_columns: list[str]) -
     )
 
 
-def service_bundles(claims: DataFrame, min_support: float, key: str = KEY) -> DataFrame:
-    """Procedure and equipment pairs that at least ``min_support`` of the facilities share.
+def service_bundles(claims: DataFrame, min_support: float, key: str = KEY, by: str | None = None) -> DataFrame:
+    """Procedure and equipment pairs that at least ``min_support`` of the facilities share, overall or per ``by``.
 
-    Parallel FP-growth: the pairs come out of conditional trees of frequent items, never
-    out of all pairs within a facility. Only frequent items enter the baskets, and there
-    are at most (mean claims per facility / ``min_support``) of those.
+    Only frequent items enter a facility's basket, and there are at most (mean claims per facility /
+    ``min_support``) of those; pairs are made within these bounded baskets and counted.
     """
-    services = claims.where(F.col("field").isin("procedure", "equipment")).select(key, "item").distinct()
-    services = stored(services, "services")
-    facilities = services.agg(F.countDistinct(key)).first()[0]
-    at_least = max(1, math.ceil(round(min_support * facilities, 9)))
-    frequent = services.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
-    baskets = (
-        services.join(frequent, "item", "left_semi").groupBy(key).agg(F.collect_list("item").alias("items"))
-    )
-    baskets = stored(baskets, "baskets")
-    kept = max(1, baskets.count())
-    # Facilities without a frequent item are gone, so the ratio is restated for those kept.
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (at_least - 0.5) / kept)).fit(baskets)
-    pair = F.array_sort("items")
-    return model.freqItemsets.where(F.size("items") == 2).select(
-        pair[0].alias("item_a"), pair[1].alias("item_b"), F.col("freq").alias("facilities")
-    )
+    group = [by] if by else []
+    services = stored(claims.where(F.col("field").isin("procedure", "equipment"))
+                      .select(key, *group, "item").distinct(), "services")
+    least = F.ceil(F.round(F.countDistinct(key) * F.lit(min_support), 9)).alias("at_least")
+    needed = services.groupBy(F.coalesce(F.col(by), F.lit("")) if by else F.lit("")).agg(least).toDF("_group", "at_least")
+    rows = services.withColumn("_group", F.coalesce(F.col(by), F.lit("")) if by else F.lit(""))
+    frequent = rows.groupBy("_group", "item").agg(F.count("*").alias("n")).join(needed, "_group").where("n >= at_least")
+    baskets = rows.join(frequent.select("_group", "item"), ["_group", "item"], "left_semi").groupBy(
+        key, *group, "_group").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    first = baskets.select(*group, "_group", "items", F.posexplode("items").alias("place", "item_a"))
+    pairs = first.select(*group, "_group", "item_a",
+                         F.explode(F.slice("items", F.col("place") + 2, F.size("items"))).alias("item_b"))
+    counted = pairs.groupBy(*group, "_group", "item_a", "item_b").agg(F.count("*").alias("facilities"))
+    return counted.join(needed, "_group").where("facilities >= at_least").select(*group, "item_a", "item_b", "facilities")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import blank_to_null
-from ..session import checked_broadcast, stored
+from ..session import stored
 from ..sources.dimensions import CRITICAL_SPECIALTIES
 from ..sources.tables import KEY
 from .flags import FLAGS, any_flag
@@ -187,7 +187,7 @@ def top_per_region(f: DataFrame, n: int = 30) -> DataFrame:
 
 def with_region_scores(f: DataFrame, regions: DataFrame) -> DataFrame:
     """Facilities with the score of their region; an unknown region joins its own row."""
-    scores = checked_broadcast(
+    scores = stored(
         regions.select(F.col(REGION).alias("_region"), "desert_score", "facility_count"), "region-scores")
     return f.join(scores, F.col(REGION).eqNullSafe(F.col("_region")), "left").drop("_region")
 
@@ -201,13 +201,14 @@ def concentration(f: DataFrame) -> DataFrame:
 def problem_type(f: DataFrame) -> DataFrame:
     """Whether a region is short of equipment, of practitioners, of both or of neither.
 
-    A region is short of one where its mean per facility lies below the overall mean.
+    A region is short of one where its mean per facility lies below the median of all regions' means.
     """
     sums = stored(f.groupBy(REGION).agg(
         F.count("*").alias("n"), _total("numberDoctors").alias("doctors"), _total("num_equipment").alias("tools")
     ), "regional-sums")
-    doctors = sums.agg(F.sum("doctors") / F.sum("n")).scalar()
-    tools = sums.agg(F.sum("tools") / F.sum("n")).scalar()
+    # One value per region text.
+    doctors = sums.agg(F.median(F.col("doctors") / F.col("n"))).scalar()
+    tools = sums.agg(F.median(F.col("tools") / F.col("n"))).scalar()
     rated = sums.select(
         REGION,
         (F.col("doctors") / F.col("n")).alias("doctors_per_facility"),
@@ -274,7 +275,7 @@ def supply_bands(f: DataFrame, claims: DataFrame, field: str = "procedure",
 
     Own thresholds: oversupply from a quarter of the facilities, scarcity up to 2 percent.
     """
-    totals = checked_broadcast(f.groupBy(REGION).agg(F.count("*").alias("region_facilities")), "region-totals")
+    totals = stored(f.groupBy(REGION).agg(F.count("*").alias("region_facilities")), "region-totals")
     items = regional_claims(f, claims, field).drop("first_facility")
     share = F.col("facilities") / F.col("region_facilities")
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import flag_label, labelled, shown, yes_no
-from ..session import checked_broadcast, stored
+from ..session import stored
 from ..sources.dimensions import (
     BLOCKED_WORDS, CONTEXT_TRIGGERS, INTENT_KEYWORDS, ROUTE_LABELS, SPECIALTY_KEYWORDS,
 )
@@ -101,8 +101,9 @@ def sql_audit(log: DataFrame) -> DataFrame:
 def guarded_select(spark: SparkSession, sql: str, limit: int = 50, args: dict | None = None) -> DataFrame:
     """Run one SELECT over the registered views, at most ``limit`` rows of it.
 
-    Rejects blocked words (as whole words) and several statements. Values belong in
-    ``args`` (named parameters), not in the text.
+    Rejects blocked words (as whole words), several statements, and any table, file or function in FROM that
+    is not a registered view or a name the statement itself defines. Values belong in ``args`` (named
+    parameters), not in the text.
     """
     text = re.sub(r"(?m)^\s*```.*$\n?", "", sql).strip().rstrip("; \n\t")
     if re.search(BLOCKED, text):
@@ -111,9 +112,29 @@ def guarded_select(spark: SparkSession, sql: str, limit: int = 50, args: dict |
         raise ValueError("only one statement is allowed")
     if not re.match(r"(?i)(select|with)\b", text):
         raise ValueError("only SELECT is allowed")
+    for name in relations(spark, text):
+        if not registered(spark, name):
+            raise ValueError(f"not a registered view: {name}")
     return spark.sql(text, args or {}).limit(limit)
 
 
+def relations(spark: SparkSession, text: str) -> list[str]:
+    """Names of the relations that a statement reads, from its parsed plan; its own CTEs are not among them."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    rendered = plan.toString()
+    own = set(re.findall(r"(?m)^\W*CTE \[([^\]]*)\]", rendered))
+    ctes = {c.strip().lower() for names in own for c in names.split(",")}
+    found = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", rendered)
+    others = re.findall(r"'UnresolvedTableValuedFunction \[([^\]]*)\]", rendered)
+    names = [n.replace(", ", ".") for n in found if n.lower() not in ctes]
+    return names + [f"{n}()" for n in others]
+
+
+def registered(spark: SparkSession, name: str) -> bool:
+    """Whether a name is a temporary view of the session."""
+    return any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables())
+
+
 # ---------------------------------------------------------------- mentions in questions
 
 def _words(c: Column) -> Column:
@@ -125,12 +146,12 @@ def mentioned_regions(log: DataFrame, regions: DataFrame, id_column: str = "even
     """The longest region name that occurs in each question, as whole words.
 
     Questions meet the names by equality of a word with the first word of a name; only
-    such pairs are searched for the whole name. The distinct names are written once and
-    broadcast if they are few.
+    such pairs are searched for the whole name. The distinct names are written once, so Spark
+    knows their size and picks the join by it.
     """
     names = regions.select(F.col(REGION).alias("region")).where(F.col("region").isNotNull()).distinct()
     names = names.withColumn("name_words", _words(F.col("region")))
-    names = checked_broadcast(
+    names = stored(
         names.withColumn("word", F.split_part("name_words", F.lit(" "), F.lit(2))), "region-names")
     asked = log.select(id_column, _words(F.col("question")).alias("question_words"))
     asked = asked.select("*", F.explode(F.array_distinct(F.split("question_words", " "))).alias("word"))
@@ -154,39 +175,61 @@ def mentioned_type(question: Column) -> Column:
     return result
 
 
-def facility_line(cut: int = 200) -> Column:
-    """One-line summary of a facility for a reasoning context."""
+#: Longest text of a value in a summary line.
+CELL = 200
+LINE_COLUMNS = ["name", "facilityTypeId", "address_city", REGION, "numberDoctors", "capacity", "num_procedures",
+                "num_equipment"]
+
+
+def facility_line(cut: int = CELL) -> Column:
+    """One-line summary of a facility for a reasoning context; ``listed`` holds its specialties."""
+    # Labels of the line, in order.
     cell = lambda c: F.left(shown(F.col(c)), F.lit(cut))
     return F.concat(
         F.lit("- "), cell("name"), F.lit(" ["), cell("facilityTypeId"), F.lit("] in "), cell("address_city"),
         F.lit(", "), cell(REGION), F.lit(" | Doctors: "), cell("numberDoctors"), F.lit(" | Beds: "),
-        cell("capacity"), F.lit(" | Procedures: "), cell("num_procedures"),
-        F.lit(" | Equipment: "), cell("num_equipment"),
+        cell("capacity"), F.lit(" | Specialties: "), F.coalesce("listed", F.lit("[]")),
+        F.lit(" | Procedures: "), cell("num_procedures"), F.lit(" | Equipment: "), cell("num_equipment"),
     )
 
 
-def reasoning_contexts(f: DataFrame, n: int = 20) -> DataFrame:
+def specialty_texts(claims: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
+    """The sorted specialties of the given facilities as JSON text, cut to ``CELL`` characters.
+
+    An item takes at least three characters, so more than ``CELL`` of them are never needed.
+    """
+    own = claims.where(F.col("field") == "specialties").join(keys.select(key).distinct(), key, "left_semi")
+    first = own.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("item"))).where(F.col("n") <= CELL)
+    return first.groupBy(key).agg(F.left(F.to_json(F.array_sort(F.collect_list("item"))), F.lit(CELL)).alias("listed"))
+
+
+def reasoning_contexts(f: DataFrame, claims: DataFrame, n: int = 20) -> DataFrame:
     """Context text per (region or any, type or any): its ``n`` best facilities as lines.
 
     Best means flagged first, then most sources. Facilities are first cut to the ``n`` best
-    of their own region and type; the wider combinations only need those.
+    of their own region and type; the wider combinations only need those, and lines are built
+    for these few alone.
     """
     columns = [F.desc("has_flag"), F.desc("source_count"), KEY]
     own = Window.partitionBy("region", "type").orderBy(*columns)
+    cells = [c for c in LINE_COLUMNS if c not in (REGION, "facilityTypeId")]
     finest = f.select(
-        KEY, any_flag().alias("has_flag"), "source_count", facility_line().alias("line"),
+        KEY, any_flag().alias("has_flag"), "source_count", *cells,
         F.col(REGION).alias("region"), F.col("facilityTypeId").alias("type"),
     ).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n).drop("rank")
+    finest = stored(finest, "best-facilities")
+    lines = finest.join(specialty_texts(claims, finest), KEY, "left").withColumnsRenamed(
+        {"region": REGION, "type": "facilityTypeId"}).select(KEY, facility_line().alias("line"))
     any_value = F.lit(None).cast("string")
     options = F.array_distinct(F.array(*[
         F.struct(r.alias("region"), t.alias("type"))
         for r in (F.col("region"), any_value) for t in (F.col("type"), any_value)
     ]))
-    rows = finest.select(KEY, "has_flag", "source_count", "line", F.inline(options))
+    rows = finest.select(KEY, "has_flag", "source_count", F.inline(options))
     order = Window.partitionBy("region", "type").orderBy(*columns)
-    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    lines = F.array_sort(F.collect_list(F.struct("rank", "line")))
-    return best.groupBy("region", "type").agg(lines.alias("l")).select(
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).join(lines, KEY)
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
+    return best.groupBy("region", "type").agg(ordered.alias("l")).select(
         "region", "type", F.size("l").cast("bigint").alias("facilities"),
         F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"),
     )
@@ -198,9 +241,10 @@ def question_facts(log: DataFrame, regions: DataFrame, id_column: str = "event_i
     return typed.join(mentioned_regions(log, regions, id_column), id_column, "left")
 
 
-def question_reasoning(log: DataFrame, f: DataFrame, regions: DataFrame, n: int = 20) -> DataFrame:
+def question_reasoning(log: DataFrame, f: DataFrame, claims: DataFrame, regions: DataFrame, n: int = 20) -> DataFrame:
     """Reasoning context of every question; questions with the same facts share one text."""
-    contexts = checked_broadcast(reasoning_contexts(f, n).select(
+    # Written, so that Spark knows its size in bytes and picks the join by it.
+    contexts = stored(reasoning_contexts(f, claims, n).select(
         F.col("region").alias("_r"), F.col("type").alias("_t"), "facilities", "context"
     ), "reasoning-contexts")
     facts = question_facts(log, regions)

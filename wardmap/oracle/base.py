@@ -68,9 +68,9 @@ SPECIALTY = """CASE t WHEN 'STANDARD' THEN 'internalMedicine' WHEN 'SMALL' THEN
 MENTIONS = f"""
 order_lines AS (
   SELECT l_orderkey,
-    list(DISTINCT p_type) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'F') AS types,
-    list(DISTINCT {{'n': p_name, 'promo': p_type = 'PROMO'}}) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'O') AS parts,
-    list(DISTINCT p_brand) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 35) AS brands
+    list(DISTINCT p_type) FILTER (WHERE l_returnflag = 'N') AS types,
+    list(DISTINCT {{'n': p_name, 'promo': p_type = 'PROMO'}}) FILTER (WHERE l_returnflag = 'A') AS parts,
+    list(DISTINCT p_brand) FILTER (WHERE l_returnflag = 'R') AS brands
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
 ),
 mention_base AS (
@@ -80,7 +80,6 @@ mention_base AS (
     list_distinct(list_transform(parts, lambda p: 'Performs ' || p.n || CASE WHEN p.promo AND n_nationkey % 5 <> 0 THEN ' surgery' ELSE '' END)) AS procs
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   LEFT JOIN order_lines ON o_orderkey = l_orderkey
-  WHERE n_nationkey < 18 OR o_custkey % 10 = 0
 ),
 mentions AS (
   SELECT k AS pk_unique_id, 'https://' || host || '/' || o AS source_url, o_orderdate AS scraped_at, full_name AS name,
@@ -91,7 +90,8 @@ mentions AS (
     CASE WHEN k % 7 = 0 THEN 'null' ELSE CAST(1950 + k % 70 AS VARCHAR) END AS "yearEstablished",
     CASE k % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS "acceptsVolunteers",
     CASE WHEN k % 5 = 0 THEN 'https://facebook.com/f' || k END AS "facebookLink",
-    CASE n_nationkey WHEN 23 THEN NULL WHEN 24 THEN 'null' ELSE {pick(REGION_TEXTS, 'n_nationkey')} END AS "address_stateOrRegion",
+    CASE WHEN n_nationkey >= 18 AND k % 10 <> 0 THEN {pick(REGION_TEXTS, 'n_nationkey % 18')}
+      WHEN n_nationkey = 23 THEN NULL WHEN n_nationkey = 24 THEN 'null' ELSE {pick(REGION_TEXTS, 'n_nationkey')} END AS "address_stateOrRegion",
     city AS address_city, 'Ghana' AS address_country,
     CASE WHEN k % 11 <> 0 THEN 'GH' WHEN k % 2 = 0 THEN 'Ghana' END AS "address_countryCode",
     CASE c_mktsegment WHEN 'BUILDING' THEN 'hospital' WHEN 'HOUSEHOLD' THEN 'clinic' WHEN 'FURNITURE' THEN 'dentist'

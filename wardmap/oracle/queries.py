@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from ..operators.routing import BLOCK_ORDER
 from ..sources.dimensions import (
     AFFILIATION_TYPES, BLOCKED_WORDS, CONTEXT_RULES, CONTEXT_TRIGGERS, CRITICAL_SPECIALTIES, INTENT_KEYWORDS,
     NAME_RULES, NGO_WORDS, PHRASE_RULES, ROUTE_LABELS, SECRET_MASK, SPECIALTY_KEYWORDS, TERM_MAP,
 )
 from ..sources.mentions import OTHER_REGIONS
-from .base import ANY_FLAG, FLAGS, LISTS, PRELUDE, SINGLES, array, known, slot, text, weighted
+from .base import ANY_FLAG, CLAIMS, FLAGS, LISTS, PRELUDE, SINGLES, _singles, array, known, slot, text, weighted
 
 R = '"address_stateOrRegion"'
 ORACLE: dict[str, str] = {}
@@ -26,7 +28,7 @@ def items(field: str) -> str:
 SAFE = ", ".join(f'"{c.replace(" ", "_")}"' for c in SINGLES)
 sql("facility_mentions", "SELECT * FROM mentions")
 sql("merge_by_key",
-    f"SELECT pk_unique_id, {SAFE}, source_count, CAST(1 AS BIGINT) AS list_pages, "
+    f"SELECT pk_unique_id, {SAFE}, source_count, CAST(0 AS BIGINT) AS list_page, CAST(1 AS BIGINT) AS list_pages, "
     + ", ".join(f'{items(f)} AS "{f}"' for f in LISTS) + " FROM singles f")
 sql("merged_list_pages", """SELECT pk_unique_id, field, CAST(0 AS BIGINT) AS page, CAST(1 AS BIGINT) AS n_pages,
   array_to_string(items, '; ') AS items FROM lists""")
@@ -83,13 +85,13 @@ sql("flagged_hospitals_in_region", f"""SELECT pk_unique_id, name, "facilityTypeI
 BASE = f'pk_unique_id, name, {R}, "facilityTypeId"'
 sql("anomaly_unrealistic_procedures", f"""SELECT {BASE}, "numberDoctors", num_procedures, num_equipment, num_specialties
   FROM facilities WHERE num_procedures > 5 AND ("numberDoctors" IS NULL OR "numberDoctors" < 2)""")
-sql("anomaly_mismatched_capabilities", f"""SELECT {BASE}, num_equipment, "numberDoctors", {items('specialties')} AS specialties
+sql("anomaly_mismatched_capabilities", f"""SELECT {BASE}, num_equipment, "numberDoctors", CAST(0 AS BIGINT) AS list_page, {items('specialties')} AS specialties
   FROM facilities f WHERE lower({items('specialties')}) LIKE '%surgery%' AND num_equipment = 0""")
 sql("anomaly_clinic_claims_surgery", f"""SELECT pk_unique_id, name, address_city, {R}, num_procedures, "numberDoctors",
-  {items('specialties')} AS specialties FROM facilities f WHERE flag_clinic_claims_surgery""")
+  CAST(0 AS BIGINT) AS list_page, {items('specialties')} AS specialties FROM facilities f WHERE flag_clinic_claims_surgery""")
 sql("anomaly_high_capacity_no_equipment", f"""SELECT {BASE}, capacity, "numberDoctors", num_equipment, num_procedures
   FROM facilities WHERE capacity > 50 AND num_equipment = 0""")
-sql("anomaly_too_many_specialties", f"""SELECT {BASE}, num_specialties, "numberDoctors", capacity, {items('specialties')} AS specialties
+sql("anomaly_too_many_specialties", f"""SELECT {BASE}, num_specialties, "numberDoctors", capacity, CAST(0 AS BIGINT) AS list_page, {items('specialties')} AS specialties
   FROM facilities f WHERE flag_too_many_specialties""")
 sql("anomaly_correlated_features", f"""SELECT {BASE}, "numberDoctors", capacity, num_procedures, num_equipment, num_specialties,
   CASE WHEN capacity > 100 AND num_equipment < 3 THEN 'Large capacity, minimal equipment'
@@ -150,6 +152,13 @@ sql("service_bundles", """SELECT a.item AS item_a, b.item AS item_b, count(*) AS
   ON a.pk_unique_id = b.pk_unique_id AND a.item < b.item GROUP BY ALL
   HAVING count(*) >= (SELECT ceil(round(0.05 * count(DISTINCT pk_unique_id), 9)) FROM services)""",
     "\nservices AS (SELECT DISTINCT pk_unique_id, item FROM claims WHERE field IN ('procedure', 'equipment'))")
+sql("service_bundles_by_region", f"""SELECT a.{R}, a.item AS item_a, b.item AS item_b, count(*) AS facilities
+  FROM services a JOIN services b ON a.pk_unique_id = b.pk_unique_id AND a.item < b.item
+  JOIN (SELECT {R}, ceil(round(0.3 * count(DISTINCT pk_unique_id), 9)) AS least FROM services GROUP BY 1) r
+    ON a.{R} IS NOT DISTINCT FROM r.{R}
+  GROUP BY ALL HAVING count(*) >= any_value(least)""", f"""
+services AS (SELECT DISTINCT pk_unique_id, item, {R} FROM claims JOIN singles USING (pk_unique_id)
+             WHERE field IN ('procedure', 'equipment'))""")
 
 # ---------------------------------------------------------------- regions
 sql("regional_stats", f"""SELECT {R}, count(*) AS facility_count, CAST(sum(coalesce("numberDoctors", 0)) AS BIGINT) AS total_doctors,
@@ -180,7 +189,8 @@ sql("resource_concentration", f"""SELECT {R}, round(max("numberDoctors") / nulli
 sql("region_problem_type", f"""SELECT {R}, round(d, 6) AS doctors_per_facility, round(e, 6) AS equipment_per_facility,
   CASE WHEN d < ad AND e < ae THEN 'both' WHEN e < ae THEN 'equipment' WHEN d < ad THEN 'practitioners' ELSE 'neither' END AS shortage
   FROM (SELECT {R}, avg(coalesce("numberDoctors", 0)) AS d, avg(num_equipment) AS e FROM facilities GROUP BY 1),
-       (SELECT avg(coalesce("numberDoctors", 0)) AS ad, avg(num_equipment) AS ae FROM facilities)""")
+       (SELECT quantile_cont(d, 0.5) AS ad, quantile_cont(e, 0.5) AS ae
+        FROM (SELECT avg(coalesce("numberDoctors", 0)) AS d, avg(num_equipment) AS e FROM facilities GROUP BY {R}))""")
 REGIONAL = f"""
 regional_items AS (
   SELECT f.{R}, c.field, c.item, count(DISTINCT pk_unique_id) AS n, min(pk_unique_id) AS first_facility
@@ -204,9 +214,7 @@ sql("ngo_gap_regions", f"""SELECT {R}, facility_count, desert_score FROM weighte
 sql("ngo_service_overlaps", f"""SELECT {R}, item AS specialty, count(*) AS ngos FROM facilities JOIN claims USING (pk_unique_id)
   WHERE organization_type = 'ngo' AND field = 'specialties' GROUP BY ALL HAVING count(*) >= 2""")
 POPULATION = f"""
-population AS (
-  SELECT {R}, count(*) * 1000 + count(DISTINCT pk_unique_id) AS population FROM mentions WHERE {R} <> 'null' GROUP BY 1
-)"""
+population AS (SELECT {R}, count(*) AS population FROM mentions WHERE {R} <> 'null' GROUP BY 1)"""
 sql("population_table", "SELECT * FROM population", POPULATION)
 sql("resources_per_head", f"""SELECT r.{R}, population, round(facility_count * 100000 / population, 6) AS facilities_per_head,
   round(total_doctors * 100000 / population, 6) AS doctors_per_head, round(total_beds * 100000 / population, 6) AS beds_per_head
@@ -265,7 +273,8 @@ SEARCH_TEXT = """concat_ws(' | ', 'Facility Name: ' || name, 'Type: ' || "facili
         ("Specialties", "specialties"), ("Procedures", "procedure"), ("Equipment", "equipment"),
         ("Capabilities", "capability")]) + ")"
 sql("search_text", f"SELECT pk_unique_id, CAST(0 AS BIGINT) AS page, {SEARCH_TEXT} AS search_text FROM singles f")
-sql("plain_search_text", f"SELECT pk_unique_id, concat_ws(' ', name, description, address_city, {R}) AS search_text FROM singles")
+PLAIN_LISTS = ", ".join(f"nullif({items(c)}, '')".replace("'; '", "' '") for c in ("specialties", "procedure", "equipment", "capability"))
+sql("plain_search_text", f"SELECT pk_unique_id, CAST(0 AS BIGINT) AS page, concat_ws(' ', name, description, {PLAIN_LISTS}, address_city, {R}) AS search_text FROM singles f")
 sql("keyword_search", """SELECT question_id, pk_unique_id, score, CAST(r AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pk_unique_id) AS r FROM (
     SELECT question_id, pk_unique_id, count(DISTINCT word) AS score
@@ -434,6 +443,7 @@ def cell(column: str) -> str:
 
 FACILITY_LINE = (f"'- ' || {cell('name')} || ' [' || {cell('facilityTypeId')} || '] in ' || {cell('address_city')} || ', ' || "
                  f"{cell('address_stateOrRegion')} || ' | Doctors: ' || {cell('numberDoctors')} || ' | Beds: ' || {cell('capacity')} || "
+                 "' | Specialties: ' || left(coalesce((SELECT CAST(to_json(items) AS VARCHAR) FROM lists l WHERE l.pk_unique_id = f.pk_unique_id AND l.field = 'specialties'), '[]'), 200) || "
                  f"' | Procedures: ' || {cell('num_procedures')} || ' | Equipment: ' || {cell('num_equipment')}")
 CONTEXTS = f"""
 options AS (
@@ -487,18 +497,18 @@ sql("citations", "SELECT * FROM cited", CITED)
 sql("citation_lists", """SELECT event_id, count(*) AS citation_count,
   CAST(to_json(list({'id': id, 'name': name, 'region': region} ORDER BY pos)) AS VARCHAR) AS citations_json FROM cited GROUP BY 1""", CITED)
 sql("trace_rows", """SELECT event_id, question, expected_route AS category, agent AS agent_used, length(answer) AS answer_length,
-  least(len(source_ids), 10) AS citation_count, (total_ms // 10 + CASE WHEN total_ms % 10 > 5 OR (total_ms % 10 = 5 AND (total_ms // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS total_time_seconds, left(answer, 500) AS answer_preview,
+  least(len(source_ids), 10) AS citation_count, (total_ms // 10 + CASE WHEN total_ms % 10 > 5 OR (total_ms % 10 = 5 AND (total_ms // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS total_time_seconds, ts AS timestamp, left(answer, 500) AS answer_preview,
   CAST(to_json({'question': question, 'steps': steps}) AS VARCHAR) AS trace_json
   FROM question_log JOIN (SELECT event_id, list({'step': step, 'output': output, 'ms': ms} ORDER BY step <> 'classify') AS steps,
     max(step) FILTER (WHERE step <> 'classify') AS agent FROM log_steps GROUP BY 1) USING (event_id)""")
-sql("trace_step_latency", """SELECT step, count(*) AS runs, round(avg(ms), 6) AS avg_ms, round(quantile_cont(ms, 0.5), 6) AS median_ms,
+sql("trace_step_latency", """SELECT step, count(*) AS runs, round(avg(ms), 6) AS avg_ms, quantile_disc(ms, 0.5) AS median_ms,
   max(ms) AS max_ms, round(avg(sources), 6) AS avg_sources FROM log_steps GROUP BY 1""")
 sql("evaluation_results", """SELECT event_id, question_id, question_category, expected_route, intent AS actual_intent,
   intent = expected AS correct_route, length(answer) AS answer_length, total_ms FROM intents""", INTENTS)
 sql("evaluation_summary", """SELECT count(*) AS total, count(*) FILTER (WHERE intent = expected) AS correct,
   round(100.0 * count(*) FILTER (WHERE intent = expected) / count(*), 6) AS accuracy_percent, round(avg(total_ms) / 1000, 6) AS avg_seconds,
   round(avg(length(answer)), 6) AS avg_answer_length FROM intents""", INTENTS)
-sql("evaluation_by_category", """SELECT coalesce(question_category, 'ALL') AS category, count(*) AS total,
+sql("evaluation_by_category", """SELECT CASE WHEN grouping(question_category) = 1 THEN 'ALL' ELSE question_category END AS category, count(*) AS total,
   count(*) FILTER (WHERE intent = expected) AS correct, round(avg(total_ms) / 1000, 6) AS avg_seconds FROM intents GROUP BY ROLLUP (question_category)""", INTENTS)
 sql("route_confusion", "SELECT expected_route, intent AS actual_intent, count(*) AS questions FROM intents GROUP BY ALL", INTENTS)
 
@@ -521,8 +531,17 @@ changed AS (SELECT coalesce(a.pk_unique_id, b.pk_unique_id) AS pk_unique_id, CAS
   FROM after a FULL JOIN before b ON a.pk_unique_id = b.pk_unique_id
   WHERE a.pk_unique_id IS NULL OR b.pk_unique_id IS NULL OR NOT ({SAME}))"""
 sql("snapshot_changes", "SELECT * FROM changed", CHANGES)
-sql("incremental_index_sync", f"""SELECT pk_unique_id, change, CASE WHEN change <> 'delete' THEN CAST(0 AS BIGINT) END AS page,
-  CASE WHEN change <> 'delete' THEN {SEARCH_TEXT} END AS search_text FROM changed LEFT JOIN singles f USING (pk_unique_id)""", CHANGES)
+# The same tables over the mentions of the earlier snapshot.
+EARLIER = re.sub(r"\b(raw_lists|parsed_lists|claim_sources|all_claims|claims|lists)\b", r"\1_before", CLAIMS).replace(
+    "FROM mentions", "FROM mentions_before")
+sql("incremental_index_sync", """SELECT coalesce(n.pk_unique_id, o.pk_unique_id) AS pk_unique_id, CAST(0 AS BIGINT) AS page,
+  CASE WHEN o.pk_unique_id IS NULL THEN 'insert' WHEN n.pk_unique_id IS NULL THEN 'delete' ELSE 'update' END AS change,
+  n.search_text FROM texts n FULL JOIN texts_before o ON n.pk_unique_id = o.pk_unique_id
+  WHERE n.search_text IS DISTINCT FROM o.search_text""", f"""
+mentions_before AS (SELECT * FROM mentions WHERE scraped_at < TIMESTAMP '1998-07-01'), {EARLIER},
+singles_before AS ({_singles('mentions_before')}),
+texts AS (SELECT pk_unique_id, {SEARCH_TEXT} AS search_text FROM singles f),
+texts_before AS (SELECT pk_unique_id, {re.sub(r"FROM lists l", "FROM lists_before l", SEARCH_TEXT)} AS search_text FROM singles_before f)""")
 USERS = """SELECT user_id, event_id, event_type, value FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 ORACLE["upserted_users"] = USERS

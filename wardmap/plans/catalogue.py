@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, evaluation, flags, geo, merge, profile, regions, routing, rules, search
 from ..session import apply_runtime_settings, new_path, stored
 from ..sources.dimensions import QUESTIONS, REGION_COORDS
+from ..sources.mentions import DERIVED_EQUIPMENT_RULES
 from ..sources.tables import KEY, domain_values, register_view
 from ..streaming import jobs
 from .tables import SNAPSHOT_CUT, Registry
@@ -183,12 +184,12 @@ def anomaly_breadth_outliers(t):
 
 @query
 def missing_equipment(t):
-    return flags.missing_equipment(t.claims_of("procedure", "equipment"))
+    return flags.missing_equipment(t.claims_of("procedure", "equipment"), rules=DERIVED_EQUIPMENT_RULES)
 
 
 @query
 def equipment_compliance(t):
-    return flags.equipment_compliance(t.claims_of("procedure", "equipment"))
+    return flags.equipment_compliance(t.claims_of("procedure", "equipment"), rules=DERIVED_EQUIPMENT_RULES)
 
 
 @query
@@ -248,6 +249,12 @@ def service_bundles(t):
     return profile.service_bundles(t.claims_of("procedure", "equipment"), 0.05)
 
 
+@query
+def service_bundles_by_region(t):
+    claims = t.claims_of("procedure", "equipment").join(t.singles.select(KEY, REGION), KEY)
+    return profile.service_bundles(claims, 0.3, by=REGION)
+
+
 # ---------------------------------------------------------------- regions
 
 @query
@@ -374,11 +381,9 @@ def population_table(t):
 
 
 def _population(t):
-    # Stand-in for a user's side table: one row per region text, from the nation keys.
-    return (
-        t.mentions.where(F.col(REGION).isNotNull() & (F.col(REGION) != "null"))
-        .groupBy(REGION).agg((F.count("*") * 1000 + F.countDistinct(KEY)).alias("population"))
-    )
+    # A user's side table: people served per region text, one for each order.
+    known = t.mentions.where(F.col(REGION).isNotNull() & (F.col(REGION) != "null"))
+    return known.groupBy(REGION).agg(F.count("*").alias("population"))
 
 
 @query
@@ -452,8 +457,7 @@ def search_text(t):
 
 @query
 def plain_search_text(t):
-    merged = merge.merge_singles(t.mentions, fields=search.TEXT_FIELDS)
-    return merged.select(KEY, search.plain_search_text(merged.select(*search.TEXT_FIELDS)).alias("search_text"))
+    return search.plain_search_chunks(t.mentions)
 
 
 @query
@@ -640,12 +644,12 @@ def question_facts(t):
 
 @query
 def reasoning_contexts(t):
-    return routing.reasoning_contexts(t.facilities)
+    return routing.reasoning_contexts(t.facilities, t.claims_of("specialties"))
 
 
 @query
 def question_reasoning(t):
-    return routing.question_reasoning(t.log, t.facilities, t.singles)
+    return routing.question_reasoning(t.log, t.facilities, t.claims_of("specialties"), t.singles)
 
 
 @query
@@ -713,8 +717,11 @@ def snapshot_changes(t):
 
 @query
 def incremental_index_sync(t):
-    diff = changes.snapshot_diff(t.snapshot(SNAPSHOT_CUT), t.snapshot())
-    return changes.sync_index(diff, search.search_chunks(t.mentions))
+    # Only facilities mentioned since the last snapshot can have another text.
+    earlier = t.mentions.where(f"scraped_at < timestamp'{SNAPSHOT_CUT}'")
+    touched = stored(t.mentions.where(f"scraped_at >= timestamp'{SNAPSHOT_CUT}'").select(KEY).distinct(), "touched")
+    old, new = (search.search_chunks(m.join(touched, KEY, "left_semi")) for m in (earlier, t.mentions))
+    return changes.sync_index(old, new)
 
 
 @query

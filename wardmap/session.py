@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -71,12 +70,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def checked_broadcast(df: DataFrame, name: str, max_rows: int = 10_000) -> DataFrame:
-    """The stored table, marked for broadcast only if it has at most ``max_rows`` rows.
-
-    Beyond that it stays a plain table and the join shuffles.
-    """
-    table = stored(df, name)
-    return F.broadcast(table) if table.count() <= max_rows else table

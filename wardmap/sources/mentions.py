@@ -34,6 +34,14 @@ OTHER_REGIONS = ["Kumasi Metropolitan", "Bolgatanga Municipal", "Ga East", "Ho",
 REGION_TEXTS = [name for name, _, _ in REGION_COORDS] + OTHER_REGIONS
 
 
+# Equipment that claimed procedures need, in the words of this data.
+DERIVED_EQUIPMENT_RULES = [
+    ("surgery", r"(?i)surgery", r"(?i)^Brand#1"),
+    ("ring work", r"(?i)\bring\b", r"(?i)^Brand#2"),
+    ("gear work", r"(?i)\bgear\b", r"(?i)^Brand#(3|4|5)$"),
+]
+
+
 def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -45,23 +53,20 @@ def _json_or_null(items: Column) -> Column:
 def _order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Per order the distinct part types, part names and brands that become claims.
 
-    Each set is bounded by the vocabulary of its column, however many lines an order has.
+    Every line gives one claim, of the kind that its return flag names. Each set is bounded by the vocabulary of its column, however many lines an order has.
     """
     line = read_table(spark, folder, "lineitem")
     part = read_table(spark, folder, "part")
-    flags = F.col("l_returnflag"), F.col("l_linestatus")
+    flag = F.col("l_returnflag")
     return (
         line.join(part, line.l_partkey == part.p_partkey)
         .groupBy("l_orderkey")
         .agg(
-            F.collect_set(F.when((flags[0] == "N") & (flags[1] == "F"), F.col("p_type"))).alias("types"),
+            F.collect_set(F.when(flag == "N", F.col("p_type"))).alias("types"),
             F.collect_set(
-                F.when((flags[0] == "A") & (flags[1] == "O"),
-                       F.struct("p_name", (F.col("p_type") == "PROMO").alias("promo")))
+                F.when(flag == "A", F.struct("p_name", (F.col("p_type") == "PROMO").alias("promo")))
             ).alias("parts"),
-            F.collect_set(
-                F.when((flags[0] == "R") & (flags[1] == "F") & (F.col("l_quantity") > 35), F.col("p_brand"))
-            ).alias("brands"),
+            F.collect_set(F.when(flag == "R", F.col("p_brand"))).alias("brands"),
         )
     )
 
@@ -77,11 +82,13 @@ def facility_mentions(spark: SparkSession, folder: str) -> DataFrame:
     base = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .where((F.col("n_nationkey") < 18) | (F.col("o_custkey") % 10 == 0))
         .join(lines, orders.o_orderkey == lines.l_orderkey, "left")
     )
     cust, order, nat = F.col("o_custkey"), F.col("o_orderkey"), F.col("n_nationkey")
     cust_text, order_text = cust.cast("string"), order.cast("string")
+    # Of the last nations, one customer in ten names the nation's own region, so that some regions are nearly
+    # empty; the others name the first regions.
+    moved = (nat >= 18) & (cust % 10 != 0)
     # Only these facilities say anything about procedures and equipment.
     talks = cust % 24 != 0
 
@@ -114,7 +121,8 @@ def facility_mentions(spark: SparkSession, folder: str) -> DataFrame:
         F.when(cust % 7 == 0, "null").otherwise((1950 + cust % 70).cast("string")).alias("yearEstablished"),
         F.when(cust % 4 == 0, "true").when(cust % 4 == 1, "false").alias("acceptsVolunteers"),
         F.when(cust % 5 == 0, F.concat(F.lit("https://facebook.com/f"), cust_text)).alias("facebookLink"),
-        F.when(nat == 23, None).when(nat == 24, "null").otherwise(_pick(REGION_TEXTS, nat))
+        F.when(moved, _pick(REGION_TEXTS, nat % 18)).when(nat == 23, None).when(nat == 24, "null")
+        .otherwise(_pick(REGION_TEXTS, nat))
         .alias("address_stateOrRegion"),
         city.alias("address_city"),
         F.lit("Ghana").alias("address_country"),
