@@ -14,10 +14,13 @@ import hashlib
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardmap.llm import arrays
 from wardmap.llm.keys import ROW_HASH, ROW_ID, join_rows, keyed
 from wardmap.session import stored
 
@@ -69,6 +72,35 @@ PATTERNS = [
 DIGIT = re.compile(r"\d")
 
 
+#: Words without which, and without a digit, an @ or a long word, no pattern matches.
+TRIGGERS = sorted({w for t in [*TITLES["m"], *TITLES["f"], *TITLES[""], *GENDER] for w in re.split("[-.]", t.lower()) if w}
+                  | set("token secret password passwd pwd api apikey access accesskey auth authkey sk xoxa xoxb xoxp xoxr xoxs".split()))
+LONG_WORD = 20
+
+
+def worth_reading(texts: arrays.Texts) -> np.ndarray:
+    """Which texts can hold an entity; the patterns are slow, so they read only those."""
+    spans = arrays.find_spans(texts, arrays.ALPHANUMERIC)
+    # Titles and names beyond ASCII are looked up as they are written in lower case and with a capital.
+    known = pa.array([*TRIGGERS, *[t.capitalize() for t in TRIGGERS], *[t.upper() for t in TRIGGERS]])
+    _, lookup = next(arrays.text_slices(known))
+    wanted = np.unique(arrays.span_hashes(lookup, arrays.find_spans(lookup, arrays.ALPHANUMERIC), arrays.LOWERED))
+    hashes = arrays.span_hashes(texts, spans, arrays.LOWERED)
+    place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+    hit = (wanted[place] == hashes) | (spans.ends - spans.starts >= LONG_WORD)
+    marked = np.bincount(spans.row[hit], minlength=texts.rows) > 0
+    sign = (texts.data == ord("@")) | ((texts.data >= ord("0")) & (texts.data <= ord("9")))
+    sums = np.concatenate([[0], np.cumsum(sign)])
+    return marked | (sums[texts.offsets[1:]] > sums[texts.offsets[:-1]])
+
+
+def readable(column: pa.Array) -> list[str | None]:
+    """The texts of a column that are worth reading, None for the others."""
+    parts = [worth_reading(texts) for _, texts in arrays.text_slices(column)]
+    use = np.concatenate(parts) if parts else np.zeros(0, bool)
+    return pc.if_else(pa.array(use), column, pa.scalar(None, column.type)).to_pylist()
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) * 2 - 9 * (d > "4") if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -258,7 +290,8 @@ def corpus_atoms(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     def run(batches):
         for batch in batches:
             ids, hashes, kinds, values = [], [], [], []
-            for own, row_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                           readable(batch.column(2)), strict=True):
                 for kind, value in sorted({a[2:] for a in atoms(text)}) if text else ():
                     ids.append(own)
                     hashes.append(row_hash)
@@ -327,15 +360,17 @@ def pseudonymised(
 
     def run(batches):
         for batch in batches:
-            out, counts, kinds = [], [], []
-            for text, again in zip(batch.column("__text").to_pylist(), batch.column("again").to_pylist(), strict=True):
+            column = batch.column("__text")
+            changed, counts, kinds = [], [], []
+            for text, again in zip(readable(column), batch.column("again").to_pylist(), strict=True):
                 new, found = scrub(text, key, {(a["kind"], a["value"]): a["new"] for a in again or ()}) if text else (
-                    text, [])
-                out.append(new)
+                    None, [])
+                changed.append(new if found else None)
                 counts.append(len(found))
                 kinds.append(",".join(sorted({k.split("-")[0] for k in found})))
+            out = pc.coalesce(pa.array(changed, pa.string()), column.cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(ROW_ID), pa.array(out, pa.string()), pa.array(counts, pa.int64()),
+                [batch.column(ROW_ID), out, pa.array(counts, pa.int64()),
                  pa.array(kinds, pa.string())], ["doc_id", "text", "n_entities", "kinds"])
 
     return texts.select(ROW_ID, "__text", "again").mapInArrow(
