@@ -280,13 +280,19 @@ sql("keyword_search", """SELECT question_id, pk_unique_id, score, CAST(r AS INT)
     SELECT question_id, pk_unique_id, count(DISTINCT word) AS score
     FROM (SELECT question_id, unnest(regexp_split_to_array(lower(question), '\\s+')) AS word FROM asked) w
     JOIN parts ON contains(lower(txt), word) GROUP BY ALL)) WHERE r <= 10""")
+sql("logged_question_keywords", """SELECT question_id, pk_unique_id, score, CAST(r AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pk_unique_id) AS r FROM (
+    SELECT question_id, pk_unique_id, count(DISTINCT word) AS score
+    FROM (SELECT question_id, unnest(regexp_split_to_array(lower(question_id), '\\s+')) AS word
+          FROM (SELECT DISTINCT question AS question_id FROM question_log)) w
+    JOIN parts ON contains(lower(txt), word) GROUP BY ALL)) WHERE r <= 3""")
 
 
 def tokens(expr: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({expr}), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
-def tfidf(k: int, source: str = "parts") -> str:
+def tfidf(k: int, source: str = "parts", asked: str = "asked") -> str:
     return f"""
 words AS (SELECT pk_unique_id, unnest({tokens('txt')}) AS term FROM {source}),
 term_counts AS (SELECT pk_unique_id, term, count(*) AS tf FROM words GROUP BY ALL),
@@ -295,7 +301,7 @@ doc_weights AS (SELECT pk_unique_id, term, tf * idf AS w FROM term_counts JOIN i
 doc_norms AS (SELECT pk_unique_id, sqrt(sum(w * w)) AS norm FROM doc_weights GROUP BY 1),
 question_weights AS (
   SELECT question_id, term, count(*) * any_value(idf) AS qw
-  FROM (SELECT question_id, unnest({tokens('question')}) AS term FROM asked) JOIN idfs USING (term) GROUP BY ALL
+  FROM (SELECT question_id, unnest({tokens('question')}) AS term FROM {asked}) JOIN idfs USING (term) GROUP BY ALL
 ),
 question_norms AS (SELECT question_id, sqrt(sum(qw * qw)) AS q_norm FROM question_weights GROUP BY 1),
 hits AS (
@@ -308,6 +314,8 @@ hits AS (
 
 
 sql("tfidf_search", "SELECT * FROM hits", tfidf(10))
+LOGGED = "logged AS (SELECT DISTINCT question AS question_id, question FROM question_log),"
+sql("logged_question_search", "SELECT * FROM hits", LOGGED + tfidf(3, asked="logged"))
 sql("search_hits_with_facilities", f"""SELECT question_id, rank, score, pk_unique_id, name, {R}, "facilityTypeId", num_specialties
   FROM hits JOIN facilities USING (pk_unique_id)""", tfidf(5))
 sql("filtered_search", "SELECT * FROM hits", """
@@ -319,6 +327,9 @@ CONTEXT = f"""concat_ws(chr(10), '[Facility ' || rank || ']', 'Name: ' || name,
         ("Capabilities", "capability")]) + ", 'Description: ' || left(description, 300))"
 sql("question_retrieval_contexts", f"""SELECT question_id, count(*) AS hits, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context
   FROM (SELECT question_id, rank, {CONTEXT} AS block FROM hits JOIN singles f USING (pk_unique_id)) GROUP BY 1""", tfidf(5))
+sql("logged_question_contexts", f"""SELECT question_id, count(*) AS hits, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM (SELECT question_id, rank, {CONTEXT} AS block FROM hits JOIN singles f USING (pk_unique_id)) GROUP BY 1""",
+    LOGGED + tfidf(3, asked="logged"))
 sql("hashed_text_vectors", f"""SELECT pk_unique_id, count(*) AS entries, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) AS slots,
     round(sum(w) / nullif(sqrt(sum(w * w)), 0), 6) AS weight_sum
   FROM (SELECT pk_unique_id, slot, tf * ln((total + 1) / (count(*) OVER (PARTITION BY slot) + 1)) AS w
@@ -548,4 +559,12 @@ ORACLE["upserted_users"] = USERS
 ORACLE["stream_keyed_users"] = USERS
 ORACLE["stream_hourly_activity"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS events,
   round(sum(value), 4) AS value_sum, max(value) AS value_max FROM events GROUP BY 1, 2"""
+ORACLE["stream_activity_with_watermark"] = ORACLE["stream_hourly_activity"]
+sql("registry_from_csv", """SELECT pk_unique_id, count(*) + count(*) FILTER (WHERE scraped_at >= TIMESTAMP '1998-07-01') AS row_count,
+  count(name) AS named, max(scraped_at) FILTER (WHERE scraped_at >= TIMESTAMP '1998-07-01') AS last_scraped
+  FROM mentions GROUP BY 1""")
+sql("list_sizes_and_texts", f"""SELECT m.pk_unique_id, m.source_url,
+  CASE WHEN specialties LIKE '[%' THEN json_array_length(CAST(specialties AS JSON)) ELSE 0 END::BIGINT AS raw_items,
+  CAST(to_json(list_sort(CASE WHEN specialties LIKE '[%' THEN CAST(CAST(specialties AS JSON) AS VARCHAR[]) ELSE [] END)) AS VARCHAR) AS cleaned
+  FROM mentions m""")
 

@@ -10,11 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lists import item_count, json_items, to_json_list
 from ..operators import changes, evaluation, flags, geo, merge, profile, regions, routing, rules, search
 from ..session import apply_runtime_settings, new_path, stored
 from ..sources.dimensions import QUESTIONS, REGION_COORDS
 from ..sources.mentions import DERIVED_EQUIPMENT_RULES
-from ..sources.tables import KEY, domain_values, register_view
+from ..sources.tables import (
+    KEY, REGISTRY_SCHEMA, SOURCE, domain_values, read_evolving, read_registry_csv, register_view,
+    with_safe_names, write_table,
+)
 from ..streaming import jobs
 from .tables import SNAPSHOT_CUT, Registry
 
@@ -450,6 +454,33 @@ def emergency_cold_spots(t):
 
 # ---------------------------------------------------------------- search
 
+def asked(t):
+    """The fixed question set as a table."""
+    return search.question_table(t.spark, ASKED)
+
+
+def logged(t):
+    """The distinct questions of the log, each its own id."""
+    return t.log.select(F.col("question").alias("question_id"), "question").distinct()
+
+
+@query
+def logged_question_keywords(t):
+    return search.keyword_search(t.parts, logged(t), 3)
+
+
+@query
+def logged_question_search(t):
+    return search.tfidf_search(t.parts, logged(t), 3)
+
+
+@query
+def logged_question_contexts(t):
+    hits = stored(search.tfidf_search(t.parts, logged(t), 3), "hits")
+    records = merge.merge_by_key(search.mentions_of(t.mentions, hits))
+    return search.question_contexts(search.hit_rows(hits, records))
+
+
 @query
 def search_text(t):
     return search.search_chunks(t.mentions)
@@ -462,12 +493,12 @@ def plain_search_text(t):
 
 @query
 def keyword_search(t):
-    return search.keyword_search(t.parts, ASKED)
+    return search.keyword_search(t.parts, asked(t))
 
 
 @query
 def tfidf_search(t):
-    return search.tfidf_search(t.parts, ASKED)
+    return search.tfidf_search(t.parts, asked(t))
 
 
 @query
@@ -482,7 +513,7 @@ def hashed_text_vectors(t):
 
 @query
 def search_hits_with_facilities(t):
-    hits = stored(search.tfidf_search(t.parts, ASKED, 5), "hits")
+    hits = stored(search.tfidf_search(t.parts, asked(t), 5), "hits")
     rows = search.hit_rows(hits, flags.enrich(search.mentions_of(t.mentions, hits)))
     return rows.select("question_id", "rank", "score", KEY, "name", REGION, "facilityTypeId", "num_specialties")
 
@@ -490,12 +521,12 @@ def search_hits_with_facilities(t):
 @query
 def filtered_search(t):
     hospitals = t.singles.where(F.col("facilityTypeId") == "hospital").select(KEY)
-    return search.tfidf_search(t.parts.join(hospitals, KEY, "left_semi"), ASKED, 5)
+    return search.tfidf_search(t.parts.join(hospitals, KEY, "left_semi"), asked(t), 5)
 
 
 @query
 def question_retrieval_contexts(t):
-    hits = stored(search.tfidf_search(t.parts, ASKED, 5), "hits")
+    hits = stored(search.tfidf_search(t.parts, asked(t), 5), "hits")
     records = merge.merge_by_key(search.mentions_of(t.mentions, hits))
     return search.question_contexts(search.hit_rows(hits, records))
 
@@ -740,6 +771,44 @@ def stream_keyed_users(t):
     return table.select("user_id", "event_id", "event_type", "value")
 
 
+@query
+def stream_activity_with_watermark(t):
+    """Events more than 60 days behind the newest are late; the state holds 60 days of windows and types."""
+    stream = jobs.read_event_stream(t.spark, t.folder)
+    table = jobs.rolling_statistics(stream, new_path(t.spark, "late-activity"), delay="60 days")
+    return table.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events",
+        F.round("value_sum", 4).alias("value_sum"), "value_max",
+    )
+
+
+def _registry_csv(t):
+    """The registry as scraped files: CSV written by Spark and read back by header."""
+    path = new_path(t.spark, "registry-csv")
+    columns = [c for c in t.mentions.columns if c in REGISTRY_SCHEMA.names]
+    t.mentions.select(columns).write.options(header=True, quote='"', escape='"', emptyValue='""', nullValue="").csv(path)
+    return read_registry_csv(t.spark, path)
+
+
+@query
+def registry_from_csv(t):
+    """Reads the CSV, replaces a table with it, appends a batch with a new column and reads both."""
+    rows, path = _registry_csv(t), new_path(t.spark, "registry")
+    write_table(with_safe_names(rows).withColumn(KEY, F.col(KEY).cast("bigint")), path)
+    batch = t.mentions.where("scraped_at >= timestamp'1998-07-01'").select(KEY, SOURCE, "scraped_at")
+    write_table(batch, path, "append")
+    return read_evolving(t.spark, path).groupBy(KEY).agg(
+        F.count("*").alias("row_count"), F.count("name").alias("named"), F.max("scraped_at").alias("last_scraped"))
+
+
+@query
+def list_sizes_and_texts(t):
+    """Size of the raw specialty list of each mention, and of its cleaned form written back as JSON."""
+    cleaned = json_items(F.col("specialties"))
+    return t.mentions.select(KEY, SOURCE, item_count(F.col("specialties")).cast("bigint").alias("raw_items"),
+                             to_json_list(cleaned).alias("cleaned"))
+
+
 @query
 def stream_hourly_activity(t):
     stream = jobs.read_event_stream(t.spark, t.folder)
