@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardmap.llm import arrays
-from wardmap.llm.keys import ROW_HASH, ROW_ID, by_batch, join_rows, keyed
+from wardmap.llm.keys import ROW_HASH, ROW_ID, bitmap_of, by_batch, in_bitmap, join_rows, keyed
 from wardmap.session import stored
 
 SALTS = 16
@@ -48,9 +48,7 @@ def kept_grams(hashes: np.ndarray, row: np.ndarray, size: int, gram: int, bitmap
     kept[(np.arange(n) + at)[inside]] = True
     places = np.flatnonzero(kept)
     if bitmap is not None:
-        found = grams[places]
-        bits = (found & np.uint64(len(bitmap) * 64 - 1)).astype(np.int64)
-        places = places[(bitmap[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) != 0]
+        places = places[in_bitmap(bitmap, grams[places])]
     starts = places[:, None] + np.arange(1 - reach, 1)
     ok = (starts >= 0) & (starts < n)
     starts[~ok] = 0
@@ -121,13 +119,9 @@ def contamination(
         lambda b: anchors_of(b, None, gram, window, None), SCHEMA).where("__n_words > 0"), "windows")
     theirs = source.select(F.col(ROW_ID).alias("item"), F.explode("__anchors").alias("a")).select(
         "item", "a.size", "a.gram", "a.windows")
-    # At most ``window`` sizes, and at most 2 ** bitmap_bits / 64 words of the bitmap.
+    # At most ``window`` sizes.
     sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())
-    bit = F.col("gram").bitwiseAND((1 << bitmap_bits) - 1)
-    words = theirs.select(F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("b"))
-    bitmap = np.zeros((1 << bitmap_bits) // 64, np.uint64)
-    for at, b in words.groupBy("at").agg(F.bit_or("b")).collect():
-        bitmap[at] = np.uint64(b & (2**64 - 1))
+    bitmap = bitmap_of(theirs, "gram", bitmap_bits)
     sent = spark.sparkContext.broadcast(bitmap)
     rows = stored(by_batch(
         keyed(docs, id_column, text_column), lambda b: anchors_of(b, sizes, gram, window, sent.value), SCHEMA),

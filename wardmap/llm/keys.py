@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,27 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]
     return df.mapInArrow(run, schema)
 
 
+def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` bits with those of a column's 64-bit hashes set.
+
+    Its size does not depend on the rows: more of them only make it less selective. It is put together by a
+    grouped OR, and at most ``2 ** bits / 64`` words come to the driver.
+    """
+    bit = F.col(column).bitwiseAND((1 << bits) - 1)
+    words = df.select(F.shiftright(bit, 6).alias("at"),
+                      F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
+    bitmap = np.zeros((1 << bits) // 64, np.uint64)
+    for at, b in words.groupBy("at").agg(F.bit_or("b")).collect():
+        bitmap[at] = np.uint64(b & (2**64 - 1))
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set."""
+    place = (hashes & np.uint64(len(bitmap) * 64 - 1)).astype(np.int64)
+    return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
 def connected_components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """(node, component) for all nodes of an undirected graph; the component is its smallest node.
 

@@ -1,41 +1,36 @@
 """N-gram Jaccard join: documents whose sets of word shingles are similar, by signature trees.
 
 1. Every document's set of shingles is hashed; equal sets form a class, and classes are compared once.
-2. Blocking without loss. Similar sets differ in few shingles for their size. A set is cut by hash into more
-   parts than that number, so similar sets agree in at least one part; parts are compared between sets of
-   neighbouring size bands only. Classes that share a part are joined into clusters (connected components).
-3. Within a cluster a signature tree finds the links. A cluster larger than a block is cut into blocks: each is
-   searched together with the cluster's leader, and then only classes that are not linked to the leader are
-   taken to the other blocks. So a large group of copies costs one comparison per member, not one per pair.
-4. Links are joined into components again.
+2. Of a set of n shingles, fewer than p = n - ceil(t n) + 1 can be missing from a set of similarity t. A class
+   with p shingles that no other class has is linked with nothing. Shingles are counted over a fixed share of
+   all hash values for that, which can only leave more classes in.
+3. Among the classes left, shingles are put in order of their frequency. Similar sets share one of their first p
+   shingles; the classes that have such a shingle in common form a group with the smallest class as its hub.
+4. Within the group of a hub a signature tree finds the links. A group larger than a block is cut into blocks:
+   each is searched together with the hub, and then only classes that are not linked to the hub are taken to the
+   other blocks. So a large group of copies costs one comparison per member, not one per pair.
+5. Links are joined into components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardmap.llm import arrays, signature_tree
-from wardmap.llm.keys import ROW_HASH, ROW_ID, connected_components, join_rows, keyed
+from wardmap.llm.keys import ROW_HASH, ROW_ID, bitmap_of, by_batch, connected_components, in_bitmap, join_rows, keyed
 from wardmap.session import stored
 
 SHINGLE = 3
 #: Least similarity, as a fraction.
 SIMILARITY = (90, 100)
+BITMAP_BITS = 24
 #: Shingles of a block that one task searches.
 BLOCK = 1_000_000
 
 
-def size_bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
-    """Smallest sizes of the bands; similar sets are in the same or in neighbouring ones."""
-    edges = [1]
-    while edges[-1] < most:
-        edges.append(max(edges[-1] + 1, -(-edges[-1] * den // num)))
-    return np.array(edges)
-
-
 def shingles(texts: arrays.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles; a text of fewer than ``k`` words is one shingle."""
     spans = arrays.find_spans(texts, arrays.SPACED)
@@ -58,79 +53,78 @@ def sums_by(values: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def parts_of(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, edges: np.ndarray, num: int, den: int):
-    """(row, signature) of the parts of each set, for the bands in which it can meet similar sets.
+def prefix(size: str | Column, num: int, den: int) -> Column:
+    """p of the module's text, for a column of sizes."""
+    size = F.col(size) if isinstance(size, str) else size
+    return size - F.ceil(size * num / F.lit(den)) + 1
 
-    Sets of up to ``u`` shingles differ in at most ``h = 2 u (den - num) / (den + num)``. Of ``h + 1 + spare``
-    parts at least ``1 + spare`` agree. Empty parts, which agree by chance, are left out unless a set has more
-    than ``spare`` of them; then an agreeing part that is not empty is left for every similar pair all the same.
-    """
-    out_row, out = [], []
-    band = np.searchsorted(edges, sizes, "right") - 1
-    token = arrays.mix(value ^ np.uint64(0x5851F42D4C957F2D))
-    for step in (0, 1):
-        key = band + step
-        differ = 2 * (edges[np.minimum(key + 1, len(edges) - 1)] - 1) * (den - num) // (den + num)
-        spare = 1 + differ // 100
-        n = np.where((sizes > 0) & (differ > 0), differ + 1 + spare, 0)
-        first = np.concatenate([[0], np.cumsum(n)])
-        use = n[row] > 0
-        of = row[use]
-        part = ((token[use] >> np.uint64(32)) * n[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        place = first[of] + part
-        sums = sums_by(token[use], place, first[-1])
-        filled = np.bincount(place, minlength=first[-1]) > 0
-        part_row = np.repeat(np.arange(len(n)), n)
-        number = np.arange(first[-1]) - first[part_row]
-        empty = np.bincount(part_row[~filled], minlength=len(n))
-        kept = filled | (empty > spare)[part_row]
-        names = arrays.mix(key[part_row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64))
-        out_row.append(part_row[kept])
-        out.append(arrays.mix(sums ^ names)[kept])
-    row, value = np.concatenate(out_row), np.concatenate(out)
-    order = np.argsort(row, kind="stable")
-    return row[order], value[order]
-
-
-SETS = f"{ROW_ID} bigint, {ROW_HASH} bigint, size bigint, class bigint, parts array<bigint>"
-
-
-def set_rows(docs: DataFrame, id_column: str, text_column: str, k: int, num: int, den: int) -> DataFrame:
-    """Size, class and part signatures of each row's set; class is null for an empty set.
-
-    A class is the 64-bit sum of its mixed shingles and its size. Within an Arrow batch, equal sets carry their
-    parts once.
+
+SETS = f"{ROW_ID} bigint, {ROW_HASH} bigint, size bigint, class bigint, counted array<bigint>"
+
+
+def set_rows(docs: DataFrame, id_column: str, text_column: str, k: int, share: float) -> DataFrame:
+    """Size, class and counted shingles (a ``share`` of all hash values) of each row's set.
+
+    A class is the 64-bit sum of its mixed shingles and its size; null for an empty set. Within an Arrow batch,
+    equal sets carry their shingles once.
     """
-    edges = size_bands(num, den)
+    below = np.uint64(min(2**64 - 1, int(share * 2**64)))
 
     def run(batches):
         for batch in batches:
-            sizes, classes, signatures, counts = [], [], [], []
+            sizes, classes, counted, counts = [], [], [], []
             seen = np.zeros(0, np.uint64)
             for _, texts in arrays.text_slices(batch.column("__text")):
                 row, value = shingles(texts, k)
                 n = np.bincount(row, minlength=texts.rows)
-                name = arrays.mix(sums_by(arrays.mix(value), row, texts.rows) + n.astype(np.uint64))
-                part_row, part = parts_of(row, value, n, edges, num, den)
+                name = class_names(row, value, n)
                 _, first = np.unique(name, return_index=True)
                 new = np.zeros(texts.rows, bool)
                 new[first] = True
                 new &= ~np.isin(name, seen)
                 seen = np.concatenate([seen, name[new]])
+                use = new[row] & (arrays.mix(value ^ np.uint64(0xD6E8FEB86659FD93)) <= below)
+                order = np.argsort(row[use], kind="stable")
                 sizes.append(n)
                 classes.append(pa.array(name.view(np.int64), mask=n == 0))
-                signatures.append(part[new[part_row]])
-                counts.append(np.bincount(part_row[new[part_row]], minlength=texts.rows))
+                counted.append(value[use][order])
+                counts.append(np.bincount(row[use], minlength=texts.rows))
             if sizes:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(ROW_ID), batch.column(ROW_HASH), pa.array(np.concatenate(sizes).astype(np.int64)),
                      pa.concat_arrays(classes),
-                     arrays.list_column(pa.array(np.concatenate(signatures).view(np.int64)), np.concatenate(counts))],
-                    [ROW_ID, ROW_HASH, "size", "class", "parts"])
+                     arrays.list_column(pa.array(np.concatenate(counted).view(np.int64)), np.concatenate(counts))],
+                    [ROW_ID, ROW_HASH, "size", "class", "counted"])
 
     return keyed(docs, id_column, text_column).mapInArrow(run, SETS)
 
 
+def class_names(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return arrays.mix(sums_by(arrays.mix(value), row, len(sizes)) + sizes.astype(np.uint64))
+
+
+def passing(rows: DataFrame, bitmap) -> DataFrame:
+    """Keyed rows whose text hash has its bit set."""
+    return by_batch(
+        rows, lambda b: b.filter(pa.array(in_bitmap(bitmap.value, b.column(ROW_HASH).to_numpy().view(np.uint64)))),
+        f"{ROW_ID} bigint, {ROW_HASH} bigint, __text string")
+
+
+def all_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(class, size, shingle) for all shingles of (class, size, ``__text``)."""
+
+    def run(batches):
+        for batch in batches:
+            for start, texts in arrays.text_slices(batch.column("__text")):
+                row, value = shingles(texts, k)
+                at = pa.array(row + start)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("class").take(at), batch.column("size").take(at), pa.array(value.view(np.int64))],
+                    ["class", "size", "shingle"])
+
+    return texts.select("class", "size", "__text").mapInArrow(run, "class bigint, size bigint, shingle bigint")
+
+
 def group_links(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes, from rows with group columns g1, g2, g3, class, label and ``__text``.
 
@@ -191,36 +185,40 @@ def near_copies(
     """
     num, den = similarity
     spark = docs.sparkSession
-    rows = stored(set_rows(docs, id_column, text_column, shingle, num, den), "sets")
+    # Most classes have more unique shingles among these than they may miss.
+    share = min(1.0, 2.5 * (den - num) / den)
+    rows = stored(set_rows(docs, id_column, text_column, shingle, share), "sets")
     # One row of each class, the one with the smallest id, and that id.
     classes = stored(rows.where("class is not null").groupBy("class").agg(
         F.min(F.struct(F.col(ROW_ID).isNull().alias("none"), F.col(ROW_ID).alias("id"), F.col(ROW_HASH).alias("hash")))
         .alias("first"), F.max("size").alias("size")), "classes")
 
-    parts = rows.where("size(parts) > 0").select("class", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last")
-    meets = parts.join(shared.drop("last"), "part").where("class <> hub").select("class", "hub").distinct()
-    clusters = connected_components(meets, "class", "hub", "clusters")
-
-    members = classes.join(clusters, classes["class"] == clusters["node"]).select(
-        "class", "size", F.col("first.id").alias(ROW_ID), F.col("first.hash").alias(ROW_HASH),
-        F.col("component").alias("cluster"))
-    totals = members.groupBy("cluster").agg(F.ceil(F.sum("size") / block).alias("blocks"),
-                                            F.min("class").alias("leader"))
-    members = stored(members.join(totals, "cluster"), "members")
-    texts = keyed(docs, id_column, text_column)
-    texts = stored(join_rows(texts, members.drop("size"), "inner").dropDuplicates(["class"]).select(
-        "class", "cluster", "blocks", "leader", "__text",
-        F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block")), "member-texts")
-
+    counted = rows.where("size(counted) > 0").select("class", F.explode("counted").alias("shingle"))
+    single = counted.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("last")).where(
+        "class = last")
+    # Dealt out by class before they are counted: a class has few of them in any one task.
+    single = single.select("class").repartition("class").groupBy("class").agg(F.count("*").alias("single"))
+    left = classes.join(single, "class", "left").where(F.coalesce("single", F.lit(0)) < prefix("size", num, den))
+    left = stored(left.select("class", "size", F.col("first.id").alias(ROW_ID), F.col("first.hash").alias(ROW_HASH)),
+                  "left")
+    # A bitmap of fixed size keeps most other texts from being moved.
+    bitmap = spark.sparkContext.broadcast(bitmap_of(left, ROW_HASH, BITMAP_BITS))
+    texts = stored(join_rows(passing(keyed(docs, id_column, text_column), bitmap), left, "inner").dropDuplicates(["class"]).select(
+        "class", "size", "__text"), "left-texts")
+
+    groups = hub_groups(stored(all_shingles(texts, shingle), "shingles"), num, den)
+    totals = groups.join(left.select("class", "size"), "class").groupBy("hub").agg(
+        F.ceil(F.sum("size") / block).alias("blocks"))
+    members = stored(groups.join(totals, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))),
+                     "members")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    leaders = texts.where("blocks > 1 and class = leader").withColumn("block", everywhere)
-    groups = texts.where("blocks = 1 or class <> leader").unionByName(leaders)
-    links = stored(group_links(groups.selectExpr(
-        "cluster g1", "block g2", "0L g3", "class", "class label", "__text"), shingle, num, den), "links")
+    hubs = members.where("blocks > 1 and class = hub").withColumn("block", everywhere)
+    placed = members.where("blocks = 1 or class <> hub").unionByName(hubs).join(texts, "class")
+    links = stored(group_links(placed.selectExpr(
+        "hub g1", "block g2", "0L g3", "class", "class label", "__text"), shingle, num, den), "links")
     large = members.where("blocks > 1")
     if large.limit(1).count():
-        links = links.union(far_links(texts.where("blocks > 1"), large, links, block, shingle, num, den))
+        links = links.union(far_links(texts, large, links, block, shingle, num, den))
 
     joined = connected_components(links, "a", "b", "components")
     reached = classes.join(joined, classes["class"] == joined["node"]).select("class", "component", "first.id")
@@ -228,25 +226,43 @@ def near_copies(
     reached = reached.drop("id").join(smallest, "component").drop("component")
     found = classes.join(reached, "class", "left").select(
         "class", F.coalesce("smallest", "first.id").alias("component"))
-    return rows.drop("parts").join(found, "class", "left").withColumn(
+    return rows.drop("counted").join(found, "class", "left").withColumn(
         "component", F.when(F.col("class").isNull(), F.col(ROW_ID)).otherwise(F.col("component")))
 
 
+def hub_groups(shingle_rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(class, hub): classes that have one of their first shingles in common, in order of frequency.
+
+    Shingles of one class alone come first and find nothing, so only shared ones are put in order.
+    """
+    often = shingle_rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    shared = shingle_rows.join(often, "shingle")
+    by_class = Window.partitionBy("class")
+    placed = shared.select(
+        "class", "size", "shingle", F.row_number().over(by_class.orderBy("often", "shingle")).alias("place"),
+        F.count("*").over(by_class).alias("shared"))
+    first = stored(placed.where(F.col("place") + F.col("size") - F.col("shared") <= prefix("size", num, den)).select(
+        "class", "shingle"), "first-shingles")
+    hubs = first.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last")
+    return first.join(hubs.drop("last"), "shingle").select("class", "hub").distinct()
+
+
 def far_links(texts: DataFrame, members: DataFrame, links: DataFrame, block: int, k: int, num: int, den: int):
-    """Links between blocks of large clusters: of the classes that are not linked to their leader, to all others."""
+    """Links between blocks of large groups: of the classes that are not linked to their hub, to all others."""
     joined = connected_components(links, "a", "b", "near")
     own = members.join(joined, members["class"] == joined["node"], "left").select(
-        "class", "cluster", "size", "leader", F.coalesce("component", "class").alias("label"))
-    main = own.where("class = leader").select("cluster", F.col("label").alias("main"))
-    own = stored(own.join(main, "cluster").withColumn("apart", F.col("label") != F.col("main")), "labels")
-    bins = own.where("apart").groupBy("cluster").agg(F.ceil(F.sum("size") / block).alias("bins"))
-    labelled = texts.join(own.select("class", "label", "apart"), "class").join(bins, "cluster")
+        "hub", "class", "blocks", "block", F.coalesce("component", "class").alias("label"))
+    main = own.where("class = hub").select("hub", F.col("label").alias("main"))
+    own = own.join(main, "hub").withColumn("apart", F.col("label") != F.col("main"))
+    own = stored(own.join(texts.select("class", "size"), "class"), "labels")
+    bins = own.where("apart").groupBy("hub").agg(F.ceil(F.sum("size") / block).alias("bins"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["cluster g1", "block g2", "bin g3", "class", "label", "__text"]
+    columns = ["hub g1", "block g2", "bin g3", "class", "label"]
+    labelled = own.join(bins, "hub")
     fixed = labelled.withColumn("bin", every("bins")).selectExpr(*columns)
-    moved = labelled.where("apart").withColumn("bin", F.pmod(F.xxhash64("class", "cluster"), F.col("bins"))).drop(
+    moved = labelled.where("apart").withColumn("bin", F.pmod(F.xxhash64("class", "hub"), F.col("bins"))).drop(
         "block").withColumn("block", every("blocks")).selectExpr(*columns)
-    return stored(group_links(fixed.union(moved), k, num, den), "far-links")
+    return stored(group_links(fixed.union(moved).distinct().join(texts, "class"), k, num, den), "far-links")
 
 
 def near_copy_report(docs: DataFrame, **options) -> DataFrame:
