@@ -14,6 +14,7 @@ from ..session import stored
 from ..sources.dimensions import CRITICAL_SPECIALTIES
 from ..sources.tables import KEY
 from .flags import FLAGS, any_flag
+from .merge import paged_lists
 
 REGION = "address_stateOrRegion"
 
@@ -252,11 +253,9 @@ def regional_claims(f: DataFrame, claims: DataFrame, field: str) -> DataFrame:
 
 
 def specialties_by_region(f: DataFrame, claims: DataFrame) -> DataFrame:
-    """Sorted set of specialties per region, from the distinct (region, specialty) pairs."""
-    return (
-        regional_claims(f, claims, "specialties")
-        .groupBy(REGION).agg(F.array_sort(F.collect_list("item")).alias("specialties"))
-    )
+    """Sorted set of specialties per region, from the distinct (region, specialty) pairs, in pages."""
+    pairs = regional_claims(f, claims, "specialties").select(REGION, F.lit("specialties").alias("field"), "item")
+    return paged_lists(pairs, REGION).drop("field").withColumnRenamed("items", "specialties")
 
 
 def single_point_dependencies(f: DataFrame, claims: DataFrame, field: str = "specialties") -> DataFrame:

@@ -200,7 +200,7 @@ sql("missing_critical_specialties", f"""SELECT {R}, array_to_string(list_filter(
   lambda s: NOT list_contains(coalesce(offered, []), s)), '; ') AS missing
   FROM (SELECT f.{R}, list(DISTINCT item) FILTER (WHERE field = 'specialties') AS offered
         FROM facilities f LEFT JOIN claims c USING (pk_unique_id) GROUP BY 1)""")
-sql("specialties_by_region", f"""SELECT {R}, string_agg(item, '; ' ORDER BY item) AS specialties FROM regional_items
+sql("specialties_by_region", f"""SELECT {R}, CAST(0 AS BIGINT) AS page, CAST(1 AS BIGINT) AS n_pages, string_agg(item, '; ' ORDER BY item) AS specialties FROM regional_items
   WHERE field = 'specialties' GROUP BY 1""", REGIONAL)
 sql("single_point_specialties", f"SELECT {R}, item, first_facility FROM regional_items WHERE field = 'specialties' AND n = 1", REGIONAL)
 sql("single_point_procedures", f"SELECT {R}, item, first_facility FROM regional_items WHERE field = 'procedure' AND n = 1", REGIONAL)

@@ -345,7 +345,8 @@ def missing_critical_specialties(t):
 
 @query
 def specialties_by_region(t):
-    return regions.specialties_by_region(t.facilities, t.claims_of("specialties")).select(REGION, joined("specialties"))
+    listed = regions.specialties_by_region(t.facilities, t.claims_of("specialties"))
+    return listed.select(REGION, "page", "n_pages", joined("specialties"))
 
 
 @query
