@@ -25,6 +25,8 @@ from wardmap.llm.keys import ROW_HASH, ROW_ID, join_rows, keyed
 from wardmap.session import stored
 
 KEY = b"corpus-surrogates"
+#: Rounds after which a kind of which the corpus holds nearly all values is given up.
+MOST_DRAWS = 100
 
 # Titles and given names that tell a gender, by script.
 TITLES = {
@@ -229,7 +231,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return ".".join([str(first if private else 1 + (below(222) + 1) % 223), *rest])
     if kind == "phone":
         country, _, rest = value.partition(" ")
-        return f"{country} " + "".join(str(below(10)) for _ in rest)
+        # Where a corpus holds most numbers of a length, a digit more after some draws.
+        return f"{country} " + "".join(str(below(10)) for _ in range(len(rest) + attempt // 16))
     if kind == "card":
         body = value[0] + "".join(str(below(10)) for _ in value[1:-1])
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
@@ -263,7 +266,7 @@ def written(kind: str, text: str, new: str) -> str:
     """A surrogate in the format of the text that it replaces."""
     if kind in ("phone", "card", "iban"):
         bare = iter(new.replace(" ", ""))
-        return "".join(next(bare) if c.isalnum() else c for c in text)
+        return "".join([next(bare) if c.isalnum() else c for c in text]) + "".join(bare)
     if kind in ("token", "ip", "ssn"):
         return new
     if text.isupper() and len(text) > 1:
@@ -325,7 +328,7 @@ def distinct_surrogates(values: DataFrame, key: bytes) -> DataFrame:
     their kind is the gender, so that is how texts tell them apart.
     """
     state = stored(drawn(values.withColumn("attempt", F.lit(0)), key), "surrogates")
-    while True:
+    for _ in range(MOST_DRAWS):
         taken = values.select("kind", F.col("value").alias("new")).withColumn("real", F.lit(True))
         owners = state.groupBy("kind", "new").agg(F.min("value").alias("owner"), F.count("*").alias("n"))
         clashes = owners.join(taken, ["kind", "new"], "left").where("n > 1 or real")
@@ -337,6 +340,7 @@ def distinct_surrogates(values: DataFrame, key: bytes) -> DataFrame:
         marked = stored(marked.select("kind", "value", "attempt", "new", "again"), "marked")
         redone = drawn(marked.where("again").withColumn("attempt", F.col("attempt") + 1), key)
         state = stored(marked.where("not again").drop("again").unionByName(redone), "surrogates")
+    raise RuntimeError("the corpus holds nearly all values of a kind; no surrogates are left for it")
 
 
 def pseudonymised(
