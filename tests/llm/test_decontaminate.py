@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from conftest import ALNUM, FOLD, SMALL, documents, words
+from conftest import ALNUM, FOLD, documents, words
 
 from wardmap.llm.decontaminate import contamination, contamination_report, without_contaminated
 
@@ -73,4 +73,3 @@ def test_empty_tables(spark, rows):
     assert contamination(docs.limit(0), items).count() == 0
     assert not any(r.contaminated for r in contamination_report(docs, items).collect())
     assert without_contaminated(docs, items).count() == 6
-    assert SMALL

@@ -6,7 +6,7 @@ from conftest import FOLD, SPACED, documents, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wardmap.llm import arrays, signature_tree
+from wardmap.llm import signature_tree
 from wardmap.llm.near_copies import near_copy_report, without_near_copies
 
 
@@ -110,4 +110,3 @@ def test_tree_joins_what_pairs_join(seed, n):
         for j in range(i):
             if signature_tree.similar(sets[i], sets[j], 9, 10):
                 assert label[i] == label[j]
-    assert arrays.SLICE_BYTES

@@ -156,10 +156,6 @@ def whole_rows(row: np.ndarray, k: int) -> np.ndarray:
     return row[:n] == row[k - 1:k - 1 + n]
 
 
-def row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    return np.bincount(row, weights=values, minlength=rows).astype(np.int64) if len(row) else np.zeros(rows, np.int64)
-
-
 def list_column(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """Arrow lists of consecutive values, ``counts`` of them each."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)

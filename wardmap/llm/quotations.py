@@ -92,7 +92,8 @@ def parsed(messages: DataFrame) -> DataFrame:
                 [*batch.columns, pa.array(own, pa.string()), pa.array(found, pa.list_(fields))],
                 [*batch.schema.names, "own", "units"])
 
-    return messages.mapInArrow(run, f"conv bigint, turn bigint, row bigint, role string, text string, own string, units {kind}")
+    return messages.mapInArrow(
+        run, f"conv bigint, turn bigint, row bigint, role string, text string, own string, units {kind}")
 
 
 def linked(messages: DataFrame) -> DataFrame:
