@@ -35,20 +35,22 @@ PARTS = {
     "<nav><ul><li><a href=x>Home page</a></ul></nav>": "",
     "<h1>The title</h1>": "The title", "<p>First <b>para</b>graph &amp; more\n  words&nbsp;here.": "First paragraph & more words here.",
     "<div class='ad-box'>Buy this now</div>": "", "<p>Second &lt;p&gt; &#233; part": "Second <p> é part",
+    "<figure><img src=z alt=w><figcaption>A caption</figcaption></figure>": "A caption",
     "<script>if (a < b) { '<p>no</p>' }</script>": "", "<style>p > a {}</style>": "", "<!-- <p>hidden</p> -->": "",
     "<ul><li>item one<li>item two</ul>": "item one\nitem two", "<aside><p>Beside it</p></aside>": "",
     "<form><label>Your name</label><input value='x'><button>Send</button></form>": "",
     "<blockquote>Quoted <i>words</i></blockquote>": "Quoted words", "<p>line one<br>line two</p>": "line one\nline two",
     "<table><tr><td>cell a<td>cell b</table>": "cell a\ncell b", "<div id=cookie-notice>We use cookies</div>": "",
     "<section class='comments'><h3>Comments</h3><p>Nice article, dear author, thanks a lot for it</p></section>": "",
-    "<footer>&copy; all</footer>": "",
+    "<footer>&copy; all</footer>": "", "<p hidden>Not shown</p>": "", "<div style='display: none'>Nor this</div>": "",
+    "<article class='comment'><p>First!</p></article>": "", "<div role=navigation><a href=y>More</a></div>": "",
 }
 
 
 @pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class='story'>{}</div>"])
 def test_other_parts_are_left_out(spark, wrap):
     weights = learned(table(spark, SMALL, "pages"))
-    page = f"<html><head><title>t</title></head><body><header><h2>Site name</h2></header>{wrap.format(''.join(PARTS))}</body></html>"
+    page = f"<html><head><title>t</title></head><body><header><h2>Site name</h2></header><div class=top>Top line</div>{wrap.format(''.join(PARTS))}</body></html>"
     want = "\n".join(t for t in PARTS.values() if t)
     for known in ({}, weights):
         assert main_text(page, known) == want

@@ -47,14 +47,18 @@ NOT_CONTENT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
     "consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice "
     "notices notification paywall popup promo promoted promotion related replies respond share sharing sidebar social "
-    "sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert".split())
+    "sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert hidden responses feedback "
+    "discussion advertorial recommended trending signup login searchbox skiplink topbar sitemap".split())
+# Words that name a page's head or foot, but may also name those of an article.
+ENDS = frozenset("header top foot".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|iframe|noscript|template|svg|math|object|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title|iframe|noscript|template|svg|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
     r"|<(?:[/!?]|[a-z])[^>]*\Z", re.I | re.S)
+HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -64,6 +68,10 @@ Weights = dict[str, tuple[int, int]]
 def keys_of(name: str, attributes: str) -> list[str]:
     """The element's name, and the words of its class, id and role."""
     keys = [name]
+    if not attributes:
+        return keys
+    if HIDDEN.search(attributes):
+        keys.append(".hidden")
     if "=" in attributes:
         for found in NAMES.findall(attributes):
             keys += ["." + w for w in WORD.findall("".join(found).lower())]
@@ -81,7 +89,7 @@ def outside_share(keys: list[str], weights: Weights, in_main: bool) -> float:
             continue
         inside, outside = weights.get(key, (0, 0))
         meant = key in NOT_CONTENT or (key[0] == "." and key[1:] in NOT_CONTENT_WORDS) or (
-            key == "header" and not in_main)
+            not in_main and (key == "header" or key[0] == "." and key[1:] in ENDS))
         inside += PRIOR * (key in CONTENT)
         outside += PRIOR * meant
         if inside + outside >= EVIDENCE:
@@ -146,23 +154,27 @@ def tokens(page: str, weights: Weights) -> Iterator[tuple[str, object]]:
         yield "text", (page[at:], stack)
 
 
-def main_name(page: str) -> str | None:
-    """The element that marks the content of a labelled page."""
-    found = re.search(r"<article[\s>]", page, re.I) or re.search(r"<main[\s>]", page, re.I)
-    return found[0][1:-1].lower() if found else None
+def parsed(page: str, weights: Weights) -> list[tuple[str, object]]:
+    """The tokens of a page; a text's open elements as a tuple."""
+    return [(kind, (what[0], tuple(what[1])) if kind == "text" else what) for kind, what in tokens(page, weights)]
+
+
+def marked_by(opened: list[Element]) -> str | None:
+    """The element that marks the content of a labelled page: an article that is not left out, or else a main."""
+    names = {e.name for e in opened if e.main and not left_out(e)}
+    return "article" if "article" in names else "main" if names else None
 
 
 def evidence(page: str) -> Counter:
     """Of a labelled page's elements, how many hold content (key, 1) and how many are outermost without (key, 0)."""
-    mark = main_name(page)
     counts: Counter = Counter()
+    sequence = parsed(page, {})
+    elements = [what for kind, what in sequence if kind == "open"]
+    mark = marked_by(elements)
     if not mark:
         return counts
-    elements = []
-    for kind, what in tokens(page, {}):
-        if kind == "open":
-            elements.append(what)
-        elif kind == "text" and what[0].strip():
+    for kind, what in sequence:
+        if kind == "text" and what[0].strip():
             stack = what[1]
             if any(e.name == mark and e.main for e in stack) and all(e.share < OUTSIDE for e in stack):
                 for e in stack:
@@ -183,10 +195,11 @@ def pieces(page: str, weights: Weights) -> list[tuple[float, str | None, int]]:
     is not content costs ``BOUNDARY`` words, and any other up to one, by the share of its name that holds no
     content on labelled pages. All other tags, those in elements that are left out among them, cost next to nothing.
     """
-    mark = main_name(page)
+    sequence = parsed(page, weights)
+    mark = marked_by([what for kind, what in sequence if kind == "open"])
     out: list[tuple[float, str | None, int]] = []
     block = 0
-    for kind, what in tokens(page, weights):
+    for kind, what in sequence:
         if kind == "text":
             text, stack = what
             words = len(text.split())
