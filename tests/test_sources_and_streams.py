@@ -1,9 +1,10 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from wardmap.session import new_path, stored, work_dir
+from wardmap.session import drop_work, new_path, stored, work_dir
 from wardmap.sources import tables
 from wardmap.streaming import jobs
 
@@ -50,6 +51,14 @@ def test_work_folder_is_read_from_the_session(spark):
     assert table.count() == 5 and work_dir(spark).removeprefix("file:") in table.inputFiles()[0]
 
 
+def test_intermediate_tables_are_dropped_on_demand(spark):
+    drop_work(spark)
+    folder = stored(spark.range(3), "kept").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    assert drop_work(spark) == 1 and not os.path.exists(folder)
+    assert drop_work(spark) == 0
+
+
 @pytest.fixture()
 def feed(spark, tmp_path):
     """Events in four files, so that the streams run in several batches."""

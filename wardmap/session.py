@@ -56,9 +56,28 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders handed out since the last ``drop_work``.
+_HANDED_OUT: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """Unused folder for an intermediate table or a stream."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Delete the intermediate tables of the queries run so far; how many folders that were.
+
+    To be called once their results are written: a result not yet computed still reads them.
+    """
+    dropped = 0
+    while _HANDED_OUT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        dropped += bool(files.delete(path, True))
+    return dropped
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
