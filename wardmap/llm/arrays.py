@@ -156,6 +156,12 @@ def whole_rows(row: np.ndarray, k: int) -> np.ndarray:
     return row[:n] == row[k - 1:k - 1 + n]
 
 
+def small_batches(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of a few rows, for code that turns values into Python objects."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def list_column(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """Arrow lists of consecutive values, ``counts`` of them each."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardmap.llm.arrays import small_batches
+
 #: Labelled pages that the weights are fitted on.
 SAMPLE = 2000
 #: Pages that the meaning of a name counts for.
@@ -308,7 +310,7 @@ def extracted(
     sent = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for batch in batches:
+        for batch in (small for whole in batches for small in small_batches(whole)):
             texts = [main_text(page, sent.value) if page else "" for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),

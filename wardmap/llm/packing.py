@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardmap.llm.arrays import small_batches
 from wardmap.llm.keys import ROW_HASH, ROW_ID, keyed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -147,7 +148,7 @@ def packed(
         encoding, end = encoder(sent.value)
         kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
         block, tokens = [], 0
-        for batch in batches:
+        for batch in (small for whole in batches for small in small_batches(whole)):
             for own, row_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text:
                     continue
@@ -164,11 +165,6 @@ def packed(
     return texts.mapInArrow(run, PACKED).withColumn("pack_id", F.monotonically_increasing_id())
 
 
-def small_batches(batch: pa.RecordBatch, rows: int = 512):
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
-
-
 def write_packed(docs: DataFrame, path: str, **options) -> None:
     """Write the packed rows as Parquet: the id matrix as a fixed-width binary column, and its bookkeeping."""
     packed(docs, **options).write.parquet(path)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardmap.llm.arrays import small_batches
 from wardmap.session import new_path, stored
 
 SEGMENT_BYTES = 64 << 10
@@ -149,7 +150,7 @@ def write_archives(
     linked = rows.join(first, "signature", "left")
 
     def build(batches):
-        for batch in batches:
+        for batch in (small for whole in batches for small in small_batches(whole)):
             out = []
             for page in batch.to_pylist():
                 name = page_name(page["page"], page["row"])
@@ -286,7 +287,7 @@ def pages_from(records: DataFrame) -> DataFrame:
     """
 
     def decode(batches):
-        for batch in batches:
+        for batch in (small for whole in batches for small in small_batches(whole)):
             payloads, bytes_, digests, valid = [], [], [], []
             for message, kind, complete, stated in zip(
                     batch.column("message").to_pylist(), batch.column("kind").to_pylist(),
