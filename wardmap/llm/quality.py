@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wardmap.llm import arrays, logistic
 
 #: Labelled rows of each class that the classifier is fitted on.
-SAMPLE = 2000
+SAMPLE = 1500
 BITS = 17
 FAMILIES = 3
 STRENGTH = 30.0
