@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardmap.llm import arrays
 from wardmap.llm.keys import ROW_HASH, ROW_ID, join_rows, keyed
 from wardmap.session import stored
 
@@ -74,33 +73,51 @@ PATTERNS = [
 DIGIT = re.compile(r"\d")
 
 
-#: Words without which, and without a digit, an @ or a long word, no pattern matches.
-TRIGGERS = sorted({w for t in [*TITLES["m"], *TITLES["f"], *TITLES[""], *GENDER] for w in re.split("[-.]", t.lower()) if w}
-                  | set("token secret password passwd pwd api apikey access accesskey auth authkey sk xoxa xoxb xoxp xoxr xoxs".split()))
-LONG_WORD = 20
+def _class(characters: str) -> str:
+    """A class of RE2 with runs of characters."""
+    runs: list[list[int]] = []
+    for c in map(ord, characters):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
 
+def _re2_word(word: str) -> str:
+    r"""A word as RE2 finds it wherever ``\b`` stands before it; RE2's own knows ASCII only."""
+    return (r"\b" if word[0].isascii() else "") + re.escape(word)
 
-def worth_reading(texts: arrays.Texts) -> np.ndarray:
-    """Which texts can hold an entity; the patterns are slow, so they read only those."""
-    spans = arrays.find_spans(texts, arrays.ALPHANUMERIC)
-    # Titles and names beyond ASCII are looked up as they are written in lower case and with a capital.
-    known = pa.array([*TRIGGERS, *[t.capitalize() for t in TRIGGERS], *[t.upper() for t in TRIGGERS]])
-    _, lookup = next(arrays.text_slices(known))
-    wanted = np.unique(arrays.span_hashes(lookup, arrays.find_spans(lookup, arrays.ALPHANUMERIC), arrays.LOWERED))
-    hashes = arrays.span_hashes(texts, spans, arrays.LOWERED)
-    place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-    hit = (wanted[place] == hashes) | (spans.ends - spans.starts >= LONG_WORD)
-    marked = np.bincount(spans.row[hit], minlength=texts.rows) > 0
-    sign = (texts.data == ord("@")) | ((texts.data >= ord("0")) & (texts.data <= ord("9")))
-    sums = np.concatenate([[0], np.cumsum(sign)])
-    return marked | (sums[texts.offsets[1:]] > sums[texts.offsets[:-1]])
+
+_beyond = r"[^\x00-\x7f]"
+_space = rf"(?:[\s\x0b\x1c-\x1f]|{_beyond})*"
+#: For RE2: matches wherever one of the patterns does, and in some other texts. Words are looked for with the signs
+#: that must follow them; what stands before or after may be any sign, in ASCII or not.
+TRIGGERS = "|".join([
+    "@", _class("".join(c for c in map(chr, range(0x110000)) if DIGIT.match(c))),
+    rf"(?i:(?:token|secret|passw(?:or)?d|pwd|ap[iİı][_-]?key|access[_-]?key|auth[_-]?key)[\"']?{_space}[=:])",
+    rf"AKIA[A-Z]{{16}}|gh[pousr]_|sk-(?:[\w-]|{_beyond}){{20}}|xox[abprs]-|(?i:[a-f]{{32}})",
+    "(?:" + "|".join(_re2_word(t) for ts in TITLES.values() for t in ts) + r")\.?[ \t]",
+    "(?:" + "|".join(_re2_word(n) for ns in GIVEN.values() for n in ns) + r")[ \t]",
+])
 
 
 def readable(column: pa.Array) -> list[str | None]:
-    """The texts of a column that are worth reading, None for the others."""
-    parts = [worth_reading(texts) for _, texts in arrays.text_slices(column)]
-    use = np.concatenate(parts) if parts else np.zeros(0, bool)
-    return pc.if_else(pa.array(use), column, pa.scalar(None, column.type)).to_pylist()
+    """The texts of a column that can hold an entity, None for the others; the patterns are slow, RE2 is not."""
+    use = pc.match_substring_regex(column.cast(pa.large_string()), TRIGGERS)
+    return pc.if_else(use, column, pa.scalar(None, column.type)).to_pylist()
+
+
+def decimal(text: str) -> str:
+    """Digits of any script as ASCII ones."""
+    return text if text.isascii() else DIGIT.sub(lambda m: str(int(m[0])), text)
+
+
+def digits_like(text: str, new: str) -> str:
+    """ASCII digits in the script of a text's first digit."""
+    first = DIGIT.search(text)
+    zero = ord(first[0]) - int(first[0]) if first else ord("0")
+    return new if zero == ord("0") else "".join(chr(zero + int(c)) if c in "0123456789" else c for c in new)
 
 
 def luhn(digits: str) -> bool:
@@ -117,6 +134,8 @@ def normal(kind: str, text: str) -> str | None:
     """The normal form of a value; None if it is not of the kind after all."""
     if kind == "email":
         return text.lower()
+    if kind in ("card", "phone", "ssn", "iban", "ip"):
+        text = decimal(text)
     if kind == "card":
         digits = "".join(DIGIT.findall(text))
         return digits if luhn(digits) and len(set(digits)) > 1 else None
@@ -264,6 +283,8 @@ def syllables(script: str, below: Callable[[int], int], n: int) -> str:
 
 def written(kind: str, text: str, new: str) -> str:
     """A surrogate in the format of the text that it replaces."""
+    if kind in ("phone", "card", "iban", "ip", "ssn"):
+        new = digits_like(text, new)
     if kind in ("phone", "card", "iban"):
         bare = iter(new.replace(" ", ""))
         return "".join([next(bare) if c.isalnum() else c for c in text]) + "".join(bare)
