@@ -56,6 +56,41 @@ def test_other_parts_are_left_out(spark, wrap):
         assert main_text(page, known) == want
 
 
+WRAPPERS = [
+    ("<body class='no-sidebar comments-open'>", "</body>"), ("<html class='has-cookie-notice'><body class='header-image'>", "</body></html>"),
+    ("<body><div class='post social-share'>", "</div></body>"), ("<body class='content-sidebar'><div id=top class='page has-sidebar'><div class='overflow-hidden'>", "</div></div></body>"),
+]
+
+
+@pytest.mark.parametrize("start, end", WRAPPERS)
+@pytest.mark.parametrize("inner", [
+    "<article>{}</article>", "<main>{}</main>", "<div class='story'>{}</div>", "<article class='post comments-open'>{}</article>"])
+def test_class_words_of_wrappers_say_nothing(spark, start, end, inner):
+    weights = learned(table(spark, SMALL, "pages"))
+    content = "<h1>The title</h1>" + "".join(f"<p>Paragraph {i} has some words of the story.</p>" for i in range(8))
+    want = "\n".join(["The title", *[f"Paragraph {i} has some words of the story." for i in range(8)]])
+    beside = "<div class=sidebar><p>Popular <a href=x>links</a> of today</p></div><section class=comments><article><p>A comment</p></article></section>"
+    page = f"{start}<nav>Menu</nav>{inner.format(content + '<div class=share>Share it</div>')}{beside}{end}"
+    for known in ({}, weights):
+        assert main_text(page, known) == want
+
+
+def test_wrappers_of_labelled_pages_keep_their_meaning_elsewhere(spark):
+    story = "<p>" + "many words of a story " * 20 + "</p>"
+    labelled = f"<body><div class='page has-sidebar'><article>{story}</article><div class=box>Links</div></div></body>"
+    weights = learned(spark.createDataFrame([(i, labelled) for i in range(200)], "page_id long, html string"))
+    assert weights[".page"] == (200, 0) and ".sidebar" not in weights and weights[".box"] == (0, 200)
+    plain = f"<body><div class=story>{story}</div><div class=sidebar>Some popular links</div></body>"
+    assert main_text(plain, weights) == ("many words of a story " * 20).strip()
+    # Words of the lists are corrected by pages with such elements in the marked content.
+    noted = f"<body><article>{story}<p class=notice>Mind the step</p></article></body>"
+    weights = learned(spark.createDataFrame([(i, noted) for i in range(200)], "page_id long, html string"))
+    assert main_text(noted, weights).endswith("Mind the step") and "Mind" not in main_text(noted, {})
+    # Long comments are no wrapper.
+    plain = f"<body><div class=story><h1>T</h1>{story}</div><div class=comments>{story * 3}</div></body>"
+    assert main_text(plain, {}) == "T\n" + ("many words of a story " * 20).strip()
+
+
 def test_edge_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (2, None, ""), (3, "u", "plain words"), (4, "u", "<p>cut &am"), (5, "u", "<p>cut <a hr"),
             (6, "u", "<nav>menu</nav>"), (7, "u", "<p>" + "word " * 300_000), (8, "u", "a < b > c <3"), (None, "u", "<p>x</p>"),

@@ -6,7 +6,9 @@ themselves, with ``article`` or ``main``. One linear scan finds the region of ma
 known as menus, adverts, forms and the like are left out.
 
 Weights are fitted on a bounded sample of the labelled pages. Beside what they show, the meaning that HTML
-itself gives to element names, and common words in classes and ids, count as a fixed number of pages.
+itself gives to element names, and common words in classes and ids, count as a fixed number of pages. Words of
+classes and ids say nothing about ``html``, ``body`` and elements that wrap the content: those around the marked
+content, or with most of the words around them.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ EVIDENCE = 5
 #: What tags cost, in words.
 TAG, BOUNDARY = 0.001, 2.0
 
+#: So many times the words left elsewhere make an element without a heading the content.
+MOST = 9
+
 # Element names of the HTML standard.
 BLOCKS = frozenset(
     "address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset "
@@ -100,21 +105,24 @@ def outside_share(keys: list[str], weights: Weights, in_main: bool) -> float:
 
 
 class Element:
-    """An element of a page; ``share`` is that of ``outside_share``."""
+    """An element of a page; ``share`` is that of ``outside_share``, ``named`` that without its class words."""
 
-    __slots__ = ("name", "keys", "share", "main", "holds", "parent")
+    __slots__ = ("name", "keys", "share", "named", "main", "holds", "parent", "words", "every", "left", "heads")
 
-    def __init__(self, name: str, keys: list[str], share: float, main: bool, parent: Element | None = None):
+    def __init__(self, name: str, keys: list[str], share: float, main: bool, parent: Element | None = None,
+                 named: float = 0.0):
         self.name, self.keys, self.share, self.main, self.holds, self.parent = name, keys, share, main, False, parent
+        self.named, self.words = named, 0
 
 
-def tokens(page: str, weights: Weights) -> Iterator[tuple[str, object]]:
+def tokens(page: str, weights: Weights, wrapping: frozenset[int] = frozenset()) -> Iterator[tuple[str, object]]:
     """('text', (text, open elements)), ('open', element) and ('close', element), in page order.
 
     Paragraphs, list items and cells end where the next begins; an end tag without its start is passed over.
+    Class words of the elements with the numbers ``wrapping`` say nothing.
     """
     stack: list[Element] = []
-    at = 0
+    at = number = 0
     for token in TOKEN.finditer(page):
         if token.start() > at:
             yield "text", (page[at:token.start()], stack)
@@ -145,10 +153,16 @@ def tokens(page: str, weights: Weights) -> Iterator[tuple[str, object]]:
                 if stack[i].name in BLOCKS:
                     break
         in_main = any(e.main for e in stack)
-        keys = keys_of(name, token[4] or "")
-        share = outside_share(keys, weights, in_main)
+        keys = [name] if name in ("html", "body") else keys_of(name, token[4] or "")
+        if number in wrapping:
+            keys = [k for k in keys if k[1:] not in NOT_CONTENT_WORDS and k[1:] not in ENDS]
+        number += 1
+        share = named = outside_share(keys, weights, in_main)
+        if share >= OUTSIDE and len(keys) > 1:
+            own = [name, ".hidden"] if HIDDEN.search(token[4]) else [name]
+            named = outside_share(own, weights, in_main)
         element = Element(name, keys, share, name in ("article", "main") and share < OUTSIDE,
-                          stack[-1] if stack else None)
+                          stack[-1] if stack else None, named)
         yield "open", element
         if name not in VOID and not (token[4] or "").endswith("/"):
             stack.append(element)
@@ -158,7 +172,63 @@ def tokens(page: str, weights: Weights) -> Iterator[tuple[str, object]]:
 
 def parsed(page: str, weights: Weights) -> list[tuple[str, object]]:
     """The tokens of a page; a text's open elements as a tuple."""
-    return [(kind, (what[0], tuple(what[1])) if kind == "text" else what) for kind, what in tokens(page, weights)]
+
+    def read(wrapping: frozenset[int]) -> list[tuple[str, object]]:
+        return [(kind, (what[0], tuple(what[1])) if kind == "text" else what)
+                for kind, what in tokens(page, weights, wrapping)]
+
+    wrapping: frozenset[int] = frozenset()
+    while True:
+        sequence = read(wrapping)
+        more = wrappers(sequence)
+        if not more:
+            return sequence
+        wrapping |= more
+
+
+def wrappers(sequence: list[tuple[str, object]]) -> frozenset[int]:
+    """Numbers of the elements that class words leave out though they wrap the content.
+
+    They hold a ``main``; or most words of the article around them, or else of the page, and either its heading
+    or nearly all words that are left. Where every article is left out, also what leaves out the one with most
+    words, if it has more than what is left.
+    """
+    elements = [what for kind, what in sequence if kind == "open"]
+    judged = {i for i, e in enumerate(elements) if e.share >= OUTSIDE and e.named < OUTSIDE}
+    if not judged:
+        return frozenset()
+    root = Element("", [], 0.0, False)
+    for kind, what in sequence:
+        if kind == "text":
+            (what[1][-1] if what[1] else root).words += len(what[0].split())
+    # All words, those that are left, and what is in there of main and h1; children are opened after their parents.
+    for e in (root, *elements):
+        e.every, e.left, e.heads = e.words, e.words, {e.name} & {"main", "h1"}
+    for e in reversed(elements):
+        above = e.parent or root
+        if e.named < OUTSIDE:
+            above.every += e.every
+            above.left += e.left * (e.share < OUTSIDE)
+            above.heads |= e.heads
+    out = set()
+    for i in judged:
+        e = elements[i]
+        around = e.parent
+        while around is not None and not around.main:
+            around = around.parent
+        around = around or root
+        if "main" in e.heads or 2 * e.left > around.every and (e.heads or e.left >= MOST * around.left):
+            out.add(i)
+    marks = [e for e in elements if e.name in ("article", "main")]
+    if not out and marks and all(left_out(e) for e in marks):
+        best = max(marks, key=lambda e: e.left)
+        above, at = [], best
+        while at is not None:
+            above.append(at)
+            at = at.parent
+        if best.left > root.left and all(e.named < OUTSIDE for e in above):
+            out = {i for i in judged if any(elements[i] is e for e in above)}
+    return frozenset(out)
 
 
 def marked_by(opened: list[Element]) -> str | None:
@@ -168,7 +238,11 @@ def marked_by(opened: list[Element]) -> str | None:
 
 
 def evidence(page: str) -> Counter:
-    """Of a labelled page's elements, how many hold content (key, 1) and how many are outermost without (key, 0)."""
+    """Of a labelled page's elements, how many hold content (key, 1) and how many are outermost without (key, 0).
+
+    In the marked content, element names may leave something out, but class words do not: pages correct them.
+    An element that wraps the content counts without those of its class words that would leave it out.
+    """
     counts: Counter = Counter()
     sequence = parsed(page, {})
     elements = [what for kind, what in sequence if kind == "open"]
@@ -178,7 +252,7 @@ def evidence(page: str) -> Counter:
     for kind, what in sequence:
         if kind == "text" and what[0].strip():
             stack = what[1]
-            if any(e.name == mark and e.main for e in stack) and all(e.share < OUTSIDE for e in stack):
+            if any(e.name == mark and e.main for e in stack) and all(e.named < OUTSIDE for e in stack):
                 for e in stack:
                     e.holds = True
     for e in elements:
