@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from conftest import documents, words
 
@@ -49,6 +50,42 @@ def test_held_out_wordings(spark):
     assert right >= 0.9 * len(families)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_wrapped_notices(spark):
+    """Notices of every family, wrapped and in comments, are one notice of that family."""
+    rows, families = [], []
+    for family, notices in TEMPLATES.items():
+        for notice in notices:
+            for width in (24, 36, 72):
+                for mark in ("", " * ", "# ", "dnl "):
+                    text = "\n".join(mark + part for part in textwrap.wrap(notice + ".", width))
+                    rows.append((len(rows), f"{plain(len(rows))}\n{mark}\n{text}\n{mark}\n{plain(9000 + len(rows))}", "s"))
+                    families.append(family)
+    rows.append((10_000, f"{plain(3)}\n\n{APACHE}\n\n{plain(4)}", "s"))
+    rows.append((10_001, f"{plain(5)}\n\nLicensed under the GNU Lesser\nGeneral Public License, version 2.1\n\n{plain(6)}\n"
+                         f"Released under the\nMIT License.\n{plain(7)}", "s"))
+    rows += [(20_000 + i, plain(i), "s") for i in range(300)]
+    found = {r.doc_id: r for r in licence_scan(documents(spark, rows)).collect()}
+    wrong = [(f, rows[i][1].split("\n")[5:-5], found[i].licences, found[i].n_notices) for i, f in enumerate(families)
+             if (found[i].licences, found[i].n_notices) != (f, 1)]
+    assert not wrong, (len(wrong), len(families), wrong[:8])
+    assert (found[10_000].licences, found[10_000].n_notices) == ("Apache", 1)
+    assert (found[10_001].licences, found[10_001].n_notices) == ("LGPL,MIT", 2)
+    assert not any(found[20_000 + i].n_notices for i in range(300))
+
+
 def test_edge_cases(spark, edge_rows):
     docs = documents(spark, edge_rows)
     found = licence_scan(docs).collect()

@@ -1,16 +1,20 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Units are lines; a longer line is cut into overlapping windows. A unit's features are its hashed words and word
-pairs. One logistic regression tells licence notices from other text, and one per family tells the families
+Units are paragraphs, which blank lines and lines of signs alone separate; comment marks are no words. A longer
+paragraph is cut into overlapping windows that run across line ends. The lines of a paragraph are looked at one by
+one as well, so that several notices in it are told apart. A unit's features are its hashed words and word pairs. One logistic regression tells licence notices from other text, and one per family tells the families
 apart; all are fitted on notices made from the templates (whole, cut, framed and with other text around) and on
 paragraphs of the corpus, and calibrated on held-out ones. A notice is of a family if its calibrated probability
-is high enough and a template of the family shares enough word pairs with it; otherwise it is ``unknown``.
+is high enough and a template of the family shares enough word pairs with it; otherwise it is ``unknown``. The words
+that hold those pairs are where the notice stands: of two families in one place the one with more pairs counts, and
+hits that touch are one notice.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -88,6 +92,14 @@ FRAMES = ["", "This text is ", "The file is ", "Note: ", "Dieses Werk: ", "Cette
 DOUBTFUL = re.compile(r"(?i)licen[cs]e|copyright|copyleft|rights reserved|public domain|released under|spdx|creative")
 
 
+#: Words that comments begin their lines with.
+MARKS = ["dnl", "rem"]
+#: A licence is called by a name, not only "the license".
+NAMED = re.compile(
+    r"(?i)\b(?!(?:the|this|that|these|an?|of|your|its|or|and|such|under|any|said|same|above|following)\b)\w[\w.-]*\s+"
+    r"licen[cs]e\b")
+
+
 class Model(NamedTuple):
     """Weights of notices; those of the families (``families[i]`` for column ``columns[i]``, 0 for others); and
     bias, slope and shift of notices and of each family."""
@@ -104,6 +116,16 @@ def word_columns(texts: arrays.Texts) -> tuple[arrays.Spans, np.ndarray, np.ndar
     """Words, and the columns of each word and of each pair of words (the first and the next of one text)."""
     spans = arrays.find_spans(texts, arrays.ALPHANUMERIC)
     hashes = arrays.span_hashes(texts, spans, arrays.LOWERED)
+    _, marks = next(arrays.text_slices(pa.array(MARKS)))
+    mark = np.isin(hashes, arrays.span_hashes(marks, arrays.find_spans(marks, arrays.ALPHANUMERIC)))
+    if mark.any():
+        lines = np.searchsorted(spans.starts, arrays.find_lines(texts).starts)
+        leading = np.zeros(len(mark) + 1, bool)
+        leading[lines] = True
+        keep = ~(mark & leading[:-1])
+        starts = spans.starts[keep]
+        spans = arrays.Spans(starts, spans.ends[keep], np.searchsorted(starts, texts.offsets))
+        hashes = hashes[keep]
     shift = np.uint64(64 - BITS)
     return (spans, (arrays.gram_hashes(hashes, 1) >> shift).astype(np.int64),
             (arrays.gram_hashes(hashes, 2) >> shift).astype(np.int64))
@@ -173,16 +195,31 @@ def family_margins(model: Model, columns: np.ndarray) -> np.ndarray:
     return model.families[place[model.columns[place] == columns]].sum(axis=0) + model.bias[1:]
 
 
-def units_of(texts: arrays.Texts, spans: arrays.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, word after the last) of the units."""
-    lines = arrays.find_lines(texts)
-    first = np.searchsorted(spans.starts, lines.starts)
-    last = np.searchsorted(spans.starts, lines.ends)
-    row, size = lines.row, last - first
+def windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first word, word after the last) of the windows of runs of words."""
+    size = last - first
     n = np.where(size > WINDOW, 1 + -(-(size - WINDOW) // STEP), (size > 0).astype(np.int64))
     of = np.repeat(np.arange(len(n)), n)
     start = first[of] + STEP * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-    return row[of], start, np.minimum(start + WINDOW, last[of])
+    return of, start, np.minimum(start + WINDOW, last[of])
+
+
+def units_of(texts: arrays.Texts, spans: arrays.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, word after the last, whether it is only of a line) of the units, and of the lines of
+    paragraphs with several lines, which come first."""
+    lines = arrays.find_lines(texts)
+    first = np.searchsorted(spans.starts, lines.starts)
+    last = np.searchsorted(spans.starts, lines.ends)
+    full = np.flatnonzero(last > first)
+    row, first, last = lines.row[full], first[full], last[full]
+    begins = np.ones(len(full) + 1, bool)
+    begins[1:-1] = (np.diff(full) > 1) | (row[1:] != row[:-1])
+    begin, end = np.flatnonzero(begins[:-1]), np.flatnonzero(begins[1:])
+    several = np.flatnonzero(~(begins[:-1] & begins[1:]))
+    line, start, stop = windows(first[several], last[several])
+    paragraph, start_all, stop_all = windows(first[begin], last[end])
+    return (np.concatenate([row[several[line]], row[begin[paragraph]]]), np.concatenate([start, start_all]),
+            np.concatenate([stop, stop_all]), np.arange(len(line) + len(paragraph)) < len(line))
 
 
 def distinct_sums(weights: np.ndarray, one: np.ndarray, two: np.ndarray, first: np.ndarray, last: np.ndarray):
@@ -196,27 +233,93 @@ def distinct_sums(weights: np.ndarray, one: np.ndarray, two: np.ndarray, first:
     return np.bincount(key >> BITS, weights=weights[key & ((1 << BITS) - 1)], minlength=len(first))
 
 
-def family_of(unit: str, p: np.ndarray) -> str:
-    """The family with the highest probability if it is high enough and a template confirms it, else unknown."""
-    names = list(TEMPLATES)
-    best = int(np.argmax(p))
-    if p[best] < LEAST_FAMILY:
-        return UNKNOWN
-    words = words_of(unit)
+def confirmed(words: list[str], family: str) -> tuple[int, int, int] | None:
+    """(pairs shared, first word, word after the last) of the template of a family that shares most with a unit."""
     pairs = set(zip(words, words[1:], strict=False))
-    for template in TEMPLATES[names[best]]:
+    best = None
+    for template in TEMPLATES[family]:
         own = words_of(template)
-        theirs = set(zip(own, own[1:], strict=False)) or {(own[0],)}
-        shared = len(pairs & theirs) if len(own) > 1 else own[0] in words
-        if shared >= max(LEAST_SHARED * min(len(theirs), len(pairs)), min(LEAST_PAIRS, len(theirs))):
-            return names[best]
-    return UNKNOWN
+        theirs = set(zip(own, own[1:], strict=False))
+        shared = len(pairs & theirs)
+        if shared < max(LEAST_SHARED * min(len(theirs), len(pairs)), min(LEAST_PAIRS, len(theirs))):
+            continue
+        # The shortest run of words with all the pairs that are shared.
+        at = [(i, p) for i, p in enumerate(zip(words, words[1:], strict=False)) if p in theirs]
+        held: Counter = Counter()
+        left, place = 0, (len(words), 0, len(words))
+        for i, p in at:
+            held[p] += 1
+            while len(held) == shared:
+                start, gone = at[left]
+                place = min(place, (i + 2 - start, start, i + 2))
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                left += 1
+        if best is None or (shared, -place[0]) > (best[0], best[1] - best[2]):
+            best = (shared, place[1], place[2])
+    return best
+
+
+class Hit(NamedTuple):
+    """A unit that is a notice: its words' places, its probability, and (pairs shared, first, last, family) of what
+    templates confirm in it."""
+
+    first: int
+    last: int
+    line: bool
+    p: float
+    text: str
+    families: list[tuple[int, int, int, str]]
+
+
+def notices_of(hits: list[Hit]) -> list[tuple[str, float]]:
+    """(family, probability) of the notices of a text, each once though several units hold it."""
+    placed: list[list] = []
+    candidates = [(-n, last - first, first, last, family, h.p) for h in hits for n, first, last, family in h.families]
+    for _, _, first, last, family, p in sorted(candidates):
+        over = [x for x in placed if first < x[1] and x[0] < last]
+        if not over:
+            placed.append([first, last, family, p])
+        elif over[0][2] == family:
+            over[0][:] = [min(first, over[0][0]), max(last, over[0][1]), family, max(p, over[0][3])]
+    notices: list[list] = []
+    for first, last, family, p in sorted(placed):
+        if notices and notices[-1][2] == family and first <= notices[-1][1] + STEP:
+            notices[-1][1], notices[-1][3] = max(last, notices[-1][1]), max(p, notices[-1][3])
+        else:
+            notices.append([first, last, family, p])
+    # Units of no family: what goes on with a notice without naming a licence is part of it.
+    rest = sorted((h for h in hits if not h.families), key=lambda h: (not h.line, h.first))
+    more = bool(notices)
+    while more:
+        more = False
+        for h in [h for h in rest if not NAMED.search(h.text)]:
+            beside = [x for x in notices if h.first <= x[1] + STEP and x[0] - STEP <= h.last]
+            if beside:
+                x = beside[0]
+                x[0], x[1], x[3] = min(x[0], h.first), max(x[1], h.last), max(x[3], h.p)
+                rest.remove(h)
+                more = True
+    # The others: lines, then paragraphs that hold no notice yet.
+    before = None
+    for h in rest:
+        same = [x for x in notices if h.first < x[1] and x[0] < h.last or h.line and x[2] == UNKNOWN and before is not None
+                and before.last == x[1] == h.first and not before.text.rstrip().endswith((".", "!", "?"))]
+        if same:
+            same[0][3] = max(same[0][3], h.p)
+            if same[0][2] == UNKNOWN:
+                same[0][0], same[0][1] = min(same[0][0], h.first), max(same[0][1], h.last)
+        else:
+            notices.append([h.first, h.last, UNKNOWN, h.p])
+        before = h
+    return [(x[2], x[3]) for x in sorted(notices)]
 
 
 def scan(texts: arrays.Texts, model: Model):
-    """For each text: number of units, and (family, probability) of its notices; windows of one notice count once."""
+    """For each text: number of units, and (family, probability) of its notices; units of one notice count once."""
     spans, one, two = word_columns(texts)
-    row, first, last = units_of(texts, spans)
+    row, first, last, line = units_of(texts, spans)
     # No unit scores more than its positive weights, words that come again included; the sums are differences of
     # running ones, and a pair is counted where it begins. What is left is scored by its distinct features.
     gate = model.notice
@@ -229,18 +332,23 @@ def scan(texts: arrays.Texts, model: Model):
     p = np.zeros(len(row))
     p[maybe] = logistic.probabilities(model.slope[0] * distinct_sums(gate, one, two, first[maybe], last[maybe])
                                       + model.slope[0] * model.bias[0] + model.shift[0])
-    found: list[list[tuple[str, float]]] = [[] for _ in range(texts.rows)]
-    previous = (-1, -1, "")
+    hits: dict[int, list[Hit]] = {}
+    decoded = lambda a, b: texts.data[a:b].tobytes().decode("utf-8", "replace")
     for i in np.flatnonzero(p >= LEAST_NOTICE):
         columns = np.unique(np.concatenate([one[first[i]:last[i]], two[first[i]:max(first[i], last[i] - 1)]]))
         shares = logistic.probabilities(model.slope[1:] * family_margins(model, columns) + model.shift[1:])
-        unit = texts.data[spans.starts[first[i]]:spans.ends[last[i] - 1]].tobytes().decode("utf-8", "replace")
-        family = family_of(unit, shares)
-        overlaps = previous[0] == row[i] and first[i] < previous[1] and family in (previous[2], UNKNOWN)
-        if not overlaps:
-            found[row[i]].append((family, float(p[i])))
-        previous = (row[i], last[i], previous[2] if overlaps else family)
-    return np.bincount(row, minlength=texts.rows), found
+        words = [decoded(spans.starts[j], spans.ends[j]).lower() for j in range(first[i], last[i])]
+        words = [re.sub(r"[^\x00-\x7f]+", "", w) or w for w in words]
+        families = []
+        for family, share in zip(TEMPLATES, shares, strict=True):
+            found = confirmed(words, family) if share >= LEAST_FAMILY else None
+            if found:
+                families.append((found[0], int(first[i]) + found[1], int(first[i]) + found[2], family))
+        stop = spans.starts[last[i]] if last[i] < len(spans.starts) else len(texts.data)
+        text = decoded(spans.starts[first[i]], min(stop, texts.offsets[row[i] + 1]))
+        hits.setdefault(int(row[i]), []).append(
+            Hit(int(first[i]), int(last[i]), bool(line[i]), float(p[i]), text, families))
+    return np.bincount(row[~line], minlength=texts.rows), [notices_of(hits.get(i, [])) for i in range(texts.rows)]
 
 
 def other_paragraphs(docs: DataFrame, id_column: str, text_column: str, sample: int) -> list[str]:
@@ -255,8 +363,8 @@ def other_paragraphs(docs: DataFrame, id_column: str, text_column: str, sample:
             names, out = [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, one = next(arrays.text_slices(pa.array([text]), 1 << 62))
-                spans = arrays.find_spans(one, arrays.ALPHANUMERIC)
-                _, first, last = units_of(one, spans)
+                spans, _, _ = word_columns(one)
+                _, first, last, _ = units_of(one, spans)
                 if len(first):
                     i = int(name % len(first))
                     unit = one.data[spans.starts[first[i]]:spans.ends[last[i] - 1]].tobytes().decode("utf-8", "replace")
