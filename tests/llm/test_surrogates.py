@@ -100,3 +100,33 @@ def test_redrawn_atoms_reach_their_documents(spark):
     first = [found[i].split()[1] for i in range(len(names))]
     assert len(set(first)) == len(names) and not {f.lower() for f in first} & {n.lower() for n in names}
     assert len({t.split()[2] for t in found.values()}) == 1
+
+
+def test_names_are_one_group_whatever_tells_their_gender(spark):
+    kinds = ("given-m", "given-f", "given-", "surname")
+    names = [(kinds[i % 4], f"name{i}") for i in range(160)] + [("given-m", n.lower()) for n in surrogates.GIVEN[("latin", "f")]]
+    names += [("surname", "martin"), ("given-m", "martin")]
+    found = distinct_surrogates(spark.createDataFrame(names, "kind string, value string"), KEY).collect()
+    assert len({r.new for r in found}) == len(found) == len(names)
+    assert not {r.new for r in found} & {n for _, n in names}
+
+
+def test_a_name_is_one_name_with_any_title_and_without(spark):
+    rows = [(1, "Mr Alex Hale came. Then Dr Alex Hale spoke, and Hale left with HALE's hat; Alex too. A hale and hearty Alexander.", "s"),
+            (2, "Dr Alex Hale", "s"), (3, "Prof Alex Hale", "s"), (4, "Mrs Kim Wood", "s"), (5, "Mr Kim Wood", "s"), (6, "Ms Kim Wood", "s"),
+            (7, "Hale winds", "s"), (8, "Mr Wood. Wood burns: wood, wood, wood.", "s")]
+    found = {r.doc_id: r for r in pseudonymised(documents(spark, rows)).collect()}
+    _, given, surname = found[2].text.split()
+    assert found[1].text == (f"Mr {given} {surname} came. Then Dr {given} {surname} spoke, and {surname} left with "
+                             f"{surname.upper()}'s hat; {given} too. A hale and hearty Alexander.")
+    assert found[1].n_entities == 7 and found[3].text.split()[1:] == [given, surname]
+    assert len({found[i].text.split(" ", 1)[1] for i in (4, 5, 6)}) == 1
+    assert found[4].text.split()[1].split("-")[0] in surrogates.GIVEN[("latin", "f")]
+    assert found[7].text == "Hale winds" and found[8].text.endswith(". Wood burns: wood, wood, wood.")
+
+
+def test_names_in_scripts_without_case():
+    for text, name in (("Dr 田中 spoke", "田中"), ("Mr محمد علي.", "محمد علي"), ("Frau शर्मा kam", "शर्मा"), ("Mrs כהן said", "כהן")):
+        new, kinds = scrub(text, KEY, {})
+        assert kinds and name not in new and len(new) == len(text), text
+        assert new.split()[0] == text.split()[0] and not re.search("[a-z]", new.split()[1])

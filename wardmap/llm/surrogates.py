@@ -3,15 +3,19 @@
 An entity is made of atoms, such as an address, a number, a given name or a surname. An atom's surrogate is a
 keyed function of its kind and normal form, so it is the same in every text (coreference) and nothing but the key
 is stored. Surrogates keep script, letter case, length of numbers, country code, gender of given names and valid
-check digits. All atoms of the corpus are then checked: where two atoms got the same surrogate, or a surrogate is
-itself an atom of the corpus, the later ones draw again until all differ (distinctness). The few that drew again
-are joined to the documents that hold them.
+check digits. A given name has one gender in the whole corpus, that of its list or else of most of its titles. All
+atoms of the corpus are then checked, names of all kinds together: where two atoms got the same surrogate, or a
+surrogate is itself an atom of the corpus, the later ones draw again until all differ (distinctness). The few that
+drew again, or whose title tells another gender, are joined to the documents that hold them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardmap.llm.arrays import small_batches
 from wardmap.llm.keys import ROW_HASH, ROW_ID, join_rows, keyed
 from wardmap.session import stored
 
@@ -48,7 +53,9 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
            "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 
-_word = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_marks = "".join(c for c in map(chr, range(0x300, 0x110000)) if unicodedata.category(c) in ("Mn", "Mc"))
+_letters = rf"[^\W\d_](?:[^\W\d_]|[{_marks}])*"
+_word = rf"{_letters}(?:[-'’]{_letters})*"
 _titles = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
 _names = "|".join(n for ns in GIVEN.values() for n in ns)
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -71,6 +78,7 @@ PATTERNS = [
     ("name", re.compile(rf"\b(?P<value>(?:{_names})[ \t]+{_word})")),
 ]
 DIGIT = re.compile(r"\d")
+WORD, LETTERS_OF = re.compile(_word), re.compile(_letters)
 
 
 def _class(characters: str) -> str:
@@ -104,8 +112,8 @@ TRIGGERS = "|".join([
 
 def readable(column: pa.Array) -> list[str | None]:
     """The texts of a column that can hold an entity, None for the others; the patterns are slow, RE2 is not."""
-    use = pc.match_substring_regex(column.cast(pa.large_string()), TRIGGERS)
-    return pc.if_else(use, column, pa.scalar(None, column.type)).to_pylist()
+    use = pc.match_substring_regex(column.cast(pa.large_string()), TRIGGERS).to_pylist()
+    return [text.as_py() if used else None for text, used in zip(column, use, strict=True)]
 
 
 def decimal(text: str) -> str:
@@ -167,6 +175,13 @@ def atoms(text: str) -> list[tuple[int, int, str, str]]:
             value = normal(kind, m[group])
             if value is not None:
                 found.append((m.start(group), rank, m.end(group), kind, value))
+    kept = apart(found)
+    repeats = bare_names(text, kept)
+    return apart([*found, *repeats]) if repeats else kept
+
+
+def apart(found: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The first of those that overlap, by place and rank."""
     kept, end = [], 0
     for s, _, e, kind, value in sorted(found):
         if s >= end:
@@ -175,15 +190,42 @@ def atoms(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
+def bare_names(text: str, kept: list[tuple[int, int, str, str]]) -> list[tuple[int, int, int, str, str]]:
+    """Names of a text wherever else they stand in it, without title or given name.
+
+    They are found as written, in capitals and with a capital. A word that the text has more often in lower case
+    than so is no name. A word that is both is a surname.
+    """
+    forms: dict[str, tuple[str, str]] = {}
+    for s, e, kind, value in sorted(kept, key=lambda a: a[2] == "surname"):
+        if (kind == "surname" or kind.startswith("given")) and e - s > 1:
+            forms |= dict.fromkeys((text[s:e], text[s:e].upper(), text[s:e].title()), (kind, value))
+    if not forms:
+        return []
+    lower = {value for _, value in forms.values()}
+    out, balance = [], Counter()
+    for w in WORD.finditer(text):
+        parts = [w] if w[0] in forms or w[0] in lower else LETTERS_OF.finditer(text, w.start(), w.end())
+        for part in parts:
+            if part[0] in forms:
+                kind, value = forms[part[0]]
+                out.append((part.start(), len(PATTERNS), part.end(), kind, value))
+                balance[value] += 1
+            elif part[0] in lower:
+                balance[part[0]] -= 1
+    return [a for a in out if balance[a[4]] >= 0]
+
+
 def name_atoms(m: re.Match) -> list[tuple[int, int, str, str]]:
-    """Given names and surname after a title, or a known given name and a surname; capitalised words only."""
+    """Given names and surname after a title, or a known given name and a surname; no words in lower case."""
     title = m.groupdict().get("title")
     gender = next((g for g, ts in TITLES.items() if title in ts), "")
     words = []
     for w in re.finditer(_word, m["value"]):
-        if not w[0][0].isupper():
+        if w[0][0].islower():
             break
-        words.append((m.start("value") + w.start(), m.start("value") + w.end(), w[0]))
+        word = re.sub("['’][sS]$", "", w[0])
+        words.append((m.start("value") + w.start(), m.start("value") + w.start() + len(word), word))
     if not words or not title and len(words) < 2:
         return []
     out = []
@@ -266,6 +308,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             return "".join(hexes[below(16)] for _ in value)
         return like(value, below)
     script = script_of(value)
+    if any(unicodedata.category(c) == "Lo" for c in value):
+        longer = value + next(c for c in value if unicodedata.category(c) == "Lo") * (attempt // 8)
+        return "".join(caseless(c, below) for c in longer)
     if kind.startswith("given"):
         names = GIVEN.get((script, kind[6:])) or [n for (s, _), ns in GIVEN.items() if s == script for n in ns]
         names = [n for n in names if n.lower() != value] or [like(value, below)]
@@ -275,6 +320,17 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     return syllables(script, below, max(2, min(4, len(value) // 2)) + attempt // 8)
 
 
+def caseless(c: str, below: Callable[[int], int]) -> str:
+    """A letter without case is replaced by one near it, of the same script."""
+    near = letters_near(ord(c) >> 6) if unicodedata.category(c) == "Lo" else c
+    return near[below(len(near))]
+
+
+@functools.cache
+def letters_near(block: int) -> str:
+    return "".join(c for c in map(chr, range(block << 6, block + 1 << 6)) if unicodedata.category(c) == "Lo")
+
+
 def syllables(script: str, below: Callable[[int], int], n: int) -> str:
     vowels = VOWELS[script]
     others = [c for c in LETTERS[script] if c not in vowels]
@@ -312,7 +368,7 @@ def corpus_atoms(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     """(row key, kind, value) of the atoms of every text, each once per text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (small for whole in batches for small in small_batches(whole)):
             ids, hashes, kinds, values = [], [], [], []
             for own, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                            readable(batch.column(2)), strict=True):
@@ -342,22 +398,38 @@ def drawn(values: DataFrame, key: bytes) -> DataFrame:
         run, "kind string, value string, attempt int, new string")
 
 
+def one_kind(found: DataFrame) -> DataFrame:
+    """(kind, value, own) of the kinds and values of a corpus; ``own`` is the one kind that a value's surrogate has.
+
+    It differs from the kind only for given names: one with a gender goes before one without, then that of more texts.
+    """
+    counted = found.groupBy("kind", "value").count()
+    # A value has at most four kinds that are one.
+    grouped = counted.groupBy(F.split("kind", "-")[0].alias("group"), "value").agg(
+        F.max_by("kind", F.struct(F.col("kind") != "given-", "count", "kind")).alias("own"),
+        F.collect_set("kind").alias("kinds"))
+    return grouped.select(F.explode("kinds").alias("kind"), "value", "own")
+
+
 def distinct_surrogates(values: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt, new) with all surrogates different, and none an atom of the corpus.
 
-    Of atoms that share a surrogate the smallest keeps it. Given names only need to differ within their kind;
-    their kind is the gender, so that is how texts tell them apart.
+    Of atoms that share a surrogate the smallest keeps it. Given names of all genders and surnames are one group;
+    other kinds are each one of their own.
     """
+    group = F.when(F.col("kind").startswith("given-") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind"))
+    taken = values.select(group.alias("group"), F.col("value").alias("new")).distinct().withColumn("real", F.lit(True))
     state = stored(drawn(values.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(MOST_DRAWS):
-        taken = values.select("kind", F.col("value").alias("new")).withColumn("real", F.lit(True))
-        owners = state.groupBy("kind", "new").agg(F.min("value").alias("owner"), F.count("*").alias("n"))
-        clashes = owners.join(taken, ["kind", "new"], "left").where("n > 1 or real")
-        clashes = stored(clashes.select("kind", "new", "owner", "real"), "clashes")
+        grouped = state.withColumn("group", group)
+        owners = grouped.groupBy("group", "new").agg(F.min(F.struct("value", "kind")).alias("owner"), F.count("*").alias("n"))
+        clashes = owners.join(taken, ["group", "new"], "left").where("n > 1 or real")
+        clashes = stored(clashes.select("group", "new", "owner", "real"), "clashes")
         if not clashes.limit(1).count():
             return state
-        marked = state.join(clashes, ["kind", "new"], "left").withColumn(
-            "again", F.col("owner").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("owner") != F.col("value"))))
+        marked = grouped.join(clashes, ["group", "new"], "left").withColumn(
+            "again", F.col("owner").isNotNull() & (
+                F.coalesce("real", F.lit(False)) | (F.col("owner") != F.struct("value", "kind"))))
         marked = stored(marked.select("kind", "value", "attempt", "new", "again"), "marked")
         redone = drawn(marked.where("again").withColumn("attempt", F.col("attempt") + 1), key)
         state = stored(marked.where("not again").drop("again").unionByName(redone), "surrogates")
@@ -371,12 +443,17 @@ def pseudonymised(
 
     A null text stays null, an empty one empty. Texts without entities are returned as they are. Repeated rows
     give repeated results; an empty table an empty one. Numbers whose check digits are wrong are no cards or
-    account numbers and stay. Given the key, runs over other corpora give the same surrogates but for atoms that
+    account numbers and stay. A name detected in a text is replaced wherever it stands there. Given the key, runs over other corpora give the same surrogates but for atoms that
     drew again.
     """
     found = stored(corpus_atoms(docs, id_column, text_column), "atoms")
-    values = stored(found.groupBy("kind", "value").count().drop("count"), "atom-values")
-    redrawn = stored(distinct_surrogates(values, key).where("attempt > 0").drop("attempt"), "redrawn")
+    values = stored(one_kind(found), "atom-values")
+    own = distinct_surrogates(values.select(F.col("own").alias("kind"), "value").distinct(), key)
+    given = F.col("own").startswith("given-")
+    others = own.where("attempt > 0").where(~F.col("kind").startswith("given-")).select("kind", "value", "new")
+    named = values.where(given).join(own.withColumnRenamed("kind", "own").where(given), ["own", "value"])
+    redrawn = named.where("attempt > 0 or kind <> own").select("kind", "value", "new").unionByName(others)
+    redrawn = stored(redrawn, "redrawn")
     texts = keyed(docs, id_column, text_column)
     again = found.join(redrawn, ["kind", "value"]).groupBy(ROW_ID, ROW_HASH).agg(
         F.collect_list(F.struct("kind", "value", "new")).alias("again"))
