@@ -47,3 +47,16 @@ def test_long_conversation_and_empty_table(spark):
     found = {r.turn: r for r in conversations(frame(spark, rows)).collect()}
     assert all(found[t].reply_to == t - 3 and found[t].position == t + 1 for t in range(3, 3000))
     assert conversations(frame(spark).limit(0)).count() == 0
+
+
+def test_parts_of_lines_and_passages_wrapped_anew(spark):
+    long = "I went to the market today. The apples were cheap, but the pears were not! Shall we bake a cake with them tomorrow?"
+    wrapped = "the committee met again on tuesday and\nagreed that the bridge will be\nbuilt next year without any further delay"
+    rows = [(1, 0, "user", long), (1, 1, "assistant", wrapped), (1, 2, "user", "Something else entirely."),
+            (1, 3, "user", "> The apples were cheap, but the pears were not!\nGood."),
+            (1, 4, "user", "> committee met again on tuesday and agreed\n> that the bridge will be built\nGood."),
+            (1, 5, "user", "> bake a cake with them\nYes."), (1, 6, "user", "> the apples said nothing of this kind to anybody here\nNo."),
+            (None, None, "user", long), (None, 1, "user", "b"), (None, 2, "user", "> were cheap, but the pears\nx")]
+    found = {(r.conv_id, r.turn): r for r in conversations(frame(spark, rows)).collect()}
+    assert [(found[1, t].reply_to, found[1, t].n_linked) for t in (3, 4, 5, 6)] == [(0, 1), (1, 1), (0, 1), (5, 0)]
+    assert len(found) == len(rows) and found[None, 2].n_quoted == 1

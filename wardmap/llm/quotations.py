@@ -1,14 +1,18 @@
 """Chat formatting by quotation linking.
 
 Messages quote earlier ones with ``>`` before their lines, several times for quotes of quotes. Quote levels are
-parsed into passages; passages and their lines are normalised and hashed, and joined to the messages of the same
-conversation that first said them. A message answers the message that its first-level quotes come from, or the
+parsed into passages; passages, their lines and their sentences are normalised and hashed, and joined to the messages
+of the same conversation that said them before. A passage that shares none of them with a message is looked for by its windows of
+a few words, so that a part of a line, or one wrapped anew, is found too. A message answers the message that its first-level quotes come from, or the
 one before it if it quotes nothing that is found. Conversations are returned without quotes, in reply order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import struct
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,6 +28,9 @@ INTRODUCTION = re.compile(
     r"(?i)^\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\b.*:\s*$|^\s*-+ ?(?:original message|"
     r"ursprüngliche nachricht|message d'origine|mensaje original) ?-+\s*$")
 WORD = re.compile(r"\w+")
+SENTENCE_END = re.compile(r"(?<=[.!?…。！？])[\s\"'”’»)]+")
+#: Words of a window: the first for quotes that have so many, else the second. Shorter ones are found as lines or sentences.
+WINDOWS = (8, 4)
 
 
 def quote_level(line: str) -> tuple[int, str]:
@@ -62,9 +69,9 @@ def normalised(text: str) -> str:
 
 
 def units(text: str) -> dict[str, int]:
-    """What a passage is found by: the whole of it and its lines, with their number of words."""
+    """What a passage is found by: the whole of it, its lines and its sentences, with their number of words."""
     out = {}
-    for part in [text, *text.split("\n")]:
+    for part in [text, *text.split("\n"), *SENTENCE_END.split(text)]:
         plain = normalised(part)
         if plain:
             out[plain] = plain.count(" ") + 1
@@ -96,16 +103,57 @@ def parsed(messages: DataFrame) -> DataFrame:
         run, f"conv bigint, turn bigint, row bigint, role string, text string, own string, units {kind}")
 
 
+def window_rows(messages: DataFrame) -> DataFrame:
+    """(conv, turn, row, level, passage, words, hash, check) of each window of quotes and own text."""
+    names = ["conv", "turn", "row", "level", "passage", "words", "hash", "check"]
+    schema = pa.schema(list(zip(names, [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * 2, strict=True)))
+
+    def rows_of(conv, turn, row, text):
+        parts = list(enumerate(passages(text)))
+        own = "\n".join(p for _, (level, p) in parts if not level)
+        for i, level, part in [(0, 0, own), *((i, level, p) for i, (level, p) in parts if level)]:
+            words = WORD.findall(part.lower())
+            for n in WINDOWS if not level else [n for n in WINDOWS if n <= len(words)][:1]:
+                for at in range(len(words) - n + 1):
+                    digest = hashlib.blake2b(" ".join(words[at:at + n]).encode(), digest_size=16).digest()
+                    yield conv, turn, row, level, i, 1, *struct.unpack("<qq", digest)
+
+    def run(batches):
+        for batch in batches:
+            every = chain.from_iterable(rows_of(c.as_py(), t.as_py(), r.as_py(), x.as_py() or "")
+                                        for c, t, r, x in zip(*batch.columns, strict=True))
+            while some := list(islice(every, 10_000)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    return messages.select("conv", "turn", "row", "text").mapInArrow(
+        run, "conv bigint, turn bigint, row bigint, level int, passage int, words int, hash bigint, check bigint")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """(conv, turn, row, level, passage, source): quoted passages and the latest earlier turn that said them.
 
     ``messages`` has conv, turn, row and units. Quotes and own text with the same hash in one conversation are put
     in order of turns, and each quote takes the last own text before it; no pairs are made. Of a passage's units the
-    turn with most words in common wins, and then the latest. ``source`` is null if nothing is found.
+    turn with most words in common wins, and then the latest. Where a passage of a conversation finds nothing, the
+    windows of its quotes are looked for in the same way; the turn with most of them counts if it has half of the
+    passage's. ``source`` is null if nothing is found.
     """
     rows = messages.select("conv", "turn", "row", F.explode("units").alias("u")).select(
         "conv", "turn", "row", "u.level", "u.passage", "u.words", F.xxhash64("u.unit").alias("hash"),
         F.xxhash64(F.reverse("u.unit")).alias("check"))
+    exact = stored(voted(rows).drop("share"), "unit-links")
+    left = stored(exact.where("source is null").select("conv").distinct(), "unlinked").withColumnRenamed("conv", "__conv")
+    again = messages.join(left, messages["conv"].eqNullSafe(F.col("__conv")), "left_semi")
+    near = voted(window_rows(again)).where("share >= 0.5").drop("share")
+    both = exact.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
+    best = F.max(F.struct(F.col("source").isNotNull().alias("found"), "exact", "source")).alias("best")
+    return both.groupBy("conv", "turn", "row", "level", "passage").agg(best).select(
+        "conv", "turn", "row", "level", "passage", F.col("best.source").alias("source"))
+
+
+def voted(rows: DataFrame) -> DataFrame:
+    """(conv, turn, row, level, passage, source, share): the turn with most words of a passage's units, and their share."""
     said = rows.where("level = 0").groupBy("conv", "hash", "check", "turn").agg(F.lit(0).alias("level")).select(
         "conv", "hash", "check", "turn", F.lit(None).cast("long").alias("row"), "level",
         F.lit(None).cast("int").alias("passage"), F.lit(None).cast("int").alias("words"))
@@ -117,8 +165,9 @@ def linked(messages: DataFrame) -> DataFrame:
     votes = found.where("level > 0").groupBy("conv", "turn", "row", "level", "passage", "source").agg(
         F.sum("words").alias("words"))
     best = F.max(F.struct(F.col("source").isNotNull().alias("found"), "words", "source")).alias("best")
-    return votes.groupBy("conv", "turn", "row", "level", "passage").agg(best).select(
-        "conv", "turn", "row", "level", "passage", F.col("best.source").alias("source"))
+    return votes.groupBy("conv", "turn", "row", "level", "passage").agg(best, F.sum("words").alias("all")).select(
+        "conv", "turn", "row", "level", "passage", F.col("best.source").alias("source"),
+        (F.col("best.words") / F.col("all")).alias("share"))
 
 
 def conversations(
