@@ -102,8 +102,24 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'respons
 FROM ranked
 """
 
+COPIES = r"""
+WITH squeezed AS (
+  SELECT doc_id, length(coalesce(text, '')) AS characters,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body
+  FROM documents
+), ranked AS (
+  SELECT doc_id, sha256(body) AS text_sha256,
+         row_number() OVER (PARTITION BY body ORDER BY characters DESC, doc_id NULLS LAST) AS place,
+         first_value(doc_id) OVER (PARTITION BY body ORDER BY characters DESC, doc_id NULLS LAST) AS keep_id,
+         count(*) OVER (PARTITION BY body) AS group_size
+  FROM squeezed
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
+"""
+
 ORACLE = {
     "op1_decontaminate": DECONTAMINATE,
     "op7_mix_sources": MIX,
     "op8_warc": WARC,
+    "op12_exact_copies": COPIES,
 }
