@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wardmap.llm.conversation_repair import damage_report
 from wardmap.llm.decontaminate import contamination_report
 from wardmap.llm.exact_copies import copy_report
 from wardmap.llm.extraction import extracted
@@ -27,5 +28,6 @@ QUERIES = {
     "op10_html_text": lambda spark, d: extracted(table(spark, d, "pages")),
     "op8_warc": lambda spark, d: archive_report(table(spark, d, "pages")),
     "op9_quotations": lambda spark, d: conversations(table(spark, d, "conversations")),
+    "op13_conversation_repair": lambda spark, d: damage_report(table(spark, d, "conversations")),
     "op12_exact_copies": lambda spark, d: copy_report(table(spark, d, "documents")),
 }
