@@ -14,6 +14,7 @@ from wardmap.llm.quality import quality_report
 from wardmap.llm.quotations import conversations
 from wardmap.llm.surrogates import pseudonymised
 from wardmap.llm.tables import table
+from wardmap.llm.vector_codes import code_report
 from wardmap.llm.warc import archive_report
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_html_text": lambda spark, d: extracted(table(spark, d, "pages")),
     "op8_warc": lambda spark, d: archive_report(table(spark, d, "pages")),
     "op9_quotations": lambda spark, d: conversations(table(spark, d, "conversations")),
-    "op13_conversation_repair": lambda spark, d: damage_report(table(spark, d, "conversations")),
+    "op11_vector_codes": lambda spark, d: code_report(table(spark, d, "embeddings")),
     "op12_exact_copies": lambda spark, d: copy_report(table(spark, d, "documents")),
+    "op13_conversation_repair": lambda spark, d: damage_report(table(spark, d, "conversations")),
 }

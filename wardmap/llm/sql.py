@@ -117,9 +117,55 @@ WITH squeezed AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Plain k-means of each part: all distances in every round."""
+    square = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i : (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""best{n} AS MATERIALIZED (
+  SELECT x.row, x.p, x.v, min({square} * {entries} + b.e) AS best
+  FROM pieces x JOIN book{n} b USING (p) GROUP BY x.row, x.p, x.v
+)""")
+        if n < rounds:
+            steps.append(f"""book{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{n} b LEFT JOIN (
+    SELECT p, e, list(mean ORDER BY i) AS v FROM (
+      SELECT p, best % {entries} AS e, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+      FROM best{n}, unnest(range(1, len(v) + 1)) AS u(i) GROUP BY ALL) GROUP BY p, e
+  ) m USING (p, e)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label,
+         list_transform(embedding, lambda x : CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS MATERIALIZED (
+  SELECT row, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v
+  FROM kept, unnest(range(0, {parts})) AS u(p)
+), firsts AS MATERIALIZED (
+  SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept
+  QUALIFY row_number() OVER (ORDER BY vec_id NULLS LAST, v) <= {entries}
+), book0 AS MATERIALIZED (SELECT p, e, v FROM pieces JOIN firsts USING (row)),
+{", ".join(steps)},
+coded AS MATERIALIZED (
+  SELECT row, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code,
+         CAST(sum(best // {entries}) AS BIGINT) AS error
+  FROM best{rounds} GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM (
+          SELECT p, e, i, v[i] AS x FROM book{rounds}, unnest(range(1, len(v) + 1)) AS u(i))) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
+
+
 ORACLE = {
     "op1_decontaminate": DECONTAMINATE,
     "op7_mix_sources": MIX,
     "op8_warc": WARC,
+    "op11_vector_codes": vector_codes_sql(),
     "op12_exact_copies": COPIES,
 }
