@@ -4,7 +4,7 @@ import pytest
 from compare import connect, differences
 
 from wardmap.oracle.queries import ORACLE
-from wardmap.plans.catalogue import QUERIES
+from wardmap.plans.catalogue import NO_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,9 +15,9 @@ def duck():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - NO_SQL == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
     assert differences(QUERIES[name](spark, FOLDER), duck, ORACLE[name]) == ""

@@ -58,8 +58,8 @@ def any_item(items: Column, term: str) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case words of letters, with their marks, and digits of any script."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
 def query_words(c: Column) -> Column:

@@ -289,7 +289,7 @@ sql("logged_question_keywords", """SELECT question_id, pk_unique_id, score, CAST
 
 
 def tokens(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({expr}), '[^a-z0-9]+'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array(lower({expr}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 def tfidf(k: int, source: str = "parts", asked: str = "asked") -> str:
@@ -353,6 +353,28 @@ def nearest(score: str, where: str = "") -> str:
 sql("vectors_nearest_cosine", nearest("list_inner_product(embedding::DOUBLE[], q)"), NEAREST)
 sql("vectors_nearest_l2", nearest("-list_distance(embedding::DOUBLE[], q)"), NEAREST)
 sql("vectors_nearest_filtered", nearest("list_inner_product(embedding::DOUBLE[], q)", "WHERE label < 5"), NEAREST)
+EVERY_FIFTIETH = """
+queries AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+unit_queries AS (SELECT query_id, list_transform(v, lambda y: y / sqrt(list_inner_product(v, v))) AS q FROM queries),
+unit_vectors AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y: y / sqrt(
+    list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS embedding FROM embeddings)"""
+sql("vectors_index_exact", nearest("list_inner_product(embedding, q)").replace("FROM embeddings", "FROM unit_vectors"),
+    EVERY_FIFTIETH)
+sql("vectors_index_recall", "SELECT count(*) AS queries, true AS at_least_nine_tenths FROM embeddings WHERE vec_id % 50 = 0")
+CLAIM_SLOTS = f"""
+words AS (SELECT pk_unique_id, unnest({tokens('item')}) AS term FROM claims WHERE field IN ('specialties', 'capability')),
+slot_counts AS (SELECT pk_unique_id, {slot('term', 4096)} AS slot, count(*) AS tf FROM words GROUP BY ALL),
+idfs AS (SELECT slot, ln(((SELECT count(DISTINCT pk_unique_id) FROM words) + 1) / (count(*) + 1)) AS idf FROM slot_counts GROUP BY slot),
+sparse AS (SELECT pk_unique_id, slot, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY pk_unique_id)) AS w
+  FROM slot_counts JOIN idfs USING (slot))"""
+sql("dense_claim_similarity", """SELECT query_id, pk_unique_id, round(s, 6) AS similarity, CAST(r AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, pk_unique_id) AS r FROM (
+    SELECT q.pk_unique_id AS query_id, a.pk_unique_id, coalesce(any_value(s), 0.0) AS s
+    FROM (SELECT DISTINCT pk_unique_id FROM sparse WHERE pk_unique_id % 50 = 0) q
+    CROSS JOIN (SELECT DISTINCT pk_unique_id FROM sparse) a
+    LEFT JOIN (SELECT x.pk_unique_id AS one, y.pk_unique_id AS other, sum(x.w * y.w) AS s
+               FROM sparse x JOIN sparse y USING (slot) WHERE x.pk_unique_id % 50 = 0 GROUP BY ALL)
+      ON one = q.pk_unique_id AND other = a.pk_unique_id GROUP BY ALL)) WHERE r <= 10""", CLAIM_SLOTS)
 sql("facility_services", """SELECT pk_unique_id, name, field, item FROM claims JOIN singles USING (pk_unique_id) WHERE name ILIKE '%heart centre%'""")
 sql("specialty_keyword_counts", " UNION ALL ".join(
     f"SELECT '{w}' AS keyword, count(DISTINCT pk_unique_id) AS facilities FROM claims WHERE field = 'specialties' AND item ILIKE '%{s}%'"

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lists import item_count, json_items, to_json_list
-from ..operators import changes, evaluation, flags, geo, merge, profile, regions, routing, rules, search
+from ..operators import (
+    changes, embedding, evaluation, flags, geo, merge, profile, regions, routing, rules, search, vector_index,
+)
 from ..session import apply_runtime_settings, new_path, stored
 from ..sources.dimensions import QUESTIONS, REGION_COORDS
 from ..sources.mentions import DERIVED_EQUIPMENT_RULES
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ASKED = [(q[0], q[1]) for q in QUESTIONS]
 PLACES = list(REGION_COORDS)
 LIST_SEPARATOR = "; "
+#: Queries that SQL cannot state; tests hold them against brute force.
+NO_SQL = {"dense_text_search"}
 
 
 def query(function: Callable[[Registry], DataFrame]) -> Callable[[Registry], DataFrame]:
@@ -550,6 +554,46 @@ def vectors_nearest_filtered(t):
     return search.nearest(vectors.where(F.col("label") < 5), search.centroids(vectors, "label"), 10)
 
 
+def every_fiftieth(vectors, key="vec_id", vector="embedding"):
+    """The vectors of ids divisible by 50 as queries."""
+    return vectors.where((F.col(key) % 50 == 0) & F.col(vector).isNotNull()).select(
+        F.col(key).alias("query_id"), F.col(vector).alias("query"))
+
+
+@query
+def vectors_index_exact(t):
+    vectors = t.table("embeddings")
+    return vector_index.index_search(vector_index.build_index(vectors), every_fiftieth(vectors), exact=True)
+
+
+@query
+def vectors_index_recall(t):
+    vectors = t.table("embeddings")
+    index, asked = vector_index.build_index(vectors, metric="l2"), every_fiftieth(vectors)
+    found = vector_index.recall(
+        vector_index.index_search(index, asked), search.nearest(vectors, asked, metric="l2"))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("at_least_nine_tenths"))
+
+
+@query
+def dense_claim_similarity(t):
+    # These claims have fewer than 384 words, so the projection keeps all inner products.
+    claims = t.claims_of("specialties", "capability").select(KEY, F.col("item").alias("text"))
+    vectors = stored(embedding.embed_facilities(claims)[0], "embeddings")
+    found = search.nearest(vectors, every_fiftieth(vectors, KEY), key=KEY)
+    return found.select("query_id", KEY, F.round("score", 6).alias("similarity"), "rank")
+
+
+@query
+def dense_text_search(t):
+    vectors, model = embedding.embed_facilities(t.parts)
+    asked_vectors = embedding.embedded(
+        asked(t).select("question_id", F.col("question").alias("text")), model, "question_id")
+    index = vector_index.build_index(vectors, key=KEY)
+    return vector_index.index_search(
+        index, asked_vectors.select(F.col("question_id").alias("query_id"), F.col("embedding").alias("query")), exact=True)
+
+
 @query
 def facility_services(t):
     return search.services_of(t.singles, t.claims, "heart centre")
