@@ -72,7 +72,8 @@ def test_labels(spark, reply, label):
 
 @pytest.mark.parametrize("text, verdict", [
     ("SELECT last_updated, created_at FROM t", "allowed"), ("```sql\nSELECT 1;\n```", "allowed"),
-    ("drop table t", "blocked word"), ("SELECT 1; SELECT 2", "several statements"), ("select 1;;", "allowed")])
+    ("drop table t", "blocked word"), ("SELECT 1; SELECT 2", "several statements"), ("select 1;;", "allowed"),
+    ("SELECT 'a;b', \"c;\", `d;` FROM t", "allowed"), ("SELECT 'it''s;'; SELECT 2", "several statements")])
 def test_sql_verdict(spark, text, verdict):
     assert value(spark, routing.sql_verdict(F.col("c")), text) == verdict
 
@@ -93,6 +94,37 @@ def test_guarded_select(spark):
     assert routing.guarded_select(spark, good).count() == 3
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`')",
+    "SELECT * FROM IDENTIFIER('num' || 'bers')", "SELECT * FROM IDENTIFIER(:name)",
+    "SELECT 1 FROM numbers WHERE EXISTS (SELECT * FROM IDENTIFIER(concat('csv.`', '/etc/passwd`')))",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.util.UUID', 'randomUUID')",
+    "SELECT id, try_reflect('java.lang.System', 'exit') FROM numbers", "SELECT IDENTIFIER('java_method')('a', 'b')",
+    "SELECT id FROM numbers WHERE id = (SELECT max(length(java_method('java.lang.System', 'getProperty', 'x'))))",
+    "SELECT current_user", "SELECT current_user()", "SELECT input_file_name() FROM numbers", "SELECT version()",
+    "SELECT doubled(id) FROM numbers", "SELECT * FROM numbers, LATERAL (SELECT * FROM text.`/etc/passwd`)",
+    "SELECT * FROM VALUES (1) AS t(a) JOIN numbers2", "WITH numbers2 AS (SELECT 1), b AS (SELECT * FROM c) SELECT * FROM b",
+    "WITH a AS (SELECT 1) INSERT INTO numbers SELECT * FROM a", "SELECT * FROM kept_table"])
+def test_guard_refuses(spark, text):
+    spark.range(100).createOrReplaceTempView("numbers")
+    spark.udf.register("doubled", lambda x: x, "long")
+    with pytest.raises(ValueError):
+        routing.guarded_select(spark, text, args={"name": "numbers"} if ":name" in text else None)
+
+
+@pytest.mark.parametrize("text, rows", [
+    ("SELECT 'a;b' AS x, \"c;d\" AS y FROM numbers WHERE id = 1;", 1),
+    ("WITH t AS (SELECT id, id % 3 AS g FROM numbers) SELECT g, count(*), nvl(max(id), 0) FROM t GROUP BY g HAVING sum(id) > 1", 3),
+    ("SELECT id, row_number() OVER (ORDER BY id) FROM numbers WHERE id IN (SELECT id + 1 FROM numbers) AND id < 4", 3),
+    ("SELECT x, date_trunc('month', current_timestamp()) FROM numbers LATERAL VIEW explode(array(1, 2)) AS x WHERE id < 2", 4),
+    ("SELECT * FROM VALUES (1, 'x;y'), (2, 'z') AS t(a, b) WHERE b LIKE '%;%'", 1),
+    ("SELECT to_json(named_struct('a', id)), transform(array(id), v -> v + 1), CASE WHEN id > 1 THEN 'x' END FROM numbers LIMIT 2", 2),
+    ("SELECT ceil(id / 2), lpad(id, 3, '0'), contains('abc', 'b') FROM numbers WHERE id BETWEEN 2 AND 3", 2)])
+def test_guard_allows(spark, text, rows):
+    spark.range(100).createOrReplaceTempView("numbers")
+    assert routing.guarded_select(spark, text).count() == rows
+
+
 def test_mentioned_region_is_the_longest_whole_name(spark):
     log = spark.createDataFrame([(1, "hospitals in Bono East?"), (2, "Bono clinics"), (3, "homes"), (4, "Brong-Ahafo area")],
                                 "event_id int, question string")

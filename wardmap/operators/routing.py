@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..sources.dimensions import (
 )
 from ..sources.tables import KEY
 from .flags import FLAGS, any_flag
+from .guard import guarded
 from .regions import region_type_counts, regions_from_counts
 from .search import specialty_keyword_counts
 
@@ -80,12 +82,16 @@ def strip_fence(sql: Column) -> Column:
 BLOCKED = r"(?i)\b(" + "|".join(BLOCKED_WORDS) + r")\b"
 
 
+#: Quoted texts, in which a semicolon ends nothing.
+QUOTED = r"""'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+"|`[^`]*+`"""
+
+
 def sql_verdict(sql: Column) -> Column:
     """``allowed``, ``blocked word`` or ``several statements``; whole words only."""
     text = strip_fence(sql)
     return (
         F.when(text.rlike(BLOCKED), "blocked word")
-        .when(F.contains(text, F.lit(";")), "several statements").otherwise("allowed")
+        .when(F.contains(F.regexp_replace(text, QUOTED, "''"), F.lit(";")), "several statements").otherwise("allowed")
     )
 
 
@@ -101,38 +107,19 @@ def sql_audit(log: DataFrame) -> DataFrame:
 def guarded_select(spark: SparkSession, sql: str, limit: int = 50, args: dict | None = None) -> DataFrame:
     """Run one SELECT over the registered views, at most ``limit`` rows of it.
 
-    Rejects blocked words (as whole words), several statements, and any table, file or function in FROM that
-    is not a registered view or a name the statement itself defines. Values belong in ``args`` (named
-    parameters), not in the text.
+    Rejects blocked words (as whole words) and what ``guard`` does not allow: several statements, tables, files and
+    functions in FROM that are no registered view or name the statement itself defines, and functions that reach out of
+    the data. Values belong in ``args`` (named parameters), not in the text.
     """
     text = re.sub(r"(?m)^\s*```.*$\n?", "", sql).strip().rstrip("; \n\t")
     if re.search(BLOCKED, text):
         raise ValueError("statement contains a blocked word")
-    if ";" in text:
-        raise ValueError("only one statement is allowed")
     if not re.match(r"(?i)(select|with)\b", text):
         raise ValueError("only SELECT is allowed")
-    for name in relations(spark, text):
-        if not registered(spark, name):
-            raise ValueError(f"not a registered view: {name}")
-    return spark.sql(text, args or {}).limit(limit)
-
-
-def relations(spark: SparkSession, text: str) -> list[str]:
-    """Names of the relations that a statement reads, from its parsed plan; its own CTEs are not among them."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    rendered = plan.toString()
-    own = set(re.findall(r"(?m)^\W*CTE \[([^\]]*)\]", rendered))
-    ctes = {c.strip().lower() for names in own for c in names.split(",")}
-    found = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", rendered)
-    others = re.findall(r"'UnresolvedTableValuedFunction \[([^\]]*)\]", rendered)
-    names = [n.replace(", ", ".") for n in found if n.lower() not in ctes]
-    return names + [f"{n}()" for n in others]
-
-
-def registered(spark: SparkSession, name: str) -> bool:
-    """Whether a name is a temporary view of the session."""
-    return any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables())
+    try:
+        return guarded(spark, text, args).limit(limit)
+    except ParseException as error:
+        raise ValueError(f"not one statement that Spark can read: {error}") from error
 
 
 # ---------------------------------------------------------------- mentions in questions
