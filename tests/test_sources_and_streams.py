@@ -1,5 +1,8 @@
+import bisect
+import collections
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from wardmap.session import drop_work, new_path, stored, work_dir
 from wardmap.sources import tables
 from wardmap.streaming import jobs
+from wardmap.streaming.runs import RunTable
 
 EVENTS = "/root/testdata/sf0.001"
 
@@ -67,19 +71,71 @@ def feed(spark, tmp_path):
     return folder
 
 
+def by_window(df):
+    return {(r["window_start"], r["event_type"]): (r["events"], round(r["value_sum"], 4), r["value_max"]) for r in df.collect()}
+
+
+def hourly(spark):
+    return by_window(jobs.hourly_activity(spark.read.parquet(f"{EVENTS}/events.parquet")))
+
+
 def test_windowed_stream_equals_the_batch_result(spark, feed):
     read = lambda: jobs.read_event_stream(spark, feed, "*.parquet", files_per_trigger=1)
-    # The four files overlap in time: nothing may be lost without a watermark.
-    whole = jobs.rolling_statistics(read(), new_path(spark, "windows"))
-    # With a watermark rows may be dropped as late, unless the delay covers them all.
-    late = jobs.rolling_statistics(read(), new_path(spark, "windows"), "60 days")
-    dropped = jobs.rolling_statistics(read(), new_path(spark, "windows"), "1 hour")
-    batch = spark.read.parquet(f"{EVENTS}/events.parquet").groupBy(
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("window_start"), "event_type"
-    ).agg(F.count("*").alias("events"))
-    key = lambda df: {(r["window_start"], r["event_type"]): r["events"] for r in df.collect()}
-    assert key(whole) == key(late) == key(batch)
-    assert sum(key(dropped).values()) < sum(key(batch).values())
+    # The four files overlap in time.
+    assert by_window(jobs.rolling_statistics(read(), new_path(spark, "windows"))) == hourly(spark)
+
+
+def test_late_rows_are_counted_beside_the_windows(spark, feed):
+    path = new_path(spark, "windows")
+    read = lambda: jobs.read_event_stream(spark, feed, "*.parquet", files_per_trigger=1)
+    windows = jobs.windowed(read(), path, jobs.ACTIVITY, "1 hour")
+    late = sum(r["events"] for r in windows.late().collect())
+    kept = sum(r["events"] for r in windows.on_time().collect())
+    # Three of the four files come after the newest hours have been seen.
+    assert late > kept and late + kept == spark.read.parquet(feed).count()
+    assert by_window(windows.corrected()) == hourly(spark)
+    # Nothing is late within a delay that covers the feed; a restart has nothing left to do.
+    assert jobs.windowed(read(), new_path(spark, "windows"), jobs.ACTIVITY, "60 days").late().isEmpty()
+    assert by_window(jobs.windowed(read(), path, jobs.ACTIVITY, "1 hour").corrected()) == hourly(spark)
+
+
+def test_latency_sketches_merge(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(datetime.datetime(2024, 1, 1, rng.randrange(2)), rng.choice("ab"), round(rng.lognormvariate(6, 1)))
+            for _ in range(40_000)]
+    schema = "ts timestamp, agent string, ms long"
+    for i in range(5):
+        spark.createDataFrame(rows[i::5], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    windows = jobs.windowed(stream, new_path(spark, "latency"), jobs.LATENCY, "1 day")
+    for r in jobs.agent_latency(windows.on_time()).collect():
+        mine = sorted(ms for ts, agent, ms in rows if ts == r.window_start and agent == r.agent)
+        assert r.runs == len(mine) and r.max_ms == mine[-1] and abs(r.avg_ms - sum(mine) / len(mine)) < 1e-5
+        for found, q in ((r.median_ms, 0.5), (r.p95_ms, 0.95)):
+            low, high = bisect.bisect_left(mine, found), bisect.bisect_right(mine, found)
+            assert low - 0.005 * len(mine) <= q * len(mine) <= high + 0.005 * len(mine)
+
+
+def test_run_table_keeps_few_runs_and_ignores_replays(spark):
+    table = RunTable(spark, new_path(spark, "runs"), ("k",), lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")),
+                     fan_in=3, levels=3, buckets=4)
+    assert table.read() is None
+    expected = collections.Counter()
+    for batch in range(23):
+        rows = [(i % 7 if batch % 5 else None, batch + i) for i in range(batch)]
+        frame = spark.createDataFrame(rows, "k int, n long")
+        table.append(frame, batch)
+        table.append(frame, batch)
+        for k, n in rows:
+            expected[k] += n
+        assert len(table.manifest().runs) <= 2 * 2 + 1
+    assert {r.k: r.n for r in table.read().collect()} == expected
+    # A run that was cut short before its manifest is written again.
+    frame = spark.createDataFrame([(1, 5)], "k int, n long")
+    table._write(table.fold(frame), 0, 23)
+    table.append(frame, 23)
+    expected[1] += 5
+    assert {r.k: r.n for r in table.read().collect()} == expected
 
 
 def test_keyed_stream_equals_the_batch_result_and_survives_a_replay(spark, feed):
@@ -87,19 +143,11 @@ def test_keyed_stream_equals_the_batch_result_and_survives_a_replay(spark, feed)
     columns = ["user_id", "ts", "event_id", "event_type"]
     read = lambda: jobs.read_event_stream(spark, feed, "*.parquet", files_per_trigger=1).select(columns)
     table = jobs.keyed_table(read(), path, "user_id", ["ts", "event_id"])
-    assert spark.read.parquet(f"{path}/data").select("batch_id").distinct().count() == 4
     newest = spark.read.parquet(f"{EVENTS}/events.parquet").groupBy("user_id").agg(
         F.max_by(F.struct("ts", "event_id", "event_type"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
     rows = lambda df: sorted(tuple(r) for r in df.select(columns).collect())
     expected = rows(newest)
     assert rows(table) == expected
-    # The same batch written again replaces itself.
-    second = spark.read.parquet(f"{path}/data/batch=000000002").drop("batch_id")
-    jobs._batch_writer(f"{path}/data")(spark.createDataFrame(second.collect(), second.schema), 2)
-    again = jobs.newest_rows(spark.read.parquet(f"{path}/data"), "user_id", ["ts", "event_id"])
-    assert rows(again) == expected
+    assert 1 <= len(jobs.RunTable(spark, path, ("user_id",), None).manifest().runs) <= 4
     # A restart has nothing left to do.
     assert rows(jobs.keyed_table(read(), path, "user_id", ["ts", "event_id"])) == expected
-    compacted = new_path(spark, "compacted")
-    jobs.compact(spark, path, compacted, "user_id", ["ts", "event_id"])
-    assert rows(spark.read.parquet(compacted)) == expected

@@ -52,11 +52,6 @@ def to_json_list(items: Column) -> Column:
     return F.to_json(F.array_sort(items))
 
 
-def any_item(items: Column, term: str) -> Column:
-    """True where an item contains ``term``, ignoring case."""
-    return F.coalesce(F.exists(items, lambda x: F.lower(x).contains(term.lower())), F.lit(False))
-
-
 def tokens(c: Column) -> Column:
     """Lower-case words of letters, with their marks, and digits of any script."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")

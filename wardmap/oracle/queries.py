@@ -582,6 +582,9 @@ ORACLE["stream_keyed_users"] = USERS
 ORACLE["stream_hourly_activity"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS events,
   round(sum(value), 4) AS value_sum, max(value) AS value_max FROM events GROUP BY 1, 2"""
 ORACLE["stream_activity_with_watermark"] = ORACLE["stream_hourly_activity"]
+sql("stream_agent_latency", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, step AS agent,
+  count(*) AS runs, round(avg(ms), 6) AS avg_ms, quantile_disc(ms, 0.5) AS median_ms, quantile_disc(ms, 0.95) AS p95_ms,
+  max(ms) AS max_ms FROM log_steps JOIN events USING (event_id) WHERE step <> 'classify' GROUP BY ALL""")
 sql("registry_from_csv", """SELECT pk_unique_id, count(*) + count(*) FILTER (WHERE scraped_at >= TIMESTAMP '1998-07-01') AS row_count,
   count(name) AS named, max(scraped_at) FILTER (WHERE scraped_at >= TIMESTAMP '1998-07-01') AS last_scraped
   FROM mentions GROUP BY 1""")

@@ -16,7 +16,7 @@ from ..operators import (
 )
 from ..session import apply_runtime_settings, new_path, stored
 from ..sources.dimensions import QUESTIONS, REGION_COORDS
-from ..sources.mentions import DERIVED_EQUIPMENT_RULES
+from ..sources.mentions import DERIVED_EQUIPMENT_RULES, logged_questions
 from ..sources.tables import (
     KEY, REGISTRY_SCHEMA, SOURCE, domain_values, read_evolving, read_registry_csv, register_view,
     with_safe_names, write_table,
@@ -818,15 +818,26 @@ def stream_keyed_users(t):
 
 @query
 def stream_activity_with_watermark(t):
-    """Events more than 60 days behind the newest are late; the state holds 60 days of windows and types."""
+    """Windows with what late rows, more than 60 days behind the newest of earlier batches, add to them."""
     stream = jobs.read_event_stream(t.spark, t.folder)
-    table = jobs.rolling_statistics(stream, new_path(t.spark, "late-activity"), delay="60 days")
-    return table.select(
+    windows = jobs.windowed(stream, new_path(t.spark, "late-activity"), jobs.ACTIVITY, delay="60 days")
+    return windows.corrected().select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events",
         F.round("value_sum", 4).alias("value_sum"), "value_max",
     )
 
 
+@query
+def stream_agent_latency(t):
+    """Times of the agents that answered the logged questions, per hour."""
+    events = jobs.read_event_stream(t.spark, t.folder).withColumn("n_facilities", F.lit(1))
+    steps = logged_questions(events).select("ts", F.get("steps", F.lit(1)).alias("s")).select(
+        "ts", F.col("s.step").alias("agent"), F.col("s.ms").alias("ms"))
+    windows = jobs.windowed(steps, new_path(t.spark, "latency"), jobs.LATENCY)
+    return jobs.agent_latency(windows.corrected()).withColumn(
+        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
 def _registry_csv(t):
     """The registry as scraped files: CSV written by Spark and read back by header."""
     path = new_path(t.spark, "registry-csv")

@@ -74,12 +74,27 @@ def drop_work(spark: SparkSession) -> int:
     """
     dropped = 0
     while _HANDED_OUT:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
-        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        dropped += bool(files.delete(path, True))
+        dropped += delete_folder(spark, _HANDED_OUT.pop())
     return dropped
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder, wherever Spark stores it; False if there was none."""
+    path, files = _file_system(spark, folder)
+    return bool(files.delete(path, True))
+
+
+def child_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it does not exist."""
+    path, files = _file_system(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back.
 

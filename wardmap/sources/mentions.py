@@ -175,7 +175,11 @@ SQL_TEXTS = [
 def question_log(spark: SparkSession, folder: str) -> DataFrame:
     """One asked question per event with its expected route, reply, timing and sources."""
     count = read_table(spark, folder, "customer").agg(F.count("*").alias("n")).scalar()
-    events = read_table(spark, folder, "events").withColumn("n_facilities", count)
+    return logged_questions(read_table(spark, folder, "events").withColumn("n_facilities", count))
+
+
+def logged_questions(events: DataFrame) -> DataFrame:
+    """The questions of events, a table or a stream, with the number of facilities in ``n_facilities``."""
     event, facilities = F.col("event_id"), F.col("n_facilities")
     pick = event % len(QUESTIONS)
     route = _pick([q[3] for q in QUESTIONS], pick)

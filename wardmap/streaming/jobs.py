@@ -1,15 +1,20 @@
-"""Streaming jobs: rolling trace statistics and a keyed table kept in step with a feed.
+"""Streaming jobs: rolling statistics, latency per agent and a keyed table kept in step with a feed.
 
-Both write append-only batches into the shared work folder. A batch overwrites its own
-partition, so a replay after a lost executor or driver leaves the result unchanged.
+All keep their results in a ``RunTable`` in the shared work folder, so a replay after a lost executor or driver leaves
+the result unchanged and reading does not grow with the number of batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import child_names, delete_folder
+from .runs import RunTable
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -31,38 +36,43 @@ def read_event_stream(spark: SparkSession, folder: str, pattern: str = "events*.
     )
 
 
-def _batch_writer(path: str, reduce=None):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = reduce(batch) if reduce else batch
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id:09d}"
-        )
-
-    return write
-
-
-def run_available(stream: DataFrame, path: str, mode: str, reduce=None) -> None:
+def run_available(stream: DataFrame, path: str, mode: str, table: RunTable) -> None:
     """Process everything that is there, batch by batch, and stop."""
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{path}/_checkpoint")
-        .foreachBatch(_batch_writer(f"{path}/data", reduce))
+        .foreachBatch(table.append)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
 
 
-def hourly_activity(stream: DataFrame, delay: str | None = None, width: str = "1 hour") -> DataFrame:
+# ---------------------------------------------------------------- keyed table
+
+def newest_rows(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:
+    """Newest row per key."""
+    payload = [c for c in rows.columns if c not in (*key, *version)]
+    newest = F.max_by(F.struct(*version, *payload), F.struct(*version))
+    return rows.groupBy(*key).agg(newest.alias("r")).select(*key, "r.*")
+
+
+def keyed_table(stream: DataFrame, path: str, key: str, version: list[str]) -> DataFrame:
+    """Newest row per key of a change feed, kept folded in levels of runs (``RunTable``)."""
+    table = RunTable(stream.sparkSession, path, (key,), lambda rows: newest_rows(rows, [key], version))
+    run_available(stream, path, "append", table)
+    found = table.read()
+    return stream.sparkSession.createDataFrame([], stream.schema) if found is None else found
+
+
+# ---------------------------------------------------------------- windows
+
+def hourly_activity(stream: DataFrame, width: str = "1 hour") -> DataFrame:
     """Events, total and largest value per time window and type.
 
-    Without ``delay`` no row is ever too late, and the state keeps one small entry per
-    window and type. With it, rows later than that behind the newest event are dropped
-    and closed windows leave the state: for endless feeds that arrive in order.
+    No row is ever too late; the state keeps one small entry per window and type.
     """
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    if delay is not None:
-        timed = timed.withWatermark("ts", delay)
     return (
         timed.groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count("*").alias("events"), F.sum("value").alias("value_sum"), F.max("value").alias("value_max"))
@@ -70,36 +80,116 @@ def hourly_activity(stream: DataFrame, delay: str | None = None, width: str = "1
     )
 
 
-def rolling_statistics(stream: DataFrame, path: str, delay: str | None = None) -> DataFrame:
+def rolling_statistics(stream: DataFrame, path: str) -> DataFrame:
     """Run the windowed statistics over the available data and return the current table.
 
-    Update mode emits a window whenever it changes; the newest batch of a window holds.
+    Update mode emits a window whenever it changes; the row with the most events is the newest.
     """
-    run_available(hourly_activity(stream, delay), path, "update")
-    spark = stream.sparkSession
-    written = spark.read.parquet(f"{path}/data")
-    newest = F.max_by(F.struct("events", "value_sum", "value_max"), "batch_id")
-    return written.groupBy("window_start", "event_type").agg(newest.alias("r")).select(
-        "window_start", "event_type", "r.*"
-    )
-
-
-def keyed_table(stream: DataFrame, path: str, key: str, version: list[str]) -> DataFrame:
-    """Newest row per key of a change feed.
-
-    Each batch is reduced to its newest row per key before it is written; reading folds
-    the batches the same way, and ``compact`` rewrites them as one.
+    keys = ["window_start", "event_type"]
+    table = RunTable(stream.sparkSession, path, tuple(keys), lambda rows: newest_rows(rows, keys, ["events"]))
+    windows = hourly_activity(stream)
+    run_available(windows, path, "update", table)
+    found = table.read()
+    return stream.sparkSession.createDataFrame([], windows.schema) if found is None else found
+
+
+@dataclass(frozen=True)
+class Summary:
+    """Statistics that can be merged: aggregates of rows, and of the columns they give."""
+
+    group: str
+    of_rows: Callable[[], dict[str, Column]]
+    merged: Callable[[], dict[str, Column]]
+
+
+ACTIVITY = Summary(
+    "event_type",
+    lambda: {"events": F.count("*"), "value_sum": F.sum("value"), "value_max": F.max("value")},
+    lambda: {"events": F.sum("events"), "value_sum": F.sum("value_sum"), "value_max": F.max("value_max")},
+)
+#: Size of the quantile sketches; the rank of a quantile is wrong by 0.3 % at most, with 99 % confidence. Up to about
+#: this many values of a window and agent are kept as they are.
+SKETCH = 2_048
+LATENCY = Summary(
+    "agent",
+    lambda: {"runs": F.count("ms"), "ms_sum": F.sum("ms"), "ms_max": F.max("ms"),
+             "sketch": F.kll_sketch_agg_bigint("ms", SKETCH)},
+    lambda: {"runs": F.sum("runs"), "ms_sum": F.sum("ms_sum"), "ms_max": F.max("ms_max"),
+             "sketch": F.kll_merge_agg_bigint("sketch", SKETCH)},
+)
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+@dataclass(frozen=True)
+class WindowTable:
+    """Summaries per window and group of a stream in which rows may come late.
+
+    A row is late if its time is more than ``delay`` behind the newest time of the batches before. Late rows do not
+    change the windows that were given out; they are summed up beside them, and none is lost.
     """
-    run_available(stream, path, "append", lambda batch: newest_rows(batch, key, version))
-    return newest_rows(stream.sparkSession.read.parquet(f"{path}/data"), key, version)
-
-
-def newest_rows(rows: DataFrame, key: str, version: list[str]) -> DataFrame:
-    payload = [c for c in rows.columns if c not in (key, *version, "batch_id", "batch")]
-    newest = F.max_by(F.struct(*version, *payload), F.struct(*version))
-    return rows.groupBy(key).agg(newest.alias("r")).select(key, "r.*")
-
 
-def compact(spark: SparkSession, path: str, target: str, key: str, version: list[str]) -> None:
-    """Write the folded table to a new folder."""
-    newest_rows(spark.read.parquet(f"{path}/data"), key, version).write.mode("overwrite").parquet(target)
+    table: RunTable
+    summary: Summary
+    delay: str
+    width: str
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        newest = self._newest(batch)
+        ts, late = F.col("ts").cast("timestamp"), F.lit(False)
+        if newest is not None:
+            late = ts < F.lit(newest) - F.expr(f"interval {self.delay}")
+        self.table.append(rows.where("ts is not null").groupBy(
+            F.window(ts, self.width)["start"].alias("window_start"), self.summary.group, late.alias("late")
+        ).agg(*_named(self.summary.of_rows())), batch)
+        seen = rows.agg(F.greatest(F.max(ts), F.lit(newest).cast("timestamp")).alias("newest"))
+        seen.coalesce(1).write.mode("overwrite").parquet(f"{self.table.path}/clock/{batch:012d}")
+        for name in sorted(child_names(self.table.spark, f"{self.table.path}/clock"))[:-2]:
+            delete_folder(self.table.spark, f"{self.table.path}/clock/{name}")
+
+    def _newest(self, batch: int):
+        """Newest time of the batches before; a replay finds what the first run found."""
+        names = [n for n in child_names(self.table.spark, f"{self.table.path}/clock") if int(n) < batch]
+        return self.table.spark.read.parquet(f"{self.table.path}/clock/{max(names)}").first()[0] if names else None
+
+    def _read(self, condition: str) -> DataFrame | None:
+        found = self.table.read()
+        if found is None:
+            return None
+        return found.where(condition).groupBy("window_start", self.summary.group).agg(
+            *_named(self.summary.merged()))
+
+    def on_time(self) -> DataFrame | None:
+        return self._read("not late")
+
+    def late(self) -> DataFrame | None:
+        """The second output: what late rows add to windows given out before."""
+        return self._read("late")
+
+    def corrected(self) -> DataFrame | None:
+        """Windows with their late rows."""
+        return self._read("true")
+
+
+def windowed(
+    stream: DataFrame, path: str, summary: Summary, delay: str = "1 day", width: str = "1 hour",
+) -> WindowTable:
+    """Run a windowed summary of a stream with ``ts`` and the columns of the summary over the available data."""
+    keys = ("window_start", summary.group, "late")
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*_named(summary.merged()))
+
+    windows = WindowTable(RunTable(stream.sparkSession, path, keys, fold), summary, delay, width)
+    run_available(stream, path, "append", windows)
+    return windows
+
+
+def agent_latency(windows: DataFrame) -> DataFrame:
+    """Readable latency rows: runs, mean, median, 95th percentile and largest time per window and agent."""
+    quantile = lambda q: F.kll_sketch_get_quantile_bigint("sketch", F.lit(q))
+    return windows.select(
+        "window_start", "agent", "runs", F.round(F.col("ms_sum") / F.col("runs"), 6).alias("avg_ms"),
+        quantile(0.5).alias("median_ms"), quantile(0.95).alias("p95_ms"), F.col("ms_max").alias("max_ms"))
