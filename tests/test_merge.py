@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wardmap.session import drop_work
+from wardmap.sources import tables
 from wardmap.operators import changes, flags, merge, search
 
 SCHEMA = "pk_unique_id string, source_url string, name string, facilityTypeId string, `mongo DB` string, specialties string, procedure string"
@@ -145,3 +147,23 @@ def test_a_value_that_changes_columns_is_a_change(spark):
     schema = "pk_unique_id int, a string, b string"
     old, new = (spark.createDataFrame([(1, *v), (2, None, None)], schema) for v in ((None, "x"), ("x", None)))
     assert rows_of(changes.snapshot_diff(old, new)) == [(1, "update")]
+
+
+def test_bucketed_mentions_need_no_exchange_or_sort_before_the_first_aggregate(spark):
+    rows = [(i % 7 if i % 3 else 7, f"u{(i * 37) % 1000:04d}" if i % 50 else None, f"n{i}" if i % 4 else "null",
+             "x" if i > 900 else None, f'["a{i % 5}", "b"]') for i in range(1000)]
+    mentions = spark.createDataFrame(
+        rows, "pk_unique_id long, source_url string, name string, email string, specialties string")
+    table = tables.bucketed_table(mentions, "mentions", "pk_unique_id", ["source_url"], 4)
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    plain = mentions.where("source_url is not null")
+    kept = table.where("source_url is not null")
+    assert as_rows(merge.merge_singles(kept)) == as_rows(merge.merge_singles(plain))
+    assert as_rows(merge.distinct_claims(table)) == as_rows(merge.distinct_claims(mentions))
+    for df in (merge.merge_singles(table).select("pk_unique_id", "source_count"), merge.distinct_claims(table)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange" not in plan and "Sort" not in plan
+    by_field = merge.merge_singles(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in by_field
+    drop_work(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("work_mentions")]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import json_items
 from ..functions.values import blank_to_null, hash_slot, safe_name
-from ..sources.tables import KEY, LIST_FIELDS, SINGLE_FIELDS, SOURCE
+from ..sources.tables import KEY, LIST_FIELDS, ROW_RANK, SINGLE_FIELDS, SOURCE
 
 PAGE_SIZE = 10_000
 SALT = 16
@@ -25,15 +25,34 @@ def merge_singles(
     """One row per key: per field the known value of the first source in URL order.
 
     Null words do not count as values. Fields absent from the input are left out and
-    column names lose blanks and dots. ``source_count`` counts the mentions.
+    column names lose blanks and dots. ``source_count`` counts the mentions. Of a bucketed
+    table only the ranks of rows are folded, numbers of a fixed width, and the few rows that
+    give a value are looked up by them.
     """
     names = {f: safe_name(f) for f in (fields or SINGLE_FIELDS) if f in mentions.columns}
     url = F.coalesce(F.col(source), F.lit("")).alias("_url")
+    if ROW_RANK in mentions.columns:
+        return _merge_by_rank(mentions, names, key)
     known = mentions.select(key, url, *[blank_to_null(F.col(f"`{f}`")).alias(name) for f, name in names.items()])
     merged = [F.min(F.when(F.col(c).isNotNull(), F.struct("_url", c)))[c].alias(c) for c in names.values()]
     return known.groupBy(key).agg(*merged, F.count("*").alias("source_count"))
 
 
+def _merge_by_rank(mentions: DataFrame, names: dict[str, str], key: str) -> DataFrame:
+    """``merge_singles`` of a table with ``ROW_RANK``, which is in URL order within a key."""
+    rank = F.col(ROW_RANK)
+    known = mentions.select(key, rank, *[blank_to_null(F.col(f"`{f}`")).alias(name) for f, name in names.items()])
+    firsts = known.groupBy(key).agg(
+        *[F.min(F.when(F.col(c).isNotNull(), rank)).alias(f"_{c}") for c in names.values()],
+        F.count("*").alias("source_count"))
+    # At most a row for each field of a key is left; both sides are bucketed alike.
+    giving = known.join(firsts.hint("shuffle_hash"), key).where(
+        F.array_contains(F.array(*[F.col(f"_{c}") for c in names.values()]), rank))
+    values = giving.groupBy(key).agg(
+        *[F.max(F.when(rank == F.col(f"_{c}"), F.col(c))).alias(c) for c in names.values()])
+    return firsts.select(key, "source_count").join(values, key, "left").select(key, *names.values(), "source_count")
+
+
 def exploded_claims(
     mentions: DataFrame, fields: list[str] | None = None, key: str = KEY, source: str = SOURCE
 ) -> DataFrame:

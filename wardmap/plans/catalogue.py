@@ -56,7 +56,7 @@ def facility_mentions(t):
 
 @query
 def merge_by_key(t):
-    merged = merge.merge_by_key(t.mentions)
+    merged = merge.merge_by_key(t.stored_mentions)
     lists = [f for f in ("specialties", "procedure", "equipment", "capability", "phone_numbers", "websites",
                          "affiliationTypeIds")]
     return merged.select(*[c for c in merged.columns if c not in lists], *[joined(c) for c in lists])
@@ -127,7 +127,7 @@ def column_profile(t):
 
 @query
 def facilities_enriched(t):
-    return t.facilities
+    return flags.enrich(t.stored_mentions)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import flags, geo, merge, regions, search
 from ..session import stored
 from ..sources import mentions as derived
-from ..sources.tables import read_table
+from ..sources.tables import KEY, SOURCE, bucketed_table, read_table
 
 SNAPSHOT_CUT = "1998-07-01"
 
@@ -31,6 +31,12 @@ class Registry:
     def mentions(self) -> DataFrame:
         return derived.facility_mentions(self.spark, self.folder)
 
+    @cached_property
+    def stored_mentions(self) -> DataFrame:
+        """The mentions bucketed by facility and sorted by URL, for queries that read them more than once."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return bucketed_table(self.mentions, "mentions", KEY, [SOURCE], buckets)
+
     @cached_property
     def claims(self) -> DataFrame:
         return merge.distinct_claims(self.mentions, flags.SIGNAL_FIELDS)

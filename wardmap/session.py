@@ -67,12 +67,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Catalogue tables whose files are in these folders.
+_TABLES: list[str] = []
+
+
+def new_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Unused name of a catalogue table and the folder for its files."""
+    path = new_path(spark, name)
+    _TABLES.append("work_" + path.rsplit("/", 1)[1].replace("-", "_"))
+    return _TABLES[-1], path
+
+
 def drop_work(spark: SparkSession) -> int:
     """Delete the intermediate tables of the queries run so far; how many folders that were.
 
     To be called once their results are written: a result not yet computed still reads them.
     """
     dropped = 0
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _HANDED_OUT:
         dropped += delete_folder(spark, _HANDED_OUT.pop())
     return dropped

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import safe_name
+from ..session import new_table
 
 # The columns of a scraped registry file.
 KEY = "pk_unique_id"
@@ -64,6 +65,23 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+#: Column of a bucketed table: grows along the rows of a key in the order they are sorted by.
+ROW_RANK = "_row_rank"
+
+
+def bucketed_table(df: DataFrame, name: str, key: str, order: list[str], buckets: int) -> DataFrame:
+    """The rows as a table bucketed by a key and sorted by it and ``order`` within a bucket, a file for each bucket.
+
+    Joins and aggregates by the key need no exchange. ``ROW_RANK`` stands for the order in a fixed width, so that the
+    first row with some property is a minimum of numbers. All rows of a key are in one bucket.
+    """
+    spark, keys = df.sparkSession, [key, *[F.col(c).asc_nulls_first() for c in order]]
+    table, path = new_table(spark, name)
+    rows = df.repartition(buckets, key).sortWithinPartitions(*keys).withColumn(ROW_RANK, F.monotonically_increasing_id())
+    rows.write.bucketBy(buckets, key).sortBy(key, ROW_RANK).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_evolving(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
