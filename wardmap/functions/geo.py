@@ -61,3 +61,41 @@ class Grid:
             F.sequence(-columns, columns),
             lambda c: F.struct((self.row(lat) + r).alias("cell_row"), wrapped(c).alias("cell_col")))))
         return F.array_distinct(cells)
+
+
+def cell_of(level: int, lat: Column, lon: Column) -> list[Column]:
+    """``row`` and ``col`` of a position in cells of 180 / 2**level degrees."""
+    cells = 1 << level
+    row = F.least(F.floor((lat + 90.0) * cells / 180.0), F.lit(cells - 1)).cast("int")
+    col = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * cells / 180.0)
+    return [row.alias("row"), F.least(col, F.lit(2 * cells - 1)).cast("int").alias("col")]
+
+
+def _nearest_in_cell(lat: Column, lon: Column, south: Column, west: Column, width: float) -> Column:
+    """Least distance from a position to a cell.
+
+    Where the position's meridian crosses the cell, the nearest point is on it; else it is on one of the two sides,
+    at the latitude where a great circle meets the side at a right angle, or at an end of the side.
+    """
+    north = south + width
+    clamp = lambda x: F.least(north, F.greatest(south, x))
+    inside = F.pmod(lon - west, F.lit(360.0)) <= width
+
+    def side(meridian: Column) -> Column:
+        apart = F.radians(meridian - lon)
+        foot = F.degrees(F.atan2(F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(apart)))
+        return F.least(*[haversine_km(lat, lon, y, meridian) for y in (clamp(foot), south, north)])
+
+    return F.when(inside, haversine_km(lat, lon, clamp(lat), lon)).otherwise(F.least(side(west), side(west + width)))
+
+
+def cell_distances(level: int, lat: Column, lon: Column, row: Column, col: Column) -> tuple[Column, Column]:
+    """Bounds of the distances in km from a position to the points of a cell, a trifle wide against rounding.
+
+    The farthest point of the cell is the nearest one to the position's antipode.
+    """
+    width = 180.0 / (1 << level)
+    south, west = row * width - 90.0, col * width - 180.0
+    near = _nearest_in_cell(lat, lon, south, west, width)
+    far = F.lit(math.pi * EARTH_RADIUS_KM) - _nearest_in_cell(-lat, lon + 180.0, south, west, width)
+    return near - 1e-4, far + 1e-4

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import Grid, haversine_km, jitter
+from ..functions.geo import Grid, cell_distances, cell_of, haversine_km, jitter
 from ..functions.values import blank_to_null
+from ..session import stored
 from ..sources.dimensions import REGION_COORDS, district_aliases
 from ..sources.tables import KEY
 
@@ -62,40 +63,94 @@ def located(f: DataFrame, key: str = KEY) -> DataFrame:
     ).withColumn("lon", F.round(region_point(F.col("known_region"), "lon") + jitter(F.col(key), "lon"), 6))
 
 
-def within_km(points: DataFrame, places: list[tuple[str, float, float]], km: float, key: str = KEY) -> DataFrame:
-    """Points within ``km`` of named places, with the distance.
+#: Places: a literal list of (place, lat, lon), or a table with place, place_lat and place_lon.
+Places = list[tuple[str, float, float]] | DataFrame
 
-    ``places`` is a literal list; each place is spread to the grid cells within reach and joined by
-    cell, so only points of nearby cells are measured.
+
+def place_table(spark: SparkSession, places: Places) -> DataFrame:
+    if isinstance(places, DataFrame):
+        return places.select("place", "place_lat", "place_lon")
+    return spark.createDataFrame(places, "place string, place_lat double, place_lon double")
+
+
+def within_km(points: DataFrame, places: Places, km: float, key: str = KEY) -> DataFrame:
+    """Points within ``km`` of places, with the distance.
+
+    Each place is spread to the grid cells within reach and joined by cell, so only points of nearby cells are
+    measured. Spark picks the join by the size of the places.
     """
     grid = Grid(km)
-    spark = points.sparkSession
-    named = spark.createDataFrame(places, "place string, place_lat double, place_lon double")
+    named = place_table(points.sparkSession, places)
     cells = named.select("*", F.inline(grid.neighbours(F.col("place_lat"), F.col("place_lon"))))
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     return (
         points.withColumn("cell_row", grid.row(F.col("lat"))).withColumn("cell_col", grid.col(F.col("lon")))
-        .join(F.broadcast(cells), ["cell_row", "cell_col"])
+        .join(cells, ["cell_row", "cell_col"])
         .withColumn("km", distance)
         .where(F.col("km") <= km)
         .drop("cell_row", "cell_col", "place_lat", "place_lon")
     )
 
 
-def count_within_km(points: DataFrame, places: list[tuple[str, float, float]], km: float) -> DataFrame:
+def count_within_km(points: DataFrame, places: Places, km: float) -> DataFrame:
     """Facilities within ``km`` per place, with the nearest distance; 0 where there is none."""
     found = within_km(points, places, km).groupBy("place").agg(
         F.count("*").alias("n"), F.min("km").alias("nearest")
     )
-    named = points.sparkSession.createDataFrame([(p[0],) for p in places], "place string")
-    return named.join(found, "place", "left").select(
+    return place_table(points.sparkSession, places).join(found, "place", "left").select(
         "place", F.coalesce("n", F.lit(0)).cast("bigint").alias("facilities"),
         F.round("nearest", 6).alias("nearest_km"),
     )
 
 
-def cold_spots(points: DataFrame, places: list[tuple[str, float, float]], km: float) -> DataFrame:
+def cold_spots(points: DataFrame, places: Places, km: float) -> DataFrame:
     """Places without any of the points within ``km``."""
     near = within_km(points, places, km).select("place").distinct()
-    named = points.sparkSession.createDataFrame(places, "place string, lat double, lon double")
+    named = place_table(points.sparkSession, places).withColumnsRenamed({"place_lat": "lat", "place_lon": "lon"})
     return named.join(near, "place", "left_anti")
+
+
+#: Levels of the cell hierarchy that a search goes down; a cell of level n is 180 / 2**n degrees wide.
+LEVELS = (2, 4, 6, 8, 10, 12)
+
+
+def nearest_points(
+    points: DataFrame, places: Places, k: int = 1, key: str = KEY, levels: tuple[int, ...] = LEVELS,
+) -> DataFrame:
+    """The ``k`` points (key, lat, lon) nearest to each place at any distance: place, key, km and rank, ties by key.
+
+    The search goes down a hierarchy of cells. The cells that hold ``k`` points for sure bound the distance of the
+    ``k``-th; cells that begin beyond the bound are dropped, and only those left are split further, down to the points of
+    the last level. Of points at one position only the ``k`` first by key can count. Places or points without a position
+    have no rows.
+    """
+    spark = points.sparkSession
+    here = points.select(key, "lat", "lon").where("lat is not null and lon is not null")
+    first = Window.partitionBy("lat", "lon").orderBy(key)
+    here = here.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).drop("n")
+    here = stored(here.select("*", *cell_of(levels[-1], F.col("lat"), F.col("lon"))), "points")
+    finest = here.groupBy("row", "col").agg(F.count("*").alias("n"))
+
+    top, finest = 1 << levels[0], stored(finest, "cells")
+    every = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col")) for r in range(top) for c in range(2 * top)])
+    named = place_table(spark, places).where("place_lat is not null and place_lon is not null").dropDuplicates(["place"])
+    found = named.select("place", "place_lat", "place_lon", F.inline(every), F.lit(float("inf")).alias("bound"))
+    for n, level in enumerate(levels):
+        down = levels[-1] - level
+        counts = finest.groupBy(F.shiftright("row", down).alias("row"), F.shiftright("col", down).alias("col")).agg(
+            F.sum("n").alias("n"))
+        if n:
+            step = level - levels[n - 1]
+            parts = F.sequence(F.lit(0), F.lit((1 << step) - 1))
+            found = found.withColumn("row", F.explode(F.transform(parts, lambda i: F.shiftleft("row", step) + i)))
+            found = found.withColumn("col", F.explode(F.transform(parts, lambda i: F.shiftleft("col", step) + i)))
+        near, far = cell_distances(level, F.col("place_lat"), F.col("place_lon"), F.col("row"), F.col("col"))
+        found = found.join(counts, ["row", "col"]).withColumn("near", near).withColumn("far", far).where("near <= bound")
+        held = F.sum("n").over(Window.partitionBy("place").orderBy("far").rowsBetween(Window.unboundedPreceding, 0))
+        reach = F.min(F.when(F.col("held") >= k, F.col("far"))).over(Window.partitionBy("place"))
+        found = found.withColumn("held", held).withColumn("bound", F.least("bound", F.coalesce(reach, "bound")))
+        found = stored(found.where("near <= bound").drop("n", "held", "near", "far"), "search-cells")
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
+    order = Window.partitionBy("place").orderBy("km", key)
+    return found.join(here, ["row", "col"]).select("place", key, km.alias("km")).withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -229,6 +229,10 @@ log_steps AS (
     (event_id % 13) || ' sources', total_ms - CAST(floor(total_ms / 5) AS BIGINT), len(source_ids) FROM question_log
 )"""
 
+PEOPLE = f"""
+people AS (SELECT user_id, count(*) AS requests, {pick(REGION_TEXTS, f'user_id % {len(REGION_TEXTS)}')} AS "address_stateOrRegion"
+  FROM events WHERE user_id IS NOT NULL GROUP BY user_id)"""
+
 PARTS = """
 parts AS (
   SELECT pk_unique_id, unnest([name, description, address_city, "address_stateOrRegion"]) AS txt FROM singles
@@ -241,4 +245,4 @@ PLACES = "\nplaces(place, plat, plon) AS (VALUES " + ", ".join(
 ASKED = "\nasked(question_id, question) AS (VALUES " + ", ".join(
     f"({text(q[0])}, {text(q[1])})" for q in QUESTIONS) + ")"
 
-PRELUDE = "WITH " + ",".join([MENTIONS, CLAIMS, FACILITIES, REGIONS, WEIGHTED, LOG, PARTS, PLACES, ASKED])
+PRELUDE = "WITH " + ",".join([MENTIONS, CLAIMS, FACILITIES, REGIONS, WEIGHTED, LOG, PEOPLE, PARTS, PLACES, ASKED])

@@ -160,6 +160,21 @@ sql("service_bundles_by_region", f"""SELECT a.{R}, a.item AS item_a, b.item AS i
 services AS (SELECT DISTINCT pk_unique_id, item, {R} FROM claims JOIN singles USING (pk_unique_id)
              WHERE field IN ('procedure', 'equipment'))""")
 
+sql("closed_service_bundles", """SELECT array_to_string(items, '; ') AS items, len(items) AS n_items, n AS facilities FROM shared s
+  WHERE len(items) >= 2 AND NOT EXISTS (SELECT 1 FROM shared t WHERE t.n = s.n AND len(t.items) > len(s.items) AND list_has_all(t.items, s.items))""",
+    """
+services AS MATERIALIZED (SELECT DISTINCT pk_unique_id, item FROM claims WHERE field IN ('procedure', 'equipment')),
+least AS MATERIALIZED (SELECT ceil(round(0.15 * count(DISTINCT pk_unique_id), 9)) AS least FROM services),
+often AS MATERIALIZED (SELECT item FROM services GROUP BY item HAVING count(*) >= (SELECT least FROM least)),
+baskets AS MATERIALIZED (SELECT pk_unique_id, list(item) AS basket FROM services WHERE item IN (SELECT item FROM often) GROUP BY 1),
+shared AS MATERIALIZED (WITH RECURSIVE grown(items, n) AS (
+    SELECT [item], count(*) FROM services WHERE item IN (SELECT item FROM often) GROUP BY item
+    UNION ALL
+    SELECT list_append(items, o.item), count(*) FROM grown, often o, baskets b
+    WHERE o.item > items[-1] AND list_contains(b.basket, o.item) AND list_has_all(b.basket, items)
+    GROUP BY items, o.item HAVING count(*) >= (SELECT least FROM least))
+  SELECT * FROM grown)""")
+
 # ---------------------------------------------------------------- regions
 sql("regional_stats", f"""SELECT {R}, count(*) AS facility_count, CAST(sum(coalesce("numberDoctors", 0)) AS BIGINT) AS total_doctors,
   CAST(sum(coalesce(capacity, 0)) AS BIGINT) AS total_beds, count(DISTINCT "facilityTypeId") AS facility_types FROM facilities GROUP BY 1""")
@@ -214,7 +229,7 @@ sql("ngo_gap_regions", f"""SELECT {R}, facility_count, desert_score FROM weighte
 sql("ngo_service_overlaps", f"""SELECT {R}, item AS specialty, count(*) AS ngos FROM facilities JOIN claims USING (pk_unique_id)
   WHERE organization_type = 'ngo' AND field = 'specialties' GROUP BY ALL HAVING count(*) >= 2""")
 POPULATION = f"""
-population AS (SELECT {R}, count(*) AS population FROM mentions WHERE {R} <> 'null' GROUP BY 1)"""
+population AS (SELECT {R}, count(*) AS population FROM people GROUP BY 1)"""
 sql("population_table", "SELECT * FROM population", POPULATION)
 sql("resources_per_head", f"""SELECT r.{R}, population, round(facility_count * 100000 / population, 6) AS facilities_per_head,
   round(total_doctors * 100000 / population, 6) AS doctors_per_head, round(total_beds * 100000 / population, 6) AS beds_per_head
@@ -259,6 +274,34 @@ sql("hospitals_near_places", """SELECT place, count(pk_unique_id) AS facilities,
 sql("emergency_cold_spots", """SELECT place, plat AS lat, plon AS lon FROM places p
   WHERE NOT EXISTS (SELECT 1 FROM distances d WHERE d.place = p.place AND offers_emergency AND km <= 40)""", LOCATED)
 
+KM = """2 * 6371.0088::DOUBLE * asin(sqrt(least(1.0::DOUBLE, power(sin(radians(b.lat - a.lat) / 2), 2)
+    + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))))"""
+sql("nearest_emergency_provider", f"""SELECT facility, pk_unique_id, round(km, 6) AS km FROM (
+  SELECT a.pk_unique_id AS facility, b.pk_unique_id, {KM} AS km,
+    row_number() OVER (PARTITION BY a.pk_unique_id ORDER BY {KM}, b.pk_unique_id) AS r
+  FROM located a, located b WHERE NOT a.offers_emergency AND b.offers_emergency) WHERE r = 1""", LOCATED)
+sql("nearest_surgical_hospitals", """SELECT place, CAST(r AS INT) AS rank, pk_unique_id, round(km, 6) AS km FROM (
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY km, pk_unique_id) AS r
+  FROM distances WHERE "facilityTypeId" = 'hospital' AND claims_surgery) WHERE r <= 3""", LOCATED)
+sql("demand_against_supply", f"""SELECT place, lat AS place_lat, lon AS place_lon, demand, coalesce(suppliers, 0) AS suppliers,
+  round(coalesce(access, 0), 6) AS access, CASE WHEN suppliers IS NULL THEN 'none'
+    WHEN coalesce(access, 0) < 0.5 * (SELECT sum("numberDoctors") FROM located WHERE "numberDoctors" > 0)::DOUBLE / (SELECT sum(demand) FROM cells)
+    THEN 'low' ELSE 'served' END AS band
+  FROM cells LEFT JOIN (
+    SELECT place, sum(supply / load * weight) AS access, count(*) AS suppliers FROM pairs
+    JOIN (SELECT pk_unique_id, sum(demand * weight) AS load FROM pairs GROUP BY 1) USING (pk_unique_id) WHERE load > 0 GROUP BY 1)
+  USING (place)""", LOCATED + f""",
+asking AS (SELECT *, coalesce(p.place, {KNOWN}) AS known_region FROM people LEFT JOIN places p ON lower(p.place) = lower({R})),
+asking_at AS (SELECT requests, round(q.plat + {slot("user_id || 'lat'", 300000)} / 300000.0::DOUBLE * 0.3::DOUBLE - 0.15::DOUBLE, 6) AS lat,
+    round(q.plon + {slot("user_id || 'lon'", 300000)} / 300000.0::DOUBLE * 0.3::DOUBLE - 0.15::DOUBLE, 6) AS lon
+  FROM asking JOIN places q ON known_region = q.place),
+cells AS (SELECT i || ':' || j AS place, round((i + 0.5::DOUBLE) * 0.1::DOUBLE, 6) AS lat, round((j + 0.5::DOUBLE) * 0.1::DOUBLE, 6) AS lon, demand
+  FROM (SELECT CAST(floor(lat / 0.1::DOUBLE) AS BIGINT) AS i, CAST(floor(lon / 0.1::DOUBLE) AS BIGINT) AS j,
+          CAST(sum(requests) AS BIGINT) AS demand FROM asking_at GROUP BY ALL)),
+pairs AS (SELECT place, pk_unique_id, demand, supply, (exp(-0.5::DOUBLE * (km / 60) * (km / 60)) - exp(-0.5::DOUBLE)) / (1 - exp(-0.5::DOUBLE)) AS weight
+  FROM (SELECT a.place, b.pk_unique_id, a.demand, b."numberDoctors" AS supply, {KM} AS km FROM cells a, located b
+        WHERE b."numberDoctors" > 0) WHERE km <= 60)""")
+
 # ---------------------------------------------------------------- search
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import item_count, json_items, to_json_list
 from ..operators import (
-    changes, embedding, evaluation, flags, geo, merge, profile, regions, routing, rules, search, vector_index,
+    bundles, catchment, changes, embedding, evaluation, flags, geo, merge, profile, regions, routing, rules, search,
+    vector_index,
 )
 from ..session import apply_runtime_settings, new_path, stored
 from ..sources.dimensions import QUESTIONS, REGION_COORDS
@@ -263,6 +264,12 @@ def service_bundles_by_region(t):
     return profile.service_bundles(claims, 0.3, by=REGION)
 
 
+@query
+def closed_service_bundles(t):
+    found = bundles.closed_bundles(t.claims_of("procedure", "equipment"), 0.15)
+    return found.select(joined("items"), F.size("items").cast("bigint").alias("n_items"), "facilities")
+
+
 # ---------------------------------------------------------------- regions
 
 @query
@@ -390,9 +397,8 @@ def population_table(t):
 
 
 def _population(t):
-    # A user's side table: people served per region text, one for each order.
-    known = t.mentions.where(F.col(REGION).isNotNull() & (F.col(REGION) != "null"))
-    return known.groupBy(REGION).agg(F.count("*").alias("population"))
+    """People per region text, from the side table of demand."""
+    return t.people.groupBy(REGION).agg(F.count("*").alias("population"))
 
 
 @query
@@ -457,6 +463,30 @@ def emergency_cold_spots(t):
     return geo.cold_spots(offering, PLACES, 40.0)
 
 
+@query
+def nearest_emergency_provider(t):
+    """For every facility without emergency care the nearest one that offers it, at any distance."""
+    positions = stored(t.located("capability").select(KEY, "lat", "lon", "offers_emergency"), "positions")
+    without = positions.where(~F.col("offers_emergency")).select(
+        F.col(KEY).alias("place"), F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"))
+    found = geo.nearest_points(positions.where("offers_emergency"), without)
+    return found.select(F.col("place").alias("facility"), KEY, F.round("km", 6).alias("km"))
+
+
+@query
+def nearest_surgical_hospitals(t):
+    hospitals = t.located("specialties").where((F.col("facilityTypeId") == "hospital") & F.col("claims_surgery"))
+    return geo.nearest_points(hospitals, PLACES, 3).select("place", "rank", KEY, F.round("km", 6).alias("km"))
+
+
+@query
+def demand_against_supply(t):
+    """Doctors per request that people can reach, by cells of a tenth of a degree."""
+    demand = geo.located(t.people, "user_id").select("lat", "lon", F.col("requests").alias("demand"))
+    supply = t.located().select(KEY, "lat", "lon", F.col("numberDoctors").alias("supply"))
+    return catchment.catchment_access(catchment.demand_cells(demand), supply)
+
+
 # ---------------------------------------------------------------- search
 
 def asked(t):

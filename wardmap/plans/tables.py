@@ -83,6 +83,10 @@ class Registry:
     def log(self) -> DataFrame:
         return derived.question_log(self.spark, self.folder)
 
+    @cached_property
+    def people(self) -> DataFrame:
+        return derived.people(self.spark, self.folder)
+
     def claims_of(self, *fields: str) -> DataFrame:
         """Distinct claims of the named fields only; the other lists are not even parsed."""
         return merge.distinct_claims(self.mentions, list(fields))

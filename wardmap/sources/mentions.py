@@ -172,6 +172,14 @@ SQL_TEXTS = [
 ]
 
 
+def people(spark: SparkSession, folder: str) -> DataFrame:
+    """A side table of demand: one row per user of the events, with a region text and the number of requests."""
+    user = F.col("user_id")
+    return read_table(spark, folder, "events").where(user.isNotNull()).groupBy("user_id").agg(
+        F.count("*").alias("requests")).withColumn(
+            "address_stateOrRegion", _pick(REGION_TEXTS, F.pmod(user, F.lit(len(REGION_TEXTS)))))
+
+
 def question_log(spark: SparkSession, folder: str) -> DataFrame:
     """One asked question per event with its expected route, reply, timing and sources."""
     count = read_table(spark, folder, "customer").agg(F.count("*").alias("n")).scalar()
