@@ -1,7 +1,10 @@
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
-from wardmap.operators import flags, profile, regions
+from wardmap.operators import flags, profile, ranks, regions
 
 REGION = "address_stateOrRegion"
 COLUMNS = (
@@ -151,3 +154,16 @@ def test_rules_for_equipment_and_type_of_problem(spark):
                               "address_stateOrRegion string, pk_unique_id int, numberDoctors double, num_equipment long")
     got = {r["address_stateOrRegion"]: r["shortage"] for r in regions.problem_type(f).collect()}
     assert got == {"x": "practitioners", "y": "equipment", "z": "neither"}
+
+
+def test_ranks_and_medians_over_ranges(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 7, 500, 501):
+        values = [rng.randrange(40) / 4 for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(7)
+        assert ranks.median(df, F.col("v")) == statistics.median(values)
+        table = df.withColumnRenamed("v", "desert_score").withColumn("address_stateOrRegion", F.lit("x"))
+        order = sorted(set(values), reverse=True)
+        got = {r.desert_score: r.priority for r in regions.priority_ranking(table).collect()}
+        assert got == {None: None} | {v: i + 1 for i, v in enumerate(order)}
+    assert ranks.median(df.limit(0), F.col("v")) is None

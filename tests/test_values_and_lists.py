@@ -41,6 +41,16 @@ def test_item_count(spark, raw, expected):
     assert one(spark, lists.item_count(F.col("c")), c=raw) == expected
 
 
+@pytest.mark.parametrize("raw, items", [
+    ('[[[[["x"]]]], {"a": [{"b": [1, [2]]}]}]', 2), ('["a", ' + "[" * 40 + "]" * 40 + "]", 2), ('[[[[[1]]]]] x', None),
+    ('[[[[[1]]]]]]', None), ('[[[[[1]]]]]}', None), ('[[[[[1]]]]], 2', None), ('[[[[[1]]]]], "b": 2', None),
+    ("[[[[['a']]]]]", None), ('[[[[["a"]]]]', None), ('[{"a": {"b": {"c": {"d": {"e": 1}}}}}, "z"]', 2)])
+def test_lists_of_any_depth(spark, raw, items):
+    found = one(spark, lists.json_items(F.col("c")), c=raw)
+    assert len(found) == (items or 1) and (items is not None or found == [raw])
+    assert one(spark, lists.item_count(F.col("c")), c=raw) == (items or 0)
+
+
 def test_long_list_does_not_overflow_the_pattern(spark):
     raw = json.dumps([f"item {i} \\ \" {'x' * 20}" for i in range(20_000)])
     assert len(one(spark, lists.json_items(F.col("c")), c=raw)) == 20_000

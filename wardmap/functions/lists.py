@@ -10,7 +10,8 @@ from .values import NULL_WORDS, strip
 # JSON grammar, possessive throughout so that long texts cannot backtrack.
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 _NUMBER = r"-?[0-9]++(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
-# Objects and arrays may hold each other, up to this many levels below an item.
+# The expression knows objects and arrays that hold each other, up to this many levels below an item;
+# texts that are nested deeper go through the JSON parser (``is_json_array``).
 _DEPTH = 2
 _OBJECT = r'\{(?:[^{}"]++|' + _STRING + r")*+\}"
 _INNER = r'\[(?:[^\[\]"]++|' + _STRING + r")*+\]"
@@ -22,6 +23,16 @@ JSON_ARRAY = rf"^\s*+\[\s*+(?:{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+)?+\]\s*+$"
 JSON_STRING = rf"^\s*+{_STRING}\s*+$"
 
 
+def is_json_array(c: Column) -> Column:
+    """Whether a text is one strict JSON array, at any depth.
+
+    The parser takes the first value of a text and overlooks what follows. A text that is a value within an array as
+    well as within an object has nothing else in it.
+    """
+    inside = lambda a, z: F.try_parse_json(F.concat(F.lit(a), c, F.lit(z))).isNotNull()
+    return c.rlike(JSON_ARRAY) | (F.startswith(strip(c), F.lit("[")) & inside("[", "]") & inside('{"v":', "}"))
+
+
 def _clean_item(item: Column) -> Column:
     return strip(F.btrim(strip(item), F.lit('"')))
 
@@ -34,7 +45,7 @@ def json_items(c: Column) -> Column:
     would accept trailing text and single quotes, hence the full-text check first.
     """
     parsed = F.from_json(
-        F.when(c.rlike(JSON_ARRAY), c).when(c.rlike(JSON_STRING), F.concat(F.lit("["), c, F.lit("]"))),
+        F.when(is_json_array(c), c).when(c.rlike(JSON_STRING), F.concat(F.lit("["), c, F.lit("]"))),
         "array<string>",
     )
     absent = c.isNull() | F.lower(strip(c)).isin(*NULL_WORDS)
@@ -44,7 +55,7 @@ def json_items(c: Column) -> Column:
 
 def item_count(c: Column) -> Column:
     """Number of elements of a JSON array text; 0 for anything else."""
-    return F.coalesce(F.size(F.from_json(F.when(c.rlike(JSON_ARRAY), c), "array<string>")), F.lit(0))
+    return F.coalesce(F.size(F.from_json(F.when(is_json_array(c), c), "array<string>")), F.lit(0))
 
 
 def to_json_list(items: Column) -> Column:

@@ -15,6 +15,7 @@ from ..sources.dimensions import CRITICAL_SPECIALTIES
 from ..sources.tables import KEY
 from .flags import FLAGS, any_flag
 from .merge import paged_lists
+from .ranks import median, running_counts
 
 REGION = "address_stateOrRegion"
 
@@ -144,13 +145,12 @@ def critical_regions(regions: DataFrame, above: float = 50, n: int = 5) -> DataF
 
 
 def priority_ranking(regions: DataFrame) -> DataFrame:
-    """Dense rank by falling score.
-
-    The only whole-table window here: it runs over the regional aggregate, which has one
-    row per administrative region.
-    """
-    order = Window.orderBy(F.desc("desert_score"))
-    return regions.select(REGION, "desert_score", F.dense_rank().over(order).alias("priority"))
+    """Dense rank by falling score: the place of the score among the distinct ones."""
+    scores = regions.select("desert_score").where("desert_score is not null").groupBy("desert_score").agg(
+        F.count("*").alias("n"))
+    places = running_counts(scores, F.col("desert_score").desc()).select(
+        F.col("desert_score").alias("_score"), F.col("place").cast("int").alias("priority"))
+    return regions.join(places, F.col("desert_score") == F.col("_score"), "left").select(REGION, "desert_score", "priority")
 
 
 def region_with_most(f: DataFrame, facility_type: str = "hospital") -> DataFrame:
@@ -207,9 +207,8 @@ def problem_type(f: DataFrame) -> DataFrame:
     sums = stored(f.groupBy(REGION).agg(
         F.count("*").alias("n"), _total("numberDoctors").alias("doctors"), _total("num_equipment").alias("tools")
     ), "regional-sums")
-    # One value per region text.
-    doctors = sums.agg(F.median(F.col("doctors") / F.col("n"))).scalar()
-    tools = sums.agg(F.median(F.col("tools") / F.col("n"))).scalar()
+    doctors = F.lit(median(sums, F.col("doctors") / F.col("n")))
+    tools = F.lit(median(sums, F.col("tools") / F.col("n")))
     rated = sums.select(
         REGION,
         (F.col("doctors") / F.col("n")).alias("doctors_per_facility"),

@@ -16,6 +16,7 @@ from ..sources.dimensions import (
 )
 from ..sources.tables import KEY
 from .flags import FLAGS, any_flag
+from .geo import resolve_region
 from .guard import guarded
 from .regions import region_type_counts, regions_from_counts
 from .search import specialty_keyword_counts
@@ -267,27 +268,35 @@ def _joined(rows: DataFrame, order: list[Column], line: Column) -> DataFrame:
     return rows.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
+# Texts of the context lines and of questions that ask for none.
+TOTAL_LINE, TYPES_LINE, REGION_LINE, ANOMALY_LINE = "Total facilities: ", "\nBy type: ", "Region ", "Anomalies - "
+SPECIALTY_LINE, NO_DATA = "Facilities with ", "No structured data pulled."
+
+
 def context_texts(f: DataFrame, claims: DataFrame) -> DataFrame:
     """Text of every structured context block; a block is a short aggregate of the tables.
 
     Facilities are folded once to counts per region and type, which are written; every
-    block folds those further.
+    block folds those further. Region texts are resolved to the known regions, so the blocks
+    have a bounded number of lines; texts without one are counted as ``N/A``.
     """
-    rollup = stored(region_type_counts(f), "region-types")
+    counts = region_type_counts(f).withColumn(REGION, resolve_region(F.col(REGION)))
+    sums = [F.sum(c).alias(c) for c in counts.columns if c not in (REGION, "facilityTypeId")]
+    rollup = stored(counts.groupBy(REGION, "facilityTypeId").agg(*sums), "region-types")
     regions = regions_from_counts(rollup)
     per_type = rollup.groupBy("facilityTypeId").agg(F.sum("facility_count").alias("n"))
     block = lambda name, df: df.select(F.lit(name).alias("block"), "text")
-    total = F.concat(F.lit("Total facilities: "), F.sum("n").cast("string"), F.lit("\nBy type: "))
+    total = F.concat(F.lit(TOTAL_LINE), F.sum("n").cast("string"), F.lit(TYPES_LINE))
     by_type = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), shown(F.col("facilityTypeId")).alias("t"))))
     totals = per_type.agg(F.concat(total, F.array_join(F.transform(
         by_type, lambda x: F.concat(x["t"], F.lit(": "), (-x["o"]).cast("string"))), ", ")).alias("text"))
     region_text = _joined(
         regions, [-F.col("facility_count"), shown(F.col(REGION))],
-        F.concat(F.lit("Region "), shown(F.col(REGION)), F.lit(": "), F.col("facility_count").cast("string"),
+        F.concat(F.lit(REGION_LINE), shown(F.col(REGION)), F.lit(": "), F.col("facility_count").cast("string"),
                  F.lit(" facilities, "), F.col("total_doctors").cast("string"), F.lit(" doctors")),
     )
     anomalies = rollup.agg(*[F.sum(c).alias(c) for c in FLAGS]).select(F.concat_ws(
-        "\n", *[F.concat(F.lit("Anomalies - "), flag_label(F.lit(c)), F.lit(": "), F.col(c).cast("string"))
+        "\n", *[F.concat(F.lit(ANOMALY_LINE), flag_label(F.lit(c)), F.lit(": "), F.col(c).cast("string"))
                 for c in FLAGS]).alias("text"))
     worst = regions.orderBy(F.desc("desert_score"), F.asc_nulls_first(REGION)).limit(5)
     deserts = _joined(
@@ -299,7 +308,7 @@ def context_texts(f: DataFrame, claims: DataFrame) -> DataFrame:
     )
     specialties = specialty_keyword_counts(claims).select(
         F.concat(F.lit("specialty "), F.col("keyword")).alias("block"),
-        F.concat(F.lit("Facilities with "), F.col("keyword"), F.lit(": "), F.col("facilities").cast("string"))
+        F.concat(F.lit(SPECIALTY_LINE), F.col("keyword"), F.lit(": "), F.col("facilities").cast("string"))
         .alias("text"),
     )
     parts = [block("totals", totals), block("regions", region_text), specialties,
@@ -317,8 +326,8 @@ def triggered_blocks(lowered: Column) -> Column:
 def question_structured_context(log: DataFrame, texts: DataFrame, id_column: str = "event_id") -> DataFrame:
     """Structured context of every question, blocks in fixed order.
 
-    The block texts, one row per block name, become one map value (a scalar subquery), so
-    the questions are neither joined nor shuffled.
+    The block texts, a fixed number of bounded rows (``context_texts``), become one map value (a
+    scalar subquery), so the questions are neither joined nor shuffled.
     """
     lookup = texts.agg(F.map_from_entries(F.collect_list(F.struct("block", "text")))).scalar()
     lowered = log.select(id_column, F.lower("question").alias("lowered"))
@@ -328,5 +337,5 @@ def question_structured_context(log: DataFrame, texts: DataFrame, id_column: str
     return found.select(
         id_column, F.size("found").cast("bigint").alias("blocks"),
         F.when(F.size("found") > 0, F.array_join("found", "\n"))
-        .otherwise("No structured data pulled.").alias("context"),
+        .otherwise(NO_DATA).alias("context"),
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from ..operators.routing import BLOCK_ORDER
 from ..sources.dimensions import (
     AFFILIATION_TYPES, BLOCKED_WORDS, CONTEXT_RULES, CONTEXT_TRIGGERS, CRITICAL_SPECIALTIES, INTENT_KEYWORDS,
     NAME_RULES, NGO_WORDS, PHRASE_RULES, ROUTE_LABELS, SECRET_MASK, SPECIALTY_KEYWORDS, TERM_MAP,
@@ -543,16 +542,22 @@ YES = "CASE WHEN {0} > 0 THEN 'Yes' ELSE 'No' END"
 sql("region_lines", f"""SELECT {R}, coalesce({R}, 'N/A') || ' | Facilities: ' || facility_count || ' | Doctors: ' || total_doctors || ' | Beds: ' || total_beds
   || ' | Hospitals: ' || hospital_count || ' | Surgery: ' || {YES.format('has_surgery')} || ' | Emergency: ' || {YES.format('has_emergency')}
   || ' | Obstetrics: ' || {YES.format('has_obstetrics')} || ' | Pediatrics: ' || {YES.format('has_pediatrics')} || ' | Score: ' || desert_score AS line FROM regions""")
-BLOCKS = f"""
+BLOCK_ORDER = ["totals", "regions", *[f"specialty {w}" for w in SPECIALTY_KEYWORDS], "anomalies", "deserts"]
+BLOCKS = LOCATED + f""",
+known_regions AS (
+  SELECT *, 100 - 2 * facility_count - total_doctors - 10 * has_surgery - 10 * has_emergency - 5 * has_obstetrics AS desert_score
+  FROM (SELECT known_region AS {R}, count(*) AS facility_count, CAST(sum(coalesce("numberDoctors", 0)) AS BIGINT) AS total_doctors,
+          count(*) FILTER (WHERE claims_surgery) AS has_surgery, count(*) FILTER (WHERE claims_emergency) AS has_emergency,
+          count(*) FILTER (WHERE claims_obstetrics) AS has_obstetrics FROM coords GROUP BY 1)),
 blocks AS (
   SELECT 'totals' AS block, 'Total facilities: ' || sum(n) || chr(10) || 'By type: ' || string_agg(t || ': ' || n, ', ' ORDER BY n DESC, t) AS text
     FROM (SELECT coalesce("facilityTypeId", 'N/A') AS t, count(*) AS n FROM facilities GROUP BY 1)
   UNION ALL SELECT 'regions', string_agg('Region ' || g || ': ' || facility_count || ' facilities, ' || total_doctors || ' doctors', chr(10)
-    ORDER BY facility_count DESC, g) FROM (SELECT *, coalesce({R}, 'N/A') AS g FROM regions)
+    ORDER BY facility_count DESC, g) FROM (SELECT *, coalesce({R}, 'N/A') AS g FROM known_regions)
   UNION ALL SELECT 'anomalies', {" || chr(10) || ".join(f"'Anomalies - {label(f)}: ' || count(*) FILTER (WHERE {f})" for f in FLAGS)} FROM facilities
   UNION ALL SELECT 'deserts', string_agg(coalesce({R}, 'N/A') || ': score=' || desert_score || ', facilities=' || facility_count
     || ', doctors=' || total_doctors || ', surgery=' || {YES.format('has_surgery')}, chr(10) ORDER BY desert_score DESC, coalesce({R}, ''))
-    FROM (SELECT * FROM regions ORDER BY desert_score DESC, {R} NULLS FIRST LIMIT 5)
+    FROM (SELECT * FROM known_regions ORDER BY desert_score DESC, {R} NULLS FIRST LIMIT 5)
   UNION ALL """ + " UNION ALL ".join(
     f"SELECT 'specialty {w}', 'Facilities with {w}: ' || count(DISTINCT pk_unique_id) FROM claims WHERE field = 'specialties' AND item ILIKE '%{s}%'"
     for w, s in SPECIALTY_KEYWORDS.items()) + ")"

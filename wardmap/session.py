@@ -7,14 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ADAPTIVE_SETTINGS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Split a skewed join even where that costs one more exchange further up.
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
-}
+#: What results depend on; plans are left to Spark's defaults (adaptive execution with skewed joins split).
+RESULT_SETTINGS = {"spark.sql.session.timeZone": "UTC"}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "wardmap") -> SparkSession:
@@ -27,7 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "war
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in ADAPTIVE_SETTINGS.items():
+    for key, value in RESULT_SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,8 +29,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "war
 
 
 def apply_runtime_settings(spark: SparkSession) -> None:
-    """Set the adaptive options on a session somebody else built."""
-    for key, value in ADAPTIVE_SETTINGS.items():
+    """Set what results depend on, on a session somebody else built."""
+    for key, value in RESULT_SETTINGS.items():
         spark.conf.set(key, value)
 
 
