@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from conftest import SMALL
@@ -31,6 +32,51 @@ def test_articles_are_found_without_their_mark(spark):
     assert right >= 0.95 * len(pages)
 
 
+def test_articles_are_found_without_marks_and_classes(spark):
+    pages = table(spark, "/root/testdata/sf0.1", "pages").collect()[::5]
+    weights = learned(table(spark, SMALL, "pages"))
+    bare = lambda page: re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub("</?article>", "", page))
+    right = sum(main_text(bare(p.html), weights) == marked(p.html) for p in pages)
+    assert right >= 0.95 * len(pages)
+
+
+STORY = "".join(f"<p>Paragraph {i} tells a part of the story in plain words, one after another.</p>" for i in range(6))
+STORY_TEXT = "\n".join(f"Paragraph {i} tells a part of the story in plain words, one after another." for i in range(6))
+
+
+@pytest.mark.parametrize("page, want", [
+    # A menu that is a plain list of links, and links after the text.
+    ("<body><ul><li><a href=1>Home</a><li><a href=2>About us</a><li><a href=3>Contact</a></ul><h1>The title</h1>" + STORY
+     + "<p><a href=4>Older posts</a></p><div><a href=5>Next</a> <a href=6>Previous</a></div></body>", "The title\n" + STORY_TEXT),
+    ("<body><div><div><a href=1>Home</a> | <a href=2>News</a></div><div><h1>The title</h1>" + STORY + "</div></div></body>",
+     "The title\n" + STORY_TEXT),
+    # The head of an entry is no page header.
+    ("<body><div class='site-header'>The site</div><div class='entry-header'><h1>The title</h1><p class=byline>By Ann Lee</p>"
+     "</div><div class='entry-content'>" + STORY + "</div></body>", "The title\nBy Ann Lee\n" + STORY_TEXT),
+    # Classes that only begin like those of other parts.
+    ("<article><h1>The title</h1><section class='feedback-loops'><p>Loops feed back.</p></section>" + STORY
+     + "<p class='alert-level'>The level is high.</p><div class='ad-box'>Buy it</div></article>",
+     "The title\nLoops feed back.\n" + STORY_TEXT + "\nThe level is high."),
+    # Teasers beside the main article.
+    ("<main><article><h2><a href=1>Another story</a></h2><p>A short teaser.</p></article><article><h1>The title</h1>" + STORY
+     + "</article><article><h2><a href=2>One more</a></h2><p>Read on.</p></article></main>", "The title\n" + STORY_TEXT),
+    ("<main><article><h2>One</h2><p>Some words here.</p></article><article><h2>Two</h2><p>Some more words.</p></article></main>",
+     "One\nSome words here.\nTwo\nSome more words.")])
+def test_weights_decide(spark, page, want):
+    weights = learned(table(spark, "/root/testdata/sf0.1", "pages"))
+    for known in ({}, weights):
+        assert main_text(page, known) == want
+
+
+@pytest.mark.parametrize("start, end", [("<span>", ""), ("<div>", ""), ("<p><b>", ""), ("<div class=ad>", ""), ("<article>", ""),
+                                        ("<span>", "<div>x</div></i>"), ("<main><ul><li>", "</table>")])
+def test_deep_nesting_takes_linear_time(start, end):
+    page = "<h1>Title</h1><p>" + "words of the text " * 50 + start * 100_000 + "deep" + end * 1000
+    began = time.time()
+    main_text(page, {})
+    assert time.time() - began < 20
+
+
 PARTS = {
     "<nav><ul><li><a href=x>Home page</a></ul></nav>": "",
     "<h1>The title</h1>": "The title", "<p>First <b>para</b>graph &amp; more\n  words&nbsp;here.": "First paragraph & more words here.",
