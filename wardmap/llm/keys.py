@@ -16,9 +16,9 @@ ROW_ID, ROW_HASH = "__row_id", "__row_hash"
 
 
 def keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Id, text hash and text under names of their own, whatever else the table holds."""
+    """Id, in its own type, text hash and text under names of their own, whatever else the table holds."""
     return df.select(
-        df[id_column].cast("long").alias(ROW_ID),
+        df[id_column].alias(ROW_ID),
         F.xxhash64(df[text_column]).alias(ROW_HASH),
         df[text_column].cast("string").alias("__text"),
     )
@@ -30,7 +30,7 @@ def join_rows(
     """Join a table to results by row; ids may be null. ``right`` loses its key columns."""
     right = right.withColumnsRenamed({ROW_ID: "__right_id", ROW_HASH: "__right_hash"})
     row_hash = F.xxhash64(left[text_column]) if text_column else left[ROW_HASH]
-    same = left[id_column].cast("long").eqNullSafe(F.col("__right_id")) & (row_hash == F.col("__right_hash"))
+    same = left[id_column].eqNullSafe(F.col("__right_id")) & (row_hash == F.col("__right_hash"))
     return left.join(right, same, how).drop("__right_id", "__right_hash")
 
 

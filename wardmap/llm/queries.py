@@ -12,7 +12,7 @@ from wardmap.llm.near_copies import near_copy_report
 from wardmap.llm.packing import packed
 from wardmap.llm.quality import quality_report
 from wardmap.llm.quotations import conversations
-from wardmap.llm.surrogates import pseudonymised
+from wardmap.llm.surrogates import pseudonymised, session_key
 from wardmap.llm.tables import table
 from wardmap.llm.vector_codes import code_report
 from wardmap.llm.warc import archive_report
@@ -23,7 +23,7 @@ QUERIES = {
     "op2_licences": lambda spark, d: licence_scan(table(spark, d, "documents")),
     "op3_pack_tokens": lambda spark, d: packed(table(spark, d, "documents")),
     "op4_quality_rules": lambda spark, d: quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op5_surrogates": lambda spark, d: pseudonymised(table(spark, d, "documents")),
+    "op5_surrogates": lambda spark, d: pseudonymised(table(spark, d, "documents"), session_key(spark)),
     "op6_jaccard_join": lambda spark, d: near_copy_report(table(spark, d, "documents")),
     "op7_mix_sources": lambda spark, d: mixture_report(table(spark, d, "documents")),
     "op10_html_text": lambda spark, d: extracted(table(spark, d, "pages")),

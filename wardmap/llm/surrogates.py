@@ -5,33 +5,39 @@ keyed function of its kind and normal form, so it is the same in every text (cor
 is stored. Surrogates keep script, letter case, length of numbers, country code, gender of given names and valid
 check digits. A given name has one gender in the whole corpus, that of its list or else of most of its titles. All
 atoms of the corpus are then checked, names of all kinds together: where two atoms got the same surrogate, or a
-surrogate is itself an atom of the corpus, the later ones draw again until all differ (distinctness). The few that
-drew again, or whose title tells another gender, are joined to the documents that hold them.
+surrogate is itself an atom of the corpus, the later ones draw again until all differ (distinctness); every kind has
+more values the more often it draws. Addresses of hosts are permuted within their network instead, so they differ
+without drawing. The few that drew again, or whose title tells another gender, are joined to the documents that hold them.
+
+A title makes the words after it a name. A known given name alone does not ("Max Temperature", "Grace Period"): the word
+after it has to be a surname. That is decided by how the whole corpus writes the word, in lower case or after an
+article, or as a name; and where it stands nowhere else, by a classifier of words, fitted on the letters of surnames and
+common nouns. Words that are judged otherwise by the corpus than by the classifier are joined to their documents.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
+import secrets
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardmap.llm.arrays import small_batches
-from wardmap.llm.keys import ROW_HASH, ROW_ID, join_rows, keyed
+from wardmap.llm.arrays import ALPHANUMERIC, LOWERED, Texts, find_spans, small_batches, span_hashes, text_slices
+from wardmap.llm.keys import ROW_HASH, ROW_ID, bitmap_of, in_bitmap, join_rows, keyed
+from wardmap.llm.logistic import Sparse, fit, margins, probabilities
 from wardmap.session import stored
 
-KEY = b"corpus-surrogates"
-#: Rounds after which a kind of which the corpus holds nearly all values is given up.
-MOST_DRAWS = 100
-
 # Titles and given names that tell a gender, by script.
 TITLES = {
     "m": "Mr Herr Monsieur Señor Sr Don господин г-н".split(),
@@ -41,13 +47,40 @@ TITLES = {
 GIVEN = {
     ("latin", "m"): "Adam Albert Anton Carl Daniel David Edward Felix Frank George Hans Henry Hugo Ivan Jack James John "
                     "Jorge Juan Karl Leo Louis Luis Martin Max Michael Oscar Otto Paul Peter Pierre Robert Samuel Simon "
-                    "Thomas Victor Walter William".split(),
+                    "Thomas Victor Walter William Aaron Alan Alexander Andrew André Andreas Arthur Benjamin Brian "
+                    "Charles Christopher Dennis Donald Eric Ernst Franz Georg Günter Heinz Ian Jacob Jason Jean Jonathan "
+                    "José Joseph Joshua Jürgen Kevin Klaus Kurt Lukas Marco Mark Matthew Nicholas Noah Patrick Philip "
+                    "Richard Roger Sebastian Stefan Stephen Steven Tobias Vincent Werner Wolfgang".split(),
     ("latin", "f"): "Alice Amelia Ana Anna Carla Carmen Charlotte Clara Diana Elena Elise Ella Emily Emma Eva Grace "
                     "Greta Hannah Helen Ida Irene Jane Julia Karin Laura Lena Lisa Lucy Maria Marie Martha Mary Nina "
-                    "Nora Olivia Paula Rosa Sarah Sofia Vera".split(),
+                    "Nora Olivia Paula Rosa Sarah Sofia Vera Amanda Amy Andrea Angela Anne Barbara Birgit Caroline "
+                    "Catherine Chloe Chloé Christine Claudia Deborah Dorothy Elizabeth Erika Esther Gabriele Heidi "
+                    "Helga Ingrid Isabel Jennifer Jessica Judith Karen Katharina Linda Lucia Margaret Melissa Michelle "
+                    "Monika Nancy Natalie Nicole Patricia Petra Rachel Rebecca Renate Ruth Sabine Sandra Silvia Sophie "
+                    "Susan Teresa Ursula Yvonne Zoe Zoë".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Николай Олег Павел Пётр Сергей Юрий".split(),
     ("cyrillic", "f"): "Анна Вера Галина Елена Ирина Мария Нина Ольга Светлана Татьяна Юлия".split(),
 }
+# Surnames and common nouns whose letters tell them apart; articles.
+SURNAMES = (
+    "smith jones brown taylor wilson johnson walker wright thompson robinson harris clarke lewis jackson turner hughes "
+    "edwards collins stewart morris murphy bailey cooper richardson marshall anderson simpson müller schmidt schneider "
+    "fischer weber meyer wagner becker schulz hoffmann schäfer koch bauer richter klein schröder neumann schwarz "
+    "zimmermann braun krüger hartmann lange werner krause lehmann martin bernard dubois thomas robert petit durand leroy "
+    "moreau laurent simon lefebvre michel garcia rodriguez gonzalez fernandez lopez martinez sanchez perez gomez ruiz "
+    "hernandez jimenez diaz alvarez moreno muñoz romero rossi russo ferrari esposito bianchi romano colombo ricci marino "
+    "greco conti costa nowak kowalski wisniewski novak svoboda horvath nagy petrov larsen hansen nielsen jensen olsen "
+    "johansson andersson lindberg janssen bakker visser jansen mensah owusu okafor kravitz steiner huber mayer").split()
+NOUNS = (
+    "temperature period discussion street road avenue lane square value values speed weight height length width size load "
+    "power rate time times day days week month year note notes letter letters office school college university hospital "
+    "clinic church bay island islands river lake mountain park bridge house hall center centre station airport award prize "
+    "foundation institute group company band album song film movie show series book books club team cup league game test "
+    "model method theorem equation function law rule effect number index factor limit level line point order process "
+    "system setting settings option options question answer opinion statement review report article edition version "
+    "pressure distance duration capacity volume amount price cost budget account standard review language program "
+    "project service engine sensor voltage current output input error").split()
+ARTICLES = "the a an der die das den dem des ein eine le la les un une el los las una il lo gli".split()
 GENDER = {name.lower(): (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
            "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -69,15 +102,20 @@ PATTERNS = [
     ("token", re.compile(r"(?i)(?<!\w)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?!\w)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")),
     ("ip", re.compile(rf"(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?!\w|\.\d)")),
+    ("ip6", re.compile(r"(?i)(?<![\w:.])(?=[0-9a-f:]*:[0-9a-f:]*:)[0-9a-f:]{3,39}(?![\w:]|\.\d)")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,4}(?!\w)")),
     ("phone", re.compile(r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)")),
     ("phone", re.compile(r"(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w.-])(?<!\d )\d{3} \d{3} \d{4}(?![\w-]| ?\d)")),
+    ("phone", re.compile(r"(?<![\w.,+-])(?<!\d )\(?0[1-9]\d{1,3}\)?[ /-]\d{3,5}(?:[ -]?\d{2,5})?(?![\w-]| ?\d|[.,]\d)")),
     ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("name", re.compile(rf"\b(?P<title>{_titles})\b\.?[ \t]+(?P<value>{_word}(?:[ \t]+{_word}){{0,2}})")),
     ("name", re.compile(rf"\b(?P<value>(?:{_names})[ \t]+{_word})")),
 ]
 DIGIT = re.compile(r"\d")
+#: Beginnings and lengths of the numbers that card issuers give out.
+ISSUED = re.compile(r"(?:4\d{12}(?:\d{3})?(?:\d{3})?|(?:5[0-8]|6\d|2[2-7])\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|3528\d{12}|35[3-8]\d{13}|6\d{18})\Z")
 WORD, LETTERS_OF = re.compile(_word), re.compile(_letters)
 
 
@@ -146,7 +184,14 @@ def normal(kind: str, text: str) -> str | None:
         text = decimal(text)
     if kind == "card":
         digits = "".join(DIGIT.findall(text))
-        return digits if luhn(digits) and len(set(digits)) > 1 else None
+        return digits if luhn(digits) and len(set(digits)) > 1 and ISSUED.match(digits) else None
+    if kind == "ip6":
+        try:
+            address = ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        # Words of hexadecimal letters around two colons are no addresses.
+        return str(address) if len(text.replace(":", "")) > 4 and any(c.isdigit() for c in text) else None
     if kind == "phone":
         digits = "".join(DIGIT.findall(text))
         code = re.match(r"\+(\d{1,3})(?!\d)", text)
@@ -160,23 +205,34 @@ def normal(kind: str, text: str) -> str | None:
     return text
 
 
-def atoms(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) of the atoms of a text, in order and without overlap."""
-    found = []
+Verdicts = dict[str, bool]
+
+
+def atoms(text: str, verdicts: Verdicts | None = None) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, normal form) of the atoms of a text, in order and without overlap.
+
+    ``verdicts`` tells of words after a given name without a title whether they are common words; of others the
+    classifier does.
+    """
+    found, spreading = [], set()
     digits = DIGIT.search(text) is not None
     for rank, (kind, pattern) in enumerate(PATTERNS):
         if kind == "email" and "@" not in text or kind in ("iban", "ip", "phone", "ssn", "card") and not digits:
             continue
         for m in pattern.finditer(text):
             if kind == "name":
-                found += [(s, rank, e, k, n) for s, e, k, n in name_atoms(m)]
+                titled = "title" in pattern.groupindex
+                parts = name_atoms(m, verdicts or {})
+                found += [(s, rank, e, k, n) for s, e, k, n in parts]
+                # A given name that may be a word spreads from a title only.
+                spreading.update((k, n) for _, _, k, n in parts if titled or k == "surname")
                 continue
             group = "value" if "value" in pattern.groupindex else 0
             value = normal(kind, m[group])
             if value is not None:
                 found.append((m.start(group), rank, m.end(group), kind, value))
     kept = apart(found)
-    repeats = bare_names(text, kept)
+    repeats = bare_names(text, [a for a in kept if a[2:] in spreading])
     return apart([*found, *repeats]) if repeats else kept
 
 
@@ -190,43 +246,74 @@ def apart(found: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, s
     return kept
 
 
+#: Surnames that are declined: the stem, which is the name's normal form, and its endings.
+DECLINED = re.compile("(.{2,}(?:ов|ев|ёв|ин|ын))(а|у|ой|ою|ым|ом|е|ы|ых|ыми)?$", re.S)
+ENDINGS = ("", "а", "у", "ой", "ою", "ым", "ом", "е", "ы", "ых", "ыми")
+
+
+def stem(word: str) -> str:
+    """The part of a surname that all its forms share."""
+    found = DECLINED.match(word.lower())
+    return word[:len(found[1])] if found else word
+
+
 def bare_names(text: str, kept: list[tuple[int, int, str, str]]) -> list[tuple[int, int, int, str, str]]:
-    """Names of a text wherever else they stand in it, without title or given name.
+    """Names of a text wherever else they stand in it, without title or given name, declined ones in all forms.
 
     They are found as written, in capitals and with a capital. A word that the text has more often in lower case
     than so is no name. A word that is both is a surname.
     """
-    forms: dict[str, tuple[str, str]] = {}
+    forms: dict[str, tuple[str, str, int]] = {}
     for s, e, kind, value in sorted(kept, key=lambda a: a[2] == "surname"):
         if (kind == "surname" or kind.startswith("given")) and e - s > 1:
-            forms |= dict.fromkeys((text[s:e], text[s:e].upper(), text[s:e].title()), (kind, value))
+            endings = ENDINGS if kind == "surname" and DECLINED.match(value) else ("",)
+            for written_as in (text[s:e], text[s:e].upper(), text[s:e].title()):
+                upper = written_as.isupper() and len(written_as) > 1
+                forms |= {written_as + (x.upper() if upper else x): (kind, value, e - s) for x in endings}
     if not forms:
         return []
-    lower = {value for _, value in forms.values()}
+    lower = {value for _, value, _ in forms.values()}
     out, balance = [], Counter()
     for w in WORD.finditer(text):
         parts = [w] if w[0] in forms or w[0] in lower else LETTERS_OF.finditer(text, w.start(), w.end())
         for part in parts:
             if part[0] in forms:
-                kind, value = forms[part[0]]
-                out.append((part.start(), len(PATTERNS), part.end(), kind, value))
+                kind, value, size = forms[part[0]]
+                out.append((part.start(), len(PATTERNS), part.start() + size, kind, value))
                 balance[value] += 1
             elif part[0] in lower:
                 balance[part[0]] -= 1
     return [a for a in out if balance[a[4]] >= 0]
 
 
-def name_atoms(m: re.Match) -> list[tuple[int, int, str, str]]:
-    """Given names and surname after a title, or a known given name and a surname; no words in lower case."""
-    title = m.groupdict().get("title")
-    gender = next((g for g, ts in TITLES.items() if title in ts), "")
+#: Scripts that write a name as one word, and the characters such a name has at most.
+ONE_WORD = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+LONGEST = 4
+
+
+def name_words(m: re.Match) -> list[tuple[int, int, str]]:
+    """The words of a match that can be a name: no words in lower case, and one only in scripts that write it so."""
     words = []
     for w in re.finditer(_word, m["value"]):
-        if w[0][0].islower():
+        word, start = re.sub("['’][sS]$", "", w[0]), m.start("value") + w.start()
+        if ONE_WORD.match(word):
+            if not words:
+                # Longer runs go on with what the person does.
+                size = len(word) if len(word) <= LONGEST else LONGEST - 1
+                words.append((start, start + size, word[:size]))
             break
-        word = re.sub("['’][sS]$", "", w[0])
-        words.append((m.start("value") + w.start(), m.start("value") + w.start() + len(word), word))
-    if not words or not title and len(words) < 2:
+        if word[0].islower():
+            break
+        words.append((start, start + len(word), word))
+    return words
+
+
+def name_atoms(m: re.Match, verdicts: Verdicts) -> list[tuple[int, int, str, str]]:
+    """Given names and surname after a title, or a known given name and a surname."""
+    title = m.groupdict().get("title")
+    gender = next((g for g, ts in TITLES.items() if title in ts), "")
+    words = name_words(m)
+    if not words or not title and (len(words) < 2 or is_common(words[-1][2], verdicts)):
         return []
     out = []
     for i, (s, e, word) in enumerate(words):
@@ -234,10 +321,46 @@ def name_atoms(m: re.Match) -> list[tuple[int, int, str, str]]:
             own = GENDER.get(word.lower(), (script_of(word), ""))[1] or gender
             out.append((s, e, f"given-{own}", word.lower()))
         else:
-            out.append((s, e, "surname", word.lower()))
+            bare = stem(word)
+            out.append((s, s + len(bare), "surname", bare.lower()))
     return out
 
 
+def untitled(text: str) -> set[str]:
+    """The words after given names without a title, in lower case."""
+    return {words[-1][2].lower() for m in PATTERNS[-1][1].finditer(text) if len(words := name_words(m)) > 1}
+
+
+WORD_FEATURES = 1 << 12
+_FITTED: list[tuple[np.ndarray, float]] = []
+
+
+def word_features(words: list[str]) -> Sparse:
+    """Runs of two to four characters of words, their ends marked, and the words as wholes."""
+    columns = []
+    for word in words:
+        marked = f"^{word.lower()}$"
+        grams = {marked} | {marked[i:i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)}
+        columns.append(sorted({zlib.crc32(g.encode()) % WORD_FEATURES for g in grams}))
+    sizes = [len(c) for c in columns]
+    values = np.concatenate([np.full(n, n ** -0.5) for n in sizes])
+    return Sparse(np.concatenate(columns).astype(np.int64), values, np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def noun_chance(word: str) -> float:
+    """Probability that a word is a common noun rather than a surname, by its letters."""
+    if not _FITTED:
+        y = np.array([0] * len(SURNAMES) + [1] * len(NOUNS))
+        _FITTED.append(fit(word_features(SURNAMES + NOUNS), y, WORD_FEATURES))
+    return float(probabilities(margins(word_features([word]), *_FITTED[0]))[0])
+
+
+def is_common(word: str, verdicts: Verdicts) -> bool:
+    """Whether the word after a given name is a common one."""
+    lowered = word.lower()
+    return verdicts[lowered] if lowered in verdicts else script_of(word) == "latin" and noun_chance(lowered) > 0.5
+
+
 def script_of(text: str) -> str:
     for c in text.lower():
         for script, letters in LETTERS.items():
@@ -282,14 +405,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         head, _, top = domain.rpartition(".")
-        return f"{like(local, below)}@{like(head, draws(key, 'domain', domain, 0))}.{top}"
+        # Where a corpus holds most addresses of a length, a letter more after some draws.
+        longer = like(local + "x" * (attempt // 16), below)
+        return f"{longer}@{like(head, draws(key, 'domain', domain, 0))}.{top}"
     if kind == "ip":
-        first = int(value.split(".")[0])
-        private = first if first in (10, 127, 192, 172) else None
-        rest = [str(below(256)), str(below(256)), str(1 + below(254))]
-        if private == 192 and value.startswith("192.168.") or private == 172:
-            rest[0] = value.split(".")[1]
-        return ".".join([str(first if private else 1 + (below(222) + 1) % 223), *rest])
+        return str(ipaddress.IPv4Address(permuted_host(key, int(ipaddress.IPv4Address(value)))))
+    if kind == "ip6":
+        number = int(ipaddress.IPv6Address(value))
+        return str(ipaddress.IPv6Address(number >> 112 << 112 | permuted(key, "ip6", number % (1 << 112), 112)))
     if kind == "phone":
         country, _, rest = value.partition(" ")
         # Where a corpus holds most numbers of a length, a digit more after some draws.
@@ -317,7 +440,38 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         name = names[below(len(names))].lower()
         # Beyond the first draws a double name, of which there are more.
         return name if attempt < 4 else f"{name}-{syllables(script, below, 2 + attempt // 8)}"
-    return syllables(script, below, max(2, min(4, len(value) // 2)) + attempt // 8)
+    declined = DECLINED.match(value)
+    new = syllables(script, below, max(2, min(4, len(value) // 2)) + attempt // 8)
+    return new[:-1] + declined[1][-2:] if declined else new
+
+
+#: Networks whose addresses stay within them: first address and bits of the host.
+NETWORKS = [(int(ipaddress.IPv4Address(a)), bits) for a, bits in (
+    ("0.0.0.0", 24), ("10.0.0.0", 24), ("127.0.0.0", 24), ("169.254.0.0", 16), ("172.16.0.0", 20), ("192.168.0.0", 16),
+    ("224.0.0.0", 28), ("240.0.0.0", 28))]
+
+
+def permuted_host(key: bytes, number: int) -> int:
+    """The address that takes the place of another: a permutation of each network, and of all public addresses."""
+    network = lambda n: next(((first, bits) for first, bits in NETWORKS if n >> bits == first >> bits), None)
+    if own := network(number):
+        first, bits = own
+        return first | permuted(key, f"ip {first}", number - first, bits)
+    number = permuted(key, "ip", number, 32)
+    while network(number):
+        number = permuted(key, "ip", number, 32)
+    return number
+
+
+def permuted(key: bytes, label: str, number: int, bits: int) -> int:
+    """A keyed permutation of the numbers of an even number of bits: a Feistel network of six rounds."""
+    half = bits // 2
+    left, right = number >> half, number & ((1 << half) - 1)
+    for turn in range(6):
+        text = f"{label}\x00{turn}\x00{right}".encode()
+        mixed = int.from_bytes(hashlib.blake2b(text, key=key[:64]).digest()[:16], "big") & ((1 << half) - 1)
+        left, right = right, left ^ mixed
+    return left << half | right
 
 
 def caseless(c: str, below: Callable[[int], int]) -> str:
@@ -344,6 +498,11 @@ def written(kind: str, text: str, new: str) -> str:
     if kind in ("phone", "card", "iban"):
         bare = iter(new.replace(" ", ""))
         return "".join([next(bare) if c.isalnum() else c for c in text]) + "".join(bare)
+    if kind == "ip6" and "::" not in text:
+        groups = ipaddress.IPv6Address(new).exploded.split(":")
+        new = ":".join(g if len(t) == 4 else f"{int(g, 16):x}" for g, t in zip(groups, text.split(":"), strict=True))
+    if kind == "ip6":
+        return new.upper() if text.isupper() else new
     if kind in ("token", "ip", "ssn"):
         return new
     if text.isupper() and len(text) > 1:
@@ -353,10 +512,12 @@ def written(kind: str, text: str, new: str) -> str:
     return "-".join(p[:1].upper() + p[1:] for p in new.split("-")) if text[:1].isupper() else new
 
 
-def scrub(text: str, key: bytes, redrawn: dict[tuple[str, str], str]) -> tuple[str, list[str]]:
+def scrub(
+    text: str, key: bytes, redrawn: dict[tuple[str, str], str], verdicts: Verdicts | None = None,
+) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds of its atoms."""
     out, at, kinds = [], 0, []
-    for start, end, kind, value in atoms(text):
+    for start, end, kind, value in atoms(text, verdicts):
         new = redrawn.get((kind, value)) or surrogate(key, kind, value)
         out += [text[at:start], written(kind, text[start:end], new)]
         kinds.append(kind)
@@ -364,25 +525,93 @@ def scrub(text: str, key: bytes, redrawn: dict[tuple[str, str], str]) -> tuple[s
     return "".join([*out, text[at:]]), kinds
 
 
-def corpus_atoms(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(row key, kind, value) of the atoms of every text, each once per text."""
+def corpus_atoms(texts: DataFrame) -> DataFrame:
+    """(row key, kind, value) of the atoms of every text, each once per text.
+
+    ``texts`` is as from ``keyed``, with ``verdicts``, a list of (word, common). Words after given names without a title
+    have the kinds ``untitled-0`` and ``untitled-1`` (common by the classifier) besides.
+    """
+    fields = texts.select(ROW_ID, ROW_HASH).schema
 
     def run(batches):
         for batch in (small for whole in batches for small in small_batches(whole)):
-            ids, hashes, kinds, values = [], [], [], []
-            for own, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                           readable(batch.column(2)), strict=True):
-                for kind, value in sorted({a[2:] for a in atoms(text)}) if text else ():
-                    ids.append(own)
-                    hashes.append(row_hash)
+            rows, kinds, values = [], [], []
+            known = batch.column("verdicts").to_pylist()
+            for i, (text, told) in enumerate(zip(readable(batch.column("__text")), known, strict=True)):
+                if not text:
+                    continue
+                every = {a[2:] for a in atoms(text, {v["value"]: v["common"] for v in told or ()})}
+                every |= {(f"untitled-{int(is_common(w, {}))}", w) for w in untitled(text)}
+                for kind, value in sorted(every):
+                    rows.append(i)
                     kinds.append(kind)
                     values.append(value)
+            rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.string()),
+                [batch.column(ROW_ID).take(rows), batch.column(ROW_HASH).take(rows), pa.array(kinds, pa.string()),
                  pa.array(values, pa.string())], [ROW_ID, ROW_HASH, "kind", "value"])
 
-    return keyed(docs, id_column, text_column).mapInArrow(
-        run, f"{ROW_ID} bigint, {ROW_HASH} bigint, kind string, value string")
+    return texts.mapInArrow(
+        run, f"{ROW_ID} {fields[ROW_ID].dataType.simpleString()}, {ROW_HASH} bigint, kind string, value string")
+
+
+def word_hashes(values: list[str]) -> np.ndarray:
+    """Hashes of single words, as of the words of texts with A-Z folded."""
+    data = [v.encode() for v in values]
+    ends = np.cumsum([0, *map(len, data)])
+    texts = Texts(np.frombuffer(b"".join(data), np.uint8), ends)
+    return span_hashes(texts, find_spans(texts, np.ones(256, bool)), LOWERED)
+
+
+def written_as(docs: DataFrame, text_column: str, words: DataFrame, bits: int = 22) -> DataFrame:
+    """(hash, common, proper): how often the corpus writes words (hash) as common words and as names.
+
+    In lower case or after an article they are common; with a capital after neither an article nor a given name, proper.
+    The words reach the tasks as a bitmap of fixed size; a row for each word and batch leaves them.
+    """
+    bitmap = bitmap_of(words, "hash", bits)
+    articles = np.sort(word_hashes(ARTICLES))
+    given = np.sort(word_hashes(sorted({n.lower() for ns in GIVEN.values() for n in ns if n.isascii()})))
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0)):
+                spans = find_spans(texts, ALPHANUMERIC)
+                hashes = span_hashes(texts, spans, LOWERED)
+                at = np.flatnonzero(in_bitmap(bitmap, hashes))
+                if not len(at):
+                    continue
+                first = texts.data[spans.starts[at]]
+                upper, lower = (first >= 65) & (first <= 90), (first >= 97) & (first <= 122)
+                before = hashes[np.maximum(at - 1, 0)]
+                same = (at > 0) & (spans.row[np.maximum(at - 1, 0)] == spans.row[at])
+                after = lambda some: same & (some[np.minimum(np.searchsorted(some, before), len(some) - 1)] == before)
+                common = lower | upper & after(articles)
+                proper = upper & ~common & ~after(given)
+                key, place = np.unique(hashes[at], return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(np.bincount(place, common, len(key)).astype(np.int64)),
+                     pa.array(np.bincount(place, proper, len(key)).astype(np.int64))], ["hash", "common", "proper"])
+
+    counts = docs.select(docs[text_column].cast("string")).mapInArrow(run, "hash bigint, common bigint, proper bigint")
+    return counts.groupBy("hash").agg(F.sum("common").alias("common"), F.sum("proper").alias("proper"))
+
+
+def verdicts_of(found: DataFrame, docs: DataFrame, text_column: str) -> DataFrame | None:
+    """(value, common) of the words after given names that the corpus judges otherwise than the classifier."""
+    asked = stored(found.where(F.col("kind").startswith("untitled-")).select("kind", "value").distinct(), "untitled")
+    if asked.isEmpty():
+        return None
+
+    def hashed(batches):
+        for batch in batches:
+            hashes = word_hashes(batch.column("value").to_pylist()) if batch.num_rows else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes.view(np.int64))], ["kind", "value", "hash"])
+
+    asked = stored(asked.mapInArrow(hashed, "kind string, value string, hash bigint"), "untitled")
+    told = asked.join(written_as(docs, text_column, asked.select("hash")), "hash").where("common > 0 or proper > 0")
+    told = told.select("kind", "value", (F.col("common") > F.col("proper")).alias("common"))
+    return stored(told.where(F.col("common") != (F.col("kind") == "untitled-1")).select("value", "common"), "verdicts")
 
 
 def drawn(values: DataFrame, key: bytes) -> DataFrame:
@@ -415,38 +644,49 @@ def distinct_surrogates(values: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt, new) with all surrogates different, and none an atom of the corpus.
 
     Of atoms that share a surrogate the smallest keeps it. Given names of all genders and surnames are one group;
-    other kinds are each one of their own.
+    other kinds are each one of their own. Addresses of hosts are permuted, so they differ as they are.
     """
     group = F.when(F.col("kind").startswith("given-") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind"))
     taken = values.select(group.alias("group"), F.col("value").alias("new")).distinct().withColumn("real", F.lit(True))
     state = stored(drawn(values.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(MOST_DRAWS):
-        grouped = state.withColumn("group", group)
+    while True:
+        grouped = state.withColumn("group", group).where(~F.col("group").isin("ip", "ip6"))
         owners = grouped.groupBy("group", "new").agg(F.min(F.struct("value", "kind")).alias("owner"), F.count("*").alias("n"))
         clashes = owners.join(taken, ["group", "new"], "left").where("n > 1 or real")
         clashes = stored(clashes.select("group", "new", "owner", "real"), "clashes")
         if not clashes.limit(1).count():
             return state
-        marked = grouped.join(clashes, ["group", "new"], "left").withColumn(
+        marked = state.withColumn("group", group).join(clashes, ["group", "new"], "left").withColumn(
             "again", F.col("owner").isNotNull() & (
                 F.coalesce("real", F.lit(False)) | (F.col("owner") != F.struct("value", "kind"))))
         marked = stored(marked.select("kind", "value", "attempt", "new", "again"), "marked")
         redone = drawn(marked.where("again").withColumn("attempt", F.col("attempt") + 1), key)
         state = stored(marked.where("not again").drop("again").unionByName(redone), "surrogates")
-    raise RuntimeError("the corpus holds nearly all values of a kind; no surrogates are left for it")
 
 
 def pseudonymised(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: bytes = KEY,
+    docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """doc_id, text with surrogates, n_entities and kinds (distinct, sorted) of every document row.
 
-    A null text stays null, an empty one empty. Texts without entities are returned as they are. Repeated rows
-    give repeated results; an empty table an empty one. Numbers whose check digits are wrong are no cards or
-    account numbers and stay. A name detected in a text is replaced wherever it stands there. Given the key, runs over other corpora give the same surrogates but for atoms that
-    drew again.
+    ``key`` is secret: who has it can recompute surrogates. A null text stays null, an empty one empty. Texts without
+    entities are returned as they are. Repeated rows give repeated results; an empty table an empty one. Numbers whose
+    check digits are wrong, or that no issuer gives out, are no cards or account numbers and stay. A surname detected in a
+    text is replaced wherever it stands there. Given the key, runs over other corpora give the same surrogates but for
+    atoms that drew again. Ids may be of any type.
     """
-    found = stored(corpus_atoms(docs, id_column, text_column), "atoms")
+    if len(key) < 16:
+        raise ValueError("a key of at least 16 bytes is needed")
+    texts = keyed(docs, id_column, text_column)
+    no_verdicts = F.lit(None).cast("array<struct<value: string, common: boolean>>").alias("verdicts")
+    found = stored(corpus_atoms(texts.select("*", no_verdicts)), "atoms")
+    told = verdicts_of(found, docs, text_column)
+    verdicts = None
+    if told is not None and not told.isEmpty():
+        verdicts = stored(found.where(F.col("kind").startswith("untitled-")).join(told, "value").groupBy(
+            ROW_ID, ROW_HASH).agg(F.collect_set(F.struct("value", "common")).alias("verdicts")), "verdict-rows")
+        found = stored(corpus_atoms(join_rows(texts, verdicts, "left")), "atoms")
+    found = found.where(~F.col("kind").startswith("untitled-"))
     values = stored(one_kind(found), "atom-values")
     own = distinct_surrogates(values.select(F.col("own").alias("kind"), "value").distinct(), key)
     given = F.col("own").startswith("given-")
@@ -454,19 +694,21 @@ def pseudonymised(
     named = values.where(given).join(own.withColumnRenamed("kind", "own").where(given), ["own", "value"])
     redrawn = named.where("attempt > 0 or kind <> own").select("kind", "value", "new").unionByName(others)
     redrawn = stored(redrawn, "redrawn")
-    texts = keyed(docs, id_column, text_column)
     again = found.join(redrawn, ["kind", "value"]).groupBy(ROW_ID, ROW_HASH).agg(
         F.collect_list(F.struct("kind", "value", "new")).alias("again"))
     # Written, so that Spark knows how few there are and need not move the texts.
     texts = join_rows(texts, stored(again, "redrawn-rows"), "left")
+    texts = texts.select("*", no_verdicts) if verdicts is None else join_rows(texts, verdicts, "left")
 
     def run(batches):
         for batch in batches:
             column = batch.column("__text")
             changed, counts, kinds = [], [], []
-            for text, again in zip(readable(column), batch.column("again").to_pylist(), strict=True):
-                new, found = scrub(text, key, {(a["kind"], a["value"]): a["new"] for a in again or ()}) if text else (
-                    None, [])
+            for text, again, told in zip(readable(column), batch.column("again").to_pylist(),
+                                         batch.column("verdicts").to_pylist(), strict=True):
+                new, found = scrub(
+                    text, key, {(a["kind"], a["value"]): a["new"] for a in again or ()},
+                    {v["value"]: v["common"] for v in told or ()}) if text else (None, [])
                 changed.append(new if found else None)
                 counts.append(len(found))
                 kinds.append(",".join(sorted({k.split("-")[0] for k in found})))
@@ -475,5 +717,12 @@ def pseudonymised(
                 [batch.column(ROW_ID), out, pa.array(counts, pa.int64()),
                  pa.array(kinds, pa.string())], ["doc_id", "text", "n_entities", "kinds"])
 
-    return texts.select(ROW_ID, "__text", "again").mapInArrow(
-        run, "doc_id bigint, text string, n_entities bigint, kinds string")
+    kind = texts.schema[ROW_ID].dataType.simpleString()
+    return texts.select(ROW_ID, "__text", "again", "verdicts").mapInArrow(
+        run, f"doc_id {kind}, text string, n_entities bigint, kinds string")
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``spark.wardmap.surrogate.key``, or else a new random one: surrogates of one run then."""
+    given = spark.conf.get("spark.wardmap.surrogate.key", None)
+    return given.encode() if given else secrets.token_bytes(32)
