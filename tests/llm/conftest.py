@@ -10,12 +10,17 @@ ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Names that operators use for columns of their own.
+CLASHING = ("__rows __copies __quality __row __id __text __right_id __right_hash __row_id __row_hash __mix_rows __mix_copy "
+            "__source __size __rank __label company number whole").split()
+
+
 def documents(spark, rows) -> DataFrame:
     """(doc_id, text, source) rows as documents with further columns whose names clash with those of operators."""
-    wide = [(i, t, "en", s, 0 if t is None else len(t), 1, "x", True, 2, "y") for i, t, s in rows]
+    wide = [(i, t, "en", s, 0 if t is None else len(t), 1, "x", True, 2, "y", *range(len(CLASHING))) for i, t, s in rows]
     return spark.createDataFrame(
         wide, "doc_id long, text string, lang string, source string, n_chars long, size int, class string, "
-              "kept boolean, row int, item string")
+              "kept boolean, row int, item string, " + ", ".join(f"{c} int" for c in CLASHING))
 
 
 def words(n: int, seed: int, vocabulary: int = 400) -> list[str]:

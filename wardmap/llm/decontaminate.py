@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardmap.llm import arrays
-from wardmap.llm.keys import ROW_HASH, ROW_ID, bitmap_of, by_batch, in_bitmap, join_rows, keyed
+from wardmap.llm.keys import ROW_HASH, ROW_ID, bitmap_of, by_batch, in_bitmap, join_rows, keyed, type_of
 from wardmap.session import stored
 
 SALTS = 16
@@ -98,7 +98,7 @@ def anchors_of(batch: pa.RecordBatch, sizes, gram: int, window: int, bitmap: np.
         [ROW_ID, ROW_HASH, "__n_words", "__anchors"])
 
 
-SCHEMA = f"{ROW_ID} bigint, {ROW_HASH} bigint, __n_words bigint, __anchors {ANCHORS}"
+SCHEMA = f"{ROW_HASH} bigint, __n_words bigint, __anchors {ANCHORS}"
 
 
 def contamination(
@@ -114,9 +114,10 @@ def contamination(
     Empty tables give an empty result or no spans. Other columns are not read.
     """
     spark = docs.sparkSession
+    item_type = type_of(items, item_id_column)
     source = stored(by_batch(
         keyed(items, item_id_column, item_text_column),
-        lambda b: anchors_of(b, None, gram, window, None), SCHEMA).where("__n_words > 0"), "windows")
+        lambda b: anchors_of(b, None, gram, window, None), f"{ROW_ID} {item_type}, {SCHEMA}").where("__n_words > 0"), "windows")
     theirs = source.select(F.col(ROW_ID).alias("item"), F.explode("__anchors").alias("a")).select(
         "item", "a.size", "a.gram", "a.windows")
     # At most ``window`` sizes.
@@ -124,7 +125,8 @@ def contamination(
     bitmap = bitmap_of(theirs, "gram", bitmap_bits)
     sent = spark.sparkContext.broadcast(bitmap)
     rows = stored(by_batch(
-        keyed(docs, id_column, text_column), lambda b: anchors_of(b, sizes, gram, window, sent.value), SCHEMA),
+        keyed(docs, id_column, text_column), lambda b: anchors_of(b, sizes, gram, window, sent.value),
+        f"{ROW_ID} {type_of(docs, id_column)}, {SCHEMA}"),
         "fingerprints")
 
     salt = F.pmod(F.xxhash64(ROW_ID, ROW_HASH), F.lit(SALTS))
@@ -144,7 +146,7 @@ def contamination(
     return join_rows(rows.drop("__anchors"), per_row, "left").select(
         ROW_ID, ROW_HASH, "__n_words",
         F.coalesce("__spans", F.expr("cast(array() as array<struct<start: bigint, words: int>>)")).alias("__spans"),
-        F.coalesce("__items", F.expr("cast(array() as array<bigint>)")).alias("__items"))
+        F.coalesce("__items", F.array().cast(f"array<{item_type}>")).alias("__items"))
 
 
 def covered(spans: str):
@@ -168,9 +170,15 @@ def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFr
 
 
 def without_contaminated(
-    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options,
+    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 1,
+    **options,
 ) -> DataFrame:
-    """The documents that share no window with any item, all columns as given."""
-    found = contamination(docs, items, id_column, text_column, **options).where(F.size("__spans") > 0)
+    """The documents that share no window of at least ``least_words`` words with any item, all columns as given.
+
+    Windows are shorter than the usual ones only where an item is: a whole item of one or a few words says nothing
+    about the document that holds it.
+    """
+    found = contamination(docs, items, id_column, text_column, **options).where(
+        F.exists("__spans", lambda span: span["words"] >= least_words))
     found = found.select(ROW_ID, ROW_HASH).distinct()
     return join_rows(docs, found, "left_anti", id_column, text_column)

@@ -24,14 +24,28 @@ def keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """The type of a column, as in a schema text."""
+    return df.schema[column].dataType.simpleString()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that a table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_rows(
     left: DataFrame, right: DataFrame, how: str, id_column: str = ROW_ID, text_column: str | None = None,
 ) -> DataFrame:
     """Join a table to results by row; ids may be null. ``right`` loses its key columns."""
-    right = right.withColumnsRenamed({ROW_ID: "__right_id", ROW_HASH: "__right_hash"})
+    id_, hash_ = free_name(left, "__right_id"), free_name(left, "__right_hash")
+    right = right.withColumnsRenamed({ROW_ID: id_, ROW_HASH: hash_})
     row_hash = F.xxhash64(left[text_column]) if text_column else left[ROW_HASH]
-    same = left[id_column].eqNullSafe(F.col("__right_id")) & (row_hash == F.col("__right_hash"))
-    return left.join(right, same, how).drop("__right_id", "__right_hash")
+    same = left[id_column].eqNullSafe(F.col(id_)) & (row_hash == F.col(hash_))
+    return left.join(right, same, how).drop(id_, hash_)
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardmap.llm import arrays, logistic
-from wardmap.llm.keys import ROW_HASH, ROW_ID, keyed
+from wardmap.llm.keys import ROW_HASH, ROW_ID, keyed, type_of
 
 WINDOW, STEP = 40, 20
 BITS = 18
@@ -406,4 +406,4 @@ def licence_scan(
                 ["doc_id", "n_units", "n_notices", "licences", "probability"])
 
     return keyed(docs, id_column, text_column).mapInArrow(
-        run, "doc_id bigint, n_units bigint, n_notices bigint, licences string, probability double")
+        run, f"doc_id {type_of(docs, id_column)}, n_units bigint, n_notices bigint, licences string, probability double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,9 +21,26 @@ class Sparse(NamedTuple):
         return Sparse(self.columns[use], self.values[use], np.concatenate([[0], np.cumsum(counts[chosen])]))
 
 
+#: Values worked on at a time.
+PIECE = 1 << 20
+
+
+def pieces(x: Sparse) -> Iterator[tuple[slice, Sparse]]:
+    """Consecutive rows with about ``PIECE`` values, and where they are."""
+    start, rows = 0, len(x.first) - 1
+    while start < rows:
+        stop = max(start + 1, int(np.searchsorted(x.first, x.first[start] + PIECE, "right")) - 1)
+        values = slice(x.first[start], x.first[stop])
+        yield slice(start, stop), Sparse(x.columns[values], x.values[values], x.first[start:stop + 1] - x.first[start])
+        start = stop
+
+
 def margins(x: Sparse, weights: np.ndarray, bias: float) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(weights[x.columns] * x.values, dtype=np.float64)])
-    return sums[x.first[1:]] - sums[x.first[:-1]] + bias
+    out = np.full(len(x.first) - 1, bias, np.float64)
+    for rows, part in pieces(x):
+        sums = np.concatenate([[0.0], np.cumsum(weights[part.columns] * part.values, dtype=np.float64)])
+        out[rows] += sums[part.first[1:]] - sums[part.first[:-1]]
+    return out
 
 
 def probabilities(z: np.ndarray) -> np.ndarray:
@@ -32,13 +50,18 @@ def probabilities(z: np.ndarray) -> np.ndarray:
 def fit(x: Sparse, y: np.ndarray, dimensions: int, penalty: float = 1e-4, steps: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps; both classes weigh the same in total."""
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    counts = np.diff(x.first)
-    squares = np.bincount(np.repeat(np.arange(len(y)), counts), weights=x.values.astype(np.float64) ** 2, minlength=len(y))
+    squares = np.zeros(len(y))
+    for rows, part in pieces(x):
+        each = np.repeat(np.arange(rows.stop - rows.start), np.diff(part.first))
+        squares[rows] = np.bincount(each, weights=part.values.astype(np.float64) ** 2, minlength=rows.stop - rows.start)
     rate = 1.0 / (0.25 * (1.0 + float((share * squares).sum()) + penalty))
     w, v, b, c = np.zeros(dimensions), np.zeros(dimensions), 0.0, 0.0
     for step in range(steps):
         error = share * (probabilities(margins(x, v, c)) - y)
-        slope = np.bincount(x.columns, weights=np.repeat(error, counts) * x.values, minlength=dimensions)
+        slope = np.zeros(dimensions)
+        for rows, part in pieces(x):
+            slope += np.bincount(part.columns, weights=np.repeat(error[rows], np.diff(part.first)) * part.values,
+                                 minlength=dimensions)
         nw, nb = v - rate * (slope + penalty * v), c - rate * error.sum()
         pull = step / (step + 3.0)
         v, c, w, b = nw + pull * (nw - w), nb + pull * (nb - b), nw, nb

@@ -14,6 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardmap.llm.keys import free_name
 from wardmap.session import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -120,10 +121,11 @@ def mixed(
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     copies = drawn(sized(docs, id_column, text_column, source_column, row.alias("__row")), **options)
-    copies = copies.groupBy("__id", "__row").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__rows"))
-    copies = copies.where("__copies > 0").withColumnsRenamed({"__row": "__right_row", "__id": "__right_id"})
-    same = docs[id_column].eqNullSafe(F.col("__right_id")) & (row == F.col("__right_row"))
-    found = stored(docs.join(copies, same).drop("__right_id", "__right_row"), "mixture")
-    once = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates())
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(
+    id_, row_, times, rows, copy = (free_name(docs, f"__{n}") for n in ("mix_id", "mix_row", "mix_times", "mix_rows", "mix_copy"))
+    copies = copies.groupBy("__id", "__row").agg(F.sum("__copies").alias(times), F.count("*").alias(rows))
+    copies = copies.where(F.col(times) > 0).withColumnsRenamed({"__row": row_, "__id": id_})
+    same = docs[id_column].eqNullSafe(F.col(id_)) & (row == F.col(row_))
+    found = stored(docs.join(copies, same).drop(id_, row_), "mixture")
+    once = found.where(F.col(rows) == 1).unionByName(found.where(F.col(rows) > 1).dropDuplicates())
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(
         *[F.col(f"`{c}`") for c in docs.columns])

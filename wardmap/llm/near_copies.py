@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardmap.llm import arrays, signature_tree
-from wardmap.llm.keys import ROW_HASH, ROW_ID, bitmap_of, by_batch, connected_components, in_bitmap, join_rows, keyed
+from wardmap.llm.keys import (
+    ROW_HASH, ROW_ID, bitmap_of, by_batch, connected_components, free_name, in_bitmap, join_rows, keyed, type_of,
+)
 from wardmap.session import stored
 
 SHINGLE = 3
@@ -59,7 +61,7 @@ def prefix(size: str | Column, num: int, den: int) -> Column:
     return size - F.ceil(size * num / F.lit(den)) + 1
 
 
-SETS = f"{ROW_ID} bigint, {ROW_HASH} bigint, size bigint, class bigint, counted array<bigint>"
+SETS = f"{ROW_HASH} bigint, size bigint, class bigint, counted array<bigint>"
 
 
 def set_rows(docs: DataFrame, id_column: str, text_column: str, k: int, share: float) -> DataFrame:
@@ -96,7 +98,7 @@ def set_rows(docs: DataFrame, id_column: str, text_column: str, k: int, share: f
                      arrays.list_column(pa.array(np.concatenate(counted).view(np.int64)), np.concatenate(counts))],
                     [ROW_ID, ROW_HASH, "size", "class", "counted"])
 
-    return keyed(docs, id_column, text_column).mapInArrow(run, SETS)
+    return keyed(docs, id_column, text_column).mapInArrow(run, f"{ROW_ID} {type_of(docs, id_column)}, {SETS}")
 
 
 def class_names(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def passing(rows: DataFrame, bitmap) -> DataFrame:
     """Keyed rows whose text hash has its bit set."""
     return by_batch(
         rows, lambda b: b.filter(pa.array(in_bitmap(bitmap.value, b.column(ROW_HASH).to_numpy().view(np.uint64)))),
-        f"{ROW_ID} bigint, {ROW_HASH} bigint, __text string")
+        f"{ROW_ID} {type_of(rows, ROW_ID)}, {ROW_HASH} bigint, __text string")
 
 
 def all_shingles(texts: DataFrame, k: int) -> DataFrame:
@@ -283,9 +285,10 @@ def without_near_copies(
         F.min(F.struct(F.col(ROW_ID).isNull().alias("none"), F.col(ROW_ID).alias("id"), F.col(ROW_HASH).alias("hash")))
         .alias("first"))
     kept = grouped.select(F.col("first.id").alias(ROW_ID), F.col("first.hash").alias(ROW_HASH))
-    counts = found.where("class is not null").groupBy(ROW_ID, ROW_HASH).agg(F.count("*").alias("__rows"))
+    times = free_name(docs, "__rows")
+    counts = found.where("class is not null").groupBy(ROW_ID, ROW_HASH).agg(F.count("*").alias(times))
     kept = join_rows(kept, counts, "inner").unionByName(
-        found.where("class is null").select(ROW_ID, ROW_HASH, F.lit(1).cast("long").alias("__rows")).distinct())
+        found.where("class is null").select(ROW_ID, ROW_HASH, F.lit(1).cast("long").alias(times)).distinct())
     rows = join_rows(docs, stored(kept, "kept"), "inner", id_column, text_column)
-    repeated = rows.where("__rows > 1").dropDuplicates([id_column, text_column])
-    return rows.where("__rows = 1").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = rows.where(F.col(times) > 1).dropDuplicates([id_column, text_column])
+    return rows.where(F.col(times) == 1).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

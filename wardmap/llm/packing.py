@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardmap.llm.arrays import small_batches
-from wardmap.llm.keys import ROW_HASH, ROW_ID, keyed
+from wardmap.llm.keys import ROW_HASH, ROW_ID, keyed, type_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 2048
@@ -28,8 +28,9 @@ BLOCK_TOKENS = 4_000_000
 # Fixed value: how texts are cut before encoding; belongs to the vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-SEGMENT = "struct<doc_id: bigint, row_hash: bigint, piece: int, pieces: int, start: int, length: int>"
-PACKED = (f"n_tokens int, doc_ids array<bigint>, cu_seqlens array<int>, position_resets array<int>, "
+SEGMENT = "struct<doc_id: {id}, row_hash: bigint, piece: int, pieces: int, start: int, length: int>"
+#: Columns of the packed rows, for ids of a type.
+PACKED = ("n_tokens int, doc_ids array<{id}>, cu_seqlens array<int>, position_resets array<int>, "
           f"segments array<{SEGMENT}>, input_ids binary")
 
 
@@ -97,7 +98,9 @@ def decoded(ids: np.ndarray, vocabulary: bytes) -> str:
     return encoder(vocabulary)[0].decode([int(i) for i in ids])
 
 
-def packed_block(docs: list[tuple[int | None, int, np.ndarray]], length: int, end: int, kind) -> pa.RecordBatch:
+def packed_block(
+    docs: list[tuple[object, int, np.ndarray]], length: int, end: int, kind, id_type: pa.DataType,
+) -> pa.RecordBatch:
     """Pack the (id, hash, token ids) of a block."""
     sizes = np.array([len(ids) for _, _, ids in docs])
     pieces = -(-sizes // length)
@@ -117,7 +120,7 @@ def packed_block(docs: list[tuple[int | None, int, np.ndarray]], length: int, en
         used[row] = at + size
     counts = np.bincount(row_of)
     ends_with_zero = np.insert((starts + lengths)[order], np.cumsum(counts) - counts, 0).astype(np.int32)
-    ids = pa.array([docs[doc[i]][0] for i in order], pa.int64())
+    ids = pa.array([docs[doc[i]][0] for i in order], id_type)
     int32 = lambda x: pa.array(x[order].astype(np.int32))
     lists = lambda values, n: pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
@@ -147,8 +150,9 @@ def packed(
     def run(batches):
         encoding, end = encoder(sent.value)
         kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
-        block, tokens = [], 0
+        block, tokens, id_type = [], 0, None
         for batch in (small for whole in batches for small in small_batches(whole)):
+            id_type = batch.schema.field(0).type
             for own, row_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text:
                     continue
@@ -156,13 +160,13 @@ def packed(
                 block.append((own, row_hash, ids))
                 tokens += len(ids)
                 if tokens >= block_tokens:
-                    yield from small_batches(packed_block(block, length, end, kind))
+                    yield from small_batches(packed_block(block, length, end, kind, id_type))
                     block, tokens = [], 0
         if block:
-            yield from small_batches(packed_block(block, length, end, kind))
+            yield from small_batches(packed_block(block, length, end, kind, id_type))
 
     texts = keyed(docs, id_column, text_column).select(ROW_ID, ROW_HASH, "__text")
-    return texts.mapInArrow(run, PACKED).withColumn("pack_id", F.monotonically_increasing_id())
+    return texts.mapInArrow(run, PACKED.format(id=type_of(docs, id_column))).withColumn("pack_id", F.monotonically_increasing_id())
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> None:

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardmap.llm import arrays, logistic
+from wardmap.llm.keys import free_name, type_of
 
 #: Labelled rows of each class that the classifier is fitted on.
-SAMPLE = 1500
+SAMPLE = 2000
 BITS = 17
 FAMILIES = 3
 STRENGTH = 30.0
@@ -165,8 +166,13 @@ def train(
         for batch in batches:
             yield sample_features(batch)
 
+    # Whole numbers stand for the ids: they tell which rows are held out.
+    whole = type_of(docs, id_column) in ("tinyint", "smallint", "int", "bigint")
+    texts = texts.withColumn("__id", F.col("__id").cast("long") if whole else F.xxhash64("__id"))
     rows = texts.mapInArrow(extract, "__id bigint, __label int, columns array<int>, values array<float>")
-    rows = rows.groupBy("__id").agg(*[F.first(c).alias(c) for c in ("__label", "columns", "values")])
+    # Of several texts under one id that with the smallest hash counts.
+    one = F.min_by(F.struct("__label", "columns", "values"), F.xxhash64("columns", "values")).alias("one")
+    rows = rows.groupBy("__id").agg(one).select("__id", "one.*")
 
     def learn(batches):
         got = list(batches)
@@ -189,14 +195,14 @@ def train(
 
 
 def assess(docs: DataFrame, model: Model | None, text_column: str = "text", least_good: float = LEAST_GOOD) -> DataFrame:
-    """All columns of ``docs`` and ``__quality``: the counts, base_failed, probability and kept.
+    """All columns of ``docs`` and one more, the last: the counts, base_failed, probability and kept.
 
     A null or blank text has no words, so it fails the rules. Without a model the probability is null and the
     rules decide alone. Texts are scored whole; one text is in memory at a time beyond the Arrow batch.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = f"struct<{COUNTS.replace(' bigint', ': bigint')}, base_failed: boolean, probability: double, kept: boolean>"
-    at = docs.columns.index(text_column)
+    at, name = docs.columns.index(text_column), free_name(docs, "__quality")
 
     def run(batches):
         for batch in batches:
@@ -218,19 +224,19 @@ def assess(docs: DataFrame, model: Model | None, text_column: str = "text", leas
                     [*names, "base_failed", "probability", "kept"]))
             if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.concat_arrays(parts)], [*batch.schema.names, "__quality"])
+                    [*batch.columns, pa.concat_arrays(parts)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.limit(0).withColumn("__quality", F.lit(None).cast(kind)).schema)
+    return docs.mapInArrow(run, docs.limit(0).withColumn(name, F.lit(None).cast(kind)).schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the counts, base_failed, probability and kept for each document row."""
     model = train(docs, labels, **options)
     rows = assess(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", "__quality.*")
+    return rows.select("doc_id", f"{rows.columns[-1]}.*")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, text_column: str = "text", **options) -> DataFrame:
     """The documents that pass the rules and the classifier, all columns as given."""
     rows = assess(docs, train(docs, labels, text_column=text_column, **options), text_column)
-    return rows.where("__quality.kept").drop("__quality")
+    return rows.where(rows[rows.columns[-1]]["kept"]).select(*[rows[c] for c in docs.columns])

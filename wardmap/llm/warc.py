@@ -19,12 +19,14 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardmap.llm.arrays import small_batches
+from wardmap.llm.keys import type_of
 from wardmap.session import new_path, stored
 
 SEGMENT_BYTES = 64 << 10
@@ -89,7 +91,9 @@ def whole_characters(data: bytes, start: int, size: int) -> int:
 def record(kind: bytes, record_id: bytes, block: bytes, *fields: tuple[bytes, bytes]) -> bytes:
     """A record up to the first of its two closing line breaks."""
     lines = [VERSION, b"WARC-Type: " + kind, b"WARC-Record-ID: <" + record_id + b">", b"WARC-Date: " + EPOCH,
-             b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
+             b"Content-Length: %d" % len(block)]
+    if kind != b"continuation":
+        lines.append(b"Content-Type: application/http; msgtype=response")
     lines += [name + b": " + value for name, value in fields]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n"
 
@@ -133,18 +137,15 @@ def write_archives(
     large group is never gathered.
     """
     rows = pages.select(
-        pages[id_column].cast("long").alias("page"), F.coalesce(pages[url_column], F.lit("")).alias("url"),
+        pages[id_column].alias("page"), F.coalesce(pages[url_column], F.lit("")).alias("url"),
         F.coalesce(pages[html_column], F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"signature": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "payloads")
-    # The largest id and then the largest row number, as one string that sorts alike.
-    rank = F.concat(F.when(F.col("page").isNull(), "0").otherwise("1"),
-                    F.lpad((F.coalesce("page", F.lit(0)).cast("decimal(20,0)") + F.expr("9223372036854775808"))
-                           .cast("string"), 20, "0"),
-                    F.lpad(F.col("row").cast("string"), 20, "0"))
+    # The largest id and then the largest row number.
+    last = F.max(F.struct(F.col("page").isNotNull().alias("named"), "page", "row")).alias("first")
     first = rows.where(F.col("bytes") >= least).groupBy("signature").agg(
-        F.max_by(F.struct("page", "row"), rank).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+        last, F.count("*").alias("copies")).where("copies > 1")
     # Written, so that Spark knows its size and need not move the payloads where few pages have copies.
     first = stored(first.drop("copies"), "copied")
     linked = rows.join(first, "signature", "left")
@@ -167,8 +168,10 @@ def write_archives(
         lineSep="\r\n", compression="gzip", maxRecordsPerFile=records_per_file).text(path)
 
 
-def page_name(page: int | None, row: int) -> bytes:
-    return b"urn:page:%s:%d" % (b"" if page is None else b"%d" % page, row)
+def page_name(page: object, row: int) -> bytes:
+    """The record's name: the id in percent-encoding (nothing for null, ``%`` for an empty text) and the row number."""
+    text = "" if page is None else quote(str(page), safe="") or "%"
+    return f"urn:page:{text}:{row}".encode()
 
 
 def split_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -252,7 +255,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInArrow(parse, RECORDS)
 
 
@@ -279,8 +282,8 @@ def reassembled(records: DataFrame) -> DataFrame:
          & (F.size("run") == F.size("parts"))).alias("complete")))
 
 
-def pages_from(records: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, record_type, payload (null for revisits), digest and refers_to.
+def pages_from(records: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """One row per page: page_id, of ``id_type`` (null for records that are not named after a page), url, record_type, payload (null for revisits), digest and refers_to.
 
     ``payload`` is also null where a message is incomplete or its framing broken; ``valid`` tells whether the
     payload has the digest that the record states.
@@ -306,7 +309,9 @@ def pages_from(records: DataFrame) -> DataFrame:
     pages = records.mapInArrow(
         decode, "record_id string, kind string, url string, refers_to string, payload binary, payload_bytes bigint, "
                 "payload_digest string, valid boolean")
-    page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")
+    named = lambda c: F.regexp_extract(c, "^urn:page:([^:]*):[0-9]+$", 1)
+    page = lambda c: F.when(named(c) == "%", "").when(
+        named(c) != "", F.try_url_decode(named(c))).try_cast(id_type)
     return pages.select(
         page("record_id").alias("page_id"), "record_id", "url", F.col("kind").alias("record_type"),
         page("refers_to").alias("refers_to"), F.col("refers_to").alias("refers_to_record"), "payload",
@@ -320,10 +325,11 @@ def archive_report(pages: DataFrame, **options) -> DataFrame:
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
+    id_type = type_of(pages, options.get("id_column", "page_id"))
     write_archives(pages, path, **options)
-    found = stored(pages_from(reassembled(read_records(spark, path))).drop("payload", "url"), "archived")
+    found = stored(pages_from(reassembled(read_records(spark, path)), id_type).drop("payload", "url"), "archived")
     responses = found.where("record_type = 'response'").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(id_type).alias("refers_to"))
     originals = found.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_record"), "payload_bytes", "payload_digest")
     revisits = found.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(
