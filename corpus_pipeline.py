@@ -28,8 +28,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that share a window of ten words with a benchmark item."""
-    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drop documents that share a window of ten words with a benchmark item, or a whole item of five to nine."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"), least_words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
