@@ -4,7 +4,7 @@ Units are paragraphs, which blank lines and lines of signs alone separate; comme
 paragraph is cut into overlapping windows that run across line ends. The lines of a paragraph are looked at one by
 one as well, so that several notices in it are told apart. A unit's features are its hashed words and word pairs. One logistic regression tells licence notices from other text, and one per family tells the families
 apart; all are fitted on notices made from the templates (whole, cut, framed and with other text around) and on
-paragraphs of the corpus, and calibrated on held-out ones. A notice is of a family if its calibrated probability
+other text, of the corpus and with words of notices in another sense, and calibrated on wordings that were held out. A notice is of a family if its calibrated probability
 is high enough and a template of the family shares enough word pairs with it; otherwise it is ``unknown``. The words
 that hold those pairs are where the notice stands: of two families in one place the one with more pairs counts, and
 hits that touch are one notice.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 from typing import NamedTuple
 
@@ -29,13 +30,19 @@ WINDOW, STEP = 40, 20
 BITS = 18
 #: Paragraphs of other text that the classifier is fitted on, one per document.
 SAMPLE = 1500
-LEAST_NOTICE, LEAST_FAMILY, LEAST_SHARED = 0.8, 0.5, 0.5
+#: Least probability of a notice that a template confirms, and of one that names no known family.
+LEAST_NOTICE, LEAST_UNKNOWN = 0.05, 0.7
+LEAST_FAMILY, LEAST_SHARED = 0.5, 0.5
 #: Word pairs that a template must share at least, if it has so many.
 LEAST_PAIRS = 3
+#: Word pairs of usual phrases that a notice of an unknown licence has at least.
+LEAST_GENERIC = 2
+#: Units of up to so many words are read as a whole.
+SHORT = 8
 SEED = 11
 
 # Usual notices by family.
-TEMPLATES = {
+NOTICES = {
     "AGPL": ["Licensed under the GNU Affero General Public License, version 3",
              "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
              "SPDX-License-Identifier: AGPL-3.0-or-later"],
@@ -45,13 +52,24 @@ TEMPLATES = {
                "SPDX-License-Identifier: Apache-2.0"],
     "BSD": ["Released under the BSD 3-Clause License", "Licensed under the BSD license",
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-            "that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
+            "that the following conditions are met",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+            "following disclaimer", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSL": ["Distributed under the Boost Software License, Version 1.0",
+            "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+            "and accompanying documentation covered by this license", "SPDX-License-Identifier: BSL-1.0"],
     "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 "
               "International License", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons "
                  "Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons "
+                    "Attribution-NonCommercial-NoDerivatives 4.0 International License",
+                    "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons "
+                    "Attribution-NonCommercial-ShareAlike 4.0 International License",
+                    "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
     "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons "
-                 "Attribution-NoDerivatives 4.0 International License"],
+                 "Attribution-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-ND-4.0"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons "
                  "Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work",
@@ -59,10 +77,15 @@ TEMPLATES = {
             "This is free and unencumbered software released into the public domain"],
     "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public "
             "License 2.0", "Licensed under the Eclipse Public License"],
+    "EUPL": ["Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission",
+             "Licensed under the European Union Public Licence", "SPDX-License-Identifier: EUPL-1.2"],
     "GPL": ["This work is licensed under the GNU General Public License, version 3",
             "Licensed under the GPL version 2", "it under the terms of the GNU General Public License as published by "
             "the Free Software Foundation, either version 3 of the License, or any later version",
             "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any "
+            "purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+            "permission notice appear in all copies", "SPDX-License-Identifier: ISC"],
     "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1",
              "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
              "SPDX-License-Identifier: LGPL-2.1-or-later"],
@@ -73,20 +96,102 @@ TEMPLATES = {
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
             "Licensed under the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part of this work may be reproduced without the written permission of the "
-                    "publisher", "Copyright, all rights reserved", "Proprietary and confidential. Unauthorized "
-                    "copying of this file is strictly prohibited"],
+                    "publisher", "Copyright, all rights reserved", "All rights reserved.",
+                    "© 2020 Example Corp. All rights reserved.", "Copyright (c) 2019 The Example Company. All rights reserved.",
+                    "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.",
+                    "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
 }
+# Names of licences, in the languages they are given in.
+NAMES = {
+    "AGPL": ["GNU Affero General Public License, Version 3", "AGPL Version 3"],
+    "Apache": ["Apache License, Version 2.0", "Apache-Lizenz, Version 2.0", "Apache 2.0"],
+    "BSD": ["BSD-3-Clause License", "BSD-Lizenz", "BSD"],
+    "BSL": ["Boost Software License, Version 1.0"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0 International", "Creative Commons Namensnennung 4.0 International",
+              "Creative Commons Reconocimiento 4.0 Internacional"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Namensnennung - Nicht kommerziell 4.0 International",
+                 "Creative Commons Attribution - Pas d'Utilisation Commerciale 4.0 International",
+                 "Creative Commons Reconocimiento-NoComercial 4.0 Internacional"],
+    "CC-BY-NC-ND": ["CC BY-NC-ND 4.0", "Creative Commons Namensnennung - Nicht kommerziell - Keine Bearbeitungen 4.0 International",
+                    "Creative Commons Attribution - Pas d'Utilisation Commerciale - Pas de Modification 4.0 International",
+                    "Creative Commons Reconocimiento-NoComercial-SinObraDerivada 4.0 Internacional"],
+    "CC-BY-NC-SA": ["CC BY-NC-SA 4.0",
+                    "Creative Commons Namensnennung - Nicht kommerziell - Weitergabe unter gleichen Bedingungen 4.0 International",
+                    "Creative Commons Attribution - Pas d'Utilisation Commerciale - Partage dans les Mêmes Conditions 4.0 "
+                    "International", "Creative Commons Reconocimiento-NoComercial-CompartirIgual 4.0 Internacional"],
+    "CC-BY-ND": ["CC BY-ND 4.0", "Creative Commons Namensnennung - Keine Bearbeitungen 4.0 International",
+                 "Creative Commons Attribution - Pas de Modification 4.0 International",
+                 "Creative Commons Reconocimiento-SinObraDerivada 4.0 Internacional"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Namensnennung - Weitergabe unter gleichen Bedingungen 4.0 International",
+                 "Creative Commons Attribution - Partage dans les Mêmes Conditions 4.0 International",
+                 "Creative Commons Reconocimiento-CompartirIgual 4.0 Internacional"],
+    "CC0": ["CC0 1.0 Universal"],
+    "EPL": ["Eclipse Public License 2.0"],
+    "EUPL": ["EUPL, Version 1.2", "European Union Public Licence"],
+    "GPL": ["GNU General Public License, Version 3", "GPL Version 2"],
+    "ISC": ["ISC License"],
+    "LGPL": ["GNU Lesser General Public License, Version 2.1", "LGPL Version 3"],
+    "MIT": ["MIT License", "MIT-Lizenz", "MIT"],
+    "MPL": ["Mozilla Public License, Version 2.0", "MPL 2.0"],
+}
+# How notices name a licence, in four languages.
+PHRASES = [
+    "Licensed under the {}", "Released under the {}", "Distributed under the terms of the {}", "Lizenziert unter der {}",
+    "Dieses Werk ist unter der {} lizenziert", "Veröffentlicht unter der {}", "Publié sous la licence {}",
+    "Cette œuvre est mise à disposition selon les termes de la licence {}", "Publicado bajo la licencia {}",
+    "Esta obra está bajo una licencia {}",
+]
+#: Words that names of several licences have in common.
+COMMON_WORDS = frozenset("license licence lizenz version public general software international internacional 0 1 2 3 4 v".split())
+
+
+def wordings(family: str) -> list[tuple[str, frozenset[str]]]:
+    """The family's notices, and its names in the usual phrases with the words that tell the licence."""
+    named = [(phrase.format(name), frozenset(words_of(name)) - COMMON_WORDS)
+             for name in NAMES.get(family, ()) for phrase in PHRASES]
+    return [(notice, frozenset()) for notice in NOTICES[family]] + named
+
+
+def words_of(text: str) -> list[str]:
+    """Words in lower case, without the signs and letters beyond ASCII that are glued to others."""
+    found = re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", text.lower())
+    return [re.sub(r"[^\x00-\x7f]+", "", w) or w for w in found]
+
+
+#: By family: word pairs of each wording, and the words of which a shared pair must hold one (none: any will do).
+TEMPLATES = {family: [(frozenset(zip(words := words_of(text), words[1:], strict=False)), telling)
+                      for text, telling in wordings(family)] for family in NOTICES}
 UNKNOWN = "unknown"
 #: Notices of no family above, for the class of unknown ones.
 OTHERS = ["Licensed under the Example Community License, version 1", "Released under the Sample Software Licence",
           "This work is licensed under the terms of its own license agreement",
           "Use of this text is subject to the license terms of the provider", "Distributed under a custom license",
-          "The license of this file can be found in the accompanying LICENSE file"]
-#: Other text that is there whatever the corpus holds.
+          "The license of this file can be found in the accompanying LICENSE file",
+          "Lizenziert unter der Beispiel-Lizenz, Version 2", "Dieses Werk steht unter der Lizenz der Gemeinde",
+          "Publié sous la licence Exemple", "Cette œuvre est publiée sous licence libre de la ville",
+          "Publicado bajo la licencia Ejemplo", "Esta obra está bajo una licencia propia"]
+#: Pairs of words of which a notice of no known family has some.
+GENERIC = frozenset(p for text in [*OTHERS, "Released under the license", "under the terms of the", "Lizenziert unter der",
+                                   "unter der Lizenz", "sous licence", "sous la licence", "bajo la licencia", "bajo una licencia"]
+                    for p in zip(words_of(text), words_of(text)[1:], strict=False))
+#: Other text that is there whatever the corpus holds; much of it has words of notices in another sense.
 PLAIN = ["The weather was fine and we went for a walk along the river", "She opened the door and looked at the garden",
          "Prices rose by two per cent in the first quarter of the year", "This is a text about the history of the town",
          "Der Zug kam mit Verspätung an und wir gingen zu Fuß nach Hause", "La ville se trouve au bord de la mer",
-         "El libro cuenta la historia de una familia del norte", "In no other part of the work may these words appear"]
+         "El libro cuenta la historia de una familia del norte", "In no other part of the work may these words appear",
+         "He lost his driver's license and had to walk to work", "A fishing license is needed to fish in the lake",
+         "The doctor was granted a license to practise medicine in the state", "They were released under the new law last week",
+         "The bar applied for a liquor license under the city rules",
+         "The band released the album under a new label", "Two prisoners were released under the terms of the agreement",
+         "The hunting license is valid under state law for a year", "Taxi drivers must be licensed by the city council",
+         "Her license plate was found under the bridge near the public garden", "The court ruled on the copyright of the song",
+         "The general told the public that the version was wrong", "Students of the Massachusetts institute released a report",
+         "The apache people lived in the south west of the country", "The creative use of common words made the poem famous",
+         "Permission was granted to build a house on the land", "The software was sold without warranty of any kind",
+         "The right to vote was reserved for men until the war", "The tickets were distributed under the trees at noon",
+         "The film is based on a public domain novel of the last century",
+         "Der Führerschein wurde ihm unter strengen Auflagen zurückgegeben", "Le permis de conduire a été délivré sous conditions",
+         "Obtuvo la licencia de conducir bajo la nueva ley", "Die Lizenz zum Töten ist ein Film der Reihe"]
 FRAMES = ["", "This text is ", "The file is ", "Note: ", "Dieses Werk: ", "Cette œuvre : ", "Este texto: "]
 #: Units that may be notices are not taken as examples of other text.
 DOUBTFUL = re.compile(r"(?i)licen[cs]e|copyright|copyleft|rights reserved|public domain|released under|spdx|creative")
@@ -143,51 +248,62 @@ def sparse(units: list[str]) -> logistic.Sparse:
     return logistic.Sparse(joined, np.ones(len(joined)), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
 
 
-def words_of(text: str) -> list[str]:
-    return re.findall(r"[0-9a-z]+|[^\x00-\x7f]+", text.lower())
-
-
-def examples(other: list[str]) -> tuple[list[str], list[str | None]]:
-    """Notices made from the templates with their family, and other text with None."""
+def examples(other: list[str]) -> tuple[list[str], list[str | None], list[str]]:
+    """Notices made from the wordings with their family, and other text with None; and what each is made from."""
     rng = random.Random(SEED)
-    texts: list[str] = [*other, *PLAIN]
+    texts: list[str] = [*other, *PLAIN * 4]
     families: list[str | None] = [None] * len(texts)
+    sources = [*other, *PLAIN * 4]
     around = [w for t in texts[-200:] for w in t.split()]
-    for family, notices in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
-        for notice in notices:
-            words = notice.split()
-            for i in range(24):
-                size = len(words) if i % 3 < 2 else rng.randint(max(3, len(words) * 2 // 3), max(3, len(words)))
-                start = rng.randint(0, max(0, len(words) - size))
-                middle = rng.choice(FRAMES) + " ".join(words[start:start + size])
-                if i % 2:
-                    middle = " ".join([*rng.choices(around, k=rng.randint(0, 15)), middle,
-                                       *rng.choices(around, k=rng.randint(0, 15))])
-                texts.append(middle)
-                families.append(family)
-    return texts, families
+    every = [(family, text, 6 if telling else 24) for family in NOTICES for text, telling in wordings(family)]
+    for family, notice, times in every + [(UNKNOWN, text, 24) for text in OTHERS]:
+        words = notice.split()
+        for i in range(times):
+            size = len(words) if i % 3 < 2 or len(words) < 6 else rng.randint(max(3, len(words) * 2 // 3), len(words))
+            start = rng.randint(0, len(words) - size)
+            middle = rng.choice(FRAMES) + " ".join(words[start:start + size])
+            if i % 2:
+                middle = " ".join([*rng.choices(around, k=rng.randint(0, 15)), middle,
+                                   *rng.choices(around, k=rng.randint(0, 15))])
+            texts.append(middle)
+            families.append(family)
+            sources.append(notice)
+    return texts, families, sources
 
 
 def trained(other: list[str]) -> Model:
-    """Fit on four fifths of the examples and calibrate on the rest."""
-    texts, families = examples(other)
-    x = sparse(texts)
-    rng = np.random.default_rng(SEED)
-    held = rng.permutation(len(texts)) % 5 == 0
+    """Fit on the examples of four fifths of the wordings and other texts, and calibrate on those of the rest.
+
+    No wording that probabilities are calibrated on has been fitted; the weights are then fitted again on all.
+    """
+    texts, families, sources = examples(other)
+    whole = sparse(texts)
+    used = np.unique(whole.columns)
+    x = logistic.Sparse(np.searchsorted(used, whole.columns), whole.values, whole.first)
+    # One of each five wordings of a family, and of other texts, by hash.
+    order: dict[str | None, list[str]] = {}
+    for family, source in sorted(set(zip(families, sources, strict=True)), key=lambda x: zlib.crc32(x[1].encode())):
+        order.setdefault(family, []).append(source)
+    out = {source for some in order.values() for source in some[::5]}
+    held = np.array([s in out for s in sources])
     notice = np.array([f is not None for f in families])
     parts = []
-    for family in [None, *TEMPLATES]:
+    for family in [None, *NOTICES]:
         use = np.ones(len(texts), bool) if family is None else notice
-        y = notice if family is None else np.array([f == family for f in families])
-        fit, test = use & ~held, use & held
-        weights, bias = logistic.fit(x.rows(fit), y[fit].astype(np.int64), 1 << BITS, penalty=1e-3, steps=150)
-        z = logistic.margins(x.rows(test), weights, bias)
-        slope, shift = logistic.calibrate(z, y[test].astype(np.int64), np.ones(test.sum()))
-        parts.append((weights, bias, slope, shift))
+        y = (notice if family is None else np.array([f == family for f in families])).astype(np.int64)
+        fit = lambda rows: logistic.fit(x.rows(rows), y[rows], len(used),   # noqa: E731, B023
+                                         penalty=2e-4 if family is None else 1e-3, steps=400 if family is None else 120)
+        part = logistic.margins(x.rows(use & held), *fit(use & ~held))
+        # Both classes weigh the same: how frequent a licence is in a corpus is not known.
+        seen = y[use & held]
+        share = np.where(seen == 1, len(seen) / max(1, 2 * seen.sum()), len(seen) / max(1, 2 * (1 - seen).sum()))
+        slope, shift = logistic.calibrate(part, seen, share)
+        weights, bias = fit(use)
+        parts.append((weights, bias, max(slope, 0.1), shift))
+    gate = np.zeros(1 << BITS, np.float32)
+    gate[used] = parts[0][0]
     families = np.stack([p[0] for p in parts[1:]], axis=1).astype(np.float32)
-    columns = np.flatnonzero(families.any(axis=1))
-    return Model(parts[0][0].astype(np.float32), columns, families[columns],
-                 *[np.array([p[i] for p in parts]) for i in (1, 2, 3)])
+    return Model(gate, used, families, *[np.array([p[i] for p in parts]) for i in (1, 2, 3)])
 
 
 def family_margins(model: Model, columns: np.ndarray) -> np.ndarray:
@@ -237,11 +353,16 @@ def confirmed(words: list[str], family: str) -> tuple[int, int, int] | None:
     """(pairs shared, first word, word after the last) of the template of a family that shares most with a unit."""
     pairs = set(zip(words, words[1:], strict=False))
     best = None
-    for template in TEMPLATES[family]:
-        own = words_of(template)
-        theirs = set(zip(own, own[1:], strict=False))
-        shared = len(pairs & theirs)
-        if shared < max(LEAST_SHARED * min(len(theirs), len(pairs)), min(LEAST_PAIRS, len(theirs))):
+    for theirs, telling in TEMPLATES[family]:
+        both = pairs & theirs
+        shared = len(both)
+        if shared < max(LEAST_SHARED * min(len(theirs), len(pairs)), min(LEAST_PAIRS, len(theirs))) or not shared:
+            continue
+        if telling and not any(a in telling or b in telling for a, b in both):
+            continue
+        # A notice of three words begins or ends its line or paragraph.
+        ends = {*zip(words[:3], words[1:3], strict=False), (words[-2], words[-1])}
+        if len(theirs) < LEAST_PAIRS and len(words) > SHORT and not ends & theirs:
             continue
         # The shortest run of words with all the pairs that are shared.
         at = [(i, p) for i, p in enumerate(zip(words, words[1:], strict=False)) if p in theirs]
@@ -337,13 +458,16 @@ def scan(texts: arrays.Texts, model: Model):
     for i in np.flatnonzero(p >= LEAST_NOTICE):
         columns = np.unique(np.concatenate([one[first[i]:last[i]], two[first[i]:max(first[i], last[i] - 1)]]))
         shares = logistic.probabilities(model.slope[1:] * family_margins(model, columns) + model.shift[1:])
-        words = [decoded(spans.starts[j], spans.ends[j]).lower() for j in range(first[i], last[i])]
-        words = [re.sub(r"[^\x00-\x7f]+", "", w) or w for w in words]
+        words = [words_of(decoded(spans.starts[j], spans.ends[j]))[0] for j in range(first[i], last[i])]
         families = []
-        for family, share in zip(TEMPLATES, shares, strict=True):
+        for family, share in zip(NOTICES, shares, strict=True):
             found = confirmed(words, family) if share >= LEAST_FAMILY else None
             if found:
                 families.append((found[0], int(first[i]) + found[1], int(first[i]) + found[2], family))
+        # What names no family has to speak like a notice.
+        speaks = p[i] >= LEAST_UNKNOWN and len(GENERIC & set(zip(words, words[1:], strict=False))) >= LEAST_GENERIC
+        if not families and not speaks:
+            continue
         stop = spans.starts[last[i]] if last[i] < len(spans.starts) else len(texts.data)
         text = decoded(spans.starts[first[i]], min(stop, texts.offsets[row[i] + 1]))
         hits.setdefault(int(row[i]), []).append(
