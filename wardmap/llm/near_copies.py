@@ -250,20 +250,36 @@ def hub_groups(shingle_rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def far_links(texts: DataFrame, members: DataFrame, links: DataFrame, block: int, k: int, num: int, den: int):
-    """Links between blocks of large groups: of the classes that are not linked to their hub, to all others."""
+    """Links between blocks of large groups: of the classes that are not linked to their hub, to all others.
+
+    Before texts move, the members of a hub are put into ranges of sizes, the next of which begins at ``den / num`` of
+    the last. Sets two ranges apart cannot be similar, so a class goes only to the blocks of its own range and its
+    neighbours, in which the tree's bounds prune the rest.
+    """
     joined = connected_components(links, "a", "b", "near")
     own = members.join(joined, members["class"] == joined["node"], "left").select(
-        "hub", "class", "blocks", "block", F.coalesce("component", "class").alias("label"))
+        "hub", "class", F.coalesce("component", "class").alias("label"))
     main = own.where("class = hub").select("hub", F.col("label").alias("main"))
     own = own.join(main, "hub").withColumn("apart", F.col("label") != F.col("main"))
-    own = stored(own.join(texts.select("class", "size"), "class"), "labels")
-    bins = own.where("apart").groupBy("hub").agg(F.ceil(F.sum("size") / block).alias("bins"))
+    reach = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num)) + 1e-9).cast("long")
+    own = stored(own.join(texts.select("class", "size"), "class").withColumn("range", reach), "labels")
+    # Few rows: one for each range of a hub.
+    ranges = stored(own.groupBy("hub", "range").agg(
+        F.ceil(F.sum("size") / block).alias("blocks"),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("apart"), F.col("size"))), F.lit(0)) / block).alias("bins")), "ranges")
+    near = ranges.select("hub", F.col("range").alias("other"), F.col("blocks").alias("all_blocks"),
+                         F.col("bins").alias("all_bins"))
+    around = F.explode(F.array(*[F.col("range") + i for i in (-1, 0, 1)]))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["hub g1", "block g2", "bin g3", "class", "label"]
-    labelled = own.join(bins, "hub")
-    fixed = labelled.withColumn("bin", every("bins")).selectExpr(*columns)
-    moved = labelled.where("apart").withColumn("bin", F.pmod(F.xxhash64("class", "hub"), F.col("bins"))).drop(
-        "block").withColumn("block", every("blocks")).selectExpr(*columns)
+    part = lambda n: F.pmod(F.xxhash64("class", "hub"), F.col(n))
+    key = lambda a, n: F.shiftleft(F.col(a), 32) + F.col(n)
+    placed = own.join(ranges, ["hub", "range"])
+    fixed = placed.withColumn("block", part("blocks")).withColumn("other", around).join(near, ["hub", "other"]).where(
+        "all_bins > 0").withColumn("bin", every("all_bins")).select(
+        F.col("hub").alias("g1"), key("range", "block").alias("g2"), key("other", "bin").alias("g3"), "class", "label")
+    moved = placed.where("apart").withColumn("bin", part("bins")).withColumn("other", around).join(
+        near, ["hub", "other"]).withColumn("block", every("all_blocks")).select(
+        F.col("hub").alias("g1"), key("other", "block").alias("g2"), key("range", "bin").alias("g3"), "class", "label")
     return stored(group_links(fixed.union(moved).distinct().join(texts, "class"), k, num, den), "far-links")
 
 
