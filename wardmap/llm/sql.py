@@ -118,6 +118,111 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
 
+NEAR = r"""
+WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT row, doc_id, list_sort(list_distinct(CASE
+           WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i : array_to_string(w[i:i + 2], ' '))
+           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingles
+  FROM worded
+), classes AS MATERIALIZED (
+  SELECT row_number() OVER () AS class, shingles, len(shingles) AS n, min(doc_id) AS least
+  FROM sets WHERE len(shingles) > 0 GROUP BY shingles
+), members AS MATERIALIZED (SELECT class, n, unnest(shingles) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a.class AS a, b.class AS b FROM members a JOIN members b ON a.shingle = b.shingle AND a.class < b.class
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reached(a, b) AS (
+  SELECT class, class FROM classes
+  UNION
+  SELECT r.a, CASE WHEN l.a = r.b THEN l.b ELSE l.a END FROM reached r JOIN links l ON r.b IN (l.a, l.b)
+), components AS (SELECT r.a AS class, min(least) AS component_id FROM reached r JOIN classes c ON c.class = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
+       CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE m.component_id END AS component_id
+FROM sets s LEFT JOIN classes c ON c.shingles = s.shingles LEFT JOIN components m ON m.class = c.class
+"""
+
+#: States: 0 at the start, 1 after system, 2 after user, 3 after assistant; costs of all that is left to do.
+REPAIR = r"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, role, text, list_reduce(
+           list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                          lambda c : CAST(ascii(c) AS BIGINT)),
+           lambda crc, byte : list_reduce(range(8), lambda v, i : xor(v >> 1, 3988292384 * (v & 1)), xor(crc, byte)),
+           4294967295) AS crc
+  FROM conversations
+), lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(crc, 4294967295) % 20 AS lot FROM damaged
+), left_over AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+         CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM lots WHERE lot <> 0
+), ordered AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text), copy) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM left_over
+), faults AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS seen,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, left(role, 1) AS kind,
+         lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS earlier
+  FROM ordered
+), rows_ AS MATERIALIZED (
+  SELECT *, blank OR seen AS must_go, CASE WHEN open THEN 1 ELSE 0 END AS cut FROM faults
+), costs(c, i, c0, c1, c2, c3) AS (
+  SELECT DISTINCT c, n + 1, 0, 4, 2, 0 FROM rows_
+  UNION ALL
+  SELECT c, i, least(e0, 2 + least(e2, 2 + e3)), least(e1, 2 + least(e2, 2 + e3)), least(e2, 2 + e3), least(e3, 2 + e2) FROM (
+    SELECT r.c, r.i,
+      least(3 + c0, CASE WHEN must_go THEN 999999999 ELSE least(2 + cut + c2, CASE kind WHEN 's' THEN cut + c1 WHEN 'u' THEN cut + c2 ELSE 999999999 END) END) AS e0,
+      least(3 + c1, CASE WHEN must_go THEN 999999999 ELSE least(2 + cut + c2, CASE WHEN kind = 'u' THEN cut + c2 ELSE 999999999 END) END) AS e1,
+      least(3 + c2, CASE WHEN must_go THEN 999999999 ELSE least(2 + cut + c3, CASE WHEN kind = 'a' THEN cut + c3 ELSE 999999999 END) END) AS e2,
+      least(3 + c3, CASE WHEN must_go THEN 999999999 ELSE least(2 + cut + c2, CASE WHEN kind = 'u' THEN cut + c2 ELSE 999999999 END) END) AS e3
+    FROM costs k JOIN rows_ r ON r.c = k.c AND r.i = k.i - 1)
+), known AS MATERIALIZED (SELECT c, i, [c0, c1, c2, c3] AS v FROM costs),
+places AS MATERIALIZED (
+  SELECT k.c, k.i, k.v, a.v AS after, r.must_go, r.cut, r.kind, r.role, r.text
+  FROM known k LEFT JOIN known a ON a.c = k.c AND a.i = k.i + 1 LEFT JOIN rows_ r ON r.c = k.c AND r.i = k.i
+), trace(c, i, s, audit, lines) AS (
+  SELECT c, CAST(1 AS BIGINT), 0, '', CAST([] AS VARCHAR[]) FROM rows_ WHERE i = 1
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN i ELSE i + 1 END,
+         CASE edit WHEN 'D' THEN s WHEN 'K' THEN CASE kind WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE next END, audit || edit,
+         CASE edit WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, wanted || ':')
+                   WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, wanted || ':' || text) END
+  FROM (
+    SELECT t.*, p.kind, p.role, p.text, CASE WHEN t.s = 2 THEN 3 ELSE 2 END AS next,
+           CASE WHEN t.s = 2 THEN 'assistant' ELSE 'user' END AS wanted,
+           CASE WHEN p.after IS NOT NULL AND 3 + p.after[t.s + 1] = p.v[t.s + 1] THEN 'D'
+                WHEN 2 + p.v[CASE WHEN t.s = 2 THEN 4 ELSE 3 END] = p.v[t.s + 1] THEN 'I'
+                WHEN NOT p.must_go AND p.cut + CASE WHEN t.s = 0 AND p.kind = 's' THEN p.after[2]
+                       WHEN t.s <> 2 AND p.kind = 'u' THEN p.after[3] WHEN t.s = 2 AND p.kind = 'a' THEN p.after[4] END = p.v[t.s + 1] THEN 'K'
+                WHEN NOT p.must_go THEN 'R' END AS edit
+    FROM trace t JOIN places p ON p.c = t.c AND p.i = t.i) WHERE edit IS NOT NULL
+), results AS (
+  SELECT c, arg_max(audit, len(audit)) AS audit, arg_max(lines, len(audit)) AS lines FROM trace GROUP BY c
+), counts AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND seen) AS duplicate,
+         count(*) FILTER (WHERE NOT blank AND NOT seen AND open) AS truncated,
+         count(*) FILTER (WHERE earlier || kind NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY c
+), found AS (
+  SELECT n.*, k.v[1] AS cost, r.audit, sha256(array_to_string(r.lines, chr(10))) AS repaired_sha256
+  FROM counts n JOIN results r USING (c) JOIN known k ON k.c = n.c AND k.i = 1
+)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
 
 def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     """Plain k-means of each part: all distances in every round."""
@@ -164,8 +269,10 @@ FROM kept JOIN coded USING (row)
 
 ORACLE = {
     "op1_decontaminate": DECONTAMINATE,
+    "op6_jaccard_join": NEAR,
     "op7_mix_sources": MIX,
     "op8_warc": WARC,
     "op11_vector_codes": vector_codes_sql(),
     "op12_exact_copies": COPIES,
+    "op13_conversation_repair": REPAIR,
 }
