@@ -171,9 +171,9 @@ OTHERS = ["Licensed under the Example Community License, version 1", "Released u
           "Publié sous la licence Exemple", "Cette œuvre est publiée sous licence libre de la ville",
           "Publicado bajo la licencia Ejemplo", "Esta obra está bajo una licencia propia"]
 #: Pairs of words of which a notice of no known family has some.
-GENERIC = frozenset(p for text in [*OTHERS, "Released under the license", "under the terms of the", "Lizenziert unter der",
-                                   "unter der Lizenz", "sous licence", "sous la licence", "bajo la licencia", "bajo una licencia"]
-                    for p in zip(words_of(text), words_of(text)[1:], strict=False))
+USUAL = ["Released under the license", "under the terms of the", "Lizenziert unter der", "unter der Lizenz", "sous licence",
+         "sous la licence", "bajo la licencia", "bajo una licencia"]
+GENERIC = frozenset(p for text in [*OTHERS, *USUAL] for p in zip(words_of(text), words_of(text)[1:], strict=False))
 #: Other text that is there whatever the corpus holds; much of it has words of notices in another sense.
 PLAIN = ["The weather was fine and we went for a walk along the river", "She opened the door and looked at the garden",
          "Prices rose by two per cent in the first quarter of the year", "This is a text about the history of the town",
@@ -206,10 +206,11 @@ NAMED = re.compile(
 
 
 class Model(NamedTuple):
-    """Weights of notices; those of the families (``families[i]`` for column ``columns[i]``, 0 for others); and
-    bias, slope and shift of notices and of each family."""
+    """Weights of notices; the columns of the word pairs that wordings have; the weights of the families
+    (``families[i]`` for column ``columns[i]``, 0 for others); and bias, slope and shift of notices and of each family."""
 
     notice: np.ndarray
+    pairs: np.ndarray
     columns: np.ndarray
     families: np.ndarray
     bias: np.ndarray
@@ -303,7 +304,10 @@ def trained(other: list[str]) -> Model:
     gate = np.zeros(1 << BITS, np.float32)
     gate[used] = parts[0][0]
     families = np.stack([p[0] for p in parts[1:]], axis=1).astype(np.float32)
-    return Model(gate, used, families, *[np.array([p[i] for p in parts]) for i in (1, 2, 3)])
+    _, known = next(arrays.text_slices(pa.array([*(text for f in NOTICES for text, _ in wordings(f)), *OTHERS, *USUAL])))
+    pairs = np.zeros(1 << BITS, bool)
+    pairs[word_columns(known)[2]] = True
+    return Model(gate, pairs, used, families, *[np.array([p[i] for p in parts]) for i in (1, 2, 3)])
 
 
 def family_margins(model: Model, columns: np.ndarray) -> np.ndarray:
@@ -449,7 +453,10 @@ def scan(texts: arrays.Texts, model: Model):
     at = lambda sums, i: sums[np.minimum(i, len(sums) - 1)]
     most = model.bias[0] + ones[last] - ones[first] + at(twos, np.maximum(last - 1, first)) - at(twos, first)
     needed = (np.log(LEAST_NOTICE / (1 - LEAST_NOTICE)) - model.shift[0]) / model.slope[0]
-    maybe = np.flatnonzero(most >= needed - 1e-3)
+    # Wordings confirm by two pairs at least, and so do usual phrases.
+    paired = np.concatenate([[0], np.cumsum(model.pairs[two])])
+    shared = at(paired, np.maximum(last - 1, first)) - at(paired, first)
+    maybe = np.flatnonzero((most >= needed - 1e-3) & (shared >= 2))
     p = np.zeros(len(row))
     p[maybe] = logistic.probabilities(model.slope[0] * distinct_sums(gate, one, two, first[maybe], last[maybe])
                                       + model.slope[0] * model.bias[0] + model.shift[0])
