@@ -49,6 +49,11 @@ sql("list_field_coverage", """SELECT total_rows, field, rows_with_data, CAST(flo
   FROM (SELECT field, count(DISTINCT source_url) AS rows_with_data FROM claim_sources
         WHERE field IN ('procedure', 'equipment', 'capability') GROUP BY field),
        (SELECT count(*) AS total_rows FROM mentions)""")
+ORACLE["table_columns"] = " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, CAST(row_number() OVER () - 1 AS INT) AS position, column_name AS col_name,
+  CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' ELSE column_type END AS data_type FROM (DESCRIBE SELECT * FROM {t})"""
+    for t in ("customer", "events", "lineitem", "nation", "orders", "part"))
 sql("domain_value_counts", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, \"{c}\" AS value, count(*) AS row_count FROM singles WHERE \"{c}\" IS NOT NULL GROUP BY \"{c}\""
     for c in ["facilityTypeId", "operatorTypeId", "address_stateOrRegion"]))

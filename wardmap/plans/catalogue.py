@@ -6,6 +6,7 @@ Arrays are shown as joined text so that any engine can compare the rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from ..session import apply_runtime_settings, new_path, stored
 from ..sources.dimensions import QUESTIONS, REGION_COORDS
 from ..sources.mentions import DERIVED_EQUIPMENT_RULES, logged_questions
 from ..sources.tables import (
-    KEY, REGISTRY_SCHEMA, SOURCE, domain_values, read_evolving, read_registry_csv, register_view,
+    KEY, REGISTRY_SCHEMA, SOURCE, describe_columns, domain_values, read_evolving, read_registry_csv, register_view,
     with_safe_names, write_table,
 )
 from ..streaming import jobs
@@ -99,6 +100,15 @@ def list_field_coverage(t):
     return profile.list_coverage(t.mentions, ["procedure", "equipment", "capability"])
 
 
+@query
+def table_columns(t):
+    """The columns of the tables that the registry is made from."""
+    tables = ("customer", "events", "lineitem", "nation", "orders", "part")
+    described = [describe_columns(t.table(name)).select(F.lit(name).alias("table_name"), "position", "col_name", "data_type")
+                 for name in tables]
+    return reduce(DataFrame.unionByName, described)
+
+
 @query
 def domain_value_counts(t):
     return domain_values(t.singles, ["facilityTypeId", "operatorTypeId", REGION])
