@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardmap.session import new_path, stored
@@ -49,18 +49,12 @@ def join_rows(
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As ``stored``, with the path, for tables that ``drop_table`` deletes when the next one is written."""
+    """As ``stored``, with the path, for tables that are deleted when the next one is written."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
 def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch."""
 

@@ -226,8 +226,9 @@ def near_copies(
     reached = classes.join(joined, classes["class"] == joined["node"]).select("class", "component", "first.id")
     smallest = reached.groupBy("component").agg(F.min("id").alias("smallest"))
     reached = reached.drop("id").join(smallest, "component").drop("component")
-    found = classes.join(reached, "class", "left").select(
-        "class", F.coalesce("smallest", "first.id").alias("component"))
+    # Written, so that a class with many rows is a skewed key of this join alone, which Spark splits.
+    found = stored(classes.join(reached, "class", "left").select(
+        "class", F.coalesce("smallest", "first.id").alias("component")), "class-components")
     return rows.drop("counted").join(found, "class", "left").withColumn(
         "component", F.when(F.col("class").isNull(), F.col(ROW_ID)).otherwise(F.col("component")))
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardmap.llm.keys import drop_table, write_table
-from wardmap.session import stored
+from wardmap.llm.keys import write_table
+from wardmap.session import delete_folder, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Largest component after scaling; squared distances of larger ones might not fit 64 bits.
@@ -161,7 +161,7 @@ def vector_codes(
     for n in range(rounds + 1):
         rows, path, earlier = *write_table(assigned(rows, books, moved), "codes"), path
         if earlier:
-            drop_table(rows.sparkSession, earlier)
+            delete_folder(rows.sparkSession, earlier)
         if n == rounds:
             break
         more = changes(rows, books.shape)
