@@ -238,7 +238,8 @@ def hub_groups(shingle_rows: DataFrame, num: int, den: int) -> DataFrame:
 
     Shingles of one class alone come first and find nothing, so only shared ones are put in order.
     """
-    often = shingle_rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    # Written, as are the hubs, so that a frequent shingle is a skewed key of a join alone, which Spark splits.
+    often = stored(shingle_rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
     shared = shingle_rows.join(often, "shingle")
     by_class = Window.partitionBy("class")
     placed = shared.select(
@@ -247,7 +248,7 @@ def hub_groups(shingle_rows: DataFrame, num: int, den: int) -> DataFrame:
     first = stored(placed.where(F.col("place") + F.col("size") - F.col("shared") <= prefix("size", num, den)).select(
         "class", "shingle"), "first-shingles")
     hubs = first.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last")
-    return first.join(hubs.drop("last"), "shingle").select("class", "hub").distinct()
+    return first.join(stored(hubs.drop("last"), "hubs"), "shingle").select("class", "hub").distinct()
 
 
 def far_links(texts: DataFrame, members: DataFrame, links: DataFrame, block: int, k: int, num: int, den: int):
