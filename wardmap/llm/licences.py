@@ -2,11 +2,12 @@
 
 Units are paragraphs, which blank lines and lines of signs alone separate; comment marks are no words. A longer
 paragraph is cut into overlapping windows that run across line ends. The lines of a paragraph are looked at one by
-one as well, so that several notices in it are told apart. A unit's features are its hashed words and word pairs. One logistic regression tells licence notices from other text, and one per family tells the families
-apart; all are fitted on notices made from the templates (whole, cut, framed and with other text around) and on
-other text, of the corpus and with words of notices in another sense, and calibrated on wordings that were held out. A notice is of a family if its calibrated probability
-is high enough and a template of the family shares enough word pairs with it; otherwise it is ``unknown``. The words
-that hold those pairs are where the notice stands: of two families in one place the one with more pairs counts, and
+one as well, so that several notices in it are told apart. A unit's features are its hashed words and word pairs. One
+logistic regression tells licence notices from other text, and one per family tells the families apart; all are fitted
+on notices made from the templates (whole, cut, framed and with other text around) and on other text, of the corpus and
+with words of notices in another sense, and calibrated on wordings that were held out. A notice is of a family if its
+calibrated probability is high enough and a template of the family shares enough word pairs with it; otherwise, if it
+speaks like a notice, it is ``unknown``. The words that hold those pairs are where the notice stands: of two families in one place the one with more pairs counts, and
 hits that touch are one notice.
 """
 

@@ -115,7 +115,9 @@ PATTERNS = [
 ]
 DIGIT = re.compile(r"\d")
 #: Beginnings and lengths of the numbers that card issuers give out.
-ISSUED = re.compile(r"(?:4\d{12}(?:\d{3})?(?:\d{3})?|(?:5[0-8]|6\d|2[2-7])\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|3528\d{12}|35[3-8]\d{13}|6\d{18})\Z")
+ISSUED = re.compile(
+    r"(?:4\d{12}(?:\d{3})?(?:\d{3})?|(?:5[0-8]|6\d|2[2-7])\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}"
+    r"|352[89]\d{12}|35[3-8]\d{13}|6\d{18})\Z")
 WORD, LETTERS_OF = re.compile(_word), re.compile(_letters)
 
 
