@@ -116,3 +116,22 @@ def test_catchments_by_hand(spark):
     # Nothing is lost: what cells within reach get, weighted by their demand, is all supply within reach of any.
     assert abs(10 * got["a"].access + 30 * got["b"].access - 10) < 1e-4
     assert catchment.catchment_access(cells.limit(0), supply).collect() == []
+
+
+def test_nearest_measures_few_points_of_a_dense_cluster(spark, monkeypatch):
+    rng = random.Random(3)
+    # All in one cell of a sixteenth of a degree, as finely spread as positions are rounded.
+    at = lambda: (round(6.0 + rng.random() * 0.01, 6), round(1.0 + rng.random() * 0.01, 6))
+    points, places = [(i, *at()) for i in range(4000)], [(f"p{i}", *at()) for i in range(500)]
+    measured, seen = geo._measured, []
+
+    def watched(asked, few, here, group, k, key):
+        seen.append(asked.join(few.join(here, ["row", "col"]), group).count())
+        return measured(asked, few, here, group, k, key)
+
+    monkeypatch.setattr(geo, "_measured", watched)
+    table = spark.createDataFrame(points, "pk_unique_id long, lat double, lon double")
+    found = geo.nearest_points(table, spark.createDataFrame(places, "place string, place_lat double, place_lon double"), 2)
+    got = sorted((r.place, r.pk_unique_id, round(r.km, 5), r["rank"]) for r in found.collect())
+    assert got == brute_nearest(points, places, 2)
+    assert sum(seen) <= geo.FEW_POINTS * len(places)
