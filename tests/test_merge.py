@@ -167,3 +167,23 @@ def test_bucketed_mentions_need_no_exchange_or_sort_before_the_first_aggregate(s
     assert "Exchange hashpartitioning" not in by_field
     drop_work(spark)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("work_mentions")]
+
+
+def test_lists_are_parsed_once_and_not_moved_for_their_page_counts(hot, spark):
+    table = tables.bucketed_table(hot, "mentions", "pk_unique_id", ["source_url"], 4)
+    plan = merge.paged_lists(merge.distinct_claims(table))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert rows_of(merge.merge_by_key(table, page_size=100)) == rows_of(merge.merge_by_key(hot, page_size=100))
+    drop_work(spark)
+
+
+def test_values_are_trimmed_in_the_rows_that_give_them_only(spark):
+    rows = [("a", "u1", " null "), ("a", "u2", "\tBeta \n"), ("a", "u3", "Alpha"), ("b", "u1", None), ("b", "u2", " NaN")]
+    mentions = spark.createDataFrame(rows, "pk_unique_id string, source_url string, name string")
+    table = tables.bucketed_table(mentions, "mentions", "pk_unique_id", ["source_url"], 2)
+    merged = merge.merge_singles(table)
+    assert rows_of(merged) == rows_of(merge.merge_singles(mentions)) == [("a", "Beta", 3), ("b", None, 2)]
+    # The trim stands above the join that leaves a few rows of a key.
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(" not in plan[plan.index("Join Inner"):]
+    drop_work(spark)

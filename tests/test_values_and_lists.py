@@ -83,3 +83,22 @@ def test_flag_label_and_json(spark):
     assert one(spark, values.flag_label(F.col("c")), c="flag_many_specialties") == "Many Specialties"
     assert one(spark, lists.to_json_list(lists.json_items(F.col("c"))), c='["b", "a"]') == '["a","b"]'
     assert values.safe_name("mongo DB.x") == "mongo_DBx"
+
+
+@pytest.mark.parametrize("raw, expected", [
+    ('[ " a  b " , "", "c" ]\n', ["a  b", "c"]), ('["\u00a0x "]', ["\u00a0x"]), ("['a', \"b\"]", ["['a', \"b\"]"]),
+    ('\x0b["a"]', ['\x0b["a"]']), ('["a]","b["," a","a"]', ["a]", "b[", "a"]), ('["a\\n"," b"]', ["a", "b"]),
+])
+def test_plain_arrays_need_no_parser_and_give_the_same(spark, raw, expected):
+    assert one(spark, lists.json_items(F.col("c")), c=raw) == expected
+    known = [i for i in one(spark, lists.trimmed_items(F.col("c")), c=raw) if i]
+    assert list(dict.fromkeys(known)) == expected
+
+
+@pytest.mark.parametrize("raw, expected", [
+    (None, None), ("", False), (" \r\n\t", False), ("NuLL", False), (" none\t", False), ("nan", False), ("nano", True),
+    ("null x", True), ("nullnone", True), ("x", True), ("null\x0b", True), (" \u00a0", True),
+])
+def test_known_values(spark, raw, expected):
+    assert one(spark, values.is_known(F.col("c")), c=raw) is expected
+    assert (one(spark, values.blank_to_null(F.col("c")), c=raw) is not None) is bool(expected)
