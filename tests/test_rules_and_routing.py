@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardmap.operators import evaluation, merge, routing, rules
+from wardmap.plans import catalogue
+from wardmap.plans.tables import Registry
+from wardmap.session import drop_work
 from wardmap.sources.dimensions import CONTEXT_RULES, NAME_RULES, QUESTIONS
 
 
@@ -166,3 +169,30 @@ def test_citations_compare_ids_as_text(spark):
     cited = evaluation.citations(log, names)
     assert sorted(r["pos"] for r in cited.collect()) == [0, 3, 4, 5, 6, 7, 8, 9]
     assert evaluation.citation_lists(cited).first()["citations_json"].startswith('[{"id":"7","name":"seven","region":null}')
+
+
+def test_question_reasoning_makes_the_mentions_once(spark):
+    columns = ["name", "facilityTypeId", "address_city", routing.REGION, "numberDoctors", "capacity", "description",
+               "specialties", "procedure", "equipment", "capability", "email"]
+    rows = [("a", "u2", "Alpha", "clinic", "Accra", "Ga East", "3", "60", "d", '["x"]', None, None, "text", "e"),
+            ("a", "u1", " null ", "hospital", None, "Ga East", None, "2.0", None, '["y","x"]', '["p"]', "[]", None, "e"),
+            ("b", "u3", "Beta", None, "Ho", "Ho", None, None, None, None, None, None, None, None)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    given = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ["pk_unique_id", "source_url", *columns]))
+    registry = Registry(spark, "nowhere")
+    registry.mentions = given.mapInArrow(counted, given.schema)
+    registry.log = spark.createDataFrame(
+        [(1, "Which hospital is in Ga East?"), (2, "Anything in Ho"), (3, "none")], "event_id long, question string")
+    found = {r["event_id"]: r for r in catalogue.question_reasoning(registry).collect()}
+    assert reads.value == len(rows)
+    assert (found[1]["region"], found[1]["type"], found[1]["facilities"]) == ("Ga East", "hospital", 1)
+    assert found[1]["context"] == ("- Alpha [hospital] in Accra, Ga East | Doctors: 3 | Beds: 2 | "
+                                   'Specialties: ["x","y"] | Procedures: 1 | Equipment: 0')
+    assert found[2]["facilities"] == 1 and found[3]["facilities"] == 2
+    drop_work(spark)
