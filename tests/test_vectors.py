@@ -1,11 +1,15 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wardmap import session
 from wardmap.operators import embedding, search, vector_index
-from wardmap.plans.catalogue import every_fiftieth
+from wardmap.plans.catalogue import ASKED, QUERIES, every_fiftieth
+from wardmap.plans.tables import Registry
+from wardmap.sources.tables import KEY
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -138,3 +142,55 @@ def test_cells_are_multiplied_with_blocks_of_queries(spark, metric):
     assert best[0] == best[1] and len(best[0]) == 18 * 3
     # No pairs of a query and a vector are made: each task keeps the best of each query.
     assert parts[0].count() <= 18 * 3 * parts[0].rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_index_of_coded_vectors_is_that_of_the_vectors(spark, tmp_path, metric):
+    parts = spark.createDataFrame([*texts(3, 700), (900, "--"), (901, None)], "id long, text string")
+    rows_coded, model = embedding.embed_facilities(parts, "id", coded=True, slots=512)
+    vectors = embedding.projected(rows_coded, model, "id")
+    path = str(tmp_path / "index")
+    index = vector_index.build_index(rows_coded, path, metric, cells=9, key="id", model=model)
+    asked = spark.createDataFrame([("a", "eye clinic"), ("b", "жена 病院 heart"), ("c", "nowhere")], "q string, text string")
+    asked = embedding.embedded(asked, model, "q").select(F.col("q").alias("query_id"), F.col("embedding").alias("query"))
+    found = lambda df: sorted(tuple(r) for r in df.select("query_id", "id", "score", "rank").collect())
+    expected = found(search.nearest(vectors, asked, 10, metric, "id"))
+    again = vector_index.open_index(spark, path, "id", metric)
+    for one in (index, again):
+        assert found(vector_index.index_search(one, asked, probes=1, exact=True)) == expected
+    assert again.probes == index.probes and index.entries(spark).columns == ["id", "slots", "weights", "away", "cell"]
+    more = rows_coded.withColumn("id", F.col("id") + 10_000)
+    expected = found(search.nearest(vectors.unionByName(embedding.projected(more, model, "id")), asked, 10, metric, "id"))
+    assert found(vector_index.index_search(vector_index.add_to_index(again, more), asked, exact=True)) == expected
+
+
+def test_dense_text_search_writes_no_table_of_vectors(spark, monkeypatch):
+    n = 3_000
+    parts = spark.createDataFrame(texts(7, n), f"{KEY} long, text string")
+    monkeypatch.setattr(Registry, "parts", parts)
+    before = len(session._HANDED_OUT)
+    found = sorted(tuple(r) for r in QUERIES["dense_text_search"](spark, "").select(
+        "query_id", KEY, "score", "rank").collect())
+    folders = [Path(p.removeprefix("file:")) for p in session._HANDED_OUT[before:]]
+    # The model has a bounded size.
+    files = [f for p in folders for f in p.rglob("*.parquet") if f.parent.name != "model"]
+    assert sum(f.stat().st_size for f in files) < n * embedding.SIZE * 8 / 2
+    vectors, model = embedding.embed_facilities(parts)
+    asked = spark.createDataFrame(ASKED, "query_id string, text string")
+    asked = embedding.embedded(asked, model, "query_id").withColumnRenamed("embedding", "query")
+    expected = search.nearest(vectors, asked, key=KEY)
+    assert found == sorted(tuple(r) for r in expected.select("query_id", KEY, "score", "rank").collect())
+
+
+def test_sums_of_the_range_finder_come_from_a_few_tasks_a_core(spark):
+    parts = spark.createDataFrame(texts(8, 300), "id long, text string")
+    model, rows_coded = embedding.fit_text_model(parts, size=5, slots=64, key="id")
+    tasks = embedding.TASKS * spark.sparkContext.defaultParallelism
+    spread = rows_coded.repartition(3 * tasks)
+    seen = []
+    counted = lambda self, run, schema: seen.append(self.rdd.getNumPartitions()) or mapped(self, run, schema)
+    mapped = type(spread).mapInArrow
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spread), "mapInArrow", counted)
+        sums = embedding.gram_product(spread, model.basis)
+    assert seen == [tasks] and np.allclose(sums, embedding.gram_product(rows_coded, model.basis))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ SIZE = 384
 SLOTS = 1 << 12
 #: Columns beyond ``SIZE`` that the range finder carries, and its passes over the rows.
 SPARE, PASSES = 16, 3
-#: Rows that a task multiplies at a time.
-ROWS = 512
+#: Rows that a task multiplies at a time, and tasks a core, at most, that each give a sum for nearly every slot.
+ROWS, TASKS = 512, 4
 
 
 @dataclass
@@ -40,6 +40,16 @@ class TextModel:
     idf: np.ndarray
     basis: np.ndarray
 
+    def vectors(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Vectors of a batch with ``slots`` and ``weights`` as a matrix: unit length, or zeros without a known direction."""
+        result, start = np.zeros((batch.num_rows, self.basis.shape[1])), 0
+        for some, used, dense in blocks(iter([batch])):
+            m = dense @ self.basis[used]
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            result[start:start + some.num_rows] = m / np.where(norm > 1e-12, norm, np.inf)
+            start += some.num_rows
+        return result
+
 
 def slot_counts(parts: DataFrame, key: str, slots: int) -> DataFrame:
     """key, slot and how often its terms stand in the texts of the key."""
@@ -85,7 +95,8 @@ def gram_product(rows: DataFrame, matrix: np.ndarray) -> np.ndarray:
             some = touched[start:start + 1_000]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(total[some]))], ["slot", "sums"])
 
-    parts = rows.select("slots", "weights").mapInArrow(run, "slot int, sums array<double>")
+    few = rows.select("slots", "weights").coalesce(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(run, "slot int, sums array<double>")
     sums = parts.groupBy("slot").agg(Summarizer.sum(array_to_vector("sums")).alias("s")).select("slot", vector_to_array("s"))
     result, table = np.zeros_like(matrix), sums.toArrow()
     if table.num_rows:
@@ -117,16 +128,13 @@ def fit_text_model(
 
 def projected(rows: DataFrame, model: TextModel, key: str = KEY) -> DataFrame:
     """key and ``embedding``, of unit length (zeros for texts without a known direction)."""
-    basis = model.basis
     schema = T.StructType([rows.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, used, dense in blocks(batches):
-            m = dense @ basis[used]
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = m / np.where(norm > 1e-12, norm, np.inf)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(m), pa.list_(pa.float64()))], schema.names)
+        for whole in batches:
+            for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(list(model.vectors(batch)), pa.list_(pa.float64()))], schema.names)
 
     return rows.select(key, "slots", "weights").mapInArrow(run, schema)
 
@@ -136,7 +144,27 @@ def embedded(texts: DataFrame, model: TextModel, key: str) -> DataFrame:
     return projected(weighted(slot_counts(texts, key, len(model.idf)), model.idf, key), model, key)
 
 
-def embed_facilities(parts: DataFrame, key: str = KEY, **options) -> tuple[DataFrame, TextModel]:
-    """key and ``embedding`` of every key; and the fitted model."""
+def embed_facilities(
+    parts: DataFrame, key: str = KEY, coded: bool = False, **options,
+) -> tuple[DataFrame, TextModel]:
+    """key and ``embedding`` of every key; and the fitted model.
+
+    With ``coded`` the embeddings stay as slots and weights, a written table of a fraction of their bytes, for readers
+    that take the vectors of a batch from the model.
+    """
     model, rows = fit_text_model(parts, key=key, **options)
-    return projected(rows, model, key), model
+    return (rows if coded else projected(rows, model, key)), model
+
+
+def write_model(model: TextModel, spark: SparkSession, path: str) -> None:
+    """A row for each slot."""
+    basis = pa.FixedSizeListArray.from_arrays(pa.array(model.basis.reshape(-1)), model.basis.shape[1])
+    table = pa.table({"slot": pa.array(range(len(model.idf)), pa.int32()), "idf": pa.array(model.idf),
+                      "directions": basis.cast(pa.list_(pa.float64()))})
+    spark.createDataFrame(table).coalesce(1).write.parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> TextModel:
+    """A model written before."""
+    slots = sorted(spark.read.parquet(path).collect())
+    return TextModel(np.array([s.idf for s in slots]), np.array([s.directions for s in slots]))
