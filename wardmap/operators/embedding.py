@@ -41,7 +41,7 @@ class TextModel:
     basis: np.ndarray
 
     def vectors(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Vectors of a batch with ``slots`` and ``weights`` as a matrix: unit length, or zeros without a known direction."""
+        """Vectors of a batch's ``slots`` and ``weights`` as a matrix: unit length, or zeros without a known direction."""
         result, start = np.zeros((batch.num_rows, self.basis.shape[1])), 0
         for some, used, dense in blocks(iter([batch])):
             m = dense @ self.basis[used]
